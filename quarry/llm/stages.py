@@ -1,0 +1,3 @@
+"""The stages of the corpus pipeline."""
+
+STAGES = []
