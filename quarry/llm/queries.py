@@ -17,6 +17,12 @@ def byte_bpe_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import decontaminate
+
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import bpe
 
@@ -24,7 +30,25 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op7_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, s, array_to_string(w[i:i + s - 1], ' ') g
+  FROM (SELECT item_id, w, least(10, len(w)) s, unnest(range(1, len(w) - least(10, len(w)) + 2)) i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT s FROM bw),
+dw AS (SELECT doc_id, i, s, array_to_string(w[i:i + s - 1], ' ') g
+  FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) i FROM d, sizes WHERE len(w) >= s)),
+hit AS (SELECT DISTINCT doc_id, i, s, item_id FROM dw JOIN bw USING (s, g)),
+pos AS (SELECT doc_id, count(*) n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + s)) p FROM hit) GROUP BY 1),
+found AS (SELECT doc_id, count(*) n, string_agg(id, ',' ORDER BY id) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR id FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(pos.n, 0)::BIGINT n_hit, coalesce(found.n, 0)::BIGINT n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)""",
+}
