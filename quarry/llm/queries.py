@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,27 @@ def byte_bpe_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = langid.fold("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality
+    from quarry.llm._cluster import stored
+    from quarry.llm.langid import fold
+
+    stats = stored(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    rules = quality.fit(stats.join(labels, "doc_id"))
+    scored = stats.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), rules.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import decontaminate
 
@@ -30,6 +52,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
+    "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
 }
