@@ -18,6 +18,13 @@ def byte_bpe_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import substring
+
+    docs = table(spark, sf_dir, "documents")
+    return substring.report(docs, substring.repeated(docs))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import langid
 
@@ -52,6 +59,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
@@ -61,6 +69,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) n FROM win) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) gone FROM (SELECT doc_id, unnest(range(i, i + 35)) p FROM rep) GROUP BY 1),
+words AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p FROM d),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) p FROM rep),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(len(gone), 0)::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
