@@ -58,17 +58,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_ranks())
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import jaccard
+
+    return jaccard.Join(table(spark, sf_dir, "documents"), k=3, percent=90).components()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op10_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[i:i + 2], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id a, b.doc_id b, count(*) o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+r AS (SELECT doc_id, doc_id c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT n_shingles, min(c) component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
