@@ -34,6 +34,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality
     from quarry.llm._cluster import stored
@@ -67,6 +73,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
@@ -96,6 +103,13 @@ hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) p FROM rep),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(len(gone), 0)::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n FROM pages),
+m AS (SELECT h, max(page_id) kept FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, n::BIGINT payload_bytes, sha1(h) payload_digest,
+  CASE WHEN kept IS NULL OR kept = page_id THEN 'response' ELSE 'revisit' END record_type,
+  CASE WHEN kept <> page_id THEN kept END refers_to
+FROM p LEFT JOIN m USING (h)""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
