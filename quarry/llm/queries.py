@@ -25,6 +25,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(docs, substring.repeated(docs))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import embed
+
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import langid
 
@@ -72,6 +78,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
@@ -103,6 +110,14 @@ hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) p FROM rep),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(len(gone), 0)::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddings
+  WHERE len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+e AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) >= 0.95 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+r AS (SELECT vec_id, vec_id c FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.c),
+n AS (SELECT a, count(*) n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT n_links, min(c) component_id, vec_id = min(c) kept FROM r LEFT JOIN n ON a = vec_id GROUP BY 1""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n FROM pages),
 m AS (SELECT h, max(page_id) kept FROM p WHERE n >= 1000 GROUP BY 1)
