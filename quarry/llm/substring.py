@@ -125,24 +125,26 @@ def repeated(docs: DataFrame, window: int = WINDOW, edge: int = EDGE, id_col: st
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     paths = stored(_scan(texts, window, edge), "paths")
+    # each aggregate is a table before it is joined, so that both sides of the join are plain exchanges, which Spark may split
     edges = paths.groupBy("e").agg(F.count("*").alias("places"), F.min("s1").alias("s_lo"), F.max("s1").alias("s_hi")).where("places > 1")
-    often = stored(paths.join(edges.select("e", (F.col("s_lo") != F.col("s_hi")).alias("branching")), "e").drop("e"), "repeated")
+    edges = stored(edges.select("e", (F.col("s_lo") != F.col("s_hi")).alias("branching")), "edges")
+    often = stored(paths.join(edges, "e").drop("e"), "repeated")
     release(spark)
-    dropped(paths)
+    dropped(paths, edges)
     place = F.struct("id", "a")
-    compact = often.groupBy("s1", "s2").agg(F.count("*").alias("places"), F.min(place).alias("source"))
+    compact = stored(often.groupBy("s1", "s2").agg(F.count("*").alias("places"), F.min(place).alias("source")), "compact")
     marked = stored(often.join(compact, ["s1", "s2"]).select("id", "a", "n", (F.col("places") == 1).alias("single"), (F.col("branching") & (F.col("source") == place)).alias("verify")), "compacted")
     release(spark)
-    dropped(often)
+    dropped(often, compact)
     ask = marked.where("verify").groupBy("id").agg(F.collect_list(F.struct("a", "n", "single")).alias("ask"))
     cut = stored(_windows(texts.join(ask, "id"), window), "windows")
     release(spark)
-    again = cut.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1")
+    again = stored(cut.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1").select("w1", "w2"), "again")
     found = cut.where("single").join(again, ["w1", "w2"], "left_semi").select("id", "a", F.lit(window).alias("n"))
     sure = marked.where("not single").select("id", "a", (F.col("n") + (window - 1)).cast("int").alias("n"))
     out = stored(sure.union(found).groupBy("id").agg(F.collect_list(F.struct("a", "n")).alias("spans")), "spans")
     release(spark)
-    dropped(marked, cut)
+    dropped(marked, cut, again)
     return out.withColumnRenamed("id", id_col)
 
 
