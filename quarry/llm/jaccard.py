@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,24 +36,24 @@ RANGE = 1 << 16  # bins of the sketch in one row
 MOST_BINS = 1 << 24
 
 
+ROW = U64(52)  # bits of a shingle's hash; a chunk has fewer than 2 ** 12 rows, and one sort orders rows and hashes
+
+
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each row, sorted by both."""
+    """(row, hash of 52 bits) of the distinct shingles of each row, sorted by both."""
     w = Words(data, offs, lower=True)
-    h, row = w.hashes(), w.rows()
+    h, row = w.hashes(), w.rows().astype(U64)
     g = FIRST.grams(h, k)
-    whole = np.flatnonzero(row[: len(g)] == row[k - 1 :]) if len(g) else np.zeros(0, np.int64)
+    key = (row[: len(g)] << ROW | g >> U64(12))[row[: len(g)] == row[k - 1 :]] if len(g) else g
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < k))
-    rows, found = row[whole], g[whole]
     if len(short):
-        p = FIRST.prefix(h)
-        own = mix(FIRST.spans(p, w.first[short], w.first[short + 1]) + n[short].astype(U64))
-        rows, found = np.concatenate([rows, short]), np.concatenate([found, own])
-    order = np.lexsort((found, rows))
-    rows, found = rows[order], found[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
-    return rows[new], found[new]
+        own = mix(FIRST.spans(FIRST.prefix(h), w.first[short], w.first[short + 1]) + n[short].astype(U64))
+        key = np.concatenate([key, short.astype(U64) << ROW | own >> U64(12)])
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key >> ROW).astype(np.int64), key & ((U64(1) << ROW) - U64(1))
 
 
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -72,36 +73,37 @@ class Join:
         self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
 
-    def _sets(self) -> DataFrame:
-        """(id, n, k1, k2): the size of each set and a hash of it."""
-        k = self.k
+    def _sets(self, bins: int) -> DataFrame:
+        """(id, n, k1, k2, null, null): the size of each set and a hash of it; (null, ..., part, counts): a task's sketch, a range of bins a row."""
+        k, shift, ranges = self.k, ROW - U64((bins - 1).bit_length()), bins // RANGE
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count, names = np.zeros(bins, np.uint32), ["id", "n", "k1", "k2", "part", "counts"]
+            kind = None
             for b in batches:
+                kind = b.schema.field(0).type
                 for lo, hi, data, offs in chunks(b.column(1)):
                     row, h = shingles(data, offs, k)
+                    at = (h >> shift).astype(np.int64)
+                    if len(at) * 8 > bins:
+                        count += np.bincount(at, minlength=bins).astype(np.uint32)
+                    else:
+                        np.add.at(count, at, 1)
                     cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                     k1, k2 = _sums(mix(h + U64(1)), cuts), _sums(mix(h ^ U64(0x5851F42D4C957F2D)), cuts)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(signed(k1)), pa.array(signed(k2))], ["id", "n", "k1", "k2"])
+                    none = [pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(signed(k1)), pa.array(signed(k2)), *none], names)
+            own = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(count.reshape(ranges, RANGE)) if x.any()]
+            if own:
+                none = [pa.nulls(len(own), kind), *[pa.nulls(len(own), pa.int64())] * 3]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names)
 
-        return self.texts.mapInArrow(run, f"id {self.kind}, n long, k1 long, k2 long")
+        return self.texts.mapInArrow(run, f"id {self.kind}, n long, k1 long, k2 long, part int, counts binary")
 
-    def _sketch(self, total: int) -> np.ndarray:
+    @staticmethod
+    def _sketch(counted: DataFrame, bins: int) -> np.ndarray:
         """Logarithms of the counts of shingles by the leading bits of their hash: at most MOST_BINS bytes."""
-        bins = min(MOST_BINS, max(RANGE, 1 << (max(1, total // 64) - 1).bit_length()))
-        k, shift, ranges = self.k, U64(64 - (bins - 1).bit_length()), bins // RANGE
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(bins, np.uint32)
-            for b in batches:
-                for _, _, data, offs in chunks(b.column(0)):
-                    at = (shingles(data, offs, k)[1] >> shift).astype(np.int64)
-                    if len(at) * 8 > bins:
-                        n += np.bincount(at, minlength=bins).astype(np.uint32)
-                    else:
-                        np.add.at(n, at, 1)
-            own = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(n.reshape(ranges, RANGE)) if x.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["part", "n"])
+        ranges = bins // RANGE
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -112,8 +114,7 @@ class Join:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["part", "n"])
 
         out = np.zeros((ranges, RANGE), np.uint8)
-        counted = self.texts.select("text").mapInArrow(count, "part int, n binary").repartition(ranges, "part").mapInArrow(add, "part int, n binary")
-        for r in counted.collect():
+        for r in counted.select("part", "counts").repartition(ranges, "part").mapInArrow(add, "part int, n binary").collect():
             out[r["part"]] = np.frombuffer(r["n"], np.uint8)
         return out.reshape(-1)
 
@@ -123,12 +124,12 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = sketch.value
-            shift = U64(64 - (len(count) - 1).bit_length())
+            shift, low = ROW - U64((len(count) - 1).bit_length()), (U64(1) << U64(44)) - U64(1)
             for b in batches:
                 for lo, hi, data, offs in chunks(b.column(1)):
                     row, h = shingles(data, offs, k)
-                    order = np.lexsort((h, count[(h >> shift).astype(np.int64)], row))
-                    h = h[order]
+                    # one sort: row, rarity, and the leading bits of the hash, which serve as the token
+                    h = np.sort(row.astype(U64) << ROW | count[(h >> shift).astype(np.int64)].astype(U64) << U64(44) | h >> U64(8)) & low
                     cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                     n = np.diff(cuts)
                     p = np.arange(len(h)) - np.repeat(cuts[:-1], n)
@@ -142,38 +143,54 @@ class Join:
         return self.texts.mapInArrow(run, f"t long, id {self.kind}, n int, p int")
 
     def _fragments(self, wanted: DataFrame) -> DataFrame:
-        """(id, f, tokens): the sets of the wanted documents, cut at fixed places of the order by hash; more fragments for larger sets are not needed, as none outgrows its text."""
+        """(id, f, tokens): the sets of the wanted documents, cut at fixed places of the order by hash.  Texts are shuffled compressed."""
         k = self.k
 
+        def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = [None if t is None else zstandard.compress(t.encode(), 1) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "z"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
             for b in batches:
-                for lo, hi, data, offs in chunks(b.column(1)):
+                ids = b.column(0).to_pylist()  # sorted by the join: rows that repeat an id follow each other
+                keep = [i for i, x in enumerate(ids) if x != (ids[i - 1] if i else last)]
+                last = ids[-1] if ids else last
+                texts = pa.array([None if z is None else zstandard.decompress(z) for z in b.column(1).take(pa.array(keep, pa.int64())).to_pylist()], pa.large_binary())
+                own = pa.array([ids[i] for i in keep], b.schema.field(0).type)
+                for lo, _, data, offs in chunks(texts):
                     row, h = shingles(data, offs, k)
                     part = row * FRAGMENTS + (h >> FRAGMENT_SHIFT).astype(np.int64)
                     at = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(at[1:], len(part))
                     raw = memoryview(h.tobytes())
                     rows = [raw[8 * x : 8 * y] for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"]
-                    )
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"])
 
-        return self.texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, f"id {self.kind}, f int, tokens binary")
+        small = self.texts.mapInArrow(shrink, f"id {self.kind}, z binary")
+        return small.join(wanted, "id").mapInArrow(run, f"id {self.kind}, f int, tokens binary")
 
-    def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (x, nx, y, ny) whose overlaps, summed over the fragments, reach the threshold."""
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, nx, y, ny) whose overlaps, summed over the fragments, reach the threshold: a stored table (x, y)."""
         kind, percent = self.kind, self.percent
+        pairs = stored(pairs, "pairs")
+        sets = stored(self._fragments(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()), "fragments")
+        release(self.spark)
 
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(n, pa.int64())], ["x", "nx", "y", "ny", "both"])
+                n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), True)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(n, pa.int64())], ["x", "nx", "y", "ny", "f", "both"])
 
         left = pairs.join(sets.select(F.col("id").alias("x"), "f", F.col("tokens").alias("tx")), "x")
-        met = left.join(sets.select(F.col("id").alias("y"), "f", F.col("tokens").alias("ty")), ["y", "f"]).select("x", "nx", "y", "ny", "tx", "ty")
-        counted = met.mapInArrow(overlap, f"x {kind}, nx int, y {kind}, ny int, both long")
+        met = left.join(sets.select(F.col("id").alias("y"), "f", F.col("tokens").alias("ty")), ["y", "f"]).select("x", "nx", "y", "ny", "f", "tx", "ty")
+        counted = met.mapInArrow(overlap, f"x {kind}, nx int, y {kind}, ny int, f int, both long").distinct()
         total = counted.groupBy("x", "nx", "y", "ny").agg(F.sum("both").alias("both"))
-        return total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+        out = stored(total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y"), "links")
+        release(self.spark)
+        dropped(pairs, sets)
+        return out
 
     def _bound(self, a: str, b: str):
         """Whether two sets can still reach the threshold, by a shared shingle's positions."""
@@ -181,25 +198,26 @@ class Join:
 
     def components(self) -> DataFrame:
         """(id, n_shingles, component_id): the smallest id reachable over links, per row."""
-        sets = stored(self._sets(), "sets")
-        total = sets.agg(F.sum("n")).first()[0] or 0
-        classes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-        member = stored(sets.where("n > 0").join(classes, ["k1", "k2", "n"]).select("id", "n", "rep"), "members")
-        sketch = self.spark.sparkContext.broadcast(self._sketch(total))
-        prefixes = self._prefixes(sketch)
-        shared = prefixes.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
+        letters = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bins = min(MOST_BINS, max(RANGE, 1 << (max(1, letters // 400) - 1).bit_length()))
+        scanned = stored(self._sets(bins), "sets")
+        sketch = self.spark.sparkContext.broadcast(self._sketch(scanned.where("part is not null"), bins))
+        sets = scanned.where("part is null")
+        # each aggregate is a table before it is joined, so that both sides of the join are plain exchanges, which Spark may split
+        classes = stored(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
+        member = stored(sets.join(classes, ["k1", "k2", "n"], "left").select("id", "n", "rep"), "members")
+        prefixes = stored(self._prefixes(sketch), "prefixes")
+        shared = stored(prefixes.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t"), "shared")
         reps = member.where("id = rep").select("id").distinct()
         posts = stored(prefixes.join(shared, "t").join(reps, "id", "left_semi").distinct(), "postings")
         release(self.spark)
-        tokens = stored(self._fragments(posts.select("id").distinct()), "fragments")
-        release(self.spark)
+        dropped(scanned, classes, prefixes, shared)
         x = posts.select("t", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
-        pivot = posts.groupBy("t").agg(F.min(F.struct("p", "id", "n")).alias("v")).select("t", F.col("v.id").alias("y"), F.col("v.n").alias("ny"), F.col("v.p").alias("py"))
+        pivot = stored(posts.groupBy("t").agg(F.min(F.struct("p", "id", "n")).alias("v"), F.count("*").alias("c")).where("c > 1").select("t", F.col("v.id").alias("y"), F.col("v.n").alias("ny"), F.col("v.p").alias("py")), "pivots")
         pairs = x.join(pivot, "t").where(F.col("x") != F.col("y")).where(self._bound("x", "y"))
         ordered = lambda p: p.select(*(F.when(F.col("x") < F.col("y"), F.col(a)).otherwise(F.col(b)).alias(c) for c, a, b in (("x", "x", "y"), ("nx", "nx", "ny"), ("y", "y", "x"), ("ny", "ny", "nx")))).distinct()
-        first = stored(self._linked(ordered(pairs), tokens), "links")
+        first = self._linked(ordered(pairs))
         comp = components(first, "x", "y")
-        release(self.spark)
         # what is not in its pivot's component meets all others of the shingle
         own = x.join(comp.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").withColumn("cx", F.coalesce("cx", "x"))
         at = pivot.join(comp.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left").select("t", F.col("y").alias("pivot"), F.coalesce("cy", "y").alias("cp"))
@@ -207,14 +225,14 @@ class Join:
         rest = placed.where("cx <> cp")
         others = placed.where("x <> pivot").select("t", *(F.col(a).alias(b) for a, b in (("x", "y"), ("nx", "ny"), ("px", "py"), ("cx", "cy"))))
         more = rest.join(others, "t").where("cx <> cy").where(self._bound("x", "y"))
-        second = stored(self._linked(ordered(more), tokens), "links")
+        second = self._linked(ordered(more))
         final = components(first.union(second), "x", "y")
-        out = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-        result = stored(sets.select("id", F.col("n").alias("n_shingles")).join(out.distinct(), "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "components")
+        out = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        result = stored(out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")), "components")
         release(self.spark)
-        dropped(sets, member, posts, tokens, first, second, placed)
+        dropped(member, posts, pivot, first, second, placed)
         return result.withColumnRenamed("id", self.id_col)
 
 
 FRAGMENTS = 4
-FRAGMENT_SHIFT = U64(62)
+FRAGMENT_SHIFT = U64(50)
