@@ -18,6 +18,12 @@ def byte_bpe_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import packing
+
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), byte_bpe_ranks(), capacity=2048))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import substring
 
@@ -85,6 +91,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_packing": op1_token_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_language_id": op4_language_id,
