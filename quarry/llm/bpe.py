@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +178,7 @@ class Pairs:
 class Merger:
     """Ranks of a rank file, merged piece by piece, with a bounded cache of pieces."""
 
-    CACHE, WIDEST = 400_000, 64
+    CACHE, WIDEST = 1_000_000, 64
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -189,28 +190,44 @@ class Merger:
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs = Pairs(self.ranks)
-        self.cache: dict[bytes, list[int]] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """Known pieces, sorted by their first hash: second hash, place of their ids in ``flat``, number of ids."""
+        self.known = np.zeros(0, np.uint64)
+        self.second, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, first: np.ndarray, second: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps the ids of new pieces, whose first hashes are sorted; returns their places and lengths."""
+        length = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(length.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        place = self.used + np.cumsum(length, dtype=np.int64) - length
+        self.used += total
+        at = np.searchsorted(self.known, first)
+        self.known, self.second = np.insert(self.known, at, first), np.insert(self.second, at, second)
+        self.place, self.length = np.insert(self.place, at, place), np.insert(self.length, at, length)
+        return place, length
 
     def pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; those not in the cache are merged side by side, by width."""
-        found = [self.cache.get(p) for p in pieces]
+        """Ids of each piece; pieces of like width are merged side by side."""
+        found: list[list[int] | None] = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
-        for i, ids in enumerate(found):
-            if ids is None:
-                p = pieces[i]
-                if (whole := self.ranks.get(p)) is not None:
-                    found[i] = [whole]
-                elif len(p) <= self.WIDEST:
-                    by_width.setdefault(-(-len(p) // 4) * 4, []).append(i)
-                else:
-                    found[i] = self._merge(p)
-        if len(self.cache) + sum(map(len, by_width.values())) > self.CACHE:
-            self.cache.clear()
+        for i, p in enumerate(pieces):
+            if (whole := self.ranks.get(p)) is not None:
+                found[i] = [whole]
+            elif len(p) <= self.WIDEST:
+                by_width.setdefault(-(-len(p) // 4) * 4, []).append(i)
+            else:
+                found[i] = self._merge(p)
         for width, which in by_width.items():
             for lo in range(0, len(which), 8192):
                 part = which[lo : lo + 8192]
                 for i, ids in zip(part, self._side_by_side([pieces[i] for i in part], width), strict=True):
-                    found[i] = self.cache[pieces[i]] = ids
+                    found[i] = ids
         return found
 
     def _side_by_side(self, pieces: list[bytes], width: int) -> list[list[int]]:
@@ -288,14 +305,26 @@ class Merger:
         h = byte_spans(data, starts, stops, FIRST)
         _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        again = byte_spans(data, starts, stops, SECOND)
-        if (again != again[index][inverse]).any():
+        second = byte_spans(data, starts, stops, SECOND)
+        if (second != second[index][inverse]).any():  # two pieces of the chunk share a hash: tell them apart by their bytes
             index, inverse = self._exact(raw, starts, stops)
-        found = self.pieces([raw[a:b] for a, b in zip(starts[index].tolist(), stops[index].tolist(), strict=True)])
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        at, total = ragged(begin[inverse], size[inverse])
+            found = self.pieces([raw[a:b] for a, b in zip(starts[index].tolist(), stops[index].tolist(), strict=True)])
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            flat, place = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), np.cumsum(length) - length
+        else:
+            first, second = h[index], second[index]
+            if len(self.known) + len(first) > self.CACHE:
+                self._empty()
+            at = np.minimum(np.searchsorted(self.known, first), max(len(self.known) - 1, 0))
+            old = (self.known[at] == first) & (self.second[at] == second) if len(self.known) else np.zeros(len(first), bool)
+            place, length = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            place[old], length[old] = self.place[at[old]], self.length[at[old]]
+            new = np.flatnonzero(~old)
+            if len(new):
+                found = self.pieces([raw[a:b] for a, b in zip(starts[index[new]].tolist(), stops[index[new]].tolist(), strict=True)])
+                place[new], length[new] = self._learn(first[new], second[new], found)
+            flat = self.flat
+        at, total = ragged(place[inverse], length[inverse])
         return flat[at], total[row]
 
     @staticmethod
