@@ -63,7 +63,8 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer in use."""
+    """Lets Spark delete the shuffle files of plans that are no longer in use; listeners hold on to the last plan until another has run."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

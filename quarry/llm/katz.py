@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._cluster import dropped, release, small_batches, stored
+from quarry.llm._cluster import dropped, fresh_dir, release, remove, small_batches, stored
 from quarry.llm._text import U64, Words, as_array, chunks, mix
 
 TOP = 5  # counts above it are not discounted
@@ -99,12 +99,19 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
 
-def _chunk_table(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, size, train, vocab, counts, tokens): documents in chunks, their tokens as numbers into the chunk's sorted vocabulary."""
+CHUNK_COLUMNS = ["chunk", "ids", "size", "train", "tokens"]
+ASK_COLUMNS = ["b", "chunk", "h", "c"]
+
+
+def _chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
+    """Documents in chunks, their tokens as numbers into the chunk's sorted vocabulary (kind 0: CHUNK_COLUMNS), and what each chunk asks of the vocabulary's buckets (kind 1: ASK_COLUMNS)."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["kind", "chunk", "ids", "size", "train", "tokens", "b", "h", "c"]
 
-    def build(batches: list[pa.RecordBatch], chunk: int) -> Iterator[tuple]:
+    def build(batches: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], U64)
         ids, text, train = (pa.concat_arrays([as_array(b.column(i)) for b in batches]) for i in range(3))
+        kinds = [pa.int32(), pa.int64(), pa.list_(ids.type), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 2]
         for lo, hi, data, offs in chunks(text, CHUNK):
             w = Words(data, offs, lower=True)
             size = np.diff(w.first) + 1
@@ -112,38 +119,26 @@ def _chunk_table(docs: DataFrame) -> DataFrame:
             vocab, local = np.unique(tokens, return_inverse=True)
             own = train.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(local[np.repeat(own, size)], minlength=len(vocab))
-            yield ids.slice(lo, hi - lo).to_pylist(), pack(size), pack(own.astype(np.uint8)), pack(vocab), pack(counts), pack(local)
+            cuts = [0, *np.searchsorted(vocab, edges).tolist(), len(vocab)]
+            rows = [(0, chunk, ids.slice(lo, hi - lo).to_pylist(), pack(size), pack(own.astype(np.uint8)), pack(local), None, None, None)]
+            rows += [(1, chunk, None, None, None, None, i, pack(vocab[x:y]), pack(counts[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            yield _batch(rows, names, kinds)
+            chunk += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-        names = ["chunk", "ids", "size", "train", "vocab", "counts", "tokens"]
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
             held.append(b)
             size += b.column(1).nbytes
             if size >= CHUNK:
-                for row in build(held, seq):
-                    yield _batch([(part << 32 | seq, *row)], names, [pa.int64(), pa.list_(b.schema.field(0).type), *[pa.binary()] * 5])
-                    seq += 1
+                for row in build(held, chunk):
+                    yield row
+                    chunk += 1
                 held, size = [], 0
         if held:
-            for row in build(held, seq):
-                yield _batch([(part << 32 | seq, *row)], names, [pa.int64(), pa.list_(held[0].schema.field(0).type), *[pa.binary()] * 5])
-                seq += 1
+            yield from build(held, chunk)
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, size binary, train binary, vocab binary, counts binary, tokens binary")
-
-
-def _ask_words(table: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], U64)
-        for b in batches:
-            for chunk, vocab, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h, c = unpack(vocab), unpack(counts)
-                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                rows = [(i, chunk, pack(h[x:y]), pack(c[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                yield _batch(rows, ["b", "chunk", "h", "c"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
-
-    return table.select("chunk", "vocab", "counts").mapInArrow(run, "b int, chunk long, h binary, c binary")
+    return docs.mapInArrow(run, f"kind int, chunk long, ids array<{kind}>, size binary, train binary, tokens binary, b int, h binary, c binary")
 
 
 STATS = ", ".join(["n long", "v long", *(f"r{i} long" for i in range(1, TOP + 2))])
@@ -274,9 +269,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-letters // BUCKET))
     kind = rows.schema["id"].dataType.simpleString()
-    table = stored(_chunk_table(rows), "chunks")
-    counted = stored(_count_words(_ask_words(table, buckets), buckets), "words")
+    folder = fresh_dir(spark, "chunks")
+    made = _chunk_table(rows, buckets)
+    made.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    part = lambda k, columns: spark.read.schema(made.select(*columns).schema).parquet(f"{folder}/kind={k}")
+    if not letters and rows.isEmpty():
+        return spark.createDataFrame([], f"`{id_col}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    table = part(0, CHUNK_COLUMNS)
+    counted = stored(_count_words(part(1, ASK_COLUMNS), buckets), "words")
     release(spark)
+    remove(spark, f"{folder}/kind=1")
     sums = counted.where("chunk is null").agg(*(F.sum(x.split()[0]) for x in STATS.split(", "))).first()
     sums = [x or 0 for x in sums]
     words = Unigrams(sums[0], sums[1], sums[2:])
@@ -289,6 +291,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     of = pairs.agg(*(F.sum(f"s_r{i}") for i in range(1, TOP + 2))).first()
     model = Bigrams([x or 0 for x in of])
     often = pairs.where("hh is not null").groupBy("hh").agg(F.sum("ht").alias("t"), *(F.sum(f"h{m}").alias(m) for m in FEW), F.sum("hs").alias("s")).collect()
+    release(spark)
     often = sorted((r["hh"], r["t"], *(r[m] for m in FEW), r["s"]) for r in often)
     whole = np.array([r[0] for r in often], np.int64).astype(U64), np.array([r[1:] for r in often], float).reshape(len(often), TOP + 2)
     answers = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("b", "n", "tokens", *FEW, "seen")).alias("pairs"))
@@ -323,5 +326,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     out = full.mapInArrow(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = stored(out, "scores")
-    dropped(table, counted, pairs)
+    release(spark)
+    remove(spark, folder)
+    dropped(counted, pairs)
     return out.withColumnRenamed("id", id_col)
