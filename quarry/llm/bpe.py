@@ -178,7 +178,7 @@ class Pairs:
 class Merger:
     """Ranks of a rank file, merged piece by piece, with a bounded cache of pieces."""
 
-    CACHE, WIDEST = 1_000_000, 64
+    CACHE, WIDEST = 500_000, 64
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

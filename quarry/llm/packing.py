@@ -31,7 +31,7 @@ from quarry.llm import bpe
 from quarry.llm._cluster import small_batches
 from quarry.llm._text import chunks, ragged
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Rooms:
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, ranks: str, capacity: int, id_col: str = "doc_id", t
 
 
 def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One packed row each: shard, row, n_tokens, doc_ids, parts, cu_seqlens, ids and positions (binary, ``capacity`` entries, padding included)."""
+    """One packed row each: shard, row, n_tokens, doc_ids, parts, cu_seqlens, ids and positions (binary, ``capacity`` entries of 16 bits, or 32 where they need them, padding included)."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     letters = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -138,7 +138,8 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col
         members = order[np.array([p for row in rows for p in row], np.int64)]
         at, ends = ragged(offs[members], n[members])
         total = np.array([int(n[order[row]].sum()) for row in rows], np.int64)
-        matrix, positions = np.full((len(rows), capacity), pad, f"<u{width}"), np.zeros((len(rows), capacity), "<u4")
+        matrix = np.full((len(rows), capacity), pad, f"<u{width}")
+        positions = np.zeros((len(rows), capacity), "<u2" if capacity <= 1 << 16 else "<u4")
         inside = np.arange(capacity) < total[:, None]
         matrix[inside] = flat[at]
         positions[inside] = np.arange(len(at)) - np.repeat(ends[:-1], n[members])
@@ -165,7 +166,7 @@ def digest(packed: DataFrame) -> DataFrame:
     return packed.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("positions_sha256", F.sha2("positions", 256)).drop("ids", "positions")
 
 
-def write(packed: DataFrame, folder: str) -> DataFrame:
+def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
     """Writes per shard the id matrix, the positions, and the cumulative segment lengths with the rows' offsets in them, as .npy files; returns (shard, rows).
 
     The files' names come from the shard, and a file appears whole by a rename, so a task may run again.
@@ -176,10 +177,10 @@ def write(packed: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         t = t.sort_by("row")
         shard, n = key[0].as_py(), t.num_rows
-        width = 2 if len(t["ids"][0].as_py()) * 2 == len(t["positions"][0].as_py()) else 4
+        width = 2 if len(bpe.merger(ranks).size) <= 1 << 16 else 4
         cu = t["cu_seqlens"].to_pylist()
         files = {
-            "ids": np.frombuffer(b"".join(t["ids"].to_pylist()), f"<u{width}").reshape(n, -1), "positions": np.frombuffer(b"".join(t["positions"].to_pylist()), "<u4").reshape(n, -1),
+            "ids": np.frombuffer(b"".join(t["ids"].to_pylist()), f"<u{width}").reshape(n, -1), "positions": np.frombuffer(b"".join(t["positions"].to_pylist()), "<u2" if len(t["positions"][0].as_py()) * width == 2 * len(t["ids"][0].as_py()) else "<u4").reshape(n, -1),
             "cu_seqlens": np.array([x for row in cu for x in row], np.int32), "cu_offsets": np.cumsum([0, *map(len, cu)]),
         }
         for name, value in files.items():
