@@ -104,6 +104,11 @@ class Folder:
         except (ValueError, TypeError):
             return None
 
+    def finish(self) -> None:
+        """Drops the state file: the next crawl starts anew; the tables stay, as results read them."""
+        at, fs = self._fs("state.json")
+        fs.delete(at, False)
+
     def delete(self) -> None:
         at, fs = self._fs("")
         fs.delete(at, True)
@@ -179,6 +184,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
         folder.save(state)
         if plan.progress:
             plan.progress({"level": n, "pages_fetched": state.fetched, "pages_failed": state.failed, "items_extracted": state.extracted})
+    folder.finish()
     levels = [folder.get(f"pages-{n}") for n in state.levels]
     if not levels:
         levels = [harvest(plan.fetcher.fetch(seeds.limit(0)), plan.fields, plan.item_selector)]

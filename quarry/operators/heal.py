@@ -182,6 +182,10 @@ def build_provider(names: str | None, api_key: str | None = None, model: str | N
     return Chain(found) if len(found) > 1 else found[0] if found else None
 
 
+def _some_item(i: int, test) -> Column:
+    return F.exists("items", lambda x: test(x[f"f{i}"]))
+
+
 def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider | None, enabled: bool = True, most: int = 200, **how) -> DataFrame:
     """``harvest`` with repairs.
 
@@ -195,7 +199,7 @@ def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: Hea
     if provider is None or not enabled:
         return first
     able = [(i, n, s) for i, (n, s) in enumerate(fields.items()) if s.kind in HEALABLE]
-    lacks = [F.when(F.exists("items", lambda x, i=i: x[f"f{i}"].isNull()), F.lit(n)) for i, n, _ in able]
+    lacks = [F.when(_some_item(i, lambda v: v.isNull()), F.lit(n)) for i, n, _ in able]
     if item_selector:
         lacks.append(F.when(F.size("items") == 0, F.lit(CONTAINER)))
     if not lacks:
@@ -224,7 +228,7 @@ def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: Hea
     second = harvest(pages.join(again, "url", "left_semi"), fields, item_selector, healed=both, **how).cache()
     worked = second.select(
         host(F.col("url")).alias("host"),
-        *(F.exists("items", lambda x, i=i: x[f"f{i}"].isNotNull()).alias(n) for i, n, _ in able),
+        *(_some_item(i, lambda v: v.isNotNull()).alias(n) for i, n, _ in able),
         (F.size("items") > 0).alias(CONTAINER),
     )
     names = [n for _, n, _ in able] + [CONTAINER]
