@@ -1,6 +1,6 @@
 """A breadth-first crawl as a loop over levels; each level is one plan over tables.
 
-The state between levels (visited keys, frontier, pages with their items) is
+The state between levels (requests, frontier, pages with their items) is
 written as tables under one folder, so plans stay short, executors may be lost,
 and a stopped crawl goes on from its last finished level.
 """
@@ -85,6 +85,12 @@ class Folder:
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def visited(self, levels: list[int]) -> DataFrame:
+        """(key) of all that the levels asked for: their request tables, which are never written again."""
+        if not levels:
+            return self.spark.createDataFrame([], "key string")
+        return self.spark.read.schema("key string").parquet(*(f"{self.path}/requests-{n}" for n in levels))
+
     def save(self, state: State) -> None:
         """By a rename, so that a reader finds the old state or the new one."""
         part, fs = self._fs(f"state.{uuid.uuid4().hex}")
@@ -154,12 +160,10 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
     if state is None:
         state = State()
         folder.put("frontier-0", seeds)
-        folder.put("visited-0", seeds.select(F.lit("").alias("key")).limit(0))
         folder.save(state)
     while state.level <= plan.max_depth and state.fetched < plan.max_pages:
         n = state.level
-        visited = folder.get(f"visited-{n}")
-        requests = folder.put(f"requests-{n}", next_requests(folder.get(f"frontier-{n}"), visited, plan.normalize_urls, plan.max_pages - state.fetched))
+        requests = folder.put(f"requests-{n}", next_requests(folder.get(f"frontier-{n}"), folder.visited(state.levels), plan.normalize_urls, plan.max_pages - state.fetched))
         if requests.isEmpty():
             break
         ask, denied = requests, None
@@ -178,7 +182,6 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
         level = folder.put(f"pages-{n}", got)
         if n < plan.max_depth:
             folder.put(f"frontier-{n + 1}", discovered(level.where("success"), n + 1))
-            folder.put(f"visited-{n + 1}", visited.union(requests.select("key")))
         sums = level.agg(F.count("*"), F.count_if(~F.col("success")), F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0))).first()
         state = State(n + 1, state.fetched + sums[0], state.failed + sums[1], state.extracted + sums[2], [*state.levels, n])
         folder.save(state)
