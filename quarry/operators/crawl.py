@@ -85,10 +85,14 @@ class Folder:
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def visited(self, levels: list[int]) -> DataFrame:
+    def has(self, name: str) -> bool:
+        at, fs = self._fs(name)
+        return fs.exists(at)
+
+    def visited(self, levels: list[int]) -> DataFrame | None:
         """(key) of all that the levels asked for: their request tables, which are never written again."""
         if not levels:
-            return self.spark.createDataFrame([], "key string")
+            return None
         return self.spark.read.schema("key string").parquet(*(f"{self.path}/requests-{n}" for n in levels))
 
     def save(self, state: State) -> None:
@@ -126,12 +130,12 @@ class Folder:
             pass
 
 
-def next_requests(frontier: DataFrame, visited: DataFrame, normalize: bool, room: int) -> DataFrame:
-    """The first request of each key that wasn't visited, at most ``room`` of them by ``seq``."""
+def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool) -> DataFrame:
+    """The first request of each key that wasn't visited, with its key."""
     keyed = frontier.withColumn("key", visited_key(F.col("url"), normalize))
-    fresh = keyed.join(visited.select("key").distinct(), "key", "left_anti")
-    firsts = dedup.by_key(fresh, "key", ["seq"])
-    return firsts.orderBy("seq").limit(max(0, room))
+    if visited is not None:
+        keyed = keyed.join(visited, "key", "left_anti")
+    return dedup.by_key(keyed, "key", ["seq"])
 
 
 def discovered(pages: DataFrame, depth: int) -> DataFrame:
@@ -161,11 +165,15 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
         state = State()
         folder.put("frontier-0", seeds)
         folder.save(state)
+    frontier = folder.get(f"frontier-{state.level}") if state.level <= plan.max_depth and folder.has(f"frontier-{state.level}") else seeds.limit(0)
     while state.level <= plan.max_depth and state.fetched < plan.max_pages:
         n = state.level
-        requests = folder.put(f"requests-{n}", next_requests(folder.get(f"frontier-{n}"), folder.visited(state.levels), plan.normalize_urls, plan.max_pages - state.fetched))
-        if requests.isEmpty():
+        requests = folder.put(f"requests-{n}", next_requests(frontier, folder.visited(state.levels), plan.normalize_urls))
+        found, room = requests.count(), plan.max_pages - state.fetched
+        if not found:
             break
+        if found > room:  # only then are they put in order
+            requests = folder.put(f"requests-{n}-cut", requests.orderBy("seq").limit(room))
         ask, denied = requests, None
         if plan.robots is not None:
             checked = with_robots(requests, plan.robots(requests) if callable(plan.robots) else plan.robots)
@@ -181,7 +189,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
             got = got.unionByName(denied, allowMissingColumns=True)
         level = folder.put(f"pages-{n}", got)
         if n < plan.max_depth:
-            folder.put(f"frontier-{n + 1}", discovered(level.where("success"), n + 1))
+            frontier = folder.put(f"frontier-{n + 1}", discovered(level.where("success"), n + 1))
         sums = level.agg(F.count("*"), F.count_if(~F.col("success")), F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0))).first()
         state = State(n + 1, state.fetched + sums[0], state.failed + sums[1], state.extracted + sums[2], [*state.levels, n])
         folder.save(state)
