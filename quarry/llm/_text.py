@@ -8,13 +8,15 @@ base at its start; each is passed through a bit mixer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -28,41 +30,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of BASE and of its inverse, shared by all hashes; they grow as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            size = 1 << max(10, (n - 1).bit_length())
+            for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                full = np.full(size, b, U64)
+                full[0] = 1
+                setattr(self, name, np.multiply.accumulate(full))
+
+
+POWERS = Powers()
+
+
 class Poly:
-    """Span hashes over a sequence of 64-bit values; the tables grow as needed."""
-
-    def __init__(self, base: int, seed: int):
-        self.base, self.seed = base | 1, seed
-        self._pow = self._inv = np.ones(1, U64)
-        self.bytes = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-
-    def _grow(self, n: int) -> None:
-        if len(self._pow) >= n:
-            return
-        size = 1 << max(10, (n - 1).bit_length())
-        for name, b in (("_pow", self.base), ("_inv", pow(self.base, -1, 1 << 64))):
-            full = np.full(size, b, U64)
-            full[0] = 1
-            setattr(self, name, np.multiply.accumulate(full))
+    """Span hashes over a sequence of 64-bit values; two of them differ in the values that they give to bytes."""
+
+    def __init__(self, seed: int):
+        self.bytes = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64)))
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
+        POWERS.reach(len(values) + 1)
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self._pow[: len(values)], out=out[1:])
+        np.cumsum(values * POWERS.up[: len(values)], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((prefix[hi] - prefix[lo]) * self._inv[lo])
+        return mix((prefix[hi] - prefix[lo]) * POWERS.down[lo])
 
     def grams(self, values: np.ndarray, k: int) -> np.ndarray:
         """The hash of every run of k values, by its first index."""
         if len(values) < k:
             return np.zeros(0, U64)
         p = self.prefix(values)
-        return mix((p[k:] - p[:-k]) * self._inv[: len(values) - k + 1])
+        return mix((p[k:] - p[:-k]) * POWERS.down[: len(values) - k + 1])
 
 
-FIRST, SECOND = Poly(0x9E3779B97F4A7C15, 1), Poly(0xC2B2AE3D27D4EB4F, 2)
+FIRST, SECOND = Poly(1), Poly(2)
 
 # Bytes that end a word: ASCII white space; all but a-z, 0-9 and non-ASCII.
 SPACE_ENDS = np.ones(256, bool)
@@ -160,5 +172,25 @@ def joined(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, offs[n]
 
 
+def tidy() -> None:
+    """Gives memory back to the system: Python workers live on, and other tasks follow in them."""
+    POWERS.__init__()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """The function of an Arrow stage, which tidies up when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import FIRST, SECOND, byte_spans, chunks, ragged
+from quarry.llm._text import FIRST, SECOND, byte_spans, chunks, lean, ragged
 
 # Scanner symbols.
 LETTER, NUMBER, OTHER, LAST_BLANK, LAST_WHITE, WHITE, SHORT, LONG, INSIDE, RESET = range(10)
@@ -178,7 +178,7 @@ class Pairs:
 class Merger:
     """Ranks of a rank file, merged piece by piece, with a bounded cache of pieces."""
 
-    CACHE, WIDEST = 500_000, 64
+    CACHE, WIDEST = 300_000, 64
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                 rows = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -384,7 +384,7 @@ def decode(encoded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str
                 texts.append(m.decode(ids, np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(lean(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,5 +405,5 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

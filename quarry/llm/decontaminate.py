@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import ALNUM_ENDS, FIRST, U64, Words, chunks, signed
+from quarry.llm._text import ALNUM_ENDS, FIRST, U64, Words, chunks, lean
 
 SCHEMA = "n_words long, hits binary, items array<string>"
 
@@ -79,24 +79,26 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).astype("<i4").reshape(-1)
 
 
-def scan(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1_000_000, carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """(id, *carry, n_words, hits, items): hits are the runs of hit words as little-endian (start, end) pairs of 32-bit word numbers, items the ids found, as sorted strings."""
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, n_words, hits, items): hits are the runs of hit words as little-endian (start, end) pairs of 32-bit word numbers, items the ids found, as sorted strings."""
+    marked = _marked(docs, benchmark, [id_col], text_col, n, **how)
+    return marked.select(F.col("c0").alias(id_col), "n_words", "hits", "items")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: str, n: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1_000_000) -> DataFrame:
+    """The named columns as c0, c1, ... and what ``scan`` finds."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * block_words)))  # a word and its separator take two characters at least
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    names = list(dict.fromkeys([id_col, *carry]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = docs.select(*names, F.col(text_col).alias("__text"))
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{text_col}`").alias("text"))
     for k in range(blocks):
         own = sc.broadcast(Items([(r[0], r[1]) for r in items.where(block == k).collect()], n))
-        out = out.mapInArrow(_pass(own, len(names), k > 0), f"{kinds}, __text string, {SCHEMA}")
-    return out.drop("__text")
+        out = out.mapInArrow(lean(_pass(own, len(names), k > 0)), f"{kinds}, text string, {SCHEMA}")
+    return out.drop("text")
 
 
 def _pass(own, width: int, more: bool):
@@ -135,18 +137,19 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), n_hit, pa.array(sha, pa.string()), b.column(3), b.column(4)], ["id", "n_hit", "items_sha256", "n_words", "n_items"])
 
     flat = scanned.select(id_col, "hits", "items", "n_words", F.size("items").cast("long").alias("n_items"))
-    out = flat.mapInArrow(run, f"id {kind}, n_hit long, items_sha256 string, n_words long, n_items long")
+    out = flat.mapInArrow(lean(run), f"id {kind}, n_hit long, items_sha256 string, n_words long, n_items long")
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **how) -> DataFrame:
     """The texts without contamination, all columns kept: hit documents go, or (remove="spans") the bytes from the first to the last word of each hit run."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
     names = docs.columns
-    found = scan(docs, benchmark, id_col=id_col, text_col=text_col, carry=tuple(names), **how)
+    found = _marked(docs, benchmark, names, text_col, **how)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     if remove == "documents":
-        return found.where(F.size("items") == 0).select(*names)
+        return found.where(F.size("items") == 0).select(*own)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +165,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_c
                     texts[i] = data[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
-    return found.select(*names, "hits").mapInArrow(run, docs.schema)
+    return found.select(*(f"c{i}" for i in range(len(names))), "hits").mapInArrow(lean(run), docs.schema)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._text import lean
 from quarry.llm._cluster import components, dropped, release, stored
 
 BLOCK = 512
@@ -159,7 +160,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    placed = unique.select("rep", "times", "x").mapInArrow(cells, f"rep {kind}, times long, t int, cell long")
+    placed = unique.select("rep", "times", "x").mapInArrow(lean(cells), f"rep {kind}, times long, t int, cell long")
     filled = placed.groupBy("t", "cell").agg(F.count("*").alias("rows"))
     blocks = placed.join(filled, ["t", "cell"]).withColumn("of", F.ceil(F.col("rows") / BLOCK)).withColumn("s", F.pmod(F.xxhash64("rep", "t"), F.col("of")))
     pairs = blocks.select("rep", "times", "t", "cell", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("o"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import components, dropped, release, small_batches, stored
-from quarry.llm._text import FIRST, U64, Words, chunks, mix, signed
+from quarry.llm._text import FIRST, U64, Words, chunks, lean, mix, signed
 
 RANGE = 1 << 16  # bins of the sketch in one row
 MOST_BINS = 1 << 24
@@ -98,7 +98,7 @@ class Join:
                 none = [pa.nulls(len(own), kind), *[pa.nulls(len(own), pa.int64())] * 3]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names)
 
-        return self.texts.mapInArrow(run, f"id {self.kind}, n long, k1 long, k2 long, part int, counts binary")
+        return self.texts.mapInArrow(lean(run), f"id {self.kind}, n long, k1 long, k2 long, part int, counts binary")
 
     @staticmethod
     def _sketch(counted: DataFrame, bins: int) -> np.ndarray:
@@ -114,7 +114,7 @@ class Join:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["part", "n"])
 
         out = np.zeros((ranges, RANGE), np.uint8)
-        for r in counted.select("part", "counts").repartition(ranges, "part").mapInArrow(add, "part int, n binary").collect():
+        for r in counted.select("part", "counts").repartition(ranges, "part").mapInArrow(lean(add), "part int, n binary").collect():
             out[r["part"]] = np.frombuffer(r["n"], np.uint8)
         return out.reshape(-1)
 
@@ -140,7 +140,7 @@ class Join:
                         [pa.array(signed(h[keep])), b.column(0).take(pa.array(lo + row[keep])), pa.array(size[keep].astype(np.int32)), pa.array(p[keep].astype(np.int32))], ["t", "id", "n", "p"]
                     )
 
-        return self.texts.mapInArrow(run, f"t long, id {self.kind}, n int, p int")
+        return self.texts.mapInArrow(lean(run), f"t long, id {self.kind}, n int, p int")
 
     def _fragments(self, wanted: DataFrame) -> DataFrame:
         """(id, f, tokens): the sets of the wanted documents, cut at fixed places of the order by hash.  Texts are shuffled compressed."""
@@ -168,8 +168,8 @@ class Join:
                     rows = [raw[8 * x : 8 * y] for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"])
 
-        small = self.texts.mapInArrow(shrink, f"id {self.kind}, z binary")
-        return small.join(wanted, "id").mapInArrow(run, f"id {self.kind}, f int, tokens binary")
+        small = self.texts.mapInArrow(lean(shrink), f"id {self.kind}, z binary")
+        return small.join(wanted, "id").mapInArrow(lean(run), f"id {self.kind}, f int, tokens binary")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, nx, y, ny) whose overlaps, summed over the fragments, reach the threshold: a stored table (x, y)."""
@@ -185,7 +185,7 @@ class Join:
 
         left = pairs.join(sets.select(F.col("id").alias("x"), "f", F.col("tokens").alias("tx")), "x")
         met = left.join(sets.select(F.col("id").alias("y"), "f", F.col("tokens").alias("ty")), ["y", "f"]).select("x", "nx", "y", "ny", "f", "tx", "ty")
-        counted = met.mapInArrow(overlap, f"x {kind}, nx int, y {kind}, ny int, f int, both long").distinct()
+        counted = met.mapInArrow(lean(overlap), f"x {kind}, nx int, y {kind}, ny int, f int, both long").distinct()
         total = counted.groupBy("x", "nx", "y", "ny").agg(F.sum("both").alias("both"))
         out = stored(total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y"), "links")
         release(self.spark)

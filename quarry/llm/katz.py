@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, fresh_dir, release, remove, small_batches, stored
-from quarry.llm._text import U64, Words, as_array, chunks, mix
+from quarry.llm._text import U64, Words, as_array, chunks, lean, mix
 
 TOP = 5  # counts above it are not discounted
 HOT = 1024
@@ -138,7 +138,7 @@ def _chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from build(held, chunk)
 
-    return docs.mapInArrow(run, f"kind int, chunk long, ids array<{kind}>, size binary, train binary, tokens binary, b int, h binary, c binary")
+    return docs.mapInArrow(lean(run), f"kind int, chunk long, ids array<{kind}>, size binary, train binary, tokens binary, b int, h binary, c binary")
 
 
 STATS = ", ".join(["n long", "v long", *(f"r{i} long" for i in range(1, TOP + 2))])
@@ -200,7 +200,7 @@ def _ask_pairs(joined: DataFrame, buckets: int, starts: int, hot: float) -> Data
                         rows.append((b, chunk, pack(np.diff(h, prepend=U64(0))), pack(np.diff(np.append(new, y - x))), pack(gw[x:y]), pack(cw[x:y]), pack(n[x:y]), pack(often[x:y][new].astype(np.uint8))))
                 yield _batch(rows, ["b", "chunk", "h", "runs", "w", "cw", "n", "often"], [pa.int32(), pa.int64(), *[pa.binary()] * 6])
 
-    return joined.mapInArrow(run, "b int, chunk long, h binary, runs binary, w binary, cw binary, n binary, often binary")
+    return joined.mapInArrow(lean(run), "b int, chunk long, h binary, runs binary, w binary, cw binary, n binary, often binary")
 
 
 def _known(size: bytes, tokens: bytes, answers: list[dict]) -> tuple[np.ndarray, ...]:
@@ -324,7 +324,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out = full.mapInArrow(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = full.mapInArrow(lean(run), f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = stored(out, "scores")
     release(spark)
     remove(spark, folder)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import as_array, chunks
+from quarry.llm._text import as_array, chunks, lean
 
 BINS, ROWS = 8192, 256
 
@@ -107,7 +107,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     rows.append(at.astype("<u2").tobytes() + c[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["features", "lang"])
 
-    found = known.where(draw < part[F.col("lang")]).select("text", "lang").mapInArrow(sparse, "features binary, lang string").toArrow()
+    found = known.where(draw < part[F.col("lang")]).select("text", "lang").mapInArrow(lean(sparse), "features binary, lang string").toArrow()
     langs, x = np.array(found["lang"].to_pylist()), np.zeros((found.num_rows, BINS), np.float32)
     for i, raw in enumerate(found["features"].to_pylist()):
         n = len(raw) // 6
@@ -133,13 +133,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
     small_batches(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    at = carry.index(text_col) if text_col in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = own.value
         languages = np.array([*m.languages, "und"], dtype=object)
         floors = np.array([*(m.floor[x] for x in m.languages), 2.0])
         for b in batches:
-            text = pc.fill_null(as_array(b.column(len(carry))).cast(pa.large_string()), "")
+            text = pc.fill_null(as_array(b.column(at)).cast(pa.large_string()), "")
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             best, score = np.full(len(text), len(m.languages)), np.zeros(len(text))
             if m.languages:
@@ -151,7 +152,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
             names = [*carry, "lang_pred", "score", "accepted"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(languages[best], pa.string()), pa.array(score), pa.array(score >= floors[best])], names)
 
-    return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
+    rows = docs.select(*carry) if text_col in carry else docs.select(*carry, F.col(text_col).alias("__text"))
+    return rows.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double, accepted boolean")
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import chunks, ragged
+from quarry.llm._text import chunks, lean, ragged, tidy
 
 SHARD_BYTES = 4 << 20
 
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, ranks: str, capacity: int, id_col: str = "doc_id", t
                 rows = [raw[width * x : width * y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array(part.astype(np.int32)), pa.array(rows, pa.binary())], ["id", "part", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, part int, ids binary")
 
 
 def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,13 +149,15 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col
         cu_lists = pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]), pa.int32())
         own = pa.array(members)
         whole = lambda name: (c.combine_chunks() if isinstance(c := t[name], pa.ChunkedArray) else c).take(own)
-        return pa.table(
+        out = pa.table(
             {
                 "shard": pa.array(np.full(len(rows), key[0].as_py(), np.int32)), "row": pa.array(np.arange(len(rows), dtype=np.int32)), "n_tokens": pa.array(total),
                 "doc_ids": pa.ListArray.from_arrays(lists, whole("id")), "parts": pa.ListArray.from_arrays(lists, whole("part")), "cu_seqlens": pa.ListArray.from_arrays(cu_lists, pa.array(cu)),
                 "ids": pa.array([x.tobytes() for x in matrix], pa.binary()), "positions": pa.array([x.tobytes() for x in positions], pa.binary()),
             }
         )
+        tidy()
+        return out
 
     schema = f"shard int, row int, n_tokens long, doc_ids array<{kind}>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
     return dealt.groupBy("shard").applyInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import Words, chunks
+from quarry.llm._text import Words, chunks, lean
 
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "longest_word", "upper", "digit", "punctuation", "symbol", "bar_or_bang", "line_break",
@@ -86,7 +86,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 x = statistics_of(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c) for c in np.ascontiguousarray(x.T))], ["id", *STATISTICS])
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} double" for c in STATISTICS))
+    out = docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, " + ", ".join(f"{c} double" for c in STATISTICS))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, release, small_batches, stored
-from quarry.llm._text import FIRST, SECOND, Words, as_array, chunks, joined, signed
+from quarry.llm._text import FIRST, SECOND, Words, as_array, chunks, joined, lean, signed
 
 WINDOW, EDGE = 35, 10
 
@@ -86,7 +86,7 @@ def _scan(docs: DataFrame, window: int, edge: int) -> DataFrame:
                         ["e", "s1", "s2", "id", "a", "n"],
                     )
 
-    return docs.mapInArrow(run, f"e long, s1 long, s2 long, id {kind}, a int, n int")
+    return docs.mapInArrow(lean(run), f"e long, s1 long, s2 long, id {kind}, a int, n int")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                     ["w1", "w2", "id", "a", "single"],
                 )
 
-    return rows.mapInArrow(run, f"w1 long, w2 long, id {kind}, a int, single boolean")
+    return rows.mapInArrow(lean(run), f"w1 long, w2 long, id {kind}, a int, single boolean")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, edge: int = EDGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +185,7 @@ def report(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
                 )
 
     rows = _with_spans(docs.select(id_col, text_col), spans, id_col).select(id_col, text_col, "__spans")
-    out = rows.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string")
+    out = rows.mapInArrow(lean(run), f"id {kind}, n_words long, n_removed long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -205,4 +205,4 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
                 after += [text[x : max(x, y - 1)].tobytes().decode() if c else before[lo + i].as_py() for i, (x, y, c) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), cut.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(after, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
-    return _with_spans(docs, spans, id_col).select(*names, "__spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, spans, id_col).select(*names, "__spans").mapInArrow(lean(run), docs.schema)

@@ -30,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._text import lean
 from quarry.llm._cluster import fresh_dir, small_batches, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -134,7 +135,7 @@ def write(planned: DataFrame, folder: str, archive_bytes: int = 16 << 20, date:
             done.append((path, count, size))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return stored(planned.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return stored(planned.mapInArrow(lean(run), "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -161,7 +162,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 yield _batch(rows, payloads)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
-    return manifest.select("path").repartition(max(1, min(n, 10_000))).mapInArrow(run, kinds + ", payload binary" * payloads)
+    return manifest.select("path").repartition(max(1, min(n, 10_000))).mapInArrow(lean(run), kinds + ", payload binary" * payloads)
 
 
 def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
