@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from quarry.functions import transforms, urls
 from quarry.functions.transforms import Transform
 from quarry.operators import coverage, dedup, diff, extract, heal, politeness
-from quarry.operators.crawl import Plan, crawl
+from quarry.operators.crawl import Folder, Plan, crawl
 from quarry.plans import recipe as recipes
 from quarry.plans.spec import ARTICLE, PRODUCT, FieldSpec, Kind
-from quarry.sources import readers
-from quarry.sources.fetch import TableFetcher
+from quarry.sources import readers, sinks
+from quarry.sources.fetch import CachedFetcher, TableFetcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,7 +397,7 @@ def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) doc_id, text, lang FROM documents GROUP BY text, lang")
 def dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.by_content(table(spark, sf_dir, "documents"), ["text", "lang"], ["doc_id"]).select("doc_id", "text", "lang")
+    return dedup.by_content(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["text", "lang"], ["doc_id"])
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,6 +580,70 @@ def heal_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", heal.reply_column(raw).alias("selector"))
 
 
+@query("SELECT s_suppkey, item_seq::INT item_seq, 'n' || (s_suppkey + item_seq) AS name FROM supplier, (SELECT unnest(range(3)) item_seq) WHERE s_suppkey % 2 = 0 OR s_nationkey < 10")
+def heal_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd suppliers' lists lost their class; the container's repair is known for the hosts of ten nations."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    tag = F.when(key % 2 == 0, '<li class="row">').otherwise('<li class="line">')
+    rows = F.concat(*(x for i in range(3) for x in (tag, F.lit("<b>n"), (key + i).cast("string"), F.lit("</b></li>"))))
+    pages = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("http://n"), nation, F.lit(".example/"), key.cast("string")).alias("url"), _page("</head><body><ul>", rows, "</ul>").alias("html"))
+    cache = heal.HealingCache()
+    for i in range(10):
+        cache.set(f"n{i}.example", extract.CONTAINER, "li.line")
+    fields = {"name": FieldSpec("b")}
+    return extract.items_of(heal.heal(pages, fields, "li.row", cache, None), fields).select("s_suppkey", "item_seq", "name")
+
+
+# Requests, fetching and sinks.
+
+
+@query(
+    """SELECT * FROM (VALUES ('http://a.example/', 'GET', NULL, 0::BIGINT), ('http://b.example/', 'GET', NULL, 1), ('http://c.example/', 'POST', 'x', 2), ('http://d.example/', 'GET', NULL, 3), ('http://e.example/', 'POST', NULL, 4)) t(url, method, q, seq)"""
+)
+def seed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs, then requests; whatever isn't GET is POST."""
+    found = readers.seeds(spark, ["http://a.example/", "http://b.example/"], [("http://c.example/", "POST", {"q": "x"}), ("http://d.example/", "get", None), ("http://e.example/", "PUT", {})])
+    return found.select("url", "method", F.col("form")["q"].alias("q"), "seq")
+
+
+@query(
+    """SELECT page_id seq, CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN 200 ELSE 0 END status, page_id % 2 = 0 OR page_id % 3 = 0 success,
+  CASE WHEN page_id % 2 = 0 THEN 'cached' WHEN page_id % 3 = 0 THEN 'fetched' END html, CASE WHEN page_id % 2 <> 0 AND page_id % 3 <> 0 THEN 'not found' END error FROM pages"""
+)
+def cached_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the pages are in the cache, a third in the archive behind it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://x.example/"), F.col("page_id").cast("string")).alias("url"))
+    cache = pages.where("page_id % 2 = 0").select(urls.cache_name(F.col("url")).alias("name"), F.lit("cached").alias("html"))
+    archive = pages.where("page_id % 3 = 0").select("url", F.lit("fetched").alias("html"))
+    asked = pages.select("url", F.lit(0).alias("depth"), F.lit("GET").alias("method"), F.lit(None).cast("map<string,string>").alias("form"), F.col("page_id").alias("seq"))
+    return CachedFetcher(cache, TableFetcher(archive)).fetch(asked).select("seq", "status", "success", "html", "error")
+
+
+def _odd_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with quotes, commas, line breaks and blanks around them; some nations are null."""
+    key = F.col("s_suppkey")
+    name = F.concat(F.when(key % 4 == 0, '"q", ').when(key % 4 == 1, " a\n").otherwise("x,"), F.col("s_name"), F.lit(" "))
+    return table(spark, sf_dir, "supplier").select(key.cast("string").alias("id"), name.alias("name"), F.when(key % 3 > 0, F.col("s_nationkey").cast("string")).alias("nation"))
+
+
+_ODD_SQL = """SELECT s_suppkey::VARCHAR id, CASE WHEN s_suppkey % 4 = 0 THEN '"q", ' WHEN s_suppkey % 4 = 1 THEN ' a' || chr(10) ELSE 'x,' END || s_name || ' ' AS name,
+  CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey::VARCHAR END nation FROM supplier"""
+
+
+@query(_ODD_SQL)
+def sink_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Folder(spark, None).path}/items"
+    sinks.JsonLines(path).write(_odd_items(spark, sf_dir))
+    return spark.read.schema("id string, name string, nation string").json(path)
+
+
+@query(_ODD_SQL)
+def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Folder(spark, None).path}/items"
+    sinks.Csv(path).write(_odd_items(spark, sf_dir))
+    return spark.read.schema("id string, name string, nation string").csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 # Recipes.
 
 _RECIPES = {
