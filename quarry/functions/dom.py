@@ -82,6 +82,9 @@ class _Builder(HTMLParser):
         self.in_body = False
         self.active: list[Element] = []  # formatting elements that are not closed yet
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines and columns are not asked for
+
     def _enter_body(self) -> None:
         if not self.in_body:
             self.in_body, self.open = True, [self.html, self.body]
