@@ -2,8 +2,8 @@
 
 A text becomes a TF-IDF vector over hashed letter trigrams, normalised; its
 language is that of the centroid with the largest cosine.  Centroids come from
-spherical k-means within each language, on at most ``per_language`` training
-texts a language, chosen by a hash of their id; what reaches the driver is one
+spherical k-means within each language, on about ``per_language`` training
+texts a language (and about ``most`` of all), chosen by a hash of their id; what reaches the driver is one
 sparse vector of at most ``BINS`` counts a training text.  Every text is scored
 whole, in one pass without a shuffle.
 
@@ -61,13 +61,6 @@ def trigram_counts(lowered) -> Iterator[tuple[int, int, np.ndarray]]:
             yield r, end, np.bincount(row[keep] + code[x:y][keep], minlength=(end - r) * BINS).reshape(end - r, BINS)
 
 
-def _weights(counts: np.ndarray) -> np.ndarray:
-    w = counts.astype(np.float32)
-    at = w > 0
-    w[at] = 1 + np.log(w[at])
-    return w
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n > 0, n, 1)
@@ -86,12 +79,13 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 800, centroids: int = 4, slack: float = 0.5) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 800, most: int = 4000, centroids: int = 4, slack: float = 0.5) -> Model:
     """A model of the rows given; null texts and languages teach nothing."""
     small_batches(rows.sparkSession)
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     span = 1 << 32
+    per_language = min(per_language, max(1, most // max(1, len(sizes))))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(span))
     part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, per_language * span // n))]) if sizes else None
     model = Model([], np.zeros((0, BINS), np.float32), np.zeros(BINS, np.float32), {})
@@ -107,20 +101,22 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     rows.append(at.astype("<u2").tobytes() + c[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["features", "lang"])
 
-    found = known.where(draw < part[F.col("lang")]).select("text", "lang").mapInArrow(lean(sparse), "features binary, lang string").toArrow()
+    found = known.where(draw < part[F.col("lang")]).select("text", "lang").mapInArrow(lean(sparse), "features binary, lang string").toArrow().sort_by([("lang", "ascending"), ("features", "ascending")])
     langs, x = np.array(found["lang"].to_pylist()), np.zeros((found.num_rows, BINS), np.float32)
     for i, raw in enumerate(found["features"].to_pylist()):
         n = len(raw) // 6
         x[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
-    x = _weights(x)
-    keep = x.any(1)
-    x, langs = x[keep], langs[keep]
-    model.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(x * model.idf)
+    seen = sum((x[i : i + ROWS] > 0).sum(0) for i in range(0, len(x), ROWS))
+    model.idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
+    for i in range(0, len(x), ROWS):  # in place: the sample is the largest thing that the driver holds
+        x[i : i + ROWS] = _unit(x[i : i + ROWS] * model.idf)
     parts = []
     for lang in sorted(set(langs.tolist())):
         own = x[langs == lang]
-        c = _kmeans(own[np.lexsort(own.T[:8])], centroids)
+        own = own[own.any(1)]
+        if not len(own):
+            continue
+        c = _kmeans(own, centroids)
         parts.append(c)
         model.languages += [lang] * len(c)
         model.floor[lang] = slack * float(np.quantile((own @ c.T).max(1), 0.005))
@@ -145,7 +141,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
             best, score = np.full(len(text), len(m.languages)), np.zeros(len(text))
             if m.languages:
                 for lo, hi, counts in trigram_counts(pc.utf8_lower(text)):
-                    sims = _unit(_weights(counts) * m.idf) @ m.centroids.T
+                    sims = _unit(counts.astype(np.float32) * m.idf) @ m.centroids.T
                     best[lo:hi], score[lo:hi] = sims.argmax(1), sims.max(1)
                 best[~letters], score[~letters] = len(m.languages), 0
             score = np.clip(score, 0, 1)
