@@ -36,6 +36,7 @@ LETTER, NUMBER, OTHER, LAST_BLANK, LAST_WHITE, WHITE, SHORT, LONG, INSIDE, RESET
 # Scanner states: nothing open; within letters, numbers, others, white space; after a blank that joins what follows; one or two letters of a contraction to come.
 OPEN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, JOINS, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 128
+CHUNK = 1 << 20
 
 
 def _scanner() -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ class Pairs:
 class Merger:
     """Ranks of a rank file, merged piece by piece, with a bounded cache of pieces."""
 
-    CACHE, WIDEST = 300_000, 64
+    CACHE, RECENT, WIDEST = 600_000, 50_000, 64
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -193,11 +194,28 @@ class Merger:
         self._empty()
 
     def _empty(self) -> None:
-        """Known pieces, sorted by their first hash: second hash, place of their ids in ``flat``, number of ids."""
-        self.known = np.zeros(0, np.uint64)
-        self.second, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """Known pieces in two levels, each sorted by the pieces' first hash: second hash, place of the ids in ``flat``, number of ids, whether it was met again."""
+        none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, bool)]
+        self.levels = [none, none]
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        at = np.searchsorted(a[0], b[0])
+        return [np.insert(x, at, y) for x, y in zip(a, b, strict=True)]
+
+    def _known(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, lengths, and which are unknown."""
+        place, length, open_ = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.arange(len(first))
+        for known, other, places, lengths, again in self.levels:
+            if len(known) and len(open_):
+                at = np.minimum(np.searchsorted(known, first[open_]), len(known) - 1)
+                hit = (known[at] == first[open_]) & (other[at] == second[open_])
+                place[open_[hit]], length[open_[hit]] = places[at[hit]], lengths[at[hit]]
+                again[at[hit]] = True
+                open_ = open_[~hit]
+        return place, length, open_
+
     def _learn(self, first: np.ndarray, second: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Keeps the ids of new pieces, whose first hashes are sorted; returns their places and lengths."""
         length = np.fromiter(map(len, found), np.int32, len(found))
@@ -207,11 +225,23 @@ class Merger:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         place = self.used + np.cumsum(length, dtype=np.int64) - length
         self.used += total
-        at = np.searchsorted(self.known, first)
-        self.known, self.second = np.insert(self.known, at, first), np.insert(self.second, at, second)
-        self.place, self.length = np.insert(self.place, at, place), np.insert(self.length, at, length)
+        self.levels[1] = self._merged(self.levels[1], [first, second, place, length, np.zeros(len(first), bool)])
+        if len(self.levels[1][0]) > self.RECENT:
+            self.levels = [self._merged(*self.levels), [x[:0] for x in self.levels[1]]]
         return place, length
 
+    def _forget(self) -> None:
+        """Keeps what was met again since the last time; called between chunks."""
+        main = self._merged(*self.levels)
+        kept = [x[main[4]] for x in main]
+        at, offs = ragged(kept[2], kept[3])
+        flat = self.flat[at]
+        self._empty()
+        if len(kept[0]) <= self.CACHE // 2:
+            self.flat, self.used = flat if len(flat) else self.flat, len(flat)
+            kept[2], kept[4] = offs[:-1], np.zeros(len(kept[0]), bool)
+            self.levels[0] = kept
+
     def pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece; pieces of like width are merged side by side."""
         found: list[list[int] | None] = [None] * len(pieces)
@@ -313,13 +343,9 @@ class Merger:
             flat, place = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), np.cumsum(length) - length
         else:
             first, second = h[index], second[index]
-            if len(self.known) + len(first) > self.CACHE:
-                self._empty()
-            at = np.minimum(np.searchsorted(self.known, first), max(len(self.known) - 1, 0))
-            old = (self.known[at] == first) & (self.second[at] == second) if len(self.known) else np.zeros(len(first), bool)
-            place, length = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-            place[old], length[old] = self.place[at[old]], self.length[at[old]]
-            new = np.flatnonzero(~old)
+            if sum(len(x[0]) for x in self.levels) + len(first) > self.CACHE:
+                self._forget()
+            place, length, new = self._known(first, second)
             if len(new):
                 found = self.pieces([raw[a:b] for a, b in zip(starts[index[new]].tolist(), stops[index[new]].tolist(), strict=True)])
                 place[new], length[new] = self._learn(first[new], second[new], found)
@@ -362,7 +388,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(ranks)
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column(1)):
+            for lo, hi, data, offs in chunks(b.column(1), CHUNK):
                 ids, at = m.encode(data, offs)
                 raw = ids.astype("<u4").tobytes()
                 rows = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -395,7 +421,7 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(ranks)
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column(1)):
+            for lo, hi, data, offs in chunks(b.column(1), CHUNK):
                 ids, at = m.encode(data, offs)
                 back, ends = m.decode(ids, at)
                 raw, text = memoryview(ids.astype("<u4").tobytes()), memoryview(back)
