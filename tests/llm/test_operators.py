@@ -394,3 +394,11 @@ def test_katz_edges(docs):
     assert katz.score(empty(docs), F.lit(True)).count() == 0
     untaught = katz.score(docs, F.lit(False)).where("doc_id in (0, 9)").collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in untaught} == {(0, 0, 0.0)}
+
+
+def test_few_embeddings(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(5)] + [(9, [2.0, 4.0]), (10, [2.0, -1.0])]
+    got = by_id(embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "vec_id")
+    assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in (0, 4, 9, 10)] == [(5, 0, True), (5, 0, False), (5, 0, False), (0, 10, True)]
+    one = by_id(embed.near_duplicates(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>")), "vec_id")
+    assert one[0]["n_links"] == 0 and one[0]["kept"]
