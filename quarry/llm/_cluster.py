@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 500  # rows of an Arrow batch: what executors hold off their heap grows with it
 _written: list[tuple] = []
 
 
@@ -51,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read from there: later plans start from it, and it survives executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd's native buffers stay with the executor
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
@@ -71,8 +72,8 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of rows with long texts stay small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
