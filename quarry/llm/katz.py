@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, fresh_dir, release, remove, small_batches, stored
-from quarry.llm._text import U64, Words, as_array, chunks, lean, mix
+from quarry.llm._text import U64, Words, as_array, chunks, lean, mix, tidy
 
 TOP = 5  # counts above it are not discounted
 HOT = 1024
 CHUNK = 4 << 20
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 END = U64(0x9D39247E33776D41)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -164,6 +164,7 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
         rows = [(b, k, pack(number[place[x:y]]), pack(c[place[x:y]]), *[None] * (TOP + 3)) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True)]
         rows.append((b, None, None, None, *_stats(c)))
         names = ["b", "chunk", "number", "count", *(x.split()[0] for x in STATS.split(", "))]
+        tidy()
         return pa.Table.from_batches([_batch(rows, names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (TOP + 3)])])
 
     return asked.groupBy("b").applyInArrow(run, f"b int, chunk long, number binary, count binary, {STATS}")
@@ -249,6 +250,8 @@ def _count_pairs(asked: DataFrame, words: Unigrams) -> DataFrame:
             rows.append((b, None, None, None, *[None] * TOP, None, value, int(tokens[i]), *(int(f[i]) for f in few), float(seen[i]), None, *sums))
         rows.append((b, None, None, None, *[None] * TOP, None, None, *blank, *_stats(total)))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (TOP + 3), pa.int64(), pa.int64(), *[pa.int64()] * TOP, pa.float64(), pa.int64(), *[pa.int64()] * (TOP + 3)]
+        del h, w, cw, n, order, group, place
+        tidy()
         return pa.Table.from_batches([_batch(rows, PAIR_NAMES, kinds)])
 
     return asked.groupBy("b").applyInArrow(run, PAIR_SCHEMA)
@@ -271,7 +274,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType.simpleString()
     folder = fresh_dir(spark, "chunks")
     made = _chunk_table(rows, buckets)
-    made.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    made.write.option("compression", "uncompressed").partitionBy("kind").parquet(folder)
     part = lambda k, columns: spark.read.schema(made.select(*columns).schema).parquet(f"{folder}/kind={k}")
     if not letters and rows.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
