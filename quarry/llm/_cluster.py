@@ -48,11 +48,11 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written as a table in the shared folder and read from there: later plans start from it, and it survives executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "snappy").parquet(path)  # zstd's native buffers stay with the executor
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out

@@ -29,9 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._cluster import components, dropped, release, small_batches, stored
+from quarry.llm import _cluster
+from quarry.llm._cluster import components, dropped, release, small_batches
 from quarry.llm._text import FIRST, U64, Words, chunks, lean, mix, signed
 
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Small tables, by zstd, let Spark broadcast what it may, so that texts needn't be shuffled."""
+    return _cluster.stored(df, name, "zstd")
+
+
 RANGE = 1 << 16  # bins of the sketch in one row
 MOST_BINS = 1 << 24
 
