@@ -1,19 +1,22 @@
-"""A word bigram model with Katz backoff, counted and evaluated without a row a token.
+"""A word n-gram model of any order with Katz backoff, counted and evaluated without a row a token.
 
 Texts are lower-cased (A-Z), split at ASCII white space, and ended by one end
-token; the first token's history is a start mark.  Counts are discounted after
-Good and Turing up to ``TOP`` (where their counts of counts allow it), what is
-left of a history goes to the words unseen after it in proportion to their
-unigram probability, and what is left of the unigrams goes to unknown words:
-both levels sum to exactly one.
+token; order - 1 start marks stand before the first.  Counts are discounted
+after Good and Turing up to ``TOP`` (where the level's counts of counts allow
+it), what is left of a history goes to the words unseen after it in proportion
+to their probability after the history without its first word, and so on down
+to the unigrams, of which what is left goes to unknown words: every level sums
+to exactly one.
 
 Documents travel in chunks of a few MB.  A chunk asks the vocabulary's buckets,
-and then the bigrams' buckets, for what it needs: each bucket adds up what all
+and then each level's buckets, for what it needs: each bucket adds up what all
 chunks have sent, is kept as a table partitioned by bucket, and answers every
-chunk in the order in which it asked.  A word or pair has one entry a chunk, so
-frequent ones are no heavier than rare ones; the few histories (at most HOT)
-with more than N / HOT tokens are spread over all buckets by their next word and
-their partial sums are added in a small aggregate.
+chunk in the order in which it asked.  Buckets number the events that they
+count, so a level's history is one number, its last event of the level below.
+An event has one entry a chunk, so frequent ones are no heavier than rare ones;
+the few histories of a level (at most HOT) with more than N / HOT tokens are
+spread over all buckets by their next word and their partial sums are added in
+a small aggregate.
 
 Defined cases: null and empty texts are one end token; repeated rows count and
 score alike; without training rows every word is unknown and the score is that
@@ -22,7 +25,9 @@ of one unknown class, 0; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +85,8 @@ class Unigrams:
         return np.where(c > 0, c * np.where(c <= TOP, self.d[np.minimum(c, TOP).astype(np.int64)], 1) / self.total, self.unknown)
 
 
-class Bigrams:
-    """P(w | h) from what is known of h: its tokens, the words seen 1..TOP times after it, and the unigram probability of all words seen after it."""
+class Level:
+    """P(w | h) from what is known of h: its tokens, the words seen 1..TOP times after it, and the probability one level below of all words seen after it."""
 
     def __init__(self, of: list[int]):
         self.d = discounts(of)
@@ -157,9 +162,7 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
         every, place = np.unique(np.concatenate(h), return_inverse=True)
         c = np.zeros(len(every), np.int64)
         np.add.at(c, place, np.concatenate([unpack(x) for x in t["c"].to_pylist()]).astype(np.int64))
-        number = np.empty(len(every), np.int64)
-        number[np.argsort(-c, kind="stable")] = np.arange(len(every))
-        number = number * buckets + b + 1
+        number = _numbers(c, buckets, b)
         cuts = np.cumsum([0, *map(len, h)])
         rows = [(b, k, pack(number[place[x:y]]), pack(c[place[x:y]]), *[None] * (TOP + 3)) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True)]
         rows.append((b, None, None, None, *_stats(c)))
@@ -170,53 +173,85 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("b").applyInArrow(run, f"b int, chunk long, number binary, count binary, {STATS}")
 
 
-def _pairs(tokens: np.ndarray, size: np.ndarray, number: np.ndarray, count: np.ndarray, starts: int, buckets: int, hot: float):
-    """The chunk's distinct (history, word) pairs, in bucket order: numbers, the word's count, bucket cuts, and which pair each token is."""
-    number, count = np.append(number.astype(np.int64), 0), np.append(count.astype(np.int64), starts)  # the start mark comes last
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(size) - size] = len(number) - 1
-    pair, which = np.unique(before * len(number) + tokens, return_inverse=True)
-    h, w = np.divmod(pair, len(number))
-    gh, gw, often = number[h].astype(U64), number[w].astype(U64), count[h] > hot
+def _numbers(c: np.ndarray, buckets: int, b: int) -> np.ndarray:
+    """Numbers from 1, unique over all buckets, small for frequent events; 0 is the start mark."""
+    number = np.empty(len(c), np.int64)
+    number[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    return number * buckets + b + 1
+
+
+@dataclass
+class Chunk:
+    """What a chunk knows before a level: of its tokens, and of its distinct events of the level below."""
+
+    size: np.ndarray  # tokens of each document
+    train: np.ndarray  # of each document
+    known: np.ndarray  # known tokens of each document
+    base: np.ndarray  # base score of each document
+    word: np.ndarray  # each token's word, by number
+    event: np.ndarray  # each token's event, by place in the next three
+    number: np.ndarray
+    count: np.ndarray
+    low: np.ndarray  # counts of words, probabilities of longer events
+
+
+def _first(words: Unigrams, size: bytes, train: bytes, tokens: bytes, answers: list[dict]) -> Chunk:
+    answers = sorted(answers, key=lambda a: a["b"])
+    number, count = (np.concatenate([unpack(a[name]) for a in answers]).astype(np.int64) for name in ("number", "count"))
+    size, event = unpack(size).astype(np.int64), unpack(tokens).astype(np.int64)
+    c, doc = count[event], np.repeat(np.arange(len(size)), size)
+    base = np.bincount(doc, np.log10((c + 1) / (words.n + words.distinct + 1)), len(size))
+    return Chunk(size, unpack(train).astype(bool), np.bincount(doc, c > 0, len(size)).astype(np.int64), base, number[event], event, number, count, count)
+
+
+def _kept(*packed: bytes) -> Chunk:
+    size, train, known, base, word, event, number, count, low = map(unpack, packed)
+    size, known, word, event, number, count = (x.astype(np.int64) for x in (size, known, word, event, number, count))
+    return Chunk(size, train.astype(bool), known, base, word, event, number, count, low)
+
+
+def _pairs(c: Chunk, starts: int, buckets: int, hot: float):
+    """The chunk's distinct (history, word) pairs, in bucket order: numbers, what is known of the word one level below, bucket cuts, and which pair each token is."""
+    number, count = np.append(c.number, 0), np.append(c.count, starts)  # the start mark comes last
+    before = np.empty(len(c.event), np.int64)
+    before[1:] = c.event[:-1]
+    before[np.cumsum(c.size) - c.size] = len(number) - 1
+    words, local = np.unique(c.word, return_inverse=True)
+    pair, at, which = np.unique(before * len(words) + local, return_index=True, return_inverse=True)
+    h, w = np.divmod(pair, len(words))
+    gh, gw, often, low = number[h].astype(U64), words[w].astype(U64), count[h] > hot, c.low[c.event[at]]
     b = (mix(np.where(often, gh * U64(0x9E3779B97F4A7C15) + gw, gh)) % U64(buckets)).astype(np.int64)
     order = np.lexsort((gw, gh, b))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return gh[order], gw[order], count[w][order], often[order], np.searchsorted(b[order], np.arange(buckets + 1)), back[which]
+    return gh[order], gw[order], low[order], often[order], np.searchsorted(b[order], np.arange(buckets + 1)), back[which]
 
 
-def _ask_pairs(joined: DataFrame, buckets: int, starts: int, hot: float) -> DataFrame:
+def _ask_pairs(state: DataFrame, decode: Callable[..., Chunk], buckets: int, starts: int, hot: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, size, train, tokens, answers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                size, tokens, number, count = _known(size, tokens, answers)
-                gh, gw, cw, often, cuts, which = _pairs(tokens, size, number, count, starts, buckets, hot)
-                n = np.bincount(which[np.repeat(unpack(train).astype(bool), size)], minlength=len(gh))
+            for i in range(batch.num_rows):
+                chunk, *packed = (batch.column(k)[i].as_py() for k in (0, *range(2, batch.num_columns)))
+                known = decode(*packed)
+                gh, gw, low, often, cuts, which = _pairs(known, starts, buckets, hot)
+                n = np.bincount(which[np.repeat(known.train, known.size)], minlength=len(gh))
+                low = np.where(n > 0, low, 0)  # only what is seen after a history is added up
                 rows = []
                 for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     if x < y:
                         new = np.flatnonzero(np.diff(gh[x:y], prepend=U64((1 << 64) - 1)))
                         h = gh[x:y][new]
-                        rows.append((b, chunk, pack(np.diff(h, prepend=U64(0))), pack(np.diff(np.append(new, y - x))), pack(gw[x:y]), pack(cw[x:y]), pack(n[x:y]), pack(often[x:y][new].astype(np.uint8))))
-                yield _batch(rows, ["b", "chunk", "h", "runs", "w", "cw", "n", "often"], [pa.int32(), pa.int64(), *[pa.binary()] * 6])
+                        rows.append((b, chunk, pack(np.diff(h, prepend=U64(0))), pack(np.diff(np.append(new, y - x))), pack(gw[x:y]), pack(low[x:y]), pack(n[x:y]), pack(often[x:y][new].astype(np.uint8))))
+                yield _batch(rows, ["b", "chunk", "h", "runs", "w", "low", "n", "often"], [pa.int32(), pa.int64(), *[pa.binary()] * 6])
 
-    return joined.mapInArrow(lean(run), "b int, chunk long, h binary, runs binary, w binary, cw binary, n binary, often binary")
-
-
-def _known(size: bytes, tokens: bytes, answers: list[dict]) -> tuple[np.ndarray, ...]:
-    answers = sorted(answers, key=lambda a: a["b"])
-    return (
-        unpack(size).astype(np.int64), unpack(tokens).astype(np.int64),
-        np.concatenate([unpack(a["number"]) for a in answers]).astype(np.int64), np.concatenate([unpack(a["count"]) for a in answers]).astype(np.int64),
-    )
+    return state.mapInArrow(lean(run), "b int, chunk long, h binary, runs binary, w binary, low binary, n binary, often binary")
 
 
 FEW = [f"m{i}" for i in range(1, TOP + 1)]
 
 
-def _count_pairs(asked: DataFrame, words: Unigrams) -> DataFrame:
-    """Per bucket and chunk the counts of the pairs asked for and what is known of their histories; rows with a history: partial sums of one spread over buckets; one row a bucket has sums."""
+def _count_pairs(asked: DataFrame, lower: Callable[[np.ndarray], np.ndarray], buckets: int, last: bool) -> DataFrame:
+    """Per bucket and chunk the counts (and, before the last level, numbers) of the pairs asked for and what is known of their histories; rows with a history: partial sums of one spread over buckets; one row a bucket has sums."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         b, chunk = key[0].as_py(), t["chunk"].to_pylist()
@@ -224,7 +259,7 @@ def _count_pairs(asked: DataFrame, words: Unigrams) -> DataFrame:
         hs = [np.cumsum(x.astype(U64), dtype=U64) for x in column("h")]
         runs, ws = [x.astype(np.int64) for x in column("runs")], column("w")
         h = np.concatenate([np.repeat(x, r) for x, r in zip(hs, runs, strict=True)])
-        w, cw, n = np.concatenate(ws).astype(U64), np.concatenate(column("cw")).astype(np.int64), np.concatenate(column("n")).astype(np.int64)
+        w, low, n = np.concatenate(ws).astype(U64), np.concatenate(column("low")), np.concatenate(column("n")).astype(np.int64)
         order = np.lexsort((w, h))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -233,24 +268,26 @@ def _count_pairs(asked: DataFrame, words: Unigrams) -> DataFrame:
         place = np.empty(len(h), np.int64)
         place[order] = group
         at = order[new]
+        low = np.maximum.reduceat(low[order], np.flatnonzero(new))
+        number = None if last else _numbers(total, buckets, b)
         every, mine = np.unique(h[at], return_inverse=True)
         size = len(every)
         tokens = np.bincount(mine, total, size).astype(np.int64)
         few = [np.bincount(mine, total == r, size).astype(np.int64) for r in range(1, TOP + 1)]
-        seen = np.bincount(mine, np.where(total > 0, words.prob(cw[at]), 0), size)
+        seen = np.bincount(mine, np.where(total > 0, lower(low), 0), size)
         blank, sums = [None] * (TOP + 3), [None] * (TOP + 3)
         rows, x = [], 0
         for k, own, r in zip(chunk, hs, runs, strict=True):
             y, i = x + int(r.sum()), np.searchsorted(every, own)
-            rows.append((b, k, pack(total[place[x:y]]), pack(tokens[i]), *(pack(f[i]) for f in few), pack(seen[i]), None, *blank, *sums))
+            rows.append((b, k, pack(total[place[x:y]]), None if last else pack(number[place[x:y]]), pack(tokens[i]), *(pack(f[i]) for f in few), pack(seen[i]), None, *blank, *sums))
             x = y
         often = np.unique(np.concatenate([own[f.astype(bool)] for own, f in zip(hs, column("often"), strict=True)]))
         for value in often.tolist():
             i = int(np.searchsorted(every, U64(value)))
-            rows.append((b, None, None, None, *[None] * TOP, None, value, int(tokens[i]), *(int(f[i]) for f in few), float(seen[i]), None, *sums))
-        rows.append((b, None, None, None, *[None] * TOP, None, None, *blank, *_stats(total)))
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (TOP + 3), pa.int64(), pa.int64(), *[pa.int64()] * TOP, pa.float64(), pa.int64(), *[pa.int64()] * (TOP + 3)]
-        del h, w, cw, n, order, group, place
+            rows.append((b, None, None, None, None, *[None] * TOP, None, value, int(tokens[i]), *(int(f[i]) for f in few), float(seen[i]), None, *sums))
+        rows.append((b, None, None, None, None, *[None] * TOP, None, None, *blank, *_stats(total)))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (TOP + 4), pa.int64(), pa.int64(), *[pa.int64()] * TOP, pa.float64(), pa.int64(), *[pa.int64()] * (TOP + 3)]
+        del h, w, low, n, order, group, place
         tidy()
         return pa.Table.from_batches([_batch(rows, PAIR_NAMES, kinds)])
 
@@ -258,14 +295,19 @@ def _count_pairs(asked: DataFrame, words: Unigrams) -> DataFrame:
 
 
 _WHOLE = ["hh", "ht", *(f"h{m}" for m in FEW), "hs", "unused"]
-PAIR_NAMES = ["b", "chunk", "n", "tokens", *FEW, "seen", *_WHOLE, *(f"s_{x.split()[0]}" for x in STATS.split(", "))]
+PAIR_NAMES = ["b", "chunk", "n", "number", "tokens", *FEW, "seen", *_WHOLE, *(f"s_{x.split()[0]}" for x in STATS.split(", "))]
 PAIR_SCHEMA = ", ".join(
-    ["b int", "chunk long", *(f"{x} binary" for x in ["n", "tokens", *FEW, "seen"]), *(f"{x} {'double' if x == 'hs' else 'long'}" for x in _WHOLE), *(f"s_{x}" for x in STATS.split(", "))]
+    ["b int", "chunk long", *(f"{x} binary" for x in ["n", "number", "tokens", *FEW, "seen"]), *(f"{x} {'double' if x == 'hs' else 'long'}" for x in _WHOLE), *(f"s_{x}" for x in STATS.split(", "))]
 )
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those where ``train`` holds."""
+KEPT = ["size", "train", "known", "base", "word", "event", "number", "count", "low"]
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those where ``train`` holds; ``order`` words, 2 at least, make the longest event."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -276,9 +318,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     made = _chunk_table(rows, buckets)
     made.write.option("compression", "uncompressed").partitionBy("kind").parquet(folder)
     part = lambda k, columns: spark.read.schema(made.select(*columns).schema).parquet(f"{folder}/kind={k}")
+    scores = "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not letters and rows.isEmpty():
-        return spark.createDataFrame([], f"`{id_col}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    table = part(0, CHUNK_COLUMNS)
+        return spark.createDataFrame([], f"`{id_col}` {kind}, {scores}")
     counted = stored(_count_words(part(1, ASK_COLUMNS), buckets), "words")
     release(spark)
     remove(spark, f"{folder}/kind=1")
@@ -288,24 +330,44 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     starts = rows.where("train").count()
     hot = max(sums[0] / HOT, 1)
     known = counted.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("b", "number", "count")).alias("words"))
-    asked = _ask_pairs(table.join(known, "chunk").select("chunk", "size", "train", "tokens", "words"), buckets, starts, hot)
-    pairs = stored(_count_pairs(asked, words), "pairs")
-    release(spark)
-    of = pairs.agg(*(F.sum(f"s_r{i}") for i in range(1, TOP + 2))).first()
-    model = Bigrams([x or 0 for x in of])
-    often = pairs.where("hh is not null").groupBy("hh").agg(F.sum("ht").alias("t"), *(F.sum(f"h{m}").alias(m) for m in FEW), F.sum("hs").alias("s")).collect()
-    release(spark)
-    often = sorted((r["hh"], r["t"], *(r[m] for m in FEW), r["s"]) for r in often)
-    whole = np.array([r[0] for r in often], np.int64).astype(U64), np.array([r[1:] for r in often], float).reshape(len(often), TOP + 2)
-    answers = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("b", "n", "tokens", *FEW, "seen")).alias("pairs"))
-    full = table.join(known, "chunk").join(answers, "chunk").select("ids", "size", "train", "tokens", "words", "pairs")
+    state = part(0, CHUNK_COLUMNS).join(known, "chunk").select("chunk", "ids", "size", "train", "tokens", "words")
+    decode, lower, held = partial(_first, words), words.prob, [counted]
+    for level in range(2, order + 1):
+        last = level == order
+        pairs = stored(_count_pairs(_ask_pairs(state, decode, buckets, starts, hot), lower, buckets, last), "pairs")
+        release(spark)
+        of = pairs.agg(*(F.sum(f"s_r{i}") for i in range(1, TOP + 2))).first()
+        model = Level([x or 0 for x in of])
+        often = pairs.where("hh is not null").groupBy("hh").agg(F.sum("ht").alias("t"), *(F.sum(f"h{m}").alias(m) for m in FEW), F.sum("hs").alias("s")).collect()
+        release(spark)
+        often = sorted((r["hh"], r["t"], *(r[m] for m in FEW), r["s"]) for r in often)
+        whole = np.array([r[0] for r in often], np.int64).astype(U64), np.array([r[1:] for r in often], float).reshape(len(often), TOP + 2)
+        found = ["b", "n", *([] if last else ["number"]), "tokens", *FEW, "seen"]
+        answers = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct(*found)).alias("pairs"))
+        run = _answered(decode, lower, model, whole, starts, buckets, hot, words.n, last)
+        schema = f"id {kind}, {scores}" if last else f"chunk long, ids array<{kind}>, " + ", ".join(f"{x} binary" for x in KEPT)
+        state = stored(state.join(answers, "chunk").mapInArrow(lean(run), schema), "scores" if last else "events", "snappy" if last else "uncompressed")
+        release(spark)
+        if level == 2:
+            remove(spark, folder)
+        dropped(pairs, *held)
+        decode, lower, held = _kept, _same, [state]
+    return state.withColumnRenamed("id", id_col)
+
+
+def _same(p: np.ndarray) -> np.ndarray:
+    return p
+
+
+def _answered(decode: Callable[..., Chunk], lower: Callable[[np.ndarray], np.ndarray], model: Level, whole: tuple[np.ndarray, np.ndarray], starts: int, buckets: int, hot: float, n_train: int, last: bool):
+    """A level's probabilities from its buckets' answers: scores of documents after the last level, before it what the next one starts from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                size, train, tokens, known, found = (batch.column(k)[i].as_py() for k in range(1, 6))
-                size, tokens, number, count = _known(size, tokens, known)
-                gh, _, cw, hot_pair, _, which = _pairs(tokens, size, number, count, starts, buckets, hot)
+                chunk, *packed, found = (batch.column(k)[i].as_py() for k in (0, *range(2, batch.num_columns)))
+                known = decode(*packed)
+                gh, _, low, hot_pair, _, which = _pairs(known, starts, buckets, hot)
                 found = sorted(found, key=lambda a: a["b"])
                 together = lambda name: np.concatenate([unpack(a[name]) for a in found])
                 n = together("n").astype(np.int64)
@@ -317,19 +379,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 info = np.stack([together(name).astype(float) for name in ("tokens", *FEW, "seen")], 1)[at]
                 if hot_pair.any():
                     info[hot_pair] = whole[1][np.searchsorted(whole[0], gh[hot_pair])]
-                log = np.log10(model.prob(n, words.prob(cw), info[:, 0], info[:, 1 : TOP + 1], info[:, TOP + 1]))[which]
-                c = count[tokens]
-                base = np.log10((c + 1) / (words.n + words.distinct + 1))
-                doc = np.repeat(np.arange(len(size)), size)
-                add = lambda x: np.bincount(doc, x, len(size))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i].values, pa.array(unpack(train).astype(bool)), pa.array(size), pa.array(add(c > 0).astype(np.int64)), pa.array(np.full(len(size), words.n)), pa.array(add(base)), pa.array(add(log))],
-                    ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    out = full.mapInArrow(lean(run), f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = stored(out, "scores")
-    release(spark)
-    remove(spark, folder)
-    dropped(counted, pairs)
-    return out.withColumnRenamed("id", id_col)
+                p = model.prob(n, lower(low), info[:, 0], info[:, 1 : TOP + 1], info[:, TOP + 1])
+                size = known.size
+                if last:
+                    total = np.bincount(np.repeat(np.arange(len(size)), size), np.log10(p)[which], len(size))
+                    columns = [batch.column(1)[i].values, pa.array(known.train), pa.array(size), pa.array(known.known), pa.array(np.full(len(size), n_train)), pa.array(known.base), pa.array(total)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                else:
+                    kept = [size, known.train.astype(np.uint8), known.known, known.base, known.word, which, together("number"), n, p]
+                    columns = [pa.array([chunk]), batch.column(1).slice(i, 1), *(pa.array([pack(x)], pa.binary()) for x in kept)]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", *KEPT])
+
+    return run

@@ -74,7 +74,7 @@ def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import katz
     from quarry.llm.langid import fold
 
-    scored = katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    scored = katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, order=3)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -402,3 +402,52 @@ def test_few_embeddings(spark):
     assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in (0, 4, 9, 10)] == [(5, 0, True), (5, 0, False), (5, 0, False), (0, 10, True)]
     one = by_id(embed.near_duplicates(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>")), "vec_id")
     assert one[0]["n_links"] == 0 and one[0]["kept"]
+
+
+@pytest.mark.parametrize(("order", "bucket", "chunk", "hot"), [(3, 1 << 24, 1 << 22, 1024), (3, 2000, 3000, 8), (4, 2000, 3000, 8)])
+def test_katz_orders(docs, rows, monkeypatch, order, bucket, chunk, hot):
+    for name, v in (("BUCKET", bucket), ("CHUNK", chunk), ("HOT", hot)):
+        monkeypatch.setattr(katz, name, v)
+    got = by_id(katz.score(docs, langid.fold("doc_id", 7) != 2, order=order))
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "</s>"] for i, t, *_ in rows}
+    grams = lambda t, k: [tuple((["<s>"] * (k - 1) + t)[j : j + k]) for j in range(len(t))]
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = [Counter(g for i in train for g in grams(tokens[i], k)) for k in range(1, order + 1)]
+    factors, after = [], [defaultdict(list) for _ in counts]
+    for k, c in enumerate(counts):
+        n, d = Counter(c.values()), dict.fromkeys(range(1, 6), 1.0)
+        tail = 6 * n[6] / n[1] if n[1] and n[6] else 1
+        for r in range(1, 6):
+            if n[r] and tail < 1:
+                x = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
+                d[r] = x if 0 < x < 1 else 1.0
+        factors.append(d)
+        for g in c:
+            after[k][g[:-1]].append(g)
+    backoff = {}
+
+    def own(g):
+        k = len(g) - 1
+        return counts[k][g] * factors[k].get(counts[k][g], 1.0)
+
+    def prob(g):
+        k, h = len(g) - 1, g[:-1]
+        seen = after[k].get(h)
+        if not seen:
+            return prob(g[1:])
+        n = sum(counts[k][x] for x in seen)
+        left = n - sum(map(own, seen))
+        n, left = (n, left) if left > 1e-9 else (n + 1, 1)
+        if counts[k][g]:
+            return own(g) / n
+        if not k:
+            return left / n
+        if h not in backoff:
+            backoff[h] = left / n / (1 - sum(prob(x[1:]) for x in seen))
+        return backoff[h] * prob(g[1:])
+
+    for h in list(after[-1])[:5]:
+        assert sum(prob((*h, *w)) for w in counts[0]) + prob((*h, "\0")) == pytest.approx(1)
+    for i, t in tokens.items():
+        assert got[i]["n_tokens"] == len(t) and got[i]["n_known"] == sum((w,) in counts[0] for w in t)
+        assert got[i]["score"] == pytest.approx(sum(math.log10(prob(g)) for g in grams(t, order)))
