@@ -537,6 +537,16 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl_tree(spark, sf_dir, 6, 1_000_000).items.select("url", "depth", "name")
 
 
+@query(
+    """SELECT 'http://t.example/' || id url, depth, c_name AS name FROM (WITH RECURSIVE t(id, depth) AS (
+    SELECT 0::BIGINT, 0 UNION ALL SELECT unnest([2 * id + 1, 2 * id + 2]), depth + 1 FROM t WHERE id < (SELECT count(*) FROM customer)) SELECT * FROM t) JOIN customer ON c_custkey = id"""
+)
+def bfs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree: neither limit is reached, the crawl ends where no page has a link left."""
+    n = table(spark, sf_dir, "customer").count()
+    return _crawl_tree(spark, sf_dir, n + 1, 2 * n + 3).items.select("url", "depth", "name")
+
+
 @query(f"SELECT depth, count(*) pages, count(*) FILTER (c_custkey IS NULL) failed FROM (SELECT * FROM {_TREE} WHERE id < 100) LEFT JOIN customer ON c_custkey = id GROUP BY 1")
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred pages in breadth-first order: a limit that is the feature."""

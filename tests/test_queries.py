@@ -22,3 +22,11 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(queries.QUERIES) <= set(e.queries())
+
+
+def test_a_headline_crawl_reaches_every_page(spark):
+    import bench
+
+    name = next(n for n in bench.HEADLINE if n.startswith("bfs_"))
+    every = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert queries.QUERIES[name](spark, DATA).count() == every > 127
