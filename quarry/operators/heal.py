@@ -11,13 +11,13 @@ from pathlib import Path
 from typing import Protocol
 from urllib.request import Request, urlopen
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.css import SelectorError, compile_selector
 from quarry.functions.urls import host
-from quarry.operators.extract import CONTAINER, HEALABLE, Healed, harvest
-from quarry.plans.spec import Fields
+from quarry.operators.extract import CONTAINER, HEALABLE, Page, harvest
+from quarry.plans.spec import Fields, FieldSpec
 
 SNIPPET = 6000
 
@@ -186,54 +186,73 @@ def _some_item(i: int, test) -> Column:
     return F.exists("items", lambda x: test(x[f"f{i}"]))
 
 
-def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider | None, enabled: bool = True, most: int = 200, **how) -> DataFrame:
+def _finds(page: Page, name: str, spec: FieldSpec | None, item_selector: str | None, known: dict[str, str], answer: str) -> bool:
+    """Whether an answer finds something that the page lacks."""
+    if spec is None:
+        return bool(page.scopes(answer))
+    scopes = page.scopes(item_selector)
+    if not scopes and item_selector and known.get(CONTAINER):
+        scopes = page.scopes(known[CONTAINER])
+    return any(page.field(s, spec) is None and page.value(s, spec, answer) is not None for s in scopes)
+
+
+def _learn(missing: DataFrame, pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider) -> bool:
+    """Asks for every (host, field) of ``missing`` (host, url, field) that isn't known, with one page after another until an answer finds something there.
+
+    Round k shows the driver the next 2**k pages of each pair that is still
+    open, a partition at a time, so few rounds reach a pair's last page.
+    """
+    spark, learnt, low = pages.sparkSession, False, 1
+    html = pages.where("html is not null").select("url", "html")
+    nth = F.row_number().over(Window.partitionBy("host", "field").orderBy("url"))
+    ranked = lambda: missing.join(cache.table(spark).select("host", "field"), ["host", "field"], "left_anti").withColumn("nth", nth)
+    while True:
+        shown = ranked().where(F.col("nth") < 2 * low).where(F.col("nth") >= low)
+        rows = 0
+        for r in shown.join(html, "url").orderBy("host", "field", "nth").toLocalIterator():
+            rows += 1
+            if cache.get(r["host"], r["field"]):
+                continue
+            spec = fields.get(r["field"])
+            old = spec.selector if spec else item_selector
+            try:
+                answer = provider.suggest(HealingRequest(r["html"][:SNIPPET], r["field"], old or "", r["url"], spec.description if spec else None))
+                if answer:
+                    if spec is None or spec.kind in HEALABLE[:2]:
+                        compile_selector(answer)
+                    if _finds(Page(r["url"], r["html"]), r["field"], spec, item_selector, cache.known.get(r["host"], {}), answer):
+                        cache.set(r["host"], r["field"], answer)
+                        learnt = True
+            except (SelectorError, OSError, RuntimeError, ValueError):
+                continue
+        if not rows:
+            return learnt
+        low *= 2
+
+
+def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider | None, enabled: bool = True, **how) -> DataFrame:
     """``harvest`` with repairs.
 
-    Known repairs take part in the first pass.  Of the fields (and containers)
-    that are still missing, one page for each (host, field) is shown to the
-    provider, at most ``most`` of them; the pages with something missing are
-    extracted again with the answers, and an answer is remembered only if it
-    found something there.
+    Known repairs take part in the first pass.  For each host's container and
+    then its fields that are still missing, pages that lack them are shown to
+    the provider one by one until an answer finds something, and only that
+    answer is remembered; the pages with something missing are extracted again
+    with it.
     """
-    first = harvest(pages, fields, item_selector, healed=cache.known, **how).cache()
+    kept = lambda: {h: dict(v) for h, v in cache.known.items()}
+    got = harvest(pages, fields, item_selector, healed=kept(), **how).cache()
     if provider is None or not enabled:
-        return first
-    able = [(i, n, s) for i, (n, s) in enumerate(fields.items()) if s.kind in HEALABLE]
-    lacks = [F.when(_some_item(i, lambda v: v.isNull()), F.lit(n)) for i, n, _ in able]
-    if item_selector:
-        lacks.append(F.when(F.size("items") == 0, F.lit(CONTAINER)))
-    if not lacks:
-        return first
-    missing = first.withColumn("lacking", F.array_compact(F.array(*lacks))).where(F.size("lacking") > 0)
-    shown = missing.select(host(F.col("url")).alias("host"), "url", F.explode("lacking").alias("field")).groupBy("host", "field").agg(F.min("url").alias("url"))
-    known = cache.table(pages.sparkSession).select("host", "field")
-    ask = shown.join(known, ["host", "field"], "left_anti").orderBy("host", "field").limit(most)
-    html = pages.select("url", F.substring("html", 1, SNIPPET).alias("html"))
-    tried: Healed = {}
-    for r in ask.join(html, "url").dropDuplicates(["host", "field"]).collect():
-        spec = fields.get(r["field"])
-        old = spec.selector if spec else item_selector
-        try:
-            answer = provider.suggest(HealingRequest(r["html"] or "", r["field"], old or "", r["url"], spec.description if spec else None))
-            if answer:
-                if spec is None or spec.kind in HEALABLE[:2]:
-                    compile_selector(answer)
-                tried.setdefault(r["host"], {})[r["field"]] = answer
-        except (SelectorError, OSError, RuntimeError, ValueError):
+        return got
+    container = [F.when(F.size("items") == 0, F.lit(CONTAINER))] if item_selector else []
+    able = [F.when(_some_item(i, lambda v: v.isNull()), F.lit(n)) for i, (n, s) in enumerate(fields.items()) if s.kind in HEALABLE]
+    for lacks in (container, able):
+        if not lacks:
             continue
-    if not tried:
-        return first
-    both = {h: cache.known.get(h, {}) | tried.get(h, {}) for h in {*cache.known, *tried}}
-    again = missing.select("url").distinct()
-    second = harvest(pages.join(again, "url", "left_semi"), fields, item_selector, healed=both, **how).cache()
-    worked = second.select(
-        host(F.col("url")).alias("host"),
-        *(_some_item(i, lambda v: v.isNotNull()).alias(n) for i, n, _ in able),
-        (F.size("items") > 0).alias(CONTAINER),
-    )
-    names = [n for _, n, _ in able] + [CONTAINER]
-    for r in worked.where(F.col("host").isin(list(tried))).groupBy("host").agg(*(F.bool_or(n).alias(n) for n in names)).collect():
-        for name, selector in tried[r["host"]].items():
-            if r[name]:
-                cache.set(r["host"], name, selector)
-    return first.join(again, "url", "left_anti").unionByName(second)
+        missing = got.withColumn("lacking", F.array_compact(F.array(*lacks))).where(F.size("lacking") > 0)
+        present = pages.where("html is not null").select("url").distinct()
+        pairs = missing.join(present, "url", "left_semi").select(host(F.col("url")).alias("host"), "url", F.explode("lacking").alias("field")).distinct()
+        if _learn(pairs, pages, fields, item_selector, cache, provider):
+            again = missing.select("url").distinct()
+            second = harvest(pages.join(again, "url", "left_semi"), fields, item_selector, healed=kept(), **how).cache()
+            got = got.join(again, "url", "left_anti").unionByName(second)
+    return got

@@ -110,6 +110,29 @@ def test_repair(spark, site, tmp_path):
     assert box.where("size(items) = 1").count() == 6
 
 
+def test_every_broken_pair_is_asked_for(spark):
+    rows = [(f"http://h{i:03}.example/a", f"<h1>{i}</h1>") for i in range(230)]
+    cache, provider = heal.HealingCache(), Answers("h1")
+    got = heal.heal(spark.createDataFrame(rows, "url string, html string"), {"t": FieldSpec("h2")}, None, cache, provider).collect()
+    assert len(provider.asked) == len(cache.known) == 230 and all(r["items"][0]["f0"] for r in got)
+
+
+def test_other_pages_of_a_pair_are_asked_for(spark):
+    class Last(Answers):
+        def suggest(self, request):
+            super().suggest(request)
+            return "i.x" if request.page_url.endswith("/4") else "b.none"
+
+    rows = [(f"http://h.example/{i}", None if i == 0 else f"<ul><li class=x><i class=x>{i}</i></li></ul>") for i in range(8)]
+    pages, provider = spark.createDataFrame(rows, "url string, html string"), Last(None)
+    got = {r["url"][-1]: r["items"][0]["f0"] for r in heal.heal(pages, {"t": FieldSpec("b")}, None, heal.HealingCache(), provider).collect() if r["items"]}
+    assert got == {str(i): str(i) for i in range(1, 8)} and [r.page_url[-1] for r in provider.asked] == ["1", "2", "3", "4"]
+    both = heal.HealingCache()
+    both.set("h.example", "t", "i.x")
+    box = heal.heal(pages, {"t": FieldSpec("b")}, "p", both, Answers("li.x")).where("get(items, 0).f0 is not null")
+    assert box.count() == 7
+
+
 def test_providers(spark):
     q = heal.HealingRequest("<b>" * 9000, "f", "i", "http://x.example", "what")
     assert heal.Chain([Answers(ValueError()), Answers(None), Answers(".a")]).suggest(q) == ".a"
