@@ -3,7 +3,8 @@
 Equal vectors are one class.  Each table of the index cuts some random
 projections at their medians; the cuts of one table give a cell, and the number
 of tables is calibrated so that a pair at the threshold shares a cell with the
-wanted recall.  Large cells are dealt into blocks, and pairs of blocks are
+wanted recall; where the most tables don't reach it (vectors with a common
+direction), a cell has fewer cuts, down to none.  Large cells are dealt into blocks, and pairs of blocks are
 tasks' groups of bounded size.  Within a pair of blocks every projection is
 sorted, each vector's window of others around its own value is found in the
 sorted order, and the windows in which a pair meets are counted; pairs whose
@@ -71,11 +72,14 @@ def calibrate(sample: np.ndarray, n: int, cosine: float, recall: float, windows:
     px, py = x @ directions, y @ directions
     half = 2 * float(np.abs(px - py).std())
     least = int(np.quantile((np.abs(px - py)[:, :windows] <= half).sum(1), 0.002))
-    tables = 1
-    if bits:
-        met = ((px > medians) == (py > medians))[:, : most * bits].reshape(len(x), most, bits).all(2)
+    tables, same = 1, (px > medians) == (py > medians)
+    while bits:
+        met = same[:, : most * bits].reshape(len(x), most, bits).all(2)
         reached = np.flatnonzero(np.maximum.accumulate(met, 1).mean(0) >= recall)
-        tables = int(reached[0]) + 1 if len(reached) else most
+        if len(reached):
+            tables = int(reached[0]) + 1
+            break
+        bits -= 1  # larger cells: with none left all vectors share one
     return Index(directions, medians, bits, tables, windows, half, least)
 
 

@@ -451,3 +451,20 @@ def test_katz_orders(docs, rows, monkeypatch, order, bucket, chunk, hot):
     for i, t in tokens.items():
         assert got[i]["n_tokens"] == len(t) and got[i]["n_known"] == sum((w,) in counts[0] for w in t)
         assert got[i]["score"] == pytest.approx(sum(math.log10(prob(g)) for g in grams(t, order)))
+
+
+@pytest.mark.parametrize(("common", "n"), [(0.85, 10**7), (0.7, 10**8), (0.93, 10**8)])
+def test_skewed_embeddings_reach_the_recall(common, n):
+    rng = np.random.default_rng(3)
+
+    def unit(k):
+        x = rng.standard_normal((k, 64))
+        x *= math.sqrt(1 - common) / np.linalg.norm(x, axis=1, keepdims=True)
+        x[:, 0] += math.sqrt(common)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    index, x = embed.calibrate(unit(4096), n, 0.95, 0.99), unit(4000)
+    r = rng.standard_normal(x.shape)
+    r -= (r * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    assert (index.cells(index.project(x)) == index.cells(index.project(y))).any(1).mean() >= 0.98
