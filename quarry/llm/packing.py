@@ -8,7 +8,8 @@ found by descending a segment tree whose leaves are the rooms 0..capacity.
 
 A packed row has the ids padded to the capacity, cumulative segment lengths
 (from 0 to the number of ids) and positions that restart at 0 with each
-segment.  ``write`` puts them into one matrix file a shard.
+segment.  ``write`` puts them into one matrix file a shard; ``round_trip`` has
+the packing tasks write these files and reads the rows back from them.
 
 Defined cases: null and empty texts have no ids and no segment; repeated rows
 and ids are packed each by itself, in the order of their parts; a capacity of 1
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
-from quarry.llm._cluster import small_batches
+from quarry.llm._cluster import fresh_dir, release, small_batches, stored
 from quarry.llm._text import chunks, lean, ragged, tidy
 
 SHARD_BYTES = 4 << 20
@@ -115,8 +116,11 @@ def pieces(docs: DataFrame, ranks: str, capacity: int, id_col: str = "doc_id", t
     return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, part int, ids binary")
 
 
-def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One packed row each: shard, row, n_tokens, doc_ids, parts, cu_seqlens, ids and positions (binary, ``capacity`` entries of 16 bits, or 32 where they need them, padding included)."""
+def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """One packed row each: shard, row, n_tokens, doc_ids, parts, cu_seqlens, ids and positions (binary, ``capacity`` entries of 16 bits, or 32 where they need them, padding included).
+
+    With a folder, cu_seqlens, ids and positions go to files there, as ``write`` has them, and not into the rows.
+    """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     letters = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -147,19 +151,23 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048, pad: int = 0, id_col
         lists = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         cu = np.concatenate([np.concatenate([[0], np.cumsum(n[order[row]])]) for row in rows]).astype(np.int32)
         cu_lists = pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]), pa.int32())
+        if folder is not None:
+            _save(folder, key[0].as_py(), {"ids": matrix, "positions": positions, "cu_seqlens": cu, "cu_offsets": np.concatenate([[0], np.cumsum(sizes + 1)])})
         own = pa.array(members)
         whole = lambda name: (c.combine_chunks() if isinstance(c := t[name], pa.ChunkedArray) else c).take(own)
-        out = pa.table(
-            {
-                "shard": pa.array(np.full(len(rows), key[0].as_py(), np.int32)), "row": pa.array(np.arange(len(rows), dtype=np.int32)), "n_tokens": pa.array(total),
-                "doc_ids": pa.ListArray.from_arrays(lists, whole("id")), "parts": pa.ListArray.from_arrays(lists, whole("part")), "cu_seqlens": pa.ListArray.from_arrays(cu_lists, pa.array(cu)),
+        out = {
+            "shard": pa.array(np.full(len(rows), key[0].as_py(), np.int32)), "row": pa.array(np.arange(len(rows), dtype=np.int32)), "n_tokens": pa.array(total),
+            "doc_ids": pa.ListArray.from_arrays(lists, whole("id")), "parts": pa.ListArray.from_arrays(lists, whole("part")),
+        }
+        if folder is None:
+            out |= {
+                "cu_seqlens": pa.ListArray.from_arrays(cu_lists, pa.array(cu)),
                 "ids": pa.array([x.tobytes() for x in matrix], pa.binary()), "positions": pa.array([x.tobytes() for x in positions], pa.binary()),
-            }
-        )
+            }
         tidy()
-        return out
+        return pa.table(out)
 
-    schema = f"shard int, row int, n_tokens long, doc_ids array<{kind}>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
+    schema = f"shard int, row int, n_tokens long, doc_ids array<{kind}>, parts array<int>" + ", cu_seqlens array<int>, ids binary, positions binary" * (folder is None)
     return dealt.groupBy("shard").applyInArrow(run, schema)
 
 
@@ -168,6 +176,52 @@ def digest(packed: DataFrame) -> DataFrame:
     return packed.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("positions_sha256", F.sha2("positions", 256)).drop("ids", "positions")
 
 
+def _save(folder: str, shard: int, files: dict[str, np.ndarray]) -> None:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    for name, value in files.items():
+        out = io.BytesIO()
+        np.save(out, value)
+        path = f"{root}/{name}-{shard:06d}.npy"
+        part = f"{path}.{hashlib.sha256(out.getvalue()).hexdigest()[:8]}.part"
+        with fs.open_output_stream(part) as f:
+            f.write(out.getvalue())
+        fs.move(part, path)
+
+
+def read(rows: DataFrame, folder: str) -> DataFrame:
+    """(shard, row, cu_seqlens, ids_sha256, positions_sha256) of the shards of ``rows`` from their files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+
+        def load(name: str, shard: int) -> np.ndarray:
+            with fs.open_input_stream(f"{root}/{name}-{shard:06d}.npy") as f:
+                return np.load(io.BytesIO(f.read()))
+
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                ids, positions, cu, offs = (load(name, shard) for name in ("ids", "positions", "cu_seqlens", "cu_offsets"))
+                sha = lambda m: pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in m], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), shard, np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(cu)), sha(ids), sha(positions)],
+                    ["shard", "row", "cu_seqlens", "ids_sha256", "positions_sha256"],
+                )
+
+    shards = stored(rows.select("shard").distinct(), "shards")
+    dealt = shards.repartition(max(1, min(shards.count(), 10_000)))
+    return dealt.mapInArrow(lean(run), "shard int, row int, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string")
+
+
+def round_trip(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
+    """The rows of ``digest``, from files written to the shared folder and read from there."""
+    folder = fresh_dir(docs.sparkSession, "packed")
+    rows = stored(pack(docs, ranks, capacity, folder=folder), "rows")
+    release(docs.sparkSession)
+    found = rows.join(read(rows, folder), ["shard", "row"])
+    return found.select("shard", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", "ids_sha256", "positions_sha256")
+
+
 def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
     """Writes per shard the id matrix, the positions, and the cumulative segment lengths with the rows' offsets in them, as .npy files; returns (shard, rows).
 
@@ -175,8 +229,6 @@ def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
     """
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
         t = t.sort_by("row")
         shard, n = key[0].as_py(), t.num_rows
         width = 2 if len(bpe.merger(ranks).size) <= 1 << 16 else 4
@@ -185,14 +237,7 @@ def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
             "ids": np.frombuffer(b"".join(t["ids"].to_pylist()), f"<u{width}").reshape(n, -1), "positions": np.frombuffer(b"".join(t["positions"].to_pylist()), "<u2" if len(t["positions"][0].as_py()) * width == 2 * len(t["ids"][0].as_py()) else "<u4").reshape(n, -1),
             "cu_seqlens": np.array([x for row in cu for x in row], np.int32), "cu_offsets": np.cumsum([0, *map(len, cu)]),
         }
-        for name, value in files.items():
-            out = io.BytesIO()
-            np.save(out, value)
-            path = f"{root}/{name}-{shard:06d}.npy"
-            part = f"{path}.{hashlib.sha256(out.getvalue()).hexdigest()[:8]}.part"
-            with fs.open_output_stream(part) as f:
-                f.write(out.getvalue())
-            fs.move(part, path)
+        _save(folder, shard, files)
         return pa.table({"shard": pa.array([shard], pa.int32()), "rows": pa.array([n], pa.int64())})
 
     return packed.groupBy("shard").applyInArrow(run, "shard int, rows long")

@@ -21,7 +21,7 @@ def byte_bpe_ranks() -> str:
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import packing
 
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), byte_bpe_ranks(), capacity=2048))
+    return packing.round_trip(table(spark, sf_dir, "documents"), byte_bpe_ranks(), capacity=2048)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

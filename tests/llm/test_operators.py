@@ -468,3 +468,16 @@ def test_skewed_embeddings_reach_the_recall(common, n):
     r -= (r * x).sum(1, keepdims=True) * x
     y = 0.95 * x + math.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
     assert (index.cells(index.project(x)) == index.cells(index.project(y))).any(1).mean() >= 0.98
+
+
+def test_packing_is_read_back_from_files(docs, ranks, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(packing, "fresh_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = packing.round_trip(docs, ranks, 64)
+    want = packing.digest(packing.pack(docs, ranks, 64))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(list((tmp_path / "packed").glob("ids-*.npy"))) == want.select("shard").distinct().count() > 1
+    path = next((tmp_path / "packed").glob("ids-*.npy"))
+    np.save(path, np.load(path) + 1)
+    assert sorted(map(str, got.select("*").collect())) != sorted(map(str, want.collect()))
+    assert packing.round_trip(empty(docs), ranks).count() == 0
