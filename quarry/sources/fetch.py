@@ -22,7 +22,7 @@ PAGE = "url string, status int, html string, success boolean, error string, dept
 
 class Fetcher(Protocol):
     def fetch(self, requests: DataFrame) -> DataFrame:
-        """Pages (see PAGE) of requests (url, depth, method, form, seq)."""
+        """Pages (see PAGE) of requests (url, depth, method, form, seq and, where robots are asked for, crawl_delay in seconds or null)."""
 
     def login(self, url: str, form: dict[str, str]) -> bool: ...
 
@@ -126,9 +126,9 @@ class HttpFetcher:
                 rows = []
                 for r in b.to_pylist():
                     name = (urllib.parse.urlsplit(r["url"]).hostname or "").lower()
-                    wait = last.get(name, 0) + o.delay_ms * slow.get(name, 1.0) / 1000 - time.time()
+                    wait = last.get(name, 0) + wait_s(o.delay_ms * slow.get(name, 1.0), r.get("crawl_delay")) - time.time()
                     if wait > 0:
-                        time.sleep(min(wait, 30))
+                        time.sleep(wait)
                     began = last[name] = time.time()
                     if renderer is not None:
                         try:
@@ -151,6 +151,11 @@ class HttpFetcher:
         return dealt.mapInArrow(run, PAGE)
 
 
+def wait_s(delay_ms: float, crawl_delay_s: float | None) -> float:
+    """Seconds between a host's requests: the configured or adaptive delay (30 s at most), or the robots' Crawl-delay if that is longer."""
+    return max(min(delay_ms / 1000, 30.0), crawl_delay_s or 0.0)
+
+
 class _Stay(urllib.request.HTTPRedirectHandler):
     def redirect_request(self, *args):
         return None

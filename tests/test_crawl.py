@@ -9,7 +9,7 @@ from quarry.plans import recipe as recipes
 from quarry.plans.spec import FieldSpec
 from quarry.plans.spider import Spider
 from quarry.sources import readers, sinks
-from quarry.sources.fetch import CachedFetcher, TableFetcher
+from quarry.sources.fetch import CachedFetcher, HttpFetcher, HttpOptions, TableFetcher, wait_s
 
 LINKS = {0: [1, 2], 1: [3, 0], 2: [3, 4], 3: [5], 4: [], 5: [0]}
 
@@ -48,6 +48,21 @@ def test_robots_and_dedup(spark, site):
     assert r.pages.where("error like 'disallowed%'").count() == 1
 
 
+def test_a_crawl_keeps_the_crawl_delay_of_robots(spark):
+    class Clock:
+        def render(self, url):
+            import time
+
+            return f"<h1>{time.time()}</h1>"
+
+    robots = spark.createDataFrame([("http://d.example", "User-agent: *\nCrawl-delay: 0.8")], "origin string, content string")
+    plan = crawl.Plan({"at": FieldSpec("h1")}, HttpFetcher(HttpOptions(delay_ms=50), Clock), robots=robots)
+    seeds = readers.seeds(spark, [f"http://{h}.example/{i}" for h in "de" for i in range(3)])
+    at = {h: sorted(float(r["at"]) for r in crawl.crawl(spark, seeds, plan).items.collect() if f"//{h}." in r["url"]) for h in "de"}
+    assert [len(x) for x in at.values()] == [3, 3] and at["d"][2] - at["d"][0] >= 1.59 and 0.09 <= at["e"][2] - at["e"][0] < 1.5
+    assert (wait_s(60_000, None), wait_s(500, 45.0), wait_s(500, 0.1)) == (30.0, 45.0, 0.5)
+
+
 def test_custom_links(spark, site):
     r = spider(spark, site).follow_with(lambda url, html: ["/4?utm_source=y"], 1).run()
     assert sorted(x["title"] for x in r.items.collect()) == ["page 0", "page 4"]
