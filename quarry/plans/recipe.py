@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.transforms import parse_names
 from quarry.operators import coverage, heal
-from quarry.operators.crawl import Plan, Result, crawl
+from quarry.operators.crawl import Folder, Plan, Result, crawl
 from quarry.plans.spec import Fields, FieldSpec, Kind
 from quarry.sources import readers, sinks
 from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, HttpOptions, robots_by
@@ -249,6 +250,9 @@ def fetcher_of(spark: SparkSession, recipe: Recipe) -> Fetcher:
 def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, name: str = "recipe") -> Result:
     """Crawls by the recipe, writes its output and calls its webhook."""
     fetcher = fetcher or fetcher_of(spark, recipe)
+    if isinstance(fetcher, CachedFetcher) and recipe.cacheDirectory:
+        fetched = Folder(spark, None)
+        fetcher.keep, fetcher.path = lambda pages: fetched.put(f"fresh-{uuid.uuid4().hex}", pages), recipe.cacheDirectory
     if recipe.login:
         fetcher.login(recipe.login.url, {k: heal.resolve_secret(v) or "" for k, v in recipe.login.formData.items()})
     h = recipe.healing
@@ -261,8 +265,6 @@ def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, rob
     )
     result = crawl(spark, seed_frame(spark, recipe, sitemaps), plan)
     sinks.fan_out(result.items.select(*recipe.fields), [sink_of(recipe)])
-    if isinstance(fetcher, CachedFetcher) and fetcher.missed is not None and recipe.cacheDirectory:
-        fetcher.missed.write.mode("append").parquet(recipe.cacheDirectory)
     if recipe.webhookUrl:
         sinks.notify(recipe.webhookUrl, sinks.webhook_payload(name, result.summary().first().asDict()))
     return result

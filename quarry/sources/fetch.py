@@ -6,12 +6,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,14 @@ def robots_by(fetcher: Fetcher):
 class CachedFetcher:
     """Serves GET requests from a table (name, html) by cache name and passes the others on; a hit has status 200.
 
-    ``missed`` lists what was fetched, to be appended to the cache.
+    ``missed`` lists what the last call fetched.  With ``keep``, a function that
+    stores a table, what is fetched is stored before it is used, and with
+    ``path`` its GET pages are appended to the cache there, each name once.
     """
 
+    keep: Callable[[DataFrame], DataFrame] | None = None
+    path: str | None = None
+
     def __init__(self, cache: DataFrame, inner: Fetcher):
         self.cache, self.inner, self.missed = cache.select(F.col("name").alias("__name"), F.col("html").alias("__html")), inner, None
 
@@ -74,9 +80,23 @@ class CachedFetcher:
         hits = named.join(self.cache, "__name")
         rest = named.join(self.cache, "__name", "left_anti").drop("__name")
         fresh = self.inner.fetch(rest)
+        if self.keep is not None:
+            fresh = self.keep(fresh)
+        if self.path is not None:
+            self._append(fresh.where("success").join(rest.where("method = 'GET'").select("url", "seq"), ["url", "seq"], "left_semi"))
         self.missed = fresh.where("success").select(cache_name(F.col("url")).alias("name"), "html")
         return _page(hits, F.lit(200), F.col("__html"), F.lit(None).cast("string")).unionByName(fresh)
 
+    def _append(self, pages: DataFrame) -> None:
+        from quarry.functions.urls import cache_name
+
+        new = pages.select(cache_name(F.col("url")).alias("name"), "html").groupBy("name").agg(F.min("html").alias("html"))
+        try:
+            new = new.join(pages.sparkSession.read.parquet(self.path).select("name"), "name", "left_anti")
+        except AnalysisException:  # no cache yet
+            pass
+        new.write.mode("append").parquet(self.path)
+
     def login(self, url: str, form: dict[str, str]) -> bool:
         return self.inner.login(url, form)
 

@@ -98,6 +98,20 @@ def test_cache(spark, site):
     assert f.missed.count() == 2
 
 
+def test_every_fetched_get_page_reaches_the_cache(spark, site, tmp_path):
+    robots = spark.createDataFrame([("http://s.example/robots.txt", "User-agent: *")], site.schema)
+    recipe = recipes.parse(json.dumps({
+        "seedUrls": ["http://s.example/0"], "seedRequest": {"url": "http://s.example/4?utm_source=y", "method": "POST"}, "fields": {"title": {"selector": "h1"}}, "linkSelector": "a", "maxDepth": 2,
+        "cacheDirectory": f"{tmp_path}/cache", "output": {"format": "json", "path": f"{tmp_path}/o.jsonl"},
+    }))
+    for _ in range(2):
+        empty = spark.createDataFrame([], "name string, html string")
+        recipes.run(spark, recipe, CachedFetcher(empty, TableFetcher(site.union(robots))))
+        got = spark.read.parquet(f"{tmp_path}/cache").collect()
+        assert sorted(r["html"][:18] for r in got) == ["<h1 class=t>page 0", "<h1 class=t>page 1", "<h1 class=t>page 2", "<h1 class=t>page 3", "User-agent: *"]
+        assert len({r["name"] for r in got}) == 5
+
+
 class Answers:
     def __init__(self, answer):
         self.answer, self.asked = answer, []
