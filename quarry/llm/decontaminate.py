@@ -8,7 +8,8 @@ words, one pass over the texts a block, so what is broadcast never outgrows
 ``block_words``; one block is the usual case.
 
 Defined cases: null and empty texts and items have no words; repeated items
-each count; repeated rows are scanned alike; an empty benchmark leaves
+each count, those without an id as one item, which is counted and not named;
+repeated rows are scanned alike; an empty benchmark leaves
 everything clean; other columns are carried along untouched by ``clean``.
 """
 
@@ -28,11 +29,15 @@ from quarry.llm._text import ALNUM_ENDS, FIRST, U64, Words, chunks, lean
 SCHEMA = "n_words long, hits binary, items array<string>"
 
 
+def _order(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Items:
     """Windows of some items, by length: sorted hashes, the words behind each, and the items that have it."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], n: int):
-        windows: dict[int, dict[tuple[int, bytes], set[str]]] = {}
+    def __init__(self, rows: list[tuple[str | None, str]], n: int):
+        windows: dict[int, dict[tuple[int, bytes], set[str | None]]] = {}
         if rows:
             for lo, hi, data, offs in chunks(pa.array([t for _, t in rows], pa.large_string())):
                 w = Words(data, offs, ALNUM_ENDS, lower=True)
@@ -50,7 +55,7 @@ class Items:
             hashes = np.array([k for k, _ in keys], U64)
             maybe = np.zeros(1 << 18, bool)
             maybe[(hashes >> U64(46)).astype(np.int64)] = True
-            self.by_size[size] = (hashes, maybe, [k for _, k in keys], [sorted(found[k]) for k in keys])
+            self.by_size[size] = (hashes, maybe, [k for _, k in keys], [sorted(found[k], key=_order) for k in keys])
 
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words are hit, and the items found in each row."""
@@ -89,7 +94,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: s
     """The named columns as c0, c1, ... and what ``scan`` finds."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("text is not null")
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * block_words)))  # a word and its separator take two characters at least
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
@@ -118,7 +123,7 @@ def _pass(own, width: int, more: bool):
                 runs = [_runs(hit[x:y]).tobytes() if i in items else b"" for i, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(width + 1)]
-                    + [pa.array(np.diff(w.first)), pa.array(runs, pa.binary()), pa.array([sorted(items.get(i, ())) for i in range(hi - lo)], pa.list_(pa.string()))],
+                    + [pa.array(np.diff(w.first)), pa.array(runs, pa.binary()), pa.array([sorted(items.get(i, ()), key=_order) for i in range(hi - lo)], pa.list_(pa.string()))],
                     [b.schema.names[i] for i in range(width + 1)] + ["n_words", "hits", "items"],
                 )
 
@@ -132,7 +137,7 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             runs = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in b.column(1).to_pylist()]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in b.column(2).to_pylist()]
+            sha = [hashlib.sha256(",".join(y for y in x if y is not None).encode()).hexdigest() for x in b.column(2).to_pylist()]
             n_hit = pa.array([int((x[:, 1] - x[:, 0]).sum()) for x in runs], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n_hit, pa.array(sha, pa.string()), b.column(3), b.column(4)], ["id", "n_hit", "items_sha256", "n_words", "n_items"])
 

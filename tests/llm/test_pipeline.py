@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarry.llm._cluster import stored
 from quarry.llm import langid
 from tests.llm.test_operators import LOW
 
@@ -82,3 +83,27 @@ def test_run_and_edges(spark, tmp_path):
         assert out.count() == 0 and out.columns == none.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "substring_dedup", "decontamination", "byte_bpe"]
     assert pytest and langid
+
+
+def test_null_and_repeated_ids(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    copy, passage = words("copy", 30), words("passage", 60)
+    rows = [(None, copy), (7, copy), (7, words("other", 30)), (7, words("other", 30)), (None, words("lone", 30)), (None, words("odd", 30) + " " + passage), (None, words("even", 30) + " " + passage), (8, words("last", 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.join_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(rows[1:3] + rows[4:], docs.schema).collect()))
+    cut = corpus_pipeline.cut_repeats(spark, stored(kept, "kept"), "")
+    assert cut.columns == docs.columns
+    want = [(7, copy), (7, words("other", 30)), (None, words("lone", 30)), (None, words("odd", 30)), (None, words("even", 30)), (8, words("last", 9))]
+    assert sorted(map(str, cut.collect())) == sorted(map(str, spark.createDataFrame(want, docs.schema).collect()))
+
+
+def test_benchmark_items_without_an_id(spark):
+    from quarry.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x y"), (3, "x y and a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (5, "x y"), (None, "and a")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.scan(docs, items)).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(3, 1, True), (2, 1, True), (6, 2, True)]
+    assert got[3]["items_sha256"] == got[2]["items_sha256"] != got[1]["items_sha256"]
+    assert decontaminate.clean(docs, items).count() == 0
