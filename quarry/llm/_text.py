@@ -1,15 +1,18 @@
 """Vectorised tokenising and hashing of Arrow text batches.
 
 Every function works on one chunk: the UTF-8 bytes of some rows, one space
-after each row.  Hashes are polynomials modulo 2**64 with an odd base, so that
-the hash of any span follows from two prefix sums and the inverse power of the
-base at its start; each is passed through a bit mixer.
+after each row.  A word's hash takes its bytes eight at a time through a bit
+mixer (beyond 64 bytes it is a BLAKE2 digest); FIRST and SECOND mix from other
+states, so they fail independently.  Runs of words are hashed as polynomials of
+their words' hashes modulo 2**64 with an odd base, so that the hash of any run
+follows from two prefix sums and the inverse power of the base at its start.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +55,30 @@ POWERS = Powers()
 
 
 class Poly:
-    """Span hashes over a sequence of 64-bit values; two of them differ in the values that they give to bytes."""
+    """Hashes of words, and of runs of 64-bit values; the state that mixing starts from tells two of them apart."""
 
     def __init__(self, seed: int):
-        self.bytes = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+        self.seed = U64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64))
+        self.key = seed.to_bytes(8, "little")
+
+    def words(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, those of a block of bytes at a time."""
+        out, i = np.empty(len(lo), U64), 0
+        while i < len(lo):
+            j = max(i + 1, int(np.searchsorted(lo, lo[i] + CHUNK_BYTES)))
+            a, n = lo[i], hi[i:j] - lo[i:j]
+            eight, at = windows(data[a : int(lo[j - 1]) + WIDEST]), lo[i:j] - a
+            h = mix(mix(n.astype(U64) * U64(0x9E3779B97F4A7C15) + self.seed) ^ (eight[at] & MASKS[np.minimum(n, 8)]))
+            more, step = np.flatnonzero(n > 8), 8
+            while len(more) and step < WIDEST:
+                h[more] = mix(h[more] * U64(0xD6E8FEB86659FD93) ^ (eight[at[more] + step] & MASKS[np.minimum(n[more] - step, 8)]))
+                step += 8
+                more = more[n[more] > step]
+            for k in more.tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(data[lo[i + k] : hi[i + k]], digest_size=8, key=self.key).digest(), "little")
+            out[i:j] = h
+            i = j
+        return out
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         POWERS.reach(len(values) + 1)
@@ -75,6 +98,21 @@ class Poly:
 
 
 FIRST, SECOND = Poly(1), Poly(2)
+WIDEST = 64
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; zeros follow the last byte."""
+    two = np.zeros(len(data) + 8, np.uint16)
+    two[: len(data)] = data
+    two[:-1] |= two[1:] << 8
+    four = two.astype(np.uint32)
+    four[:-2] |= four[2:] << 16
+    eight = four.astype(U64)
+    eight[:-4] |= eight[4:] << U64(32)
+    return eight
+
 
 # Bytes that end a word: ASCII white space; all but a-z, 0-9 and non-ASCII.
 SPACE_ENDS = np.ones(256, bool)
@@ -133,7 +171,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self, poly: Poly = FIRST) -> np.ndarray:
-        return byte_spans(self.data, self.starts, self.ends, poly)
+        return poly.words(self.data, self.starts, self.ends)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
@@ -143,19 +181,6 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def byte_spans(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, poly: Poly = FIRST) -> np.ndarray:
-    """Hashes of sorted byte spans, in blocks so that the power tables stay small."""
-    if len(data) <= 2 * CHUNK_BYTES:
-        return poly.spans(poly.prefix(poly.bytes[data]), lo, hi)
-    out, i = np.empty(len(lo), U64), 0
-    while i < len(lo):
-        j = max(i + 1, int(np.searchsorted(lo, lo[i] + CHUNK_BYTES)))
-        a = lo[i]
-        out[i:j] = poly.spans(poly.prefix(poly.bytes[data[a : int(hi[i:j].max())]]), lo[i:j] - a, hi[i:j] - a)
-        i = j
-    return out
-
-
 def ragged(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the concatenated spans, and the offsets of each in the result."""
     offs = np.zeros(len(lens) + 1, np.int64)

@@ -8,7 +8,8 @@ associative, so blocks of bytes are composed side by side, the blocks' functions
 are scanned in a logarithmic number of steps, and a last pass marks where
 pieces begin.  Distinct pieces of a chunk are merged once, through a cache that
 lives as long as the Python worker, and their ids are gathered for every
-occurrence.
+occurrence.  Pieces of up to SHORTEST_LONG - 1 bytes are told apart by two
+numbers that hold all their bytes and their length, longer ones by their bytes.
 
 Defined cases: null text is empty; an empty text has no ids and the SHA-256 of
 no bytes; no length is special; repeated rows are encoded alike; extra columns
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm._cluster import small_batches
-from quarry.llm._text import FIRST, SECOND, byte_spans, chunks, lean, ragged
+from quarry.llm._text import CHUNK_BYTES, MASKS, U64, chunks, lean, mix, ragged, windows
 
 # Scanner symbols.
 LETTER, NUMBER, OTHER, LAST_BLANK, LAST_WHITE, WHITE, SHORT, LONG, INSIDE, RESET = range(10)
@@ -37,6 +38,7 @@ LETTER, NUMBER, OTHER, LAST_BLANK, LAST_WHITE, WHITE, SHORT, LONG, INSIDE, RESET
 OPEN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, JOINS, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 128
 CHUNK = 1 << 20
+SHORTEST_LONG = 16
 
 
 def _scanner() -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +186,23 @@ class Pairs:
         return out
 
 
+def _numbers(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of short pieces and their lengths, in two numbers each."""
+    one, two, i = np.empty(len(starts), U64), np.empty(len(starts), U64), 0
+    while i < len(starts):  # a block of bytes at a time
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)))
+        a = starts[i]
+        eight, at, n = windows(data[a : int(starts[j - 1]) + SHORTEST_LONG]), starts[i:j] - a, size[i:j]
+        one[i:j] = eight[at] & MASKS[np.minimum(n, 8)]
+        two[i:j] = eight[at + 8] & MASKS[np.maximum(n - 8, 0)] | n.astype(U64) << U64(56)
+        i = j
+    return one, two
+
+
 class Merger:
     """Ranks of a rank file, merged piece by piece, with a bounded cache of pieces."""
 
-    CACHE, RECENT, WIDEST = 600_000, 50_000, 64
+    CACHE, RECENT, WIDEST, LONG_BYTES = 600_000, 50_000, 64, 4 << 20
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -202,9 +217,11 @@ class Merger:
         self._empty()
 
     def _empty(self) -> None:
-        """Known pieces in two levels, each sorted by the pieces' first hash: second hash, place of the ids in ``flat``, number of ids, whether it was met again."""
-        none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, bool)]
+        """Known short pieces in two levels, each sorted by a hash: the hash, the piece's two numbers, place of the ids in ``flat``, number of ids, whether it was met again."""
+        none = [np.zeros(0, t) for t in (U64, U64, U64, np.int64, np.int32, bool)]
         self.levels = [none, none]
+        self.long: dict[bytes, list[int]] = {}
+        self.long_bytes = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
@@ -212,20 +229,20 @@ class Merger:
         at = np.searchsorted(a[0], b[0])
         return [np.insert(x, at, y) for x, y in zip(a, b, strict=True)]
 
-    def _known(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _known(self, key: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, lengths, and which are unknown."""
-        place, length, open_ = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.arange(len(first))
-        for known, other, places, lengths, again in self.levels:
+        place, length, open_ = np.zeros(len(key[0]), np.int64), np.zeros(len(key[0]), np.int64), np.arange(len(key[0]))
+        for known, one, two, places, lengths, again in self.levels:
             if len(known) and len(open_):
-                at = np.minimum(np.searchsorted(known, first[open_]), len(known) - 1)
-                hit = (known[at] == first[open_]) & (other[at] == second[open_])
+                at = np.minimum(np.searchsorted(known, key[0][open_]), len(known) - 1)
+                hit = (one[at] == key[1][open_]) & (two[at] == key[2][open_])
                 place[open_[hit]], length[open_[hit]] = places[at[hit]], lengths[at[hit]]
                 again[at[hit]] = True
                 open_ = open_[~hit]
         return place, length, open_
 
-    def _learn(self, first: np.ndarray, second: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Keeps the ids of new pieces, whose first hashes are sorted; returns their places and lengths."""
+    def _keep(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends ids to ``flat``; returns their places and numbers."""
         length = np.fromiter(map(len, found), np.int32, len(found))
         total = int(length.sum())
         if self.used + total > len(self.flat):
@@ -233,7 +250,12 @@ class Merger:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         place = self.used + np.cumsum(length, dtype=np.int64) - length
         self.used += total
-        self.levels[1] = self._merged(self.levels[1], [first, second, place, length, np.zeros(len(first), bool)])
+        return place, length
+
+    def _learn(self, key: list[np.ndarray], found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps the ids of new short pieces, whose hashes are sorted; returns their places and lengths."""
+        place, length = self._keep(found)
+        self.levels[1] = self._merged(self.levels[1], [*key, place, length, np.zeros(len(length), bool)])
         if len(self.levels[1][0]) > self.RECENT:
             self.levels = [self._merged(*self.levels), [x[:0] for x in self.levels[1]]]
         return place, length
@@ -241,15 +263,25 @@ class Merger:
     def _forget(self) -> None:
         """Keeps what was met again since the last time; called between chunks."""
         main = self._merged(*self.levels)
-        kept = [x[main[4]] for x in main]
-        at, offs = ragged(kept[2], kept[3])
+        kept = [x[main[5]] for x in main]
+        at, offs = ragged(kept[3], kept[4])
         flat = self.flat[at]
         self._empty()
         if len(kept[0]) <= self.CACHE // 2:
             self.flat, self.used = flat if len(flat) else self.flat, len(flat)
-            kept[2], kept[4] = offs[:-1], np.zeros(len(kept[0]), bool)
+            kept[3], kept[5] = offs[:-1], np.zeros(len(kept[0]), bool)
             self.levels[0] = kept
 
+    def _long(self, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> list[list[int]]:
+        """Ids of long pieces, which are known by their bytes."""
+        every = [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        if self.long_bytes > self.LONG_BYTES:
+            self.long, self.long_bytes = {}, 0
+        new = list({p for p in every if p not in self.long})
+        self.long.update(zip(new, self.pieces(new), strict=True))
+        self.long_bytes += sum(map(len, new))
+        return [self.long[p] for p in every]
+
     def pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece; pieces of like width are merged side by side."""
         found: list[list[int] | None] = [None] * len(pieces)
@@ -340,41 +372,31 @@ class Merger:
         stops[last] = resets[row[1:] > row[:-1]]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        h = byte_spans(data, starts, stops, FIRST)
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
-        index, inverse = order[new], np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(new) - 1
         raw = data.tobytes()
-        second = byte_spans(data, starts, stops, SECOND)
-        if (second != second[index][inverse]).any():  # two pieces of the chunk share a hash: tell them apart by their bytes
-            index, inverse = self._exact(raw, starts, stops)
-            found = self.pieces([raw[a:b] for a, b in zip(starts[index].tolist(), stops[index].tolist(), strict=True)])
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            flat, place = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), np.cumsum(length) - length
-        else:
-            first, second = h[index], second[index]
-            if sum(len(x[0]) for x in self.levels) + len(first) > self.CACHE:
-                self._forget()
-            place, length, new = self._known(first, second)
-            if len(new):
-                found = self.pieces([raw[a:b] for a, b in zip(starts[index[new]].tolist(), stops[index[new]].tolist(), strict=True)])
-                place[new], length[new] = self._learn(first[new], second[new], found)
-            flat = self.flat
-        at, total = ragged(place[inverse], length[inverse])
-        return flat[at], total[row]
-
-    @staticmethod
-    def _exact(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen: dict[bytes, int] = {}
-        index, inverse = [], np.empty(len(starts), np.int64)
-        for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-            k = seen.setdefault(raw[a:b], len(seen))
-            if k == len(index):
-                index.append(i)
-            inverse[i] = k
-        return np.array(index), inverse
+        if sum(len(x[0]) for x in self.levels) > self.CACHE or self.used > 8 * self.CACHE:
+            self._forget()
+        place, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        size = stops - starts
+        few = size < SHORTEST_LONG
+        own = np.flatnonzero(few)
+        key = [None, *_numbers(data, starts[own], size[own])]
+        key[0] = mix(key[1] ^ mix(key[2]))
+        order = np.argsort(key[0])
+        key = [x[order] for x in key]
+        new = np.ones(len(own), bool)
+        new[1:] = (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+        index, group = own[order[new]], np.empty(len(own), np.int64)
+        group[order] = np.cumsum(new) - 1
+        key = [x[new] for x in key]
+        at, n, unknown = self._known(key)
+        if len(unknown):
+            found = self.pieces([raw[a:b] for a, b in zip(starts[index[unknown]].tolist(), stops[index[unknown]].tolist(), strict=True)])
+            at[unknown], n[unknown] = self._learn([x[unknown] for x in key], found)
+        place[own], length[own] = at[group], n[group]
+        if len(own) < len(starts):
+            place[~few], length[~few] = self._keep(self._long(raw, starts[~few], stops[~few]))
+        at, total = ragged(place, length)
+        return self.flat[at], total[row]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ids and the offsets of the rows in them."""

@@ -481,3 +481,23 @@ def test_packing_is_read_back_from_files(docs, ranks, tmp_path, monkeypatch):
     np.save(path, np.load(path) + 1)
     assert sorted(map(str, got.select("*").collect())) != sorted(map(str, want.collect()))
     assert packing.round_trip(empty(docs), ranks).count() == 0
+
+
+def test_regular_long_words(spark, ranks, encoding):
+    """Thue-Morse words and their mirror images, which polynomials modulo 2**64 can't tell apart."""
+    words = ["".join("ab"[bin(i).count("1") % 2] for i in range(n)) for n in (1024, 2048, 4096)]
+    mirrors = [w.translate(str.maketrans("ab", "ba")) for w in words]
+    rows = [(k, " ".join(f"x{i}" if i % 2 else w for i in range(8))) for k, w in enumerate(words + mirrors)] + [(9, " ".join(words)), (10, " ".join(mirrors))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = by_id(bpe.round_trip(docs, ranks))
+    for i, t in rows:
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(encoding.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    assert {r["n_removed"] for r in substring.report(docs, substring.repeated(docs, 3, 2)).collect()} == {0}
+    assert {i: r["component_id"] for i, r in by_id(jaccard.Join(docs, 3, 90).components()).items()} == {i: i for i, _ in rows}
+    scored = by_id(katz.score(docs, F.col("doc_id") < 3))
+    assert [scored[i]["n_known"] for i in (0, 3, 9, 10)] == [9, 5, 4, 1]
+    packed = packing.pack(docs, ranks, 4096).collect()
+    flat = {(d, p): np.frombuffer(r["ids"], "<u2")[a:b].tolist() for r in packed for d, p, a, b in zip(r["doc_ids"], r["parts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True)}
+    for i, t in rows:
+        assert [x for p in range(sum(d == i for d, _ in flat)) for x in flat[i, p]] == encoding.encode_ordinary(t)

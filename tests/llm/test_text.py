@@ -52,3 +52,20 @@ def test_joined():
     text, ends = joined(w, np.array([True, False, True, True]))
     assert [text[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [b"a c", b"", b"d", b""]
     assert list(chunks(pa.array([], pa.string()))) == []
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_words_do_not_collide():
+    from quarry.llm._text import WIDEST
+
+    texts = [thue_morse(n) for n in (8, 16, 32, 64, 128, 1024, 2048, 4096)]
+    texts += [t.translate(str.maketrans("ab", "ba")) for t in texts] + ["a" * n for n in range(1, 3 * WIDEST)] + ["b" + "a" * n for n in range(1, 3 * WIDEST)]
+    ((_, _, data, offs),) = chunks(pa.array(texts))
+    w = Words(data, offs)
+    one, two = w.hashes(), w.hashes(SECOND)
+    assert len(np.unique(one)) == len(np.unique(two)) == len(texts) and not (one == two).any()
+    alone = [Words(*x[2:]).hashes()[0] for t in texts for x in chunks(pa.array([t]))]
+    assert (one == np.array(alone)).all()
