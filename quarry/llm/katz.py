@@ -1,4 +1,4 @@
-"""A word n-gram model of any order with Katz backoff, counted and evaluated without a row a token.
+"""A word n-gram model of any order with Katz backoff: fitted to tables, which score these or other texts.
 
 Texts are lower-cased (A-Z), split at ASCII white space, and ended by one end
 token; order - 1 start marks stand before the first.  Counts are discounted
@@ -8,29 +8,37 @@ to their probability after the history without its first word, and so on down
 to the unigrams, of which what is left goes to unknown words: every level sums
 to exactly one.
 
-Documents travel in chunks of a few MB.  A chunk asks the vocabulary's buckets,
-and then each level's buckets, for what it needs: each bucket adds up what all
-chunks have sent, is kept as a table partitioned by bucket, and answers every
-chunk in the order in which it asked.  Buckets number the events that they
-count, so a level's history is one number, its last event of the level below.
-An event has one entry a chunk, so frequent ones are no heavier than rare ones;
-the few histories of a level (at most HOT) with more than N / HOT tokens are
-spread over all buckets by their next word and their partial sums are added in
-a small aggregate.
-
-Defined cases: null and empty texts are one end token; repeated rows count and
-score alike; without training rows every word is unknown and the score is that
-of one unknown class, 0; an empty table gives none; other columns are ignored.
+All histories of a token end in the word before it, so a bucket of n-grams by
+that word holds every level of them, and one shuffle serves any order.  A hot
+history, one with more than 1 / HOT of the training tokens, is too much for one
+bucket: the counts of its next words are kept spread by (history, word), its
+sums are a row that every task gets, and its n-grams of the next level are
+dealt by the history that is one word longer, and so on while those are hot.
+
+Tables: the vocabulary and the hot levels' counts by bucket of their keys; the
+n-grams with their counts and, for every history, its backoff weight by bucket
+of the history, a folder a bucket.  Documents travel in chunks of a few MB:
+a chunk asks the vocabulary and the hot levels for the counts of what it holds
+(once, however often it occurs there), then its tokens go to their histories'
+buckets, where they are counted or, by recursion from the shorter histories
+to the longest, scored; sums by document come back.
+
+Words and histories are told apart by 64-bit hashes.  Defined cases: null and
+empty texts are one end token; a text of any length is one document, and a
+chunk of its own if need be; repeated rows, also of one id, count and score
+alike; without training rows every word is unknown and the score is that of
+one unknown class, 0; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import partial
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +48,14 @@ from quarry.llm._text import U64, Words, as_array, chunks, lean, mix, tidy
 
 TOP = 5  # counts above it are not discounted
 HOT = 1024
+MOST_HOT = 1 << 20  # a level's hot histories, however many buckets there are
 CHUNK = 4 << 20
 BUCKET = 8 << 20
+MOST_BUCKETS = 1 << 20  # of more text, each holds more
+PASSES = 2  # parts of the buckets that are scored one after the other, for less disk
 END = U64(0x9D39247E33776D41)
+UNIT = float(1 << 26)  # of the sums of -log10 that buckets send back
+START, UNKNOWN = 0, 1  # numbers of the start mark and of words without a count; others follow
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -86,37 +99,98 @@ class Unigrams:
 
 
 class Level:
-    """P(w | h) from what is known of h: its tokens, the words seen 1..TOP times after it, and the probability one level below of all words seen after it."""
+    """Discounts of one level, and what they make of counts."""
 
     def __init__(self, of: list[int]):
         self.d = discounts(of)
 
-    def prob(self, n: np.ndarray, lower: np.ndarray, tokens: np.ndarray, few: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    def totals(self, tokens: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Denominators of histories and the mass that is left of each, from their tokens and the numbers of words seen 1..TOP times after them."""
         gone = few @ (np.arange(1, TOP + 1) * (1 - self.d[1:]))
         total = np.where(gone > 0, tokens, tokens + 1.0)
-        left = np.where(gone > 0, gone, 1.0) / np.maximum(total, 1)
-        alpha = np.where(tokens > 0, left / np.maximum(1 - seen, 1e-300), 1.0)
-        own = n * np.where(n <= TOP, self.d[np.minimum(n, TOP).astype(np.int64)], 1) / np.maximum(total, 1)
-        return np.where(n > 0, own, alpha * lower)
+        return total, np.where(gone > 0, gone, 1.0) / total
+
+    def weights(self, left: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Backoff weights; seen: the probability one level below of all words seen after the history."""
+        return left / np.maximum(1 - seen, 1e-300)
+
+    def own(self, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return n * np.where(n <= TOP, self.d[np.minimum(n, TOP).astype(np.int64)], 1) / total
+
+
+@dataclass
+class Hot:
+    """The hot histories of a level, sorted by key, with their denominators and backoff weights."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    weight: np.ndarray
+
+
+@dataclass
+class Model:
+    """What ``fit`` leaves: the tables, and the few numbers that all tasks get."""
+
+    order: int
+    buckets: int
+    words: DataFrame | None = None  # a row a bucket: key, n
+    hot_counts: dict[int, DataFrame] = field(default_factory=dict)  # by level, a row a bucket: key, n, more
+    folder: str = ""  # n-grams and backoff weights by bucket of the history
+    unigrams: Unigrams | None = None
+    levels: dict[int, Level] = field(default_factory=dict)
+    hot: dict[int, Hot] = field(default_factory=dict)
+    starts: int = 0  # training documents
+
+    @property
+    def limit(self) -> float:
+        return max(self.unigrams.n / min(max(HOT, 2 * self.buckets), MOST_HOT), 1)
+
+    def bare(self) -> Model:
+        """Without the tables, for tasks."""
+        return Model(self.order, self.buckets, None, {}, self.folder, self.unigrams, self.levels, self.hot, self.starts)
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, n_tokens, n_known, train_tokens, base_score, score) of texts, which teach nothing."""
+        state = _numbered(_rows(docs, F.lit(False), id_col, text_col), self)
+        return state if state.columns[0] != "chunk" else _scored(state, self, id_col).drop("train")
+
+    def drop(self) -> None:
+        dropped(self.words, *self.hot_counts.values())
+        remove(self.words.sparkSession, self.folder)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
 
+def _rows(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+
+
 CHUNK_COLUMNS = ["chunk", "ids", "size", "train", "tokens"]
-ASK_COLUMNS = ["b", "chunk", "h", "c"]
+ASKED = "b int, chunk long, key binary, n binary, more binary"
+ASK_COLUMNS = [x.split()[0] for x in ASKED.split(", ")]
+ASK_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where sorted keys are cut into buckets."""
+    return [0, *np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], U64)).tolist(), len(keys)]
+
 
+def _asks(chunk: int, keys: np.ndarray, n: np.ndarray, more: list[np.ndarray], buckets: int) -> list[tuple]:
+    cuts = _cuts(keys, buckets)
+    return [(b, chunk, pack(keys[x:y]), pack(n[x:y]), pack(np.concatenate([m[x:y] for m in more])) if more else None) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
 
-def _chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
+
+def _chunk_table(rows: DataFrame, buckets: int) -> DataFrame:
     """Documents in chunks, their tokens as numbers into the chunk's sorted vocabulary (kind 0: CHUNK_COLUMNS), and what each chunk asks of the vocabulary's buckets (kind 1: ASK_COLUMNS)."""
-    kind = docs.schema["id"].dataType.simpleString()
-    names = ["kind", "chunk", "ids", "size", "train", "tokens", "b", "h", "c"]
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["kind", *CHUNK_COLUMNS, *(c for c in ASK_COLUMNS if c != "chunk")]
 
     def build(batches: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], U64)
         ids, text, train = (pa.concat_arrays([as_array(b.column(i)) for b in batches]) for i in range(3))
-        kinds = [pa.int32(), pa.int64(), pa.list_(ids.type), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 2]
+        kinds = [pa.int32(), pa.int64(), pa.list_(ids.type), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 3]
         for lo, hi, data, offs in chunks(text, CHUNK):
             w = Words(data, offs, lower=True)
             size = np.diff(w.first) + 1
@@ -124,10 +198,9 @@ def _chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
             vocab, local = np.unique(tokens, return_inverse=True)
             own = train.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(local[np.repeat(own, size)], minlength=len(vocab))
-            cuts = [0, *np.searchsorted(vocab, edges).tolist(), len(vocab)]
-            rows = [(0, chunk, ids.slice(lo, hi - lo).to_pylist(), pack(size), pack(own.astype(np.uint8)), pack(local), None, None, None)]
-            rows += [(1, chunk, None, None, None, None, i, pack(vocab[x:y]), pack(counts[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-            yield _batch(rows, names, kinds)
+            out = [(0, chunk, ids.slice(lo, hi - lo).to_pylist(), pack(size), pack(own.astype(np.uint8)), pack(local), None, None, None, None)]
+            out += [(1, k, None, None, None, None, b, *rest) for b, k, *rest in _asks(chunk, vocab, counts, [], buckets)]
+            yield _batch(out, names, kinds)
             chunk += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,258 +209,480 @@ def _chunk_table(docs: DataFrame, buckets: int) -> DataFrame:
             held.append(b)
             size += b.column(1).nbytes
             if size >= CHUNK:
-                for row in build(held, chunk):
-                    yield row
+                for out in build(held, chunk):
+                    yield out
                     chunk += 1
                 held, size = [], 0
         if held:
             yield from build(held, chunk)
 
-    return docs.mapInArrow(lean(run), f"kind int, chunk long, ids array<{kind}>, size binary, train binary, tokens binary, b int, h binary, c binary")
-
-
-STATS = ", ".join(["n long", "v long", *(f"r{i} long" for i in range(1, TOP + 2))])
+    return rows.mapInArrow(lean(run), f"kind int, chunk long, ids array<{kind}>, size binary, train binary, tokens binary, b int, key binary, n binary, more binary")
 
 
 def _stats(c: np.ndarray) -> list[int]:
+    """Tokens, events, and events seen 1..TOP + 1 times."""
     return [int(c.sum()), int((c > 0).sum()), *np.bincount(np.minimum(c, TOP + 2).astype(np.int64), minlength=TOP + 3)[1 : TOP + 2].tolist()]
 
 
-def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket and chunk the number (from 1, frequent words first) and count of each word asked for; one row a bucket, with a null chunk, has sums."""
+def _sum_stats(df: DataFrame) -> list[int]:
+    """Sums over the rows' ``stats``, entry by entry."""
+    return [r["n"] for r in df.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).orderBy("i").collect()]
+
+
+def _count(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
+    """Adds up what chunks (and, as chunk -1, a fitted table) ask for, by bucket: for each chunk its keys' counts and numbers; one row a bucket, as chunk -1, is the table of what has a count."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        chunk, h = t["chunk"].to_pylist(), [unpack(x) for x in t["h"].to_pylist()]
-        every, place = np.unique(np.concatenate(h), return_inverse=True)
-        c = np.zeros(len(every), np.int64)
-        np.add.at(c, place, np.concatenate([unpack(x) for x in t["c"].to_pylist()]).astype(np.int64))
-        number = _numbers(c, buckets, b)
-        cuts = np.cumsum([0, *map(len, h)])
-        rows = [(b, k, pack(number[place[x:y]]), pack(c[place[x:y]]), *[None] * (TOP + 3)) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True)]
-        rows.append((b, None, None, None, *_stats(c)))
-        names = ["b", "chunk", "number", "count", *(x.split()[0] for x in STATS.split(", "))]
+        b, chunk = key[0].as_py(), t["chunk"].to_pylist()
+        keys = [unpack(x) for x in t["key"].to_pylist()]
+        every, at, place = np.unique(np.concatenate(keys).astype(U64), return_index=True, return_inverse=True)
+        c = np.bincount(place, np.concatenate([unpack(x) for x in t["n"].to_pylist()]), len(every)).astype(np.int64)
+        number = np.full(len(every), UNKNOWN)
+        if numbered:  # frequent words first; numbers are unique over all buckets
+            known = np.flatnonzero(c)
+            number[known[np.argsort(-c[known], kind="stable")]] = np.arange(len(known)) * buckets + b + UNKNOWN + 1
+        cuts = np.cumsum([0, *map(len, keys)])
+        some = c > 0
+        more = None
+        if not numbered:
+            width = [unpack(x) for x in t["more"].to_pylist()]
+            count = len(width[0]) // len(keys[0])
+            columns = [np.concatenate([x.reshape(count, -1)[i] for x in width]).astype(U64) for i in range(count)]
+            more = pack(np.concatenate([x[at[some]] for x in columns]))
+        rows = [(b, k, None, pack(c[place[x:y]]), None, pack(number[place[x:y]]) if numbered else None, None) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True) if k >= 0]
+        rows.append((b, -1, pack(every[some]), pack(c[some]), more, None, _stats(c)))
         tidy()
-        return pa.Table.from_batches([_batch(rows, names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (TOP + 3)])])
+        return pa.Table.from_batches([_batch(rows, [*ASK_COLUMNS, "number", "stats"], [*ASK_KINDS, pa.binary(), pa.list_(pa.int64())])])
 
-    return asked.groupBy("b").applyInArrow(run, f"b int, chunk long, number binary, count binary, {STATS}")
+    return asked.groupBy("b").applyInArrow(run, f"{ASKED}, number binary, stats array<long>")
 
 
-def _numbers(c: np.ndarray, buckets: int, b: int) -> np.ndarray:
-    """Numbers from 1, unique over all buckets, small for frequent events; 0 is the start mark."""
-    number = np.empty(len(c), np.int64)
-    number[np.argsort(-c, kind="stable")] = np.arange(len(c))
-    return number * buckets + b + 1
+KEPT = ["size", "train", "known", "base", "word", "number", "count"]
 
 
-@dataclass
-class Chunk:
-    """What a chunk knows before a level: of its tokens, and of its distinct events of the level below."""
-
-    size: np.ndarray  # tokens of each document
-    train: np.ndarray  # of each document
-    known: np.ndarray  # known tokens of each document
-    base: np.ndarray  # base score of each document
-    word: np.ndarray  # each token's word, by number
-    event: np.ndarray  # each token's event, by place in the next three
-    number: np.ndarray
-    count: np.ndarray
-    low: np.ndarray  # counts of words, probabilities of longer events
-
-
-def _first(words: Unigrams, size: bytes, train: bytes, tokens: bytes, answers: list[dict]) -> Chunk:
-    answers = sorted(answers, key=lambda a: a["b"])
-    number, count = (np.concatenate([unpack(a[name]) for a in answers]).astype(np.int64) for name in ("number", "count"))
-    size, event = unpack(size).astype(np.int64), unpack(tokens).astype(np.int64)
-    c, doc = count[event], np.repeat(np.arange(len(size)), size)
-    base = np.bincount(doc, np.log10((c + 1) / (words.n + words.distinct + 1)), len(size))
-    return Chunk(size, unpack(train).astype(bool), np.bincount(doc, c > 0, len(size)).astype(np.int64), base, number[event], event, number, count, count)
-
-
-def _kept(*packed: bytes) -> Chunk:
-    size, train, known, base, word, event, number, count, low = map(unpack, packed)
-    size, known, word, event, number, count = (x.astype(np.int64) for x in (size, known, word, event, number, count))
-    return Chunk(size, train.astype(bool), known, base, word, event, number, count, low)
-
-
-def _pairs(c: Chunk, starts: int, buckets: int, hot: float):
-    """The chunk's distinct (history, word) pairs, in bucket order: numbers, what is known of the word one level below, bucket cuts, and which pair each token is."""
-    number, count = np.append(c.number, 0), np.append(c.count, starts)  # the start mark comes last
-    before = np.empty(len(c.event), np.int64)
-    before[1:] = c.event[:-1]
-    before[np.cumsum(c.size) - c.size] = len(number) - 1
-    words, local = np.unique(c.word, return_inverse=True)
-    pair, at, which = np.unique(before * len(words) + local, return_index=True, return_inverse=True)
-    h, w = np.divmod(pair, len(words))
-    gh, gw, often, low = number[h].astype(U64), words[w].astype(U64), count[h] > hot, c.low[c.event[at]]
-    b = (mix(np.where(often, gh * U64(0x9E3779B97F4A7C15) + gw, gh)) % U64(buckets)).astype(np.int64)
-    order = np.lexsort((gw, gh, b))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return gh[order], gw[order], low[order], often[order], np.searchsorted(b[order], np.arange(buckets + 1)), back[which]
-
-
-def _ask_pairs(state: DataFrame, decode: Callable[..., Chunk], buckets: int, starts: int, hot: float) -> DataFrame:
+def _answers(counted: DataFrame) -> DataFrame:
+    return counted.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("b", "n", "number")).alias("found"))
+
+
+def _together(found: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([unpack(a[name]) for a in sorted(found, key=lambda a: a["b"])]).astype(np.int64)
+
+
+def _know_words(state: DataFrame, unigrams: Unigrams) -> DataFrame:
+    """Chunks with the number and count of each distinct word, frequent ones first, and each document's known words and base score."""
+    kind = state.schema["ids"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, *packed = (batch.column(k)[i].as_py() for k in (0, *range(2, batch.num_columns)))
-                known = decode(*packed)
-                gh, gw, low, often, cuts, which = _pairs(known, starts, buckets, hot)
-                n = np.bincount(which[np.repeat(known.train, known.size)], minlength=len(gh))
-                low = np.where(n > 0, low, 0)  # only what is seen after a history is added up
-                rows = []
-                for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if x < y:
-                        new = np.flatnonzero(np.diff(gh[x:y], prepend=U64((1 << 64) - 1)))
-                        h = gh[x:y][new]
-                        rows.append((b, chunk, pack(np.diff(h, prepend=U64(0))), pack(np.diff(np.append(new, y - x))), pack(gw[x:y]), pack(low[x:y]), pack(n[x:y]), pack(often[x:y][new].astype(np.uint8))))
-                yield _batch(rows, ["b", "chunk", "h", "runs", "w", "low", "n", "often"], [pa.int32(), pa.int64(), *[pa.binary()] * 6])
-
-    return state.mapInArrow(lean(run), "b int, chunk long, h binary, runs binary, w binary, low binary, n binary, often binary")
+                size, train, tokens, found = (batch.column(k)[i].as_py() for k in range(2, 6))
+                number, count = _together(found, "number"), _together(found, "n")
+                order = np.argsort(-count, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                word, n = rank[unpack(tokens).astype(np.int64)], unpack(size).astype(np.int64)
+                number, count = number[order], count[order]
+                c, doc = count[word], np.repeat(np.arange(len(n)), n)
+                base = np.bincount(doc, np.log10((c + 1) / (unigrams.n + unigrams.distinct + 1)), len(n))
+                known = np.bincount(doc, c > 0, len(n)).astype(np.int64)
+                packed = [size, train, *map(pack, (known, base, word, number, count))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array([x], pa.binary()) for x in packed)], ["chunk", "ids", *KEPT])
+
+    return state.mapInArrow(lean(run), f"chunk long, ids {kind}, " + ", ".join(f"{x} binary" for x in KEPT))
+
+
+_A = U64(0x9E3779B97F4A7C15)
+
+
+def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a history with one more word before it, or of a history and the word after it."""
+    return mix(key * _A + word.astype(U64) + U64(1))
+
+
+class Tokens:
+    """A chunk's tokens: their words, histories, and the counts that are known."""
+
+    def __init__(self, row: dict, order: int, starts: int, limit: float):
+        self.size, self.train, word, number, count = (unpack(row[x]).astype(np.int64) for x in ("size", "train", "word", "number", "count"))
+        self.local, self.word = word, number[word]
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.before = [np.where(at >= j, np.roll(self.word, j), START) for j in range(1, order)]
+        self.keys = [np.zeros(len(word), U64)]  # of the histories of 0, 1, ... words
+        for h in self.before:
+            self.keys.append(extend(self.keys[-1], h))
+        self.counts = [count[word]]  # of the last 1, 2, ... words, from 2 on only where the history is hot
+        hot, self.depth, level = np.ones(len(word), bool), np.zeros(len(word), np.int64), 2
+        while level <= order:
+            hot = hot & (np.where(at > 0, np.roll(self.counts[-1], 1), starts) > limit)
+            self.hot = hot  # of the first level that isn't known, at the end
+            if f"c{level}" not in row:
+                break
+            c = np.zeros(len(word), np.int64)
+            c[hot] = unpack(row[f"c{level}"])
+            self.counts.append(c)
+            self.depth += hot
+            level += 1
+
+    def events(self, level: int) -> np.ndarray:
+        return extend(self.keys[level - 1], self.word)
+
+    def lower(self, model: Model) -> np.ndarray:
+        """The probability of each token after the longest hot history."""
+        p = model.unigrams.prob(self.counts[0])
+        for level, c in enumerate(self.counts[1:], 2):
+            p = _after_hot(model, level, self.depth >= level - 1, self.keys[level - 1], c, p)
+        return p
+
+
+def _after_hot(model: Model, level: int, where: np.ndarray, keys: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out, own = p.copy(), model.hot[level]
+    at = np.searchsorted(own.keys, keys[where])
+    out[where] = np.where(c[where] > 0, model.levels[level].own(c[where], own.total[at]), own.weight[at] * p[where])
+    return out
+
+
+def _per_chunk(state: DataFrame, model: Model, make, schema: str) -> DataFrame:
+    """make(chunk, tokens, row) -> record batches, for every chunk."""
+    order, starts, limit = model.order, model.starts, model.limit
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "ids"}
+                yield from make(batch.slice(i, 1), Tokens(row, order, starts, limit), row)
 
-FEW = [f"m{i}" for i in range(1, TOP + 1)]
+    return state.mapInArrow(lean(run), schema)
 
 
-def _count_pairs(asked: DataFrame, lower: Callable[[np.ndarray], np.ndarray], buckets: int, last: bool) -> DataFrame:
-    """Per bucket and chunk the counts (and, before the last level, numbers) of the pairs asked for and what is known of their histories; rows with a history: partial sums of one spread over buckets; one row a bucket has sums."""
+def _ask_hot(state: DataFrame, model: Model, level: int) -> DataFrame:
+    buckets = model.buckets
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        b, chunk = key[0].as_py(), t["chunk"].to_pylist()
-        column = lambda name: [unpack(x) for x in t[name].to_pylist()]
-        hs = [np.cumsum(x.astype(U64), dtype=U64) for x in column("h")]
-        runs, ws = [x.astype(np.int64) for x in column("runs")], column("w")
-        h = np.concatenate([np.repeat(x, r) for x, r in zip(hs, runs, strict=True)])
-        w, low, n = np.concatenate(ws).astype(U64), np.concatenate(column("low")), np.concatenate(column("n")).astype(np.int64)
-        order = np.lexsort((w, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, n[order]).astype(np.int64)
-        place = np.empty(len(h), np.int64)
-        place[order] = group
-        at = order[new]
-        low = np.maximum.reduceat(low[order], np.flatnonzero(new))
-        number = None if last else _numbers(total, buckets, b)
-        every, mine = np.unique(h[at], return_inverse=True)
-        size = len(every)
-        tokens = np.bincount(mine, total, size).astype(np.int64)
-        few = [np.bincount(mine, total == r, size).astype(np.int64) for r in range(1, TOP + 1)]
-        seen = np.bincount(mine, np.where(total > 0, lower(low), 0), size)
-        blank, sums = [None] * (TOP + 3), [None] * (TOP + 3)
-        rows, x = [], 0
-        for k, own, r in zip(chunk, hs, runs, strict=True):
-            y, i = x + int(r.sum()), np.searchsorted(every, own)
-            rows.append((b, k, pack(total[place[x:y]]), None if last else pack(number[place[x:y]]), pack(tokens[i]), *(pack(f[i]) for f in few), pack(seen[i]), None, *blank, *sums))
-            x = y
-        often = np.unique(np.concatenate([own[f.astype(bool)] for own, f in zip(hs, column("often"), strict=True)]))
-        for value in often.tolist():
-            i = int(np.searchsorted(every, U64(value)))
-            rows.append((b, None, None, None, None, *[None] * TOP, None, value, int(tokens[i]), *(int(f[i]) for f in few), float(seen[i]), None, *sums))
-        rows.append((b, None, None, None, None, *[None] * TOP, None, None, *blank, *_stats(total)))
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (TOP + 4), pa.int64(), pa.int64(), *[pa.int64()] * TOP, pa.float64(), pa.int64(), *[pa.int64()] * (TOP + 3)]
-        del h, w, low, n, order, group, place
-        tidy()
-        return pa.Table.from_batches([_batch(rows, PAIR_NAMES, kinds)])
+    def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(t.hot)
+        keys, first, which = np.unique(t.events(level)[at], return_index=True, return_inverse=True)
+        first = at[first]
+        n = np.bincount(which, t.train[t.doc[at]], len(keys)).astype(np.int64)
+        more = [*(k[first] for k in t.keys[1:level]), *(c[first].astype(U64) for c in t.counts)]
+        yield _batch(_asks(row["chunk"], keys, n, more, buckets), ASK_COLUMNS, ASK_KINDS)
 
-    return asked.groupBy("b").applyInArrow(run, PAIR_SCHEMA)
+    return _per_chunk(state, model, make, ASKED)
 
 
-_WHOLE = ["hh", "ht", *(f"h{m}" for m in FEW), "hs", "unused"]
-PAIR_NAMES = ["b", "chunk", "n", "number", "tokens", *FEW, "seen", *_WHOLE, *(f"s_{x.split()[0]}" for x in STATS.split(", "))]
-PAIR_SCHEMA = ", ".join(
-    ["b int", "chunk long", *(f"{x} binary" for x in ["n", "number", "tokens", *FEW, "seen"]), *(f"{x} {'double' if x == 'hs' else 'long'}" for x in _WHOLE), *(f"s_{x}" for x in STATS.split(", "))]
-)
+def _know_hot(state: DataFrame, model: Model, level: int) -> DataFrame:
+    names = [c for c in state.columns if c != "found"]
+    kinds = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in names)
 
+    def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(0, np.int64)
+        if t.hot.any():
+            _, which = np.unique(t.events(level)[t.hot], return_inverse=True)
+            c = _together(row["found"], "n")[which]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([pack(c)], pa.binary())], [*names, f"c{level}"])
 
-KEPT = ["size", "train", "known", "base", "word", "event", "number", "count", "low"]
+    return _per_chunk(state, model, make, f"{kinds}, c{level} binary")
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those where ``train`` holds; ``order`` words, 2 at least, make the longest event."""
-    if order < 2:
-        raise ValueError("the order is 2 at least")
-    spark = docs.sparkSession
+def _numbered(rows: DataFrame, model: Model) -> DataFrame:
+    """Chunks with all that the vocabulary and the hot levels know of them; a model that is being fitted gets its vocabulary and hot counts here.  An empty table gives the empty result."""
+    spark, fitted = rows.sparkSession, model.words is not None
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-letters // BUCKET))
-    kind = rows.schema["id"].dataType.simpleString()
     folder = fresh_dir(spark, "chunks")
-    made = _chunk_table(rows, buckets)
+    made = _chunk_table(rows, model.buckets)
     made.write.option("compression", "uncompressed").partitionBy("kind").parquet(folder)
     part = lambda k, columns: spark.read.schema(made.select(*columns).schema).parquet(f"{folder}/kind={k}")
-    scores = "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not letters and rows.isEmpty():
-        return spark.createDataFrame([], f"`{id_col}` {kind}, {scores}")
-    counted = stored(_count_words(part(1, ASK_COLUMNS), buckets), "words")
+    if rows.isEmpty():
+        return spark.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, {SCORES}")
+    table = lambda t: t.select(*ASK_COLUMNS)
+    asked = part(1, ASK_COLUMNS)
+    counted = stored(_count(asked.union(table(model.words)) if fitted else asked, model.buckets, True), "words")
     release(spark)
     remove(spark, f"{folder}/kind=1")
-    sums = counted.where("chunk is null").agg(*(F.sum(x.split()[0]) for x in STATS.split(", "))).first()
-    sums = [x or 0 for x in sums]
-    words = Unigrams(sums[0], sums[1], sums[2:])
-    starts = rows.where("train").count()
-    hot = max(sums[0] / HOT, 1)
-    known = counted.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("b", "number", "count")).alias("words"))
-    state = part(0, CHUNK_COLUMNS).join(known, "chunk").select("chunk", "ids", "size", "train", "tokens", "words")
-    decode, lower, held = partial(_first, words), words.prob, [counted]
-    for level in range(2, order + 1):
-        last = level == order
-        pairs = stored(_count_pairs(_ask_pairs(state, decode, buckets, starts, hot), lower, buckets, last), "pairs")
-        release(spark)
-        of = pairs.agg(*(F.sum(f"s_r{i}") for i in range(1, TOP + 2))).first()
-        model = Level([x or 0 for x in of])
-        often = pairs.where("hh is not null").groupBy("hh").agg(F.sum("ht").alias("t"), *(F.sum(f"h{m}").alias(m) for m in FEW), F.sum("hs").alias("s")).collect()
+    if not fitted:
+        sums = _sum_stats(counted)
+        model.unigrams, model.words = Unigrams(sums[0], sums[1], sums[2:]), stored(counted.where("chunk < 0").select(*ASK_COLUMNS, "stats"), "vocabulary")
+    state = stored(_know_words(part(0, CHUNK_COLUMNS).join(_answers(counted), "chunk"), model.unigrams), "numbered", "uncompressed")
+    release(spark)
+    remove(spark, folder)
+    dropped(counted)
+    for level in range(2, model.order + 1):
+        asked = stored(_ask_hot(state, model, level), "asked", "uncompressed")
+        counted = stored(_count(asked.union(table(model.hot_counts[level])) if fitted else asked, model.buckets, False), "hot")
         release(spark)
-        often = sorted((r["hh"], r["t"], *(r[m] for m in FEW), r["s"]) for r in often)
-        whole = np.array([r[0] for r in often], np.int64).astype(U64), np.array([r[1:] for r in often], float).reshape(len(often), TOP + 2)
-        found = ["b", "n", *([] if last else ["number"]), "tokens", *FEW, "seen"]
-        answers = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct(*found)).alias("pairs"))
-        run = _answered(decode, lower, model, whole, starts, buckets, hot, words.n, last)
-        schema = f"id {kind}, {scores}" if last else f"chunk long, ids array<{kind}>, " + ", ".join(f"{x} binary" for x in KEPT)
-        state = stored(state.join(answers, "chunk").mapInArrow(lean(run), schema), "scores" if last else "events", "snappy" if last else "uncompressed")
+        after = stored(_know_hot(state.join(_answers(counted), "chunk", "left"), model, level), "numbered", "uncompressed")
         release(spark)
-        if level == 2:
-            remove(spark, folder)
-        dropped(pairs, *held)
-        decode, lower, held = _kept, _same, [state]
-    return state.withColumnRenamed("id", id_col)
+        if not fitted:
+            model.hot_counts[level] = stored(counted.where("chunk < 0").select(*ASK_COLUMNS, "stats"), "hot")
+        dropped(state, asked, counted)
+        state = after
+    return state
+
+
+def _dealt(t: Tokens, model: Model, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens ``at`` in the order of their buckets, and the buckets of all."""
+    depth = t.depth[at]
+    key = np.zeros(len(at), U64)
+    for d in range(model.order - 1):
+        key = np.where(depth == d, t.keys[d + 1][at], key)
+    key = np.where(depth == model.order - 1, t.events(model.order)[at], key)
+    b = (key % U64(model.buckets)).astype(np.int64)
+    past = [np.where(h[at] == START, 0, np.roll(t.local, j)[at] + 1).astype(U64) for j, h in enumerate(t.before[:2], 1)]
+    low = past[0] << U64(22) | (past[1] if len(past) > 1 else U64(0))
+    order = np.argsort(b.astype(U64) << U64(44) | low & U64((1 << 44) - 1))
+    return at[order], b[order]
+
+
+def _bucket_rows(t: Tokens, model: Model, at: np.ndarray, b: np.ndarray, columns: list[np.ndarray], chunk: int) -> list[tuple]:
+    new = np.flatnonzero(np.diff(b, prepend=-1))
+    return [(int(b[x]), chunk, *(pack(c[at[x:y]]) for c in columns)) for x, y in zip(new.tolist(), np.append(new[1:], len(b))[: len(new)].tolist(), strict=True)]
+
+
+def _history_names(order: int) -> list[str]:
+    return [f"h{j}" for j in range(1, order)]
+
+
+def _fit_buckets(state: DataFrame, model: Model) -> DataFrame:
+    """A row a bucket: its training n-grams of the longest kind with their counts, what is known of them below the bucket's level, and the counts of counts of each level."""
+    order = model.order
+    names = ["b", "chunk", *_history_names(order), "w", "depth", *(f"c{i}" for i in range(1, order))]
+    bare = model.bare()
+
+    def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
+        at, b = _dealt(t, bare, np.flatnonzero(t.train[t.doc].astype(bool) & (t.depth < order - 1)))
+        columns = [*t.before, t.word, t.depth, *t.counts[: order - 1]]
+        yield _batch(_bucket_rows(t, bare, at, b, columns, row["chunk"]), names, [pa.int32(), pa.int64(), *[pa.binary()] * (2 * order)])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = [np.concatenate([unpack(x) for x in table[name].to_pylist()]) for name in names[2:]]
+        every = Grams(order, columns[: order - 1], columns[order - 1], columns[order], np.ones(len(columns[0]), np.int64))
+        first, n = every.first[order], every.n[order]
+        stats = [x for level in range(2, order + 1) for x in _stats(every.n[level])]
+        packed = [pack(c[every.some(order)][first]) for c in columns]
+        out = _batch([(key[0].as_py(), *packed, pack(n), stats)], [names[0], *names[2:], "n", "stats"], [pa.int32(), *[pa.binary()] * (2 * order + 1), pa.list_(pa.int64())])
+        del every, columns
+        tidy()
+        return pa.Table.from_batches([out])
 
+    asked = _per_chunk(state, bare, make, "b int, chunk long, " + ", ".join(f"{x} binary" for x in names[2:]))
+    return asked.groupBy("b").applyInArrow(run, "b int, " + ", ".join(f"{x} binary" for x in [*names[2:], "n"]) + ", stats array<long>")
 
-def _same(p: np.ndarray) -> np.ndarray:
-    return p
 
+class Grams:
+    """Distinct n-grams of a bucket by level: sorted keys, counts, places of one of each, and the same of their histories."""
 
-def _answered(decode: Callable[..., Chunk], lower: Callable[[np.ndarray], np.ndarray], model: Level, whole: tuple[np.ndarray, np.ndarray], starts: int, buckets: int, hot: float, n_train: int, last: bool):
-    """A level's probabilities from its buckets' answers: scores of documents after the last level, before it what the next one starts from."""
+    def __init__(self, order: int, before: list[np.ndarray], word: np.ndarray, depth: np.ndarray, n: np.ndarray):
+        self.order, self.depth = order, depth.astype(np.int64)
+        key = np.zeros(len(word), U64)
+        self.keys, self.n, self.first, self.which, self.histories, self.of, self.tokens, self.few = ({} for _ in range(8))
+        for level in range(2, order + 1):
+            key = extend(key, before[level - 2])
+            at = self.some(level)
+            event = extend(key[at], word[at])
+            self.keys[level], self.first[level], self.which[level] = np.unique(event, return_index=True, return_inverse=True)
+            count = self.n[level] = np.bincount(self.which[level], n[at], len(self.keys[level])).astype(np.int64)
+            self.histories[level], own = np.unique(key[at][self.first[level]], return_inverse=True)
+            size = len(self.histories[level])
+            self.of[level], self.tokens[level] = own, np.bincount(own, count, size)
+            self.few[level] = np.stack([np.bincount(own, count == r, size) for r in range(1, TOP + 1)], 1) if size else np.zeros((0, TOP))
+
+    def some(self, level: int) -> np.ndarray:
+        """Those whose history of this level is in the bucket whole."""
+        return np.flatnonzero(self.depth + 2 <= level)
+
+
+def _weigh(raw: DataFrame, model: Model) -> DataFrame:
+    """The buckets' n-grams and counts with the backoff weight of every history, level by level."""
+    order, bare = model.order, model.bare()
+    past = _history_names(order)
+    names = ["b", *past, "w", "depth", "n", *(f"weight{level}" for level in range(2, order + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, *packed, found = (batch.column(k)[i].as_py() for k in (0, *range(2, batch.num_columns)))
-                known = decode(*packed)
-                gh, _, low, hot_pair, _, which = _pairs(known, starts, buckets, hot)
-                found = sorted(found, key=lambda a: a["b"])
-                together = lambda name: np.concatenate([unpack(a[name]) for a in found])
-                n = together("n").astype(np.int64)
-                cuts = np.cumsum([0, *(len(unpack(a["n"])) for a in found)])
-                new = np.ones(len(gh), bool)
-                new[1:] = gh[1:] != gh[:-1]
-                new[cuts[:-1]] = True
-                at = np.cumsum(new) - 1
-                info = np.stack([together(name).astype(float) for name in ("tokens", *FEW, "seen")], 1)[at]
-                if hot_pair.any():
-                    info[hot_pair] = whole[1][np.searchsorted(whole[0], gh[hot_pair])]
-                p = model.prob(n, lower(low), info[:, 0], info[:, 1 : TOP + 1], info[:, TOP + 1])
-                size = known.size
-                if last:
-                    total = np.bincount(np.repeat(np.arange(len(size)), size), np.log10(p)[which], len(size))
-                    columns = [batch.column(1)[i].values, pa.array(known.train), pa.array(size), pa.array(known.known), pa.array(np.full(len(size), n_train)), pa.array(known.base), pa.array(total)]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                else:
-                    kept = [size, known.train.astype(np.uint8), known.known, known.base, known.word, which, together("number"), n, p]
-                    columns = [pa.array([chunk]), batch.column(1).slice(i, 1), *(pa.array([pack(x)], pa.binary()) for x in kept)]
-                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", *KEPT])
-
-    return run
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                x = {k: unpack(v) for k, v in row.items() if isinstance(v, bytes)}
+                g = Grams(order, [x[h] for h in past], x["w"], x["depth"], x["n"])
+                p, key, weights = bare.unigrams.prob(x["c1"]), np.zeros(len(g.depth), U64), []
+                for level in range(2, order + 1):
+                    key = extend(key, x[past[level - 2]])
+                    if level < order:
+                        p = _after_hot(bare, level, g.depth >= level - 1, key, x[f"c{level}"].astype(np.int64), p)
+                    at, first, own = g.some(level), g.first[level], g.of[level]
+                    total, left = bare.levels[level].totals(g.tokens[level], g.few[level])
+                    seen = np.bincount(own, p[at[first]], len(total))
+                    weights.append(bare.levels[level].weights(left, seen))
+                    p[at] = bare.levels[level].own(g.n[level], total[own])[g.which[level]]
+                packed = [row[k] for k in names[1 : order + 3]] + [pack(w) for w in weights]
+                yield _batch([(row["b"], *packed)], names, [pa.int32(), *[pa.binary()] * (len(names) - 1)])
+
+    return raw.drop("stats").mapInArrow(lean(run), "b int, " + ", ".join(f"{x} binary" for x in names[1:]))
+
+
+def _hot_sums(model: Model, level: int) -> Hot:
+    """The hot histories of a level, from the table of their counts; at most MOST_HOT rows."""
+    bare = model.bare()
+    few = [f"m{r}" for r in range(1, TOP + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = unpack(n).astype(np.int64)
+                more = unpack(more).reshape(2 * level - 2, len(n))
+                p = bare.unigrams.prob(more[level - 1])
+                for k in range(2, level):
+                    p = _after_hot(bare, k, np.ones(len(n), bool), more[k - 2].astype(U64), more[level + k - 2].astype(np.int64), p)
+                keys, own = np.unique(more[level - 2].astype(U64), return_inverse=True)
+                counts = [np.bincount(own, x, len(keys)).astype(np.int64) for x in (n, *(n == r for r in range(1, TOP + 1)))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts), pa.array(np.bincount(own, p, len(keys)))], ["h", "t", *few, "seen"])
+
+    parts = model.hot_counts[level].select("n", "more").where("more is not null").mapInArrow(lean(run), "h long, t long, " + ", ".join(f"{m} long" for m in few) + ", seen double")
+    found = parts.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("t", *few, "seen"))).collect()
+    keys = np.array([r["h"] for r in found], np.int64).view(U64)
+    order = np.argsort(keys)
+    x = np.array([[r[c] for c in ("t", *few, "seen")] for r in found], float).reshape(len(found), TOP + 2)[order]
+    total, left = model.levels[level].totals(x[:, 0], x[:, 1 : TOP + 1])
+    return Hot(keys[order], total, model.levels[level].weights(left, x[:, TOP + 1]))
+
+
+def _fit(state: DataFrame, model: Model) -> None:
+    spark = state.sparkSession
+    raw = stored(_fit_buckets(state, model), "grams", "uncompressed")
+    release(spark)
+    width = TOP + 3
+    sums = _sum_stats(raw) or [0] * width * (model.order - 1)
+    for level in range(2, model.order + 1):
+        hot = _sum_stats(model.hot_counts[level]) or [0] * width
+        whole = [a + b for a, b in zip(sums[(level - 2) * width : (level - 1) * width], hot, strict=True)]
+        model.levels[level] = Level(whole[2:])
+        model.hot[level] = _hot_sums(model, level)
+    model.folder = fresh_dir(spark, "model")
+    _weigh(raw, model).write.option("compression", "uncompressed").partitionBy("b").parquet(model.folder)
+    dropped(raw)
+
+
+def _load(folder: str, b: int, order: int) -> tuple[Grams, list[np.ndarray]]:
+    """A bucket of the model: its n-grams and its histories' backoff weights."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/b={b}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    none = np.zeros(0, np.int64)
+    if not files:
+        return Grams(order, [none] * (order - 1), none, none, none), [none.astype(float)] * (order - 1)
+    with fs.open_input_file(files[0]) as source:
+        row = pq.read_table(source).to_pylist()[0]
+    x = {k: unpack(v) for k, v in row.items() if isinstance(v, bytes)}
+    return Grams(order, [x[h] for h in _history_names(order)], x["w"], x["depth"], x["n"]), [x[f"weight{level}"] for level in range(2, order + 1)]
+
+
+SCORES = "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
+    """(chunk, doc, s): sums of -log10 by document from the buckets of one part."""
+    bare, order = model.bare(), model.order
+    names = ["b", "chunk", *_history_names(order), "w", "depth", "doc", "low", "p"]
+
+    def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
+        low, p = t.lower(bare), t.doc
+        at, b = _dealt(t, bare, np.arange(len(t.word)))
+        mine = b % PASSES == part
+        at, b = at[mine], b[mine]
+        rows = []
+        for x in _bucket_rows(t, bare, at, b, [*t.before, t.word, t.depth, p, np.arange(len(t.word))], row["chunk"]):
+            values, which = np.unique(low[unpack(x[-1]).astype(np.int64)], return_inverse=True)
+            rows.append((*x[:-1], pack(which), pack(values)))
+        yield _batch(rows, names, [pa.int32(), pa.int64(), *[pa.binary()] * (order + 4)])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        grams, weights = _load(bare.folder, key[0].as_py(), order)
+        column = lambda name: [unpack(x) for x in table[name].to_pylist()]
+        docs = column("doc")
+        past, word, depth = [np.concatenate(column(h)) for h in _history_names(order)], np.concatenate(column("w")), np.concatenate(column("depth"))
+        p = np.concatenate([v[i.astype(np.int64)] for i, v in zip(column("low"), column("p"), strict=True)])
+        history = np.zeros(len(word), U64)
+        for level in range(2, order + 1):
+            history = extend(history, past[level - 2])
+            at = np.flatnonzero(depth + 2 <= level)
+            keys, events = grams.histories[level], grams.keys[level]
+            if not len(at) or not len(keys):
+                continue
+            total, _ = bare.levels[level].totals(grams.tokens[level], grams.few[level])
+            h = np.minimum(np.searchsorted(keys, history[at]), len(keys) - 1)
+            known = keys[h] == history[at]
+            at, h = at[known], h[known]
+            event = extend(history[at], word[at])
+            e = np.minimum(np.searchsorted(events, event), len(events) - 1)
+            n = np.where(events[e] == event, grams.n[level][e], 0)
+            p[at] = np.where(n > 0, bare.levels[level].own(n, total[h]), weights[level - 2][h] * p[at])
+        lost = np.maximum(np.rint(-np.log10(p) * UNIT), 0).astype(np.int64)
+        rows, x = [], 0
+        for chunk, doc in zip(table["chunk"].to_pylist(), docs, strict=True):
+            own, which = np.unique(doc, return_inverse=True)
+            rows.append((chunk, pack(own), pack(np.bincount(which, lost[x : x + len(doc)], len(own)).astype(np.int64))))
+            x += len(doc)
+        del grams, weights, p, past, word, history
+        tidy()
+        return pa.Table.from_batches([_batch(rows, ["chunk", "doc", "s"], [pa.int64(), pa.binary(), pa.binary()])])
+
+    asked = _per_chunk(state, bare, make, "b int, chunk long, " + ", ".join(f"{x} binary" for x in names[2:]))
+    return asked.groupBy("b").applyInArrow(run, "chunk long, doc binary, s binary")
+
+
+def _scored(state: DataFrame, model: Model, id_col: str) -> DataFrame:
+    spark, n_train = state.sparkSession, model.unigrams.n
+    sums = []
+    for part in range(PASSES):
+        sums.append(stored(_score_buckets(state, model, part), "sums", "uncompressed"))
+        release(spark)
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.union(more)
+    kind = state.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, train, known, base = (unpack(batch.column(k)[i].as_py()) for k in range(2, 6))
+                total = np.zeros(len(size))
+                for found in batch.column(6)[i].as_py():
+                    total[unpack(found["doc"]).astype(np.int64)] -= unpack(found["s"]) / UNIT
+                columns = [batch.column(1)[i].values, pa.array(train.astype(bool)), *(pa.array(x.astype(np.int64)) for x in (size, known)), pa.array(np.full(len(size), n_train)), pa.array(base), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    found = every.groupBy("chunk").agg(F.collect_list(F.struct("doc", "s")).alias("sums"))
+    own = state.select("chunk", "ids", "size", "train", "known", "base").join(found, "chunk")
+    out = stored(own.mapInArrow(lean(run), f"id {kind}, {SCORES}"), "scores")
+    release(spark)
+    dropped(state, *sums)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _begun(rows: DataFrame, order: int) -> Model:
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    sums = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
+    return Model(order, min(MOST_BUCKETS, max(1, -(-(sums[0] or 0) // BUCKET))), starts=sums[1] or 0)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> Model:
+    """A model of all documents given; ``order`` words, 2 at least, make the longest n-gram."""
+    rows = _rows(docs, F.lit(True), id_col, text_col)
+    model = _begun(rows, order)
+    state = _numbered(rows, model)
+    if state.columns[0] != "chunk":
+        raise ValueError("there is nothing to learn from")
+    _fit(state, model)
+    dropped(state)
+    return model
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those where ``train`` holds; documents are numbered once for both."""
+    rows = _rows(docs, train, id_col, text_col)
+    model = _begun(rows, order)
+    state = _numbered(rows, model)
+    if state.columns[0] != "chunk":
+        return state.withColumnRenamed("id", id_col)
+    _fit(state, model)
+    out = _scored(state, model, id_col)
+    model.drop()
+    return out

@@ -501,3 +501,23 @@ def test_regular_long_words(spark, ranks, encoding):
     flat = {(d, p): np.frombuffer(r["ids"], "<u2")[a:b].tolist() for r in packed for d, p, a, b in zip(r["doc_ids"], r["parts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True)}
     for i, t in rows:
         assert [x for p in range(sum(d == i for d, _ in flat)) for x in flat[i, p]] == encoding.encode_ordinary(t)
+
+
+@pytest.mark.parametrize(("bucket", "chunk", "hot"), [(1 << 24, 1 << 22, 1024), (2000, 3000, 8)])
+def test_katz_model_scores_other_texts(docs, monkeypatch, bucket, chunk, hot):
+    for name, v in (("BUCKET", bucket), ("CHUNK", chunk), ("HOT", hot)):
+        monkeypatch.setattr(katz, name, v)
+    train = langid.fold("doc_id", 7) != 2
+    want = by_id(katz.score(docs, train, order=3))
+    model = katz.fit(docs.where(train), order=3)
+    got = by_id(model.score(docs))
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == tuple(want[i][c] for c in ("n_tokens", "n_known", "train_tokens"))
+        assert (r["score"], r["base_score"]) == pytest.approx((want[i]["score"], want[i]["base_score"]))
+    other = by_id(model.score(docs.sparkSession.createDataFrame([(1, "never seen words here"), (2, None)], "doc_id long, text string")))
+    assert other[1]["n_known"] == 1 and other[1]["score"] < other[2]["score"] < 0
+    assert model.score(empty(docs)).count() == 0
+    model.drop()
+    with pytest.raises(ValueError):
+        katz.fit(empty(docs))
