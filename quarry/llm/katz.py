@@ -76,6 +76,26 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, a place of each, and which of them every key is."""
+    order = np.argsort(keys)
+    line = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = line[1:] != line[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return line[new], order[new], which
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, one at least, and which are there; asked in order, for the cache's sake."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(keys, wanted[order])
+    at = np.minimum(at, len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def discounts(of: list[int]) -> np.ndarray:
     """Good-Turing factors for counts 0..TOP from the numbers of events seen 1..TOP + 1 times; 1 where the estimate isn't between 0 and 1."""
     d = np.ones(TOP + 1)
@@ -235,7 +255,7 @@ def _count(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         b, chunk = key[0].as_py(), t["chunk"].to_pylist()
         keys = [unpack(x) for x in t["key"].to_pylist()]
-        every, at, place = np.unique(np.concatenate(keys).astype(U64), return_index=True, return_inverse=True)
+        every, at, place = groups(np.concatenate(keys).astype(U64))
         c = np.bincount(place, np.concatenate([unpack(x) for x in t["n"].to_pylist()]), len(every)).astype(np.int64)
         number = np.full(len(every), UNKNOWN)
         if numbered:  # frequent words first; numbers are unique over all buckets
@@ -304,17 +324,15 @@ class Tokens:
 
     def __init__(self, row: dict, order: int, starts: int, limit: float):
         self.size, self.train, word, number, count = (unpack(row[x]).astype(np.int64) for x in ("size", "train", "word", "number", "count"))
-        self.local, self.word = word, number[word]
+        self.local, self.word, self.order = word, number[word], order
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        at = np.arange(len(word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.before = [np.where(at >= j, np.roll(self.word, j), START) for j in range(1, order)]
-        self.keys = [np.zeros(len(word), U64)]  # of the histories of 0, 1, ... words
-        for h in self.before:
-            self.keys.append(extend(self.keys[-1], h))
+        self.at = np.arange(len(word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         self.counts = [count[word]]  # of the last 1, 2, ... words, from 2 on only where the history is hot
         hot, self.depth, level = np.ones(len(word), bool), np.zeros(len(word), np.int64), 2
         while level <= order:
-            hot = hot & (np.where(at > 0, np.roll(self.counts[-1], 1), starts) > limit)
+            before = np.empty(len(word), np.int64)
+            before[1:] = self.counts[-1][:-1]
+            hot = hot & (np.where(self.at > 0, before, starts) > limit)
             self.hot = hot  # of the first level that isn't known, at the end
             if f"c{level}" not in row:
                 break
@@ -324,20 +342,30 @@ class Tokens:
             self.depth += hot
             level += 1
 
-    def events(self, level: int) -> np.ndarray:
-        return extend(self.keys[level - 1], self.word)
+    def before(self, j: int, where: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+        """The words j places before the tokens ``where`` (or what else ``names`` has of each token)."""
+        return np.where(self.at[where] >= j, (self.word if names is None else names)[np.maximum(where - j, 0)], START)
+
+    def keys(self, words: int, where: np.ndarray) -> list[np.ndarray]:
+        """Of the histories of 1, ... words of the tokens ``where``."""
+        out = [np.zeros(len(where), U64)]
+        for j in range(1, words + 1):
+            out.append(extend(out[-1], self.before(j, where)))
+        return out[1:]
 
     def lower(self, model: Model) -> np.ndarray:
         """The probability of each token after the longest hot history."""
         p = model.unigrams.prob(self.counts[0])
         for level, c in enumerate(self.counts[1:], 2):
-            p = _after_hot(model, level, self.depth >= level - 1, self.keys[level - 1], c, p)
+            at = np.flatnonzero(self.depth >= level - 1)
+            p = _after_hot(model, level, at, self.keys(level - 1, at)[-1], c, p)
         return p
 
 
 def _after_hot(model: Model, level: int, where: np.ndarray, keys: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """p with the probabilities of this level at the places ``where``, whose histories have these keys."""
     out, own = p.copy(), model.hot[level]
-    at = np.searchsorted(own.keys, keys[where])
+    at = np.searchsorted(own.keys, keys)
     out[where] = np.where(c[where] > 0, model.levels[level].own(c[where], own.total[at]), own.weight[at] * p[where])
     return out
 
@@ -360,10 +388,10 @@ def _ask_hot(state: DataFrame, model: Model, level: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(t.hot)
-        keys, first, which = np.unique(t.events(level)[at], return_index=True, return_inverse=True)
-        first = at[first]
+        histories = t.keys(level - 1, at)
+        keys, first, which = groups(extend(histories[-1], t.word[at]))
         n = np.bincount(which, t.train[t.doc[at]], len(keys)).astype(np.int64)
-        more = [*(k[first] for k in t.keys[1:level]), *(c[first].astype(U64) for c in t.counts)]
+        more = [*(k[first] for k in histories), *(c[at[first]].astype(U64) for c in t.counts)]
         yield _batch(_asks(row["chunk"], keys, n, more, buckets), ASK_COLUMNS, ASK_KINDS)
 
     return _per_chunk(state, model, make, ASKED)
@@ -376,8 +404,8 @@ def _know_hot(state: DataFrame, model: Model, level: int) -> DataFrame:
     def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
         c = np.zeros(0, np.int64)
         if t.hot.any():
-            _, which = np.unique(t.events(level)[t.hot], return_inverse=True)
-            c = _together(row["found"], "n")[which]
+            at = np.flatnonzero(t.hot)
+            c = _together(row["found"], "n")[groups(extend(t.keys(level - 1, at)[-1], t.word[at]))[2]]
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([pack(c)], pa.binary())], [*names, f"c{level}"])
 
     return _per_chunk(state, model, make, f"{kinds}, c{level} binary")
@@ -418,23 +446,27 @@ def _numbered(rows: DataFrame, model: Model) -> DataFrame:
     return state
 
 
-def _dealt(t: Tokens, model: Model, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens ``at`` in the order of their buckets, and the buckets of all."""
-    depth = t.depth[at]
-    key = np.zeros(len(at), U64)
-    for d in range(model.order - 1):
-        key = np.where(depth == d, t.keys[d + 1][at], key)
-    key = np.where(depth == model.order - 1, t.events(model.order)[at], key)
+def _dealt(t: Tokens, model: Model, at: np.ndarray, mine=lambda b: b >= 0) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens ``at`` that are ``mine`` in the order of their buckets, and the buckets of all."""
+    last = model.order - 1
+    key, depth = np.zeros(len(at), U64), t.depth[at]
+    for j in range(1, last + 1):
+        deep = np.flatnonzero(depth >= j - 1)
+        key[deep] = extend(key[deep], t.before(j, at[deep]))
+    key = np.where(depth == last, extend(key, t.word[at]), key)
     b = (key % U64(model.buckets)).astype(np.int64)
-    past = [np.where(h[at] == START, 0, np.roll(t.local, j)[at] + 1).astype(U64) for j, h in enumerate(t.before[:2], 1)]
-    low = past[0] << U64(22) | (past[1] if len(past) > 1 else U64(0))
-    order = np.argsort(b.astype(U64) << U64(44) | low & U64((1 << 44) - 1))
+    some = mine(b)
+    at, b = at[some], b[some]
+    line = b.astype(U64) << U64(22)
+    for j in (1, 2):
+        line = (line | (t.before(j, at, t.local + 1).astype(U64) & U64((1 << 22) - 1) if j <= last else U64(0))) << U64(22 * (j == 1))
+    order = np.argsort(line)
     return at[order], b[order]
 
 
-def _bucket_rows(t: Tokens, model: Model, at: np.ndarray, b: np.ndarray, columns: list[np.ndarray], chunk: int) -> list[tuple]:
+def _bucket_rows(b: np.ndarray, columns: list[np.ndarray], chunk: int) -> list[tuple]:
     new = np.flatnonzero(np.diff(b, prepend=-1))
-    return [(int(b[x]), chunk, *(pack(c[at[x:y]]) for c in columns)) for x, y in zip(new.tolist(), np.append(new[1:], len(b))[: len(new)].tolist(), strict=True)]
+    return [(int(b[x]), chunk, *(pack(c[x:y]) for c in columns)) for x, y in zip(new.tolist(), np.append(new[1:], len(b))[: len(new)].tolist(), strict=True)]
 
 
 def _history_names(order: int) -> list[str]:
@@ -449,8 +481,8 @@ def _fit_buckets(state: DataFrame, model: Model) -> DataFrame:
 
     def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
         at, b = _dealt(t, bare, np.flatnonzero(t.train[t.doc].astype(bool) & (t.depth < order - 1)))
-        columns = [*t.before, t.word, t.depth, *t.counts[: order - 1]]
-        yield _batch(_bucket_rows(t, bare, at, b, columns, row["chunk"]), names, [pa.int32(), pa.int64(), *[pa.binary()] * (2 * order)])
+        columns = [*(t.before(j, at) for j in range(1, order)), *(x[at] for x in (t.word, t.depth, *t.counts[: order - 1]))]
+        yield _batch(_bucket_rows(b, columns, row["chunk"]), names, [pa.int32(), pa.int64(), *[pa.binary()] * (2 * order)])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         columns = [np.concatenate([unpack(x) for x in table[name].to_pylist()]) for name in names[2:]]
@@ -478,9 +510,9 @@ class Grams:
             key = extend(key, before[level - 2])
             at = self.some(level)
             event = extend(key[at], word[at])
-            self.keys[level], self.first[level], self.which[level] = np.unique(event, return_index=True, return_inverse=True)
+            self.keys[level], self.first[level], self.which[level] = groups(event)
             count = self.n[level] = np.bincount(self.which[level], n[at], len(self.keys[level])).astype(np.int64)
-            self.histories[level], own = np.unique(key[at][self.first[level]], return_inverse=True)
+            self.histories[level], _, own = groups(key[at][self.first[level]])
             size = len(self.histories[level])
             self.of[level], self.tokens[level] = own, np.bincount(own, count, size)
             self.few[level] = np.stack([np.bincount(own, count == r, size) for r in range(1, TOP + 1)], 1) if size else np.zeros((0, TOP))
@@ -506,7 +538,8 @@ def _weigh(raw: DataFrame, model: Model) -> DataFrame:
                 for level in range(2, order + 1):
                     key = extend(key, x[past[level - 2]])
                     if level < order:
-                        p = _after_hot(bare, level, g.depth >= level - 1, key, x[f"c{level}"].astype(np.int64), p)
+                        deep = np.flatnonzero(g.depth >= level - 1)
+                        p = _after_hot(bare, level, deep, key[deep], x[f"c{level}"].astype(np.int64), p)
                     at, first, own = g.some(level), g.first[level], g.of[level]
                     total, left = bare.levels[level].totals(g.tokens[level], g.few[level])
                     seen = np.bincount(own, p[at[first]], len(total))
@@ -530,8 +563,8 @@ def _hot_sums(model: Model, level: int) -> Hot:
                 more = unpack(more).reshape(2 * level - 2, len(n))
                 p = bare.unigrams.prob(more[level - 1])
                 for k in range(2, level):
-                    p = _after_hot(bare, k, np.ones(len(n), bool), more[k - 2].astype(U64), more[level + k - 2].astype(np.int64), p)
-                keys, own = np.unique(more[level - 2].astype(U64), return_inverse=True)
+                    p = _after_hot(bare, k, np.arange(len(n)), more[k - 2].astype(U64), more[level + k - 2].astype(np.int64), p)
+                keys, _, own = groups(more[level - 2].astype(U64))
                 counts = [np.bincount(own, x, len(keys)).astype(np.int64) for x in (n, *(n == r for r in range(1, TOP + 1)))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts), pa.array(np.bincount(own, p, len(keys)))], ["h", "t", *few, "seen"])
 
@@ -582,14 +615,12 @@ def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
     names = ["b", "chunk", *_history_names(order), "w", "depth", "doc", "low", "p"]
 
     def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
-        low, p = t.lower(bare), t.doc
-        at, b = _dealt(t, bare, np.arange(len(t.word)))
-        mine = b % PASSES == part
-        at, b = at[mine], b[mine]
+        at, b = _dealt(t, bare, np.arange(len(t.word)), lambda b: b % PASSES == part)
+        values, which = np.unique(t.lower(bare)[at], return_inverse=True)
         rows = []
-        for x in _bucket_rows(t, bare, at, b, [*t.before, t.word, t.depth, p, np.arange(len(t.word))], row["chunk"]):
-            values, which = np.unique(low[unpack(x[-1]).astype(np.int64)], return_inverse=True)
-            rows.append((*x[:-1], pack(which), pack(values)))
+        for x in _bucket_rows(b, [*(t.before(j, at) for j in range(1, order)), *(x[at] for x in (t.word, t.depth, t.doc)), which], row["chunk"]):
+            own, which = np.unique(unpack(x[-1]), return_inverse=True)
+            rows.append((*x[:-1], pack(which), pack(values[own])))
         yield _batch(rows, names, [pa.int32(), pa.int64(), *[pa.binary()] * (order + 4)])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -606,12 +637,10 @@ def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
             if not len(at) or not len(keys):
                 continue
             total, _ = bare.levels[level].totals(grams.tokens[level], grams.few[level])
-            h = np.minimum(np.searchsorted(keys, history[at]), len(keys) - 1)
-            known = keys[h] == history[at]
+            h, known = find(keys, history[at])
             at, h = at[known], h[known]
-            event = extend(history[at], word[at])
-            e = np.minimum(np.searchsorted(events, event), len(events) - 1)
-            n = np.where(events[e] == event, grams.n[level][e], 0)
+            e, known = find(events, extend(history[at], word[at]))
+            n = np.where(known, grams.n[level][e], 0)
             p[at] = np.where(n > 0, bare.levels[level].own(n, total[h]), weights[level - 2][h] * p[at])
         lost = np.maximum(np.rint(-np.log10(p) * UNIT), 0).astype(np.int64)
         rows, x = [], 0
