@@ -353,14 +353,6 @@ class Tokens:
             out.append(extend(out[-1], self.before(j, where)))
         return out[1:]
 
-    def lower(self, model: Model) -> np.ndarray:
-        """The probability of each token after the longest hot history."""
-        p = model.unigrams.prob(self.counts[0])
-        for level, c in enumerate(self.counts[1:], 2):
-            at = np.flatnonzero(self.depth >= level - 1)
-            p = _after_hot(model, level, at, self.keys(level - 1, at)[-1], c, p)
-        return p
-
 
 def _after_hot(model: Model, level: int, where: np.ndarray, keys: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
     """p with the probabilities of this level at the places ``where``, whose histories have these keys."""
@@ -434,14 +426,14 @@ def _numbered(rows: DataFrame, model: Model) -> DataFrame:
     remove(spark, folder)
     dropped(counted)
     for level in range(2, model.order + 1):
-        asked = stored(_ask_hot(state, model, level), "asked", "uncompressed")
+        asked = _ask_hot(state, model, level)
         counted = stored(_count(asked.union(table(model.hot_counts[level])) if fitted else asked, model.buckets, False), "hot")
         release(spark)
         after = stored(_know_hot(state.join(_answers(counted), "chunk", "left"), model, level), "numbered", "uncompressed")
         release(spark)
         if not fitted:
             model.hot_counts[level] = stored(counted.where("chunk < 0").select(*ASK_COLUMNS, "stats"), "hot")
-        dropped(state, asked, counted)
+        dropped(state, counted)
         state = after
     return state
 
@@ -486,10 +478,12 @@ def _fit_buckets(state: DataFrame, model: Model) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         columns = [np.concatenate([unpack(x) for x in table[name].to_pylist()]) for name in names[2:]]
-        every = Grams(order, columns[: order - 1], columns[order - 1], columns[order], np.ones(len(columns[0]), np.int64))
+        every = Grams(order, columns[: order - 1], columns[order - 1], columns[order], np.ones(len(columns[0]), np.int64), histories=False)
         first, n = every.first[order], every.n[order]
         stats = [x for level in range(2, order + 1) for x in _stats(every.n[level])]
-        packed = [pack(c[every.some(order)][first]) for c in columns]
+        like = np.argsort(columns[0][first].astype(U64) << U64(32) ^ columns[min(1, order - 2)][first].astype(U64))  # like histories together take less room
+        first, n = first[like], n[like]
+        packed = [pack(c[first]) for c in columns]
         out = _batch([(key[0].as_py(), *packed, pack(n), stats)], [names[0], *names[2:], "n", "stats"], [pa.int32(), *[pa.binary()] * (2 * order + 1), pa.list_(pa.int64())])
         del every, columns
         tidy()
@@ -500,26 +494,31 @@ def _fit_buckets(state: DataFrame, model: Model) -> DataFrame:
 
 
 class Grams:
-    """Distinct n-grams of a bucket by level: sorted keys, counts, places of one of each, and the same of their histories."""
+    """Distinct n-grams of a bucket by level: sorted keys and counts, and the keys and tokens of their histories; for fitting also a place of each and which every row is."""
 
-    def __init__(self, order: int, before: list[np.ndarray], word: np.ndarray, depth: np.ndarray, n: np.ndarray):
-        self.order, self.depth = order, depth.astype(np.int64)
+    def __init__(self, order: int, before: list[np.ndarray], word: np.ndarray, depth: np.ndarray, n: np.ndarray, histories: bool = True, places: bool = True):
+        self.order, self.depth = order, depth.astype(np.uint8)
         key = np.zeros(len(word), U64)
-        self.keys, self.n, self.first, self.which, self.histories, self.of, self.tokens, self.few = ({} for _ in range(8))
+        self.keys, self.n, self.first, self.which, self.histories, self.of, self.tokens = ({} for _ in range(7))
         for level in range(2, order + 1):
             key = extend(key, before[level - 2])
             at = self.some(level)
-            event = extend(key[at], word[at])
-            self.keys[level], self.first[level], self.which[level] = groups(event)
-            count = self.n[level] = np.bincount(self.which[level], n[at], len(self.keys[level])).astype(np.int64)
-            self.histories[level], _, own = groups(key[at][self.first[level]])
-            size = len(self.histories[level])
-            self.of[level], self.tokens[level] = own, np.bincount(own, count, size)
-            self.few[level] = np.stack([np.bincount(own, count == r, size) for r in range(1, TOP + 1)], 1) if size else np.zeros((0, TOP))
+            self.keys[level], first, which = groups(extend(key[at], word[at]))
+            count = self.n[level] = np.bincount(which, n[at], len(self.keys[level])).astype(np.int64)
+            if places:
+                self.first[level], self.which[level] = first.astype(np.int32), which.astype(np.int32)
+            if histories:
+                self.histories[level], _, own = groups(key[at][first])
+                self.of[level], self.tokens[level] = own.astype(np.int32), np.bincount(own, count, len(self.histories[level]))
 
     def some(self, level: int) -> np.ndarray:
         """Those whose history of this level is in the bucket whole."""
-        return np.flatnonzero(self.depth + 2 <= level)
+        return np.flatnonzero(self.depth <= level - 2)
+
+    def totals(self, level: int, rules: Level) -> tuple[np.ndarray, np.ndarray]:
+        own, n = self.of[level], self.n[level]
+        few = np.stack([np.bincount(own[n == r], minlength=len(self.tokens[level])) for r in range(1, TOP + 1)], 1) if len(own) else np.zeros((0, TOP))
+        return rules.totals(self.tokens[level], few)
 
 
 def _weigh(raw: DataFrame, model: Model) -> DataFrame:
@@ -541,7 +540,7 @@ def _weigh(raw: DataFrame, model: Model) -> DataFrame:
                         deep = np.flatnonzero(g.depth >= level - 1)
                         p = _after_hot(bare, level, deep, key[deep], x[f"c{level}"].astype(np.int64), p)
                     at, first, own = g.some(level), g.first[level], g.of[level]
-                    total, left = bare.levels[level].totals(g.tokens[level], g.few[level])
+                    total, left = g.totals(level, bare.levels[level])
                     seen = np.bincount(own, p[at[first]], len(total))
                     weights.append(bare.levels[level].weights(left, seen))
                     p[at] = bare.levels[level].own(g.n[level], total[own])[g.which[level]]
@@ -599,11 +598,11 @@ def _load(folder: str, b: int, order: int) -> tuple[Grams, list[np.ndarray]]:
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/b={b}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
     none = np.zeros(0, np.int64)
     if not files:
-        return Grams(order, [none] * (order - 1), none, none, none), [none.astype(float)] * (order - 1)
+        return Grams(order, [none] * (order - 1), none, none, none, places=False), [none.astype(float)] * (order - 1)
     with fs.open_input_file(files[0]) as source:
         row = pq.read_table(source).to_pylist()[0]
     x = {k: unpack(v) for k, v in row.items() if isinstance(v, bytes)}
-    return Grams(order, [x[h] for h in _history_names(order)], x["w"], x["depth"], x["n"]), [x[f"weight{level}"] for level in range(2, order + 1)]
+    return Grams(order, [x[h] for h in _history_names(order)], x["w"], x["depth"], x["n"], places=False), [x[f"weight{level}"] for level in range(2, order + 1)]
 
 
 SCORES = "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -612,31 +611,31 @@ SCORES = "train boolean, n_tokens long, n_known long, train_tokens long, base_sc
 def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
     """(chunk, doc, s): sums of -log10 by document from the buckets of one part."""
     bare, order = model.bare(), model.order
-    names = ["b", "chunk", *_history_names(order), "w", "depth", "doc", "low", "p"]
+    past = _history_names(order)
+    names = ["b", "chunk", *past, "w", "depth", *(f"c{i}" for i in range(1, order + 1)), "doc"]
 
     def make(batch: pa.RecordBatch, t: Tokens, row: dict) -> Iterator[pa.RecordBatch]:
         at, b = _dealt(t, bare, np.arange(len(t.word)), lambda b: b % PASSES == part)
-        values, which = np.unique(t.lower(bare)[at], return_inverse=True)
-        rows = []
-        for x in _bucket_rows(b, [*(t.before(j, at) for j in range(1, order)), *(x[at] for x in (t.word, t.depth, t.doc)), which], row["chunk"]):
-            own, which = np.unique(unpack(x[-1]), return_inverse=True)
-            rows.append((*x[:-1], pack(which), pack(values[own])))
-        yield _batch(rows, names, [pa.int32(), pa.int64(), *[pa.binary()] * (order + 4)])
+        counts = [*t.counts, *[np.zeros(len(t.word), np.uint8)] * (order - len(t.counts))]
+        columns = [*(t.before(j, at) for j in range(1, order)), *(x[at] for x in (t.word, t.depth, *counts, t.doc))]
+        yield _batch(_bucket_rows(b, columns, row["chunk"]), names, [pa.int32(), pa.int64(), *[pa.binary()] * (2 * order + 2)])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams, weights = _load(bare.folder, key[0].as_py(), order)
         column = lambda name: [unpack(x) for x in table[name].to_pylist()]
         docs = column("doc")
-        past, word, depth = [np.concatenate(column(h)) for h in _history_names(order)], np.concatenate(column("w")), np.concatenate(column("depth"))
-        p = np.concatenate([v[i.astype(np.int64)] for i, v in zip(column("low"), column("p"), strict=True)])
-        history = np.zeros(len(word), U64)
+        before, word, depth = [np.concatenate(column(h)) for h in past], np.concatenate(column("w")), np.concatenate(column("depth"))
+        p, history = bare.unigrams.prob(np.concatenate(column("c1"))), np.zeros(len(word), U64)
         for level in range(2, order + 1):
-            history = extend(history, past[level - 2])
-            at = np.flatnonzero(depth + 2 <= level)
+            history = extend(history, before[level - 2])
+            deep = np.flatnonzero(depth >= level - 1)
+            if len(deep):
+                p = _after_hot(bare, level, deep, history[deep], np.concatenate(column(f"c{level}")).astype(np.int64), p)
+            at = np.flatnonzero(depth <= level - 2)
             keys, events = grams.histories[level], grams.keys[level]
             if not len(at) or not len(keys):
                 continue
-            total, _ = bare.levels[level].totals(grams.tokens[level], grams.few[level])
+            total, _ = grams.totals(level, bare.levels[level])
             h, known = find(keys, history[at])
             at, h = at[known], h[known]
             e, known = find(events, extend(history[at], word[at]))
@@ -648,7 +647,7 @@ def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
             own, which = np.unique(doc, return_inverse=True)
             rows.append((chunk, pack(own), pack(np.bincount(which, lost[x : x + len(doc)], len(own)).astype(np.int64))))
             x += len(doc)
-        del grams, weights, p, past, word, history
+        del grams, weights, p, before, word, history
         tidy()
         return pa.Table.from_batches([_batch(rows, ["chunk", "doc", "s"], [pa.int64(), pa.binary(), pa.binary()])])
 

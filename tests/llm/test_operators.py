@@ -515,7 +515,7 @@ def test_katz_model_scores_other_texts(docs, monkeypatch, bucket, chunk, hot):
     for i, r in got.items():
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == tuple(want[i][c] for c in ("n_tokens", "n_known", "train_tokens"))
         assert (r["score"], r["base_score"]) == pytest.approx((want[i]["score"], want[i]["base_score"]))
-    other = by_id(model.score(docs.sparkSession.createDataFrame([(1, "never seen such words"), (2, None)], "doc_id long, text string")))
+    other = by_id(model.score(docs.sparkSession.createDataFrame([(1, "never seen such texts"), (2, None)], "doc_id long, text string")))
     assert other[1]["n_known"] == 1 and other[1]["score"] < other[2]["score"] < 0
     assert model.score(empty(docs)).count() == 0
     model.drop()
