@@ -8,8 +8,9 @@ found by descending a segment tree whose leaves are the rooms 0..capacity.
 
 A packed row has the ids padded to the capacity, cumulative segment lengths
 (from 0 to the number of ids) and positions that restart at 0 with each
-segment.  ``write`` puts them into one matrix file a shard; ``round_trip`` has
-the packing tasks write these files and reads the rows back from them.
+segment.  ``write`` puts them into files, by shard: the id matrix and the
+segment lengths as .npy, the positions, which repeat themselves, as .npz;
+``round_trip`` has the packing tasks write these files and reads the rows back.
 
 Defined cases: null and empty texts have no ids and no segment; repeated rows
 and ids are packed each by itself, in the order of their parts; a capacity of 1
@@ -176,13 +177,20 @@ def digest(packed: DataFrame) -> DataFrame:
     return packed.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("positions_sha256", F.sha2("positions", 256)).drop("ids", "positions")
 
 
+def _name(kind: str, shard: int) -> str:
+    return f"{kind}-{shard:06d}.np{'z' if kind == 'positions' else 'y'}"
+
+
 def _save(folder: str, shard: int, files: dict[str, np.ndarray]) -> None:
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    for name, value in files.items():
+    for kind, value in files.items():
         out = io.BytesIO()
-        np.save(out, value)
-        path = f"{root}/{name}-{shard:06d}.npy"
+        if kind == "positions":
+            np.savez_compressed(out, positions=value)
+        else:
+            np.save(out, value)
+        path = f"{root}/{_name(kind, shard)}"
         part = f"{path}.{hashlib.sha256(out.getvalue()).hexdigest()[:8]}.part"
         with fs.open_output_stream(part) as f:
             f.write(out.getvalue())
@@ -195,9 +203,10 @@ def read(rows: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
 
-        def load(name: str, shard: int) -> np.ndarray:
-            with fs.open_input_stream(f"{root}/{name}-{shard:06d}.npy") as f:
-                return np.load(io.BytesIO(f.read()))
+        def load(kind: str, shard: int) -> np.ndarray:
+            with fs.open_input_stream(f"{root}/{_name(kind, shard)}") as f:
+                found = np.load(io.BytesIO(f.read()))
+            return found["positions"] if kind == "positions" else found
 
         for b in batches:
             for shard in b.column(0).to_pylist():
@@ -223,7 +232,7 @@ def round_trip(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
 
 
 def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
-    """Writes per shard the id matrix, the positions, and the cumulative segment lengths with the rows' offsets in them, as .npy files; returns (shard, rows).
+    """Writes per shard the id matrix, the positions, and the cumulative segment lengths with the rows' offsets in them, as files; returns (shard, rows).
 
     The files' names come from the shard, and a file appears whole by a rename, so a task may run again.
     """

@@ -224,7 +224,7 @@ def test_packing_files(docs, ranks, tmp_path):
     assert packing.write(packed, f"file://{tmp_path}/out", ranks).agg(F.sum("rows")).first()[0] == packed.count()
     ids, cu, offs = (np.load(tmp_path / "out" / f"{n}-000000.npy") for n in ("ids", "cu_seqlens", "cu_offsets"))
     assert ids.shape[1] == 64 and len(offs) == len(ids) + 1 and offs[-1] == len(cu)
-    assert np.load(tmp_path / "out" / "positions-000000.npy").shape == ids.shape
+    assert np.load(tmp_path / "out" / "positions-000000.npz")["positions"].shape == ids.shape
     assert packing.pack(empty(docs), ranks).count() == 0
     assert packing.digest(packed).columns[-2:] == ["ids_sha256", "positions_sha256"]
     with pytest.raises(ValueError):
