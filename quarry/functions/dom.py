@@ -8,6 +8,7 @@ formatting elements are continued in the next block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +64,27 @@ class Element:
                 stack.extend(reversed(n.children))
         return "".join(out)
 
+    def html(self) -> str:
+        """Its markup, itself included."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, tuple):
+                out.append(n[0])
+            elif isinstance(n, str):
+                out.append(escape(n, quote=False))
+            elif n.tag.startswith("#"):
+                stack.extend(reversed(n.children))
+            else:
+                out.append(f"<{n.tag}{''.join(f' {k}="{escape(v or "")}"' for k, v in n.attrs.items())}>")
+                if n.tag not in VOID:
+                    stack.append((f"</{n.tag}>",))
+                    if n.tag in ("script", "style"):
+                        stack.append(("".join(c for c in n.children if isinstance(c, str)),))
+                    else:
+                        stack.extend(reversed(n.children))
+        return "".join(out)
+
     def root(self) -> Element:
         e = self
         while e.parent is not None:

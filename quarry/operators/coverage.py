@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -67,7 +66,3 @@ def print_summary(summary: dict, coverage: list[tuple[str, float]]) -> str:
     """The console report of a run."""
     out = [f"Pages fetched: {summary['pages_fetched']}", f"Pages failed: {summary['pages_failed']}", f"Items: {summary['items_extracted']}"]
     return "\n".join([*out, *(f"  {f}: {100 * c:.0f}%" for f, c in sorted(coverage))])
-
-
-def to_json_line(item: dict) -> str:
-    return json.dumps(item, ensure_ascii=False)

@@ -176,7 +176,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
             requests = folder.put(f"requests-{n}-cut", requests.orderBy("seq").limit(room))
         ask, denied = requests, None
         if plan.robots is not None:
-            checked = with_robots(requests, plan.robots(requests) if callable(plan.robots) else plan.robots)
+            checked = folder.put(f"checked-{n}", with_robots(requests, plan.robots(requests) if callable(plan.robots) else plan.robots))
             ask = checked.where("allowed").drop("allowed")
             denied = checked.where("not allowed").select("url", "depth", "seq", F.lit(0).alias("status"), F.lit(False).alias("success"), F.lit("disallowed by robots.txt").alias("error"), F.lit(0).cast("long").alias("elapsed_ms"))
         pages = plan.fetcher.fetch(ask.drop("key"))

@@ -112,9 +112,11 @@ def reply_column(raw: Column) -> Column:
     """``parse_reply`` as a native expression."""
     text = F.regexp_replace(F.regexp_replace(raw, r"^\s*```\w*\s*", ""), r"\s*```\s*$", "")
     value = F.try_parse_json(text)
-    selector = F.try_variant_get(value, "$.selector", "string")
+    inside = F.try_variant_get(value, "$.selector", "variant")
+    text_only = F.when(F.schema_of_variant(inside) == "STRING", F.try_variant_get(value, "$.selector", "string"))
+    selector = F.when(F.regexp_replace(text_only, r"(?U)\s+", "") != "", text_only)
     other = F.nullif(F.regexp_extract(text, r'"selector"\s*:\s*"([^"]+)"', 1), F.lit(""))
-    return F.when(value.isNotNull(), F.when(F.trim(selector) != "", selector)).otherwise(other)
+    return F.when(value.isNotNull(), selector).otherwise(other)
 
 
 class HttpProvider:
@@ -186,14 +188,24 @@ def _some_item(i: int, test) -> Column:
     return F.exists("items", lambda x: test(x[f"f{i}"]))
 
 
+def _shown(page: Page, name: str, spec: FieldSpec | None, item_selector: str | None, known: dict[str, str]) -> str:
+    """The HTML that a provider sees: of the first item that lacks the field, else of the whole page."""
+    lacking = (s for s in _scopes(page, item_selector, known) if page.field(s, spec) is None) if spec else ()
+    return next(iter(lacking), page.document).html()[:SNIPPET]
+
+
+def _scopes(page: Page, item_selector: str | None, known: dict[str, str]) -> list:
+    scopes = page.scopes(item_selector)
+    if not scopes and item_selector and known.get(CONTAINER):
+        scopes = page.scopes(known[CONTAINER])
+    return scopes
+
+
 def _finds(page: Page, name: str, spec: FieldSpec | None, item_selector: str | None, known: dict[str, str], answer: str) -> bool:
     """Whether an answer finds something that the page lacks."""
     if spec is None:
         return bool(page.scopes(answer))
-    scopes = page.scopes(item_selector)
-    if not scopes and item_selector and known.get(CONTAINER):
-        scopes = page.scopes(known[CONTAINER])
-    return any(page.field(s, spec) is None and page.value(s, spec, answer) is not None for s in scopes)
+    return any(page.field(s, spec) is None and page.value(s, spec, answer) is not None for s in _scopes(page, item_selector, known))
 
 
 def _learn(missing: DataFrame, pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider) -> bool:
@@ -216,11 +228,12 @@ def _learn(missing: DataFrame, pages: DataFrame, fields: Fields, item_selector:
             spec = fields.get(r["field"])
             old = spec.selector if spec else item_selector
             try:
-                answer = provider.suggest(HealingRequest(r["html"][:SNIPPET], r["field"], old or "", r["url"], spec.description if spec else None))
+                page, known = Page(r["url"], r["html"]), cache.known.get(r["host"], {})
+                answer = provider.suggest(HealingRequest(_shown(page, r["field"], spec, item_selector, known), r["field"], old or "", r["url"], spec.description if spec else None))
                 if answer:
                     if spec is None or spec.kind in HEALABLE[:2]:
                         compile_selector(answer)
-                    if _finds(Page(r["url"], r["html"]), r["field"], spec, item_selector, cache.known.get(r["host"], {}), answer):
+                    if _finds(page, r["field"], spec, item_selector, known, answer):
                         cache.set(r["host"], r["field"], answer)
                         learnt = True
             except (SelectorError, OSError, RuntimeError, ValueError):

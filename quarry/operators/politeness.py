@@ -83,14 +83,6 @@ def multiplier(outcomes: Column) -> Column:
     return F.aggregate(outcomes, start, step, lambda a: a["m"])
 
 
-def outcome(status: Column, error: Column | None = None) -> Column:
-    """true for 2xx; false for 429, 5xx and requests without an answer; else null."""
-    failed = is_retryable(status) | (status == 0)
-    if error is not None:
-        failed = failed | error.isNotNull()
-    return F.when(status.between(200, 299), F.lit(True)).when(failed, F.lit(False))
-
-
 def adaptive_delay(events: DataFrame, base_ms: float, key: str = "host", order: str = "seq", ok: str = "ok") -> DataFrame:
     """(key, multiplier, delay_ms) after each key's events in order; the delay is at most 30 s."""
     line = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ok).alias("ok"))))

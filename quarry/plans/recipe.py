@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -15,7 +16,7 @@ from quarry.operators import coverage, heal
 from quarry.operators.crawl import Folder, Plan, Result, crawl
 from quarry.plans.spec import Fields, FieldSpec, Kind
 from quarry.sources import readers, sinks
-from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, HttpOptions, robots_by
+from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, HttpOptions, PageRenderer, robots_by
 
 Message = tuple[str, str]  # severity (error or warning), text
 
@@ -153,6 +154,7 @@ def _is_absolute(url: str) -> bool:
     return bool(p.scheme and (p.netloc or p.path))
 
 
+# The names that a recipe's file may use.
 PROVIDERS = ("none", "groq", "gemini", "ollama", "openai-compatible")
 FORMATS = ("json", "csv", "sqlite")
 
@@ -183,11 +185,11 @@ def validate(recipe: Recipe | None) -> list[Message]:
     if recipe.useBrowserRendering and (recipe.proxyPool or recipe.userAgentPool):
         warn("a rendering browser doesn't use the proxy or user agent pool")
     h = recipe.healing
-    names = [n.strip().lower() for n in (h.provider or "").split(",") if n.strip()]
+    names = [n.strip().lower() for n in (h.provider or "").split(",") if n.strip()] if h.provider != "none" else ["none"]
     if not names:
         warn("healing: the list of providers is empty")
     for n in names:
-        if n not in PROVIDERS:
+        if n not in PROVIDERS or (n == "none" and h.provider != "none"):
             error(f"healing: unknown provider {n}")
         elif n in ("groq", "gemini") and not h.apiKey:
             warn(f"healing: {n} needs an apiKey")
@@ -231,14 +233,18 @@ def seed_frame(spark: SparkSession, recipe: Recipe, sitemaps: DataFrame | None =
     return readers.seeds(spark, urls, [(s.url, s.method, form)] if s else [])
 
 
-def fetcher_of(spark: SparkSession, recipe: Recipe) -> Fetcher:
+def fetcher_of(spark: SparkSession, recipe: Recipe, renderer: Callable[[], PageRenderer] | None = None) -> Fetcher:
+    """Live fetching by the recipe; useBrowserRendering needs a renderer's maker, as no browser is part of this."""
+    if recipe.useBrowserRendering and renderer is None:
+        raise RecipeError("useBrowserRendering needs a renderer")
     proxies = recipe.proxyPool
     if recipe.proxyUsername:
         proxies = [p.replace("://", f"://{recipe.proxyUsername}:{recipe.proxyPassword or ''}@", 1) for p in proxies]
     options = HttpOptions(delay_ms=recipe.delayMilliseconds, adaptive=recipe.adaptiveThrottling, proxies=proxies, partitions=recipe.maxConcurrency)
     if recipe.userAgentPool:
         options.user_agents = recipe.userAgentPool
-    live = HttpFetcher(options)
+    options.screenshots = recipe.screenshotDirectory
+    live = HttpFetcher(options, renderer if recipe.useBrowserRendering else None)
     if recipe.cacheDirectory:
         try:
             return CachedFetcher(spark.read.parquet(recipe.cacheDirectory), live)
@@ -247,9 +253,9 @@ def fetcher_of(spark: SparkSession, recipe: Recipe) -> Fetcher:
     return live
 
 
-def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, name: str = "recipe") -> Result:
-    """Crawls by the recipe, writes its output and calls its webhook."""
-    fetcher = fetcher or fetcher_of(spark, recipe)
+def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, name: str = "recipe", renderer: Callable[[], PageRenderer] | None = None) -> Result:
+    """Crawls by the recipe, writes its output and calls its webhook; a stopped run goes on from its checkpoint."""
+    fetcher = fetcher or fetcher_of(spark, recipe, renderer)
     if isinstance(fetcher, CachedFetcher) and recipe.cacheDirectory:
         fetched = Folder(spark, None)
         fetcher.keep, fetcher.path = lambda pages: fetched.put(f"fresh-{uuid.uuid4().hex}", pages), recipe.cacheDirectory
@@ -261,7 +267,7 @@ def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, rob
         fields=recipe.specs(), fetcher=fetcher, item_selector=recipe.itemSelector, link_selector=recipe.linkSelector, auto_pagination=recipe.autoPagination and not recipe.linkSelector,
         max_depth=recipe.maxDepth if recipe.linkSelector or recipe.autoPagination else 0, max_pages=recipe.maxPages, normalize_urls=recipe.normalizeUrls,
         robots=(robots if robots is not None else robots_by(fetcher)) if recipe.respectRobotsTxt else None, deduplicate_by=recipe.deduplicateBy, provider=provider,
-        healing_cache=heal.HealingCache(f"{recipe.output.path}.healing.json") if provider else None, checkpoint=recipe.checkpointPath,
+        healing_cache=heal.HealingCache(f"{recipe.output.path}.healing.json") if provider else None, checkpoint=recipe.checkpointPath or f"{recipe.output.path}.checkpoint",
     )
     result = crawl(spark, seed_frame(spark, recipe, sitemaps), plan)
     sinks.fan_out(result.items.select(*recipe.fields), [sink_of(recipe)])

@@ -355,13 +355,13 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 50) * 1000.0 WHEN o_orderkey % 3 = 2 AND o_orderdate > TIMESTAMP '1995-01-01' THEN epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01')
-  ELSE 500 * power(2, o_orderkey % 4) END::DOUBLE wait_ms FROM (SELECT * FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderkey % 50 = 0))"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 50 > 0 THEN (o_orderkey % 50) * 1000.0 WHEN o_orderkey % 3 = 2 AND o_orderdate > TIMESTAMP '1995-01-01' THEN epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01')
+  ELSE 500 * power(2, o_orderkey % 4) END::DOUBLE wait_ms FROM orders"""
 )
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds for a third of the orders, a date for another, neither for the rest."""
+    """Seconds for a third of the orders (0 among them, which is no wait), a date for another, neither for the rest."""
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").where(~((key % 3 == 1) & (key % 50 == 0)))
+    orders = table(spark, sf_dir, "orders")
     wait = politeness.retry_delay_ms(
         (key % 4).cast("double"), 500, F.when(key % 3 == 1, key % 50), F.when(key % 3 == 2, F.col("o_orderdate").cast("timestamp")), F.lit("1995-01-01 00:00:00").cast("timestamp")
     )
@@ -488,7 +488,7 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     u = F.struct(key, F.concat(F.when(key % 10 == 0, "/c/").otherwise("http://x.example/c/"), key.cast("string")).alias("u"))
     maps = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(u)), lambda x: x["u"]).alias("l"))
-    xml = F.when(F.col("c_nationkey") == 3, "not xml at all").otherwise(_urlset(F.col("l")))
+    xml = F.when(F.col("c_nationkey") == 3, "plain words, no markup").otherwise(_urlset(F.col("l")))
     return readers.sitemap_urls(maps.select("c_nationkey", xml.alias("xml")), cap=40)
 
 
@@ -508,7 +508,7 @@ def sitemap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     k = key.cast("string")
-    line = F.when(key % 4 == 0, F.concat(F.lit(" \thttps://x.example/"), k, F.lit("  "))).when(key % 4 == 1, F.concat(F.lit("# http://x.example/"), k)).when(key % 4 == 2, "").otherwise(F.concat(F.lit("not a url "), k))
+    line = F.when(key % 4 == 0, F.concat(F.lit(" \thttps://x.example/"), k, F.lit("  "))).when(key % 4 == 1, F.concat(F.lit("# http://x.example/"), k)).when(key % 4 == 2, "").otherwise(F.concat(F.lit("words, no address "), k))
     return readers.seed_lines(table(spark, sf_dir, "customer").select(line.alias("value")))
 
 
@@ -582,11 +582,13 @@ def heal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.items_of(heal.heal(pages, fields, None, cache, None), fields).select("s_suppkey", "name")
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.a' || s_suppkey WHEN 1 THEN '.b' || s_suppkey WHEN 2 THEN '.c' || s_suppkey END selector FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN '.a' || s_suppkey WHEN 1 THEN '.b' || s_suppkey WHEN 2 THEN '.c' || s_suppkey END selector FROM supplier")
 def heal_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, key = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
+    """Plain, fenced and broken replies; null, a number, an object and white space are no selectors."""
+    k, key = F.col("s_suppkey") % 8, F.col("s_suppkey").cast("string")
     raw = F.when(k == 0, F.concat(F.lit('{"selector": ".a'), key, F.lit('", "confidence": 1}'))).when(k == 1, F.concat(F.lit('```json\n{"selector":".b'), key, F.lit('"}\n```')))
-    raw = raw.when(k == 2, F.concat(F.lit('It is "selector": ".c'), key, F.lit('" I think'))).when(k == 3, '{"selector": null}').otherwise("no idea")
+    raw = raw.when(k == 2, F.concat(F.lit('It is "selector": ".c'), key, F.lit('" I think'))).when(k == 3, '{"selector": null}').when(k == 4, F.concat(F.lit('{"selector": '), key, F.lit("}")))
+    raw = raw.when(k == 5, '{"selector": {"css": "b"}}').when(k == 6, '{"selector": " \\t\u2003"}').otherwise("no idea")
     return table(spark, sf_dir, "supplier").select("s_suppkey", heal.reply_column(raw).alias("selector"))
 
 

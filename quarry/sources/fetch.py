@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import time
 import urllib.error
 import urllib.parse
@@ -12,6 +14,7 @@ from email.utils import parsedate_to_datetime
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +36,21 @@ def _page(requests: DataFrame, status, html, error) -> DataFrame:
 
 
 class TableFetcher:
-    """Joins requests with a table (url, html[, status]); what isn't there fails with status 0."""
+    """Looks requests up in a table (url, html[, status]), one page a URL; what isn't there fails with status 0.
+
+    The table meets the requests in an inner join, of which Spark broadcasts the
+    requests as long as they are small, so the table is then scanned and not
+    shuffled; only what is asked for is joined back.
+    """
 
     def __init__(self, pages: DataFrame):
         status = F.col("status") if "status" in pages.columns else F.lit(200)
         self.pages = pages.select(F.col("url"), F.col("html").alias("__html"), status.alias("__status"), F.lit(True).alias("__there"))
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        found = requests.join(self.pages, "url", "left")
+        hits = self.pages.join(requests.select("url").distinct(), "url")
+        hits = hits.groupBy("url").agg(F.min(F.struct("__status", "__html", "__there")).alias("p")).select("url", "p.*")
+        found = requests.join(hits, "url", "left")
         status = F.coalesce("__status", F.lit(0))
         return _page(found, status, F.col("__html"), F.when(F.col("__there").isNull(), F.lit("not found")))
 
@@ -106,6 +116,8 @@ class PageRenderer(Protocol):
 
     def render(self, url: str) -> str: ...
 
+    # A renderer may also have screenshot(url) -> bytes, of the page that it has rendered last.
+
 
 @dataclass
 class HttpOptions:
@@ -118,6 +130,14 @@ class HttpOptions:
     proxies: list[str] = field(default_factory=list)
     adaptive: bool = False
     partitions: int = 8
+    screenshots: str | None = None  # folder for the renderer's pictures, one a page
+
+
+def _save_picture(renderer, folder: str, url: str) -> None:
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{hashlib.sha256(url.encode()).hexdigest()[:32]}.png") as f:
+        f.write(renderer.screenshot(url))
 
 
 class HttpFetcher:
@@ -153,6 +173,8 @@ class HttpFetcher:
                     if renderer is not None:
                         try:
                             status, html, error = 200, renderer.render(r["url"]), None
+                            if o.screenshots and hasattr(renderer, "screenshot"):
+                                _save_picture(renderer, o.screenshots, r["url"])
                         except Exception as e:  # whatever a renderer raises is a failed page
                             status, html, error = 0, None, str(e)
                     else:
@@ -202,7 +224,7 @@ def _get(r: dict, o: HttpOptions, cookies: str, n: int) -> tuple[int, str | None
     for attempt in range(o.max_retries + 1):
         handlers = [] if o.follow_redirects else [_Stay()]
         if o.proxies:
-            p = o.proxies[n % len(o.proxies)]
+            p = o.proxies[(n + attempt) % len(o.proxies)]
             handlers.append(urllib.request.ProxyHandler({"http": p, "https": p}))
         headers = {"User-Agent": o.user_agents[(n + attempt) % len(o.user_agents)]} | ({"Cookie": cookies} if cookies else {})
         data = urllib.parse.urlencode(dict(r["form"])).encode() if r["form"] else None

@@ -184,18 +184,18 @@ def test_providers(spark):
 
 
 def test_sinks(spark, tmp_path):
-    items = spark.createDataFrame([("Widget, Deluxe", "19.99"), ('a "q"', None)], "Name string, Price string")
+    items = spark.createDataFrame([("Kettle, small", "7.25"), ('a "q"', None)], "Product string, Cost string")
     p = str(tmp_path / "o.csv")
     sinks.OneFile(p, "csv").write(items)
     sinks.OneFile(p, "csv", append=True).write(items.limit(1))
-    assert open(p).read() == 'Name,Price\n"Widget, Deluxe",19.99\n"a ""q""",\n"Widget, Deluxe",19.99\n'
+    assert open(p).read() == 'Product,Cost\n"Kettle, small",7.25\n"a ""q""",\n"Kettle, small",7.25\n'
     sinks.OneFile(str(tmp_path / "o.jsonl")).write(items)
-    assert [json.loads(x)["Price"] for x in open(tmp_path / "o.jsonl")] == ["19.99", None]
+    assert [json.loads(x)["Cost"] for x in open(tmp_path / "o.jsonl")] == ["7.25", None]
     sinks.fan_out(items, [sinks.JsonLines(str(tmp_path / "j")), sinks.Csv(str(tmp_path / "c")), sinks.Sqlite(str(tmp_path / "d.sqlite")), sinks.Sqlite(str(tmp_path / "d.sqlite"))])
-    assert '"Price":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "j")).collect())
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "c")).distinct().collect()) == ['"Widget, Deluxe",19.99', '"a ""q""",', "Name,Price"]
+    assert '"Cost":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "j")).collect())
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "c")).distinct().collect()) == ['"Kettle, small",7.25', '"a ""q""",', "Product,Cost"]
     with sqlite3.connect(tmp_path / "d.sqlite") as db:
-        assert sorted(db.execute("select * from item")) == sorted([("Widget, Deluxe", "19.99"), ('a "q"', "")] * 2)
+        assert sorted(db.execute("select * from item")) == sorted([("Kettle, small", "7.25"), ('a "q"', "")] * 2)
     assert set(sinks.webhook_payload("r", {"pages_fetched": 1, "pages_failed": 0, "items_extracted": 2})) == {"recipe", "pagesFetched", "pagesFailed", "itemsExtracted", "finishedAtUtc"}
     assert sinks.notify("http://127.0.0.1:9/", {}, 1) is False
 
@@ -204,12 +204,12 @@ def test_sitemaps_and_seed_files(spark, tmp_path):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     rows = [
         (1, f"<urlset {ns}><url><loc> http://x.example/a </loc></url><url><loc>/rel</loc></url><url><loc>http://x.example/b</loc></url></urlset>"),
-        (2, "not xml at all"), (3, None), (4, '<s:urlset xmlns:s="urn:x"><s:url><s:loc>http://x.example/c</s:loc></s:url></s:urlset>'),
+        (2, "plain words, no markup"), (3, None), (4, '<s:urlset xmlns:s="urn:x"><s:url><s:loc>http://x.example/c</s:loc></s:url></s:urlset>'),
     ]
     df = spark.createDataFrame(rows, "id int, xml string")
     assert [(r["id"], r["loc"]) for r in readers.sitemap_urls(df).orderBy("id", "pos").collect()] == [(1, "http://x.example/a"), (1, "http://x.example/b"), (4, "http://x.example/c")]
     assert readers.sitemap_urls(df, cap=1).count() == 2
-    (tmp_path / "s.txt").write_text("# c\n\n https://a.example \nnot a url\nhttps://b.example/x\n")
+    (tmp_path / "s.txt").write_text("# c\n\n https://a.example \nwords, no address\nhttps://b.example/x\n")
     assert sorted(r[0] for r in readers.seed_file(spark, str(tmp_path / "s.txt")).collect()) == ["https://a.example", "https://b.example/x"]
 
 
