@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, fresh_dir, release, remove, small_batches, stored
+from quarry.llm._packed import find, groups, pack, unpack
 from quarry.llm._text import U64, Words, as_array, chunks, lean, mix, tidy
 
 TOP = 5  # counts above it are not discounted
@@ -56,44 +57,6 @@ PASSES = 2  # parts of the buckets that are scored one after the other, for less
 END = U64(0x9D39247E33776D41)
 UNIT = float(1 << 26)  # of the sums of -log10 that buckets send back
 START, UNKNOWN = 0, 1  # numbers of the start mark and of words without a count; others follow
-_ZSTD = pa.Codec("zstd", compression_level=1)
-
-
-def pack(a: np.ndarray) -> bytes:
-    """Unsigned integers or doubles: as narrow as they come, bytes of equal place together, compressed."""
-    if a.dtype.kind != "f":
-        a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
-    raw = np.ascontiguousarray(a.reshape(-1, 1).view(np.uint8).T).tobytes() if len(a) else b""
-    kind = {"uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "float64": 9}[a.dtype.name]
-    return bytes([kind]) + len(a).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    kind, n = np.dtype({1: "u1", 2: "u2", 4: "u4", 8: "u8", 9: "f8"}[raw[0]]), int.from_bytes(raw[1:9], "little")
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(_ZSTD.decompress(raw[9:], n * kind.itemsize), np.uint8).reshape(kind.itemsize, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, a place of each, and which of them every key is."""
-    order = np.argsort(keys)
-    line = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = line[1:] != line[:-1]
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return line[new], order[new], which
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in sorted keys, one at least, and which are there; asked in order, for the cache's sake."""
-    order = np.argsort(wanted)
-    at = np.empty(len(wanted), np.int64)
-    at[order] = np.searchsorted(keys, wanted[order])
-    at = np.minimum(at, len(keys) - 1)
-    return at, keys[at] == wanted
 
 
 def discounts(of: list[int]) -> np.ndarray:

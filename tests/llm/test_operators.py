@@ -56,22 +56,50 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_substring(docs, rows):
-    size = 6
+@pytest.mark.parametrize(("size", "bucket", "chunk"), [(6, 1 << 24, 1 << 22), (6, 2000, 1500), (2, 2000, 1500), (35, 2000, 1500)])
+def test_substring(docs, rows, monkeypatch, size, bucket, chunk):
+    for name, v in (("BUCKET", bucket), ("CHUNK", chunk)):
+        monkeypatch.setattr(substring, name, v)
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
     seen = Counter(tuple(w[k : k + size]) for w in words.values() for k in range(len(w) - size + 1))
-    for edge in (1, 3, 6):
-        got = by_id(substring.report(docs, substring.repeated(docs, size, edge)))
-        assert len(got) == len(rows)
-        for i, w in words.items():
-            gone = {k + j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(size)}
-            kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-            assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    cut = by_id(substring.remove(docs, substring.repeated(docs, size, 3)))
+    got = by_id(substring.report(docs, substring.repeated(docs, size)))
+    assert len(got) == len(rows)
+    for i, w in words.items():
+        gone = {k + j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(size)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_substring_edges(spark, docs):
+    cut = by_id(substring.remove(docs, substring.repeated(docs, 6)))
     assert cut[0]["text"] is None and cut[3]["text"] == "" and cut[9]["items"] == "c" and cut[6]["text"] == "  \n\t "
-    assert substring.report(empty(docs), substring.repeated(empty(docs), size, 3)).count() == 0
+    assert substring.report(empty(docs), substring.repeated(empty(docs), 3)).count() == 0
     twice = docs.union(docs)
-    assert substring.report(twice, substring.repeated(twice, size, 3)).where("n_words >= 6 and n_removed < n_words").count() == 0
+    assert substring.report(twice, substring.repeated(twice, 3)).where("n_words >= 3 and n_removed < n_words").count() == 0
+    with pytest.raises(ValueError):
+        substring.repeated(docs, 1)
+
+
+def test_substring_ids_that_are_null_or_repeat(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, f"{own('a', 5)} {passage}"), (1, own("b", 60)), (None, f"{passage} {own('c', 9)}"), (None, own("d", 50)), (1, f"{own('e', 70)} {passage}"), (2, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["n_words"], r["n_removed"]) for r in substring.report(docs, substring.repeated(docs)).collect())
+    assert got == [(1, 0), (45, 40), (49, 40), (50, 0), (60, 0), (110, 40)]
+    left = sorted(len((r["text"] or "").split()) for r in substring.remove(docs, substring.repeated(docs)).collect())
+    assert left == [1, 5, 9, 50, 60, 70]
+
+
+def test_substring_meetings_are_verified(docs, rows, monkeypatch):
+    """With edges of four bits nearly all meet; only those with equal words may cut anything, and digests see to it."""
+    real = substring.FIRST.grams
+    monkeypatch.setattr(type(substring.FIRST), "grams", lambda self, h, k: real(h, k) >> np.uint64(60) << np.uint64(60))
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
+    seen = Counter(tuple(w[k : k + 6]) for w in words.values() for k in range(len(w) - 5))
+    for i, r in by_id(substring.report(docs.coalesce(1), substring.repeated(docs.coalesce(1), 6))).items():
+        w = words[i]
+        assert r["n_removed"] <= len({k + j for k in range(len(w) - 5) if seen[tuple(w[k : k + 6])] > 1 for j in range(6)})
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50), (2, 100)])
@@ -493,7 +521,7 @@ def test_regular_long_words(spark, ranks, encoding):
     for i, t in rows:
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(encoding.encode_ordinary(t), "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    assert {r["n_removed"] for r in substring.report(docs, substring.repeated(docs, 3, 2)).collect()} == {0}
+    assert {r["n_removed"] for r in substring.report(docs, substring.repeated(docs, 3)).collect()} == {0}
     assert {i: r["component_id"] for i, r in by_id(jaccard.Join(docs, 3, 90).components()).items()} == {i: i for i, _ in rows}
     scored = by_id(katz.score(docs, F.col("doc_id") < 3))
     assert [scored[i]["n_known"] for i in (0, 3, 9, 10)] == [9, 5, 4, 1]
