@@ -48,7 +48,7 @@ from quarry.llm._packed import find, groups, pack, unpack
 from quarry.llm._text import U64, Words, as_array, chunks, lean, mix, tidy
 
 TOP = 5  # counts above it are not discounted
-HOT = 1024
+HOT = 256
 MOST_HOT = 1 << 20  # a level's hot histories, however many buckets there are
 CHUNK = 4 << 20
 BUCKET = 8 << 20
@@ -232,12 +232,12 @@ def _count(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
             count = len(width[0]) // len(keys[0])
             columns = [np.concatenate([x.reshape(count, -1)[i] for x in width]).astype(U64) for i in range(count)]
             more = pack(np.concatenate([x[at[some]] for x in columns]))
-        rows = [(b, k, None, pack(c[place[x:y]]), None, pack(number[place[x:y]]) if numbered else None, None) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True) if k >= 0]
-        rows.append((b, -1, pack(every[some]), pack(c[some]), more, None, _stats(c)))
+        rows = [(b, k, None, pack(c[place[x:y]]), None, pack(number[place[x:y]]) if numbered else None, None, None) for k, x, y in zip(chunk, cuts[:-1], cuts[1:], strict=True) if k >= 0]
+        rows.append((b, -1, pack(every[some]), pack(c[some]), more, None, _stats(c), int(c.max(initial=0))))
         tidy()
-        return pa.Table.from_batches([_batch(rows, [*ASK_COLUMNS, "number", "stats"], [*ASK_KINDS, pa.binary(), pa.list_(pa.int64())])])
+        return pa.Table.from_batches([_batch(rows, [*ASK_COLUMNS, "number", "stats", "most"], [*ASK_KINDS, pa.binary(), pa.list_(pa.int64()), pa.int64()])])
 
-    return asked.groupBy("b").applyInArrow(run, f"{ASKED}, number binary, stats array<long>")
+    return asked.groupBy("b").applyInArrow(run, f"{ASKED}, number binary, stats array<long>, most long")
 
 
 KEPT = ["size", "train", "known", "base", "word", "number", "count"]
@@ -387,8 +387,10 @@ def _numbered(rows: DataFrame, model: Model) -> DataFrame:
     state = stored(_know_words(part(0, CHUNK_COLUMNS).join(_answers(counted), "chunk"), model.unigrams), "numbered", "uncompressed")
     release(spark)
     remove(spark, folder)
-    dropped(counted)
     for level in range(2, model.order + 1):
+        if level not in model.hot_counts if fitted else max(model.starts, counted.agg(F.max("most")).first()[0] or 0) <= model.limit:
+            break  # no history of this length is hot, and no longer one
+        dropped(counted)
         asked = _ask_hot(state, model, level)
         counted = stored(_count(asked.union(table(model.hot_counts[level])) if fitted else asked, model.buckets, False), "hot")
         release(spark)
@@ -396,8 +398,9 @@ def _numbered(rows: DataFrame, model: Model) -> DataFrame:
         release(spark)
         if not fitted:
             model.hot_counts[level] = stored(counted.where("chunk < 0").select(*ASK_COLUMNS, "stats"), "hot")
-        dropped(state, counted)
+        dropped(state)
         state = after
+    dropped(counted)
     return state
 
 
@@ -499,7 +502,7 @@ def _weigh(raw: DataFrame, model: Model) -> DataFrame:
                 p, key, weights = bare.unigrams.prob(x["c1"]), np.zeros(len(g.depth), U64), []
                 for level in range(2, order + 1):
                     key = extend(key, x[past[level - 2]])
-                    if level < order:
+                    if level in bare.hot and level < order:
                         deep = np.flatnonzero(g.depth >= level - 1)
                         p = _after_hot(bare, level, deep, key[deep], x[f"c{level}"].astype(np.int64), p)
                     at, first, own = g.some(level), g.first[level], g.of[level]
@@ -546,10 +549,12 @@ def _fit(state: DataFrame, model: Model) -> None:
     width = TOP + 3
     sums = _sum_stats(raw) or [0] * width * (model.order - 1)
     for level in range(2, model.order + 1):
-        hot = _sum_stats(model.hot_counts[level]) or [0] * width
+        hot = _sum_stats(model.hot_counts[level]) if level in model.hot_counts else []
+        hot = hot or [0] * width
         whole = [a + b for a, b in zip(sums[(level - 2) * width : (level - 1) * width], hot, strict=True)]
         model.levels[level] = Level(whole[2:])
-        model.hot[level] = _hot_sums(model, level)
+        if level in model.hot_counts:
+            model.hot[level] = _hot_sums(model, level)
     model.folder = fresh_dir(spark, "model")
     _weigh(raw, model).write.option("compression", "uncompressed").partitionBy("b").parquet(model.folder)
     dropped(raw)
@@ -592,18 +597,19 @@ def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
         for level in range(2, order + 1):
             history = extend(history, before[level - 2])
             deep = np.flatnonzero(depth >= level - 1)
-            if len(deep):
+            if len(deep):  # only where the level has hot histories
                 p = _after_hot(bare, level, deep, history[deep], np.concatenate(column(f"c{level}")).astype(np.int64), p)
             at = np.flatnonzero(depth <= level - 2)
             keys, events = grams.histories[level], grams.keys[level]
             if not len(at) or not len(keys):
                 continue
             total, _ = grams.totals(level, bare.levels[level])
-            h, known = find(keys, history[at])
-            at, h = at[known], h[known]
             e, known = find(events, extend(history[at], word[at]))
-            n = np.where(known, grams.n[level][e], 0)
-            p[at] = np.where(n > 0, bare.levels[level].own(n, total[h]), weights[level - 2][h] * p[at])
+            seen, e = at[known], e[known]
+            p[seen] = bare.levels[level].own(grams.n[level][e], total[grams.of[level][e]])
+            at = at[~known]
+            h, known = find(keys, history[at])
+            p[at[known]] *= weights[level - 2][h[known]]
         lost = np.maximum(np.rint(-np.log10(p) * UNIT), 0).astype(np.int64)
         rows, x = [], 0
         for chunk, doc in zip(table["chunk"].to_pylist(), docs, strict=True):
