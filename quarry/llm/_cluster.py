@@ -76,6 +76,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """Documents and a column that tells them apart: their id or, where one is null or repeated, a row number in a stored table."""
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        return docs, id_col
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected links (a, b); nodes without a link are absent.
 
@@ -89,9 +96,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        # aggregates and what they are joined with are tables: plain exchanges on both sides, which Spark may split
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = (
             large.join(down, "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -99,7 +107,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         after = stored(small, "links")
-        dropped(links)
+        dropped(links, low, large, down)
         links = after
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v")).first()
         if state == seen:

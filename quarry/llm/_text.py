@@ -131,8 +131,8 @@ def as_array(column) -> pa.Array:
     return column
 
 
-def chunks(text, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets): rows of about ``target`` bytes; each row's bytes end in one space, null is empty."""
+def chunks(text, target: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets): at most ``rows`` rows of about ``target`` bytes; each row's bytes end in one space, null is empty."""
     arr = pc.fill_null(as_array(text).cast(pa.large_binary()), b"")
     if not len(arr):
         return
@@ -142,7 +142,7 @@ def chunks(text, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarr
     lo = 0
     while lo < len(arr):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + target, "right")) - 1)
-        hi = min(hi, len(arr), lo + 4096)
+        hi = min(hi, len(arr), lo + rows)
         own = offs[lo : hi + 1] - offs[lo]
         out = np.full(int(own[-1]) + hi - lo, 0x20, np.uint8)
         keep = np.ones(len(out), bool)

@@ -3,27 +3,31 @@
 Texts are lower-cased (A-Z) and split into runs of letters, digits and
 non-ASCII characters.  An item's windows are its runs of n words; an item with
 fewer words, but not none, is one window.  A hit by hash counts only when the
-words are the same.  The items are taken in blocks of a bounded number of
-words, one pass over the texts a block, so what is broadcast never outgrows
-``block_words``; one block is the usual case.
+words are the same.  The items come in blocks of a bounded number of words.  One
+block, the usual case, is broadcast; more are files in the shared folder, and
+each task takes them one after the other for every few MB of text that it has
+read, so a benchmark of any size is one stage and one block a task in memory.
 
 Defined cases: null and empty texts and items have no words; repeated items
 each count, those without an id as one item, which is counted and not named;
-repeated rows are scanned alike; an empty benchmark leaves
+repeated rows are scanned alike, texts of any length whole; an empty benchmark leaves
 everything clean; other columns are carried along untouched by ``clean``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._cluster import small_batches
+from quarry.llm._cluster import fresh_dir, small_batches
 from quarry.llm._text import ALNUM_ENDS, FIRST, U64, Words, chunks, lean
 
 SCHEMA = "n_words long, hits binary, items array<string>"
@@ -100,32 +104,63 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: s
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{text_col}`").alias("text"))
+    part = lambda k: Items([(r[0], r[1]) for r in items.where(block == k).collect()], n)
+    if blocks == 1:
+        own = sc.broadcast(part(0))
+        found = lambda: iter([own.value])
+    else:
+        folder = fresh_dir(docs.sparkSession, "benchmark")
+        for k in range(blocks):
+            _save(folder, k, part(k))
+        found = partial(_load, folder, blocks)
+    return out.mapInArrow(lean(_pass(found, len(names), blocks)), f"{kinds}, {SCHEMA}")
+
+
+def _save(folder: str, k: int, items: Items) -> None:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{k}") as f:
+        f.write(pickle.dumps(items))
+
+
+def _load(folder: str, blocks: int) -> Iterator[Items]:
+    """The blocks, one at a time."""
+    fs, root = pafs.FileSystem.from_uri(folder)
     for k in range(blocks):
-        own = sc.broadcast(Items([(r[0], r[1]) for r in items.where(block == k).collect()], n))
-        out = out.mapInArrow(lean(_pass(own, len(names), k > 0)), f"{kinds}, text string, {SCHEMA}")
-    return out.drop("text")
+        with fs.open_input_stream(f"{root}/{k}") as f:
+            yield pickle.loads(f.read())
+
+
+HELD = 8 << 20  # bytes of text that meet all blocks together, if there are several
+
+
+def _pass(found: Callable[[], Iterator[Items]], width: int, blocks: int):
+    def scan_all(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.slice(lo, hi - lo), Words(data, offs, ALNUM_ENDS, lower=True)) for b in batches for lo, hi, data, offs in chunks(b.column(width))]
+        hits, named = [np.zeros(len(w), bool) for _, w in parts], [{} for _ in parts]
+        for block in found():
+            for i, (_, w) in enumerate(parts):
+                hit, items = block.scan(w)
+                hits[i] |= hit
+                for row, names in items.items():
+                    named[i].setdefault(row, set()).update(names)
+        for (part, w), hit, items in zip(parts, hits, named, strict=True):
+            runs = [_runs(hit[x:y]).tobytes() if i in items else b"" for i, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(i) for i in range(width)] + [pa.array(np.diff(w.first)), pa.array(runs, pa.binary()), pa.array([sorted(items.get(i, ()), key=_order) for i in range(len(runs))], pa.list_(pa.string()))],
+                [part.schema.names[i] for i in range(width)] + ["n_words", "hits", "items"],
+            )
 
-
-def _pass(own, width: int, more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = own.value
+        held, size = [], 0
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column(width)):
-                w = Words(data, offs, ALNUM_ENDS, lower=True)
-                hit, items = found.scan(w)
-                part = b.slice(lo, hi - lo)
-                if more:
-                    for i, (old, names) in enumerate(zip(part.column(width + 2), part.column(width + 3), strict=True)):
-                        for x, y in np.frombuffer(old.as_py(), "<i4").reshape(-1, 2).tolist():
-                            hit[w.first[i] + x : w.first[i] + y] = True
-                        if len(names):
-                            items.setdefault(i, set()).update(names.as_py())
-                runs = [_runs(hit[x:y]).tobytes() if i in items else b"" for i, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(width + 1)]
-                    + [pa.array(np.diff(w.first)), pa.array(runs, pa.binary()), pa.array([sorted(items.get(i, ()), key=_order) for i in range(hi - lo)], pa.list_(pa.string()))],
-                    [b.schema.names[i] for i in range(width + 1)] + ["n_words", "hits", "items"],
-                )
+            held.append(b)
+            size += b.column(width).nbytes
+            if blocks == 1 or size >= HELD:
+                yield from scan_all(held)
+                held, size = [], 0
+        if held:
+            yield from scan_all(held)
 
     return run
 

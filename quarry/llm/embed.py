@@ -185,7 +185,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     total = met.groupBy("rep").agg(F.sum("links").alias("links"))
     per = unique.select("k1", "k2", "rep", "times").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     per = per.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("l"), F.coalesce("component", "rep").alias("c"))
-    out = keyed.select("id", "good", "k1", "k2").join(per.withColumn("good", F.lit(True)), ["good", "k1", "k2"], "left")
-    out = stored(out.select("id", F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")), "links")
-    dropped(unique, met)
+    per = stored(per, "classes")  # a table, so that the join may be split where a vector has many copies
+    out = keyed.where("good").select("id", "k1", "k2").join(per, ["k1", "k2"]).select("id", F.col("l").cast("long").alias("n_links"), F.col("c").alias("component_id"))
+    out = stored(out.union(keyed.where("not good").select("id", F.lit(0).cast("long"), "id")), "links")
+    dropped(unique, met, per)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

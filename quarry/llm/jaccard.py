@@ -10,11 +10,16 @@ by hash.  Documents with equal sets are one class; its smallest id stands for it
   the one with the fewest rarer shingles; afterwards only documents that are not
   yet in the pivot's component meet the others, so a group of near copies costs
   about one comparison a document instead of one a pair.
-* Overlap: the global order by hash is cut into fragments; candidate pairs meet
-  in each fragment, partial overlaps are counted there and summed per pair.
-
-Defined cases: null, empty and wordless texts have empty sets and link with
-nothing; a text with fewer words than a shingle is one shingle; repeated rows
+* Overlap: the global order is cut into fragments of like mass; candidate pairs
+  meet in each fragment, partial overlaps are counted there and summed per pair.
+  The sets' texts travel compressed, those without a candidate are left out by a
+  bit set of at most MOST_BITS bits (which lets some others through).
+
+Shingles are told apart by 56 bits of their hashes: the chance of an error in a
+document of n shingles is about n squared in 2 ** 57.  Rows that repeat an id, or
+have none, are documents of their own, and a group's id is the smallest of its
+rows; a text of any length is one set.  Defined cases: null, empty and wordless texts have empty sets and link with
+nothing (the component of a row without id is then null); a text with fewer words than a shingle is one shingle; repeated rows
 and equal texts are linked; an empty table gives none; other columns are ignored.
 """
 
@@ -25,38 +30,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _cluster
-from quarry.llm._cluster import components, dropped, release, small_batches
-from quarry.llm._text import FIRST, U64, Words, chunks, lean, mix, signed
+from quarry.llm._cluster import components, dropped, keyed, release, small_batches
+from quarry.llm._text import FIRST, U64, Words, lean, mix, signed
+from quarry.llm._text import chunks as _chunks
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Small tables, by zstd, let Spark broadcast what it may, so that texts needn't be shuffled."""
     return _cluster.stored(df, name, "zstd")
 
 
+def chunks(text):
+    return _chunks(text, rows=ROWS)
+
+
 RANGE = 1 << 16  # bins of the sketch in one row
 MOST_BINS = 1 << 24
 
 
-ROW = U64(52)  # bits of a shingle's hash; a chunk has fewer than 2 ** 12 rows, and one sort orders rows and hashes
+ROW, ROWS = U64(56), 256  # bits of a shingle's hash and rows of a chunk: one sort orders rows and hashes
+MOST_BITS = 1 << 27
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _squeeze(text: str | None) -> bytes | None:
+    if text is None:
+        return None
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _whole(z: bytes | None) -> bytes | None:
+    return None if z is None else _ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash of 52 bits) of the distinct shingles of each row, sorted by both."""
+    """(row, hash of 56 bits) of the distinct shingles of each row, sorted by both."""
     w = Words(data, offs, lower=True)
     h, row = w.hashes(), w.rows().astype(U64)
     g = FIRST.grams(h, k)
-    key = (row[: len(g)] << ROW | g >> U64(12))[row[: len(g)] == row[k - 1 :]] if len(g) else g
+    key = (row[: len(g)] << ROW | g >> U64(8))[row[: len(g)] == row[k - 1 :]] if len(g) else g
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         own = mix(FIRST.spans(FIRST.prefix(h), w.first[short], w.first[short + 1]) + n[short].astype(U64))
-        key = np.concatenate([key, short.astype(U64) << ROW | own >> U64(12)])
+        key = np.concatenate([key, short.astype(U64) << ROW | own >> U64(8)])
     key.sort()
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -77,8 +98,7 @@ class Join:
             raise ValueError("percent must be from 1 to 100")
         small_batches(docs.sparkSession)
         self.spark, self.k, self.percent, self.id_col = docs.sparkSession, k, percent, id_col
-        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.kind = self.texts.schema["id"].dataType.simpleString()
+        self.rows = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
 
     def _sets(self, bins: int) -> DataFrame:
         """(id, n, k1, k2, null, null): the size of each set and a hash of it; (null, ..., part, counts): a task's sketch, a range of bins a row."""
@@ -131,12 +151,12 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = sketch.value
-            shift, low = ROW - U64((len(count) - 1).bit_length()), (U64(1) << U64(44)) - U64(1)
+            shift, low = ROW - U64((len(count) - 1).bit_length()), (U64(1) << U64(48)) - U64(1)
             for b in batches:
                 for lo, hi, data, offs in chunks(b.column(1)):
                     row, h = shingles(data, offs, k)
                     # one sort: row, rarity, and the leading bits of the hash, which serve as the token
-                    h = np.sort(row.astype(U64) << ROW | count[(h >> shift).astype(np.int64)].astype(U64) << U64(44) | h >> U64(8)) & low
+                    h = np.sort(row.astype(U64) << ROW | count[(h >> shift).astype(np.int64)].astype(U64) << U64(48) | h >> U64(8)) & low
                     cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                     n = np.diff(cuts)
                     p = np.arange(len(h)) - np.repeat(cuts[:-1], n)
@@ -149,33 +169,58 @@ class Join:
 
         return self.texts.mapInArrow(lean(run), f"t long, id {self.kind}, n int, p int")
 
+    def _bits(self, ids: DataFrame) -> tuple[int, object]:
+        """A bit set of ids by hash, at most MOST_BITS, that tasks get: 16 bits an id while there is room."""
+        bits = min(MOST_BITS, max(RANGE, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = b.column(0).to_numpy()
+                for i in np.unique(at // RANGE).tolist():
+                    parts.setdefault(i, np.zeros(RANGE, bool))[at[at // RANGE == i] % RANGE] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+
+        placed = ids.select(self._place(bits).alias("at")).distinct()
+        out = np.zeros((bits // RANGE, RANGE // 8), np.uint8)
+        for r in placed.repartition(max(1, bits // RANGE), F.floor(F.col("at") / RANGE)).mapInArrow(lean(put), "part int, bits binary").collect():
+            out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+        return bits, self.spark.sparkContext.broadcast(out.reshape(-1))
+
+    @staticmethod
+    def _place(bits: int):
+        return F.pmod(F.xxhash64("id"), F.lit(bits))
+
     def _fragments(self, wanted: DataFrame) -> DataFrame:
-        """(id, f, tokens): the sets of the wanted documents, cut at fixed places of the order by hash.  Texts are shuffled compressed."""
-        k = self.k
+        """(id, f, tokens): the sets of the wanted documents, cut into fragments of the global order.  Their texts are shuffled compressed."""
+        k, sketch, edges = self.k, self.sketch, self.edges
+        bits, known = self._bits(wanted)
 
         def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                raw = [None if t is None else zstandard.compress(t.encode(), 1) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "z"])
+                at = b.column(2).to_numpy()
+                own = np.flatnonzero(known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                raw = [_squeeze(t) for t in b.column(1).take(pa.array(own)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(raw, pa.binary())], ["id", "z"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
+            count = sketch.value
+            shift = ROW - U64((len(count) - 1).bit_length())
             for b in batches:
-                ids = b.column(0).to_pylist()  # sorted by the join: rows that repeat an id follow each other
-                keep = [i for i, x in enumerate(ids) if x != (ids[i - 1] if i else last)]
-                last = ids[-1] if ids else last
-                texts = pa.array([None if z is None else zstandard.decompress(z) for z in b.column(1).take(pa.array(keep, pa.int64())).to_pylist()], pa.large_binary())
-                own = pa.array([ids[i] for i in keep], b.schema.field(0).type)
+                texts = pa.array([_whole(z) for z in b.column(1).to_pylist()], pa.large_binary())
                 for lo, _, data, offs in chunks(texts):
                     row, h = shingles(data, offs, k)
-                    part = row * FRAGMENTS + (h >> FRAGMENT_SHIFT).astype(np.int64)
+                    f = np.searchsorted(edges, count[(h >> shift).astype(np.int64)].astype(U64) << ROW | h, "right")
+                    part = row * FRAGMENTS + f
+                    order = np.argsort(part, kind="stable")
+                    part, h = part[order], h[order]
                     at = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(at[1:], len(part))
                     raw = memoryview(h.tobytes())
                     rows = [raw[8 * x : 8 * y] for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"])
 
-        small = self.texts.mapInArrow(lean(shrink), f"id {self.kind}, z binary")
+        small = self.texts.withColumn("at", self._place(bits)).mapInArrow(lean(shrink), f"id {self.kind}, z binary")
         return small.join(wanted, "id").mapInArrow(lean(run), f"id {self.kind}, f int, tokens binary")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
@@ -205,10 +250,24 @@ class Join:
 
     def components(self) -> DataFrame:
         """(id, n_shingles, component_id): the smallest id reachable over links, per row."""
+        rows, key = keyed(self.rows, "own")
+        self.texts = rows.select(F.col(key).alias("id"), "text")
+        self.kind = self.texts.schema["id"].dataType.simpleString()
+        found = self._components()
+        if key != "own":
+            named = stored(found.join(rows.select(F.col(key).alias("id"), "own"), "id"), "named")
+            least = stored(named.groupBy("component_id").agg(F.min("own").alias("least")), "least")
+            found = stored(named.join(least, "component_id").select(F.col("own").alias("id"), "n_shingles", F.col("least").alias("component_id")), "components")
+            dropped(rows, named, least)
+        return found.withColumnRenamed("id", self.id_col)
+
+    def _components(self) -> DataFrame:
         letters = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bins = min(MOST_BINS, max(RANGE, 1 << (max(1, letters // 400) - 1).bit_length()))
         scanned = stored(self._sets(bins), "sets")
-        sketch = self.spark.sparkContext.broadcast(self._sketch(scanned.where("part is not null"), bins))
+        ranks = self._sketch(scanned.where("part is not null"), bins)
+        sketch, self.edges = self.spark.sparkContext.broadcast(ranks), _edges(ranks)
+        self.sketch = sketch
         sets = scanned.where("part is null")
         # each aggregate is a table before it is joined, so that both sides of the join are plain exchanges, which Spark may split
         classes = stored(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
@@ -238,8 +297,21 @@ class Join:
         result = stored(out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")), "components")
         release(self.spark)
         dropped(member, posts, pivot, first, second, placed)
-        return result.withColumnRenamed("id", self.id_col)
+        return result
 
 
 FRAGMENTS = 4
-FRAGMENT_SHIFT = U64(50)
+
+
+def _edges(ranks: np.ndarray) -> np.ndarray:
+    """Where the global order (rarity, then hash) is cut into FRAGMENTS parts that hold like numbers of shingles, by the sketch."""
+    bins = np.bincount(ranks, minlength=256)
+    mass = np.cumsum(bins * (2 ** (np.arange(256) / 6) - 1))
+    out = []
+    for i in range(1, FRAGMENTS):
+        goal = mass[-1] * i / FRAGMENTS
+        r = min(255, int(np.searchsorted(mass, goal)))
+        before = mass[r - 1] if r else 0.0
+        share = (goal - before) / max(mass[r] - before, 1e-9)
+        out.append((r << 56) + min((1 << 56) - 1, int(share * (1 << 56))))
+    return np.array(out, U64)

@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-A text becomes a TF-IDF vector over hashed letter trigrams, normalised; its
+A text becomes a TF-IDF vector over hashed trigrams of the bytes of letters, normalised; its
 language is that of the centroid with the largest cosine.  Centroids come from
 spherical k-means within each language, on about ``per_language`` training
 texts a language (and about ``most`` of all), chosen by a hash of their id; what reaches the driver is one
@@ -13,7 +13,7 @@ A text is rejected when it has no letter or when its cosine is below
 Defined cases: null, empty and letterless texts are ``und`` with score 0 and
 rejected; so is every text when nothing was learned; ties go to the language
 first in order; repeated rows are scored alike; other columns are ignored or
-carried as the caller asks.
+carried as the caller asks; a text of any length is read whole.
 """
 
 from __future__ import annotations

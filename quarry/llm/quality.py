@@ -9,7 +9,7 @@ of every whole text are computed once and kept as a narrow table.
 Defined cases: null and empty texts have all statistics 0 and are scored like
 any other; without both labels the score is the mean label (0.5 without any);
 ties in split gain go to the first statistic and lowest cut; repeated rows are
-scored alike; other columns are ignored.
+scored alike; a text of any length is read whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ The folder is reached through pyarrow's file systems (file, hdfs, s3, gs).
 Defined cases: null html is an empty payload; a null or empty url becomes the
 record's own id; line breaks in a url are percent-encoded; equal payloads of
 fewer than ``least`` bytes are all responses; rows that repeat a page_id and its
-html are all responses or all revisits; an empty table writes no archive; other
+html are all responses or all revisits; a payload of any length is one record; an empty table writes no archive; other
 columns are ignored.
 """
 
@@ -103,7 +103,7 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the largest page_id with an equal payload of at least ``least`` bytes, null on that row and on small ones."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
     large = rows.where(F.octet_length("html") >= least).select("page_id", "key")
-    kept = large.groupBy("key").agg(F.max("page_id").alias("kept"))
+    kept = stored(large.groupBy("key").agg(F.max("page_id").alias("kept")), "kept")  # a table: a join of plain exchanges, which Spark may split where a payload is frequent
     other = (F.octet_length("html") >= least) & (F.col("kept") != F.coalesce("page_id", F.col("kept") - 1))
     return rows.join(kept, "key", "left").select("page_id", "url", "html", F.when(other, F.col("kept")).alias("refers_to"))
 
@@ -172,7 +172,11 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
-    """Writes the pages and reads the archives back; a record whose digests fail ends the query."""
+    """Writes the pages and reads the archives back; a record whose digests fail, or a revisit whose digest isn't its response's, ends the query."""
     folder = folder or fresh_dir(pages.sparkSession, "warc")
-    back = read(write(plan(pages, **how), folder), folder)
+    back = stored(read(write(plan(pages, **how), folder), folder), "records")
+    revisits = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest")
+    lost = revisits.join(back.where("record_type = 'response'").select("page_id", "payload_digest"), ["page_id", "payload_digest"], "left_anti").first()
+    if lost:
+        raise ValueError(f"page {lost[0]}: a revisit's payload isn't that of its response")
     return back.where(F.coalesce("verified", F.lit(False)) | F.raise_error(F.concat(F.lit("digest of page "), F.col("page_id").cast("string"))).cast("boolean")).drop("verified")
