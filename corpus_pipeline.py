@@ -3,8 +3,10 @@
 Every stage returns the columns of documents, but the last, which returns what
 byte-level BPE makes of the texts that are left.  Stages take rows as they come:
 null and empty texts go at language identification, which needs a letter; extra
-columns are carried through; an empty table gives an empty table.  Rows without
-an id, or whose id others have too, are documents like any other.
+columns are carried through; an empty table gives an empty table; texts of any
+length are whole.  Rows without an id, or whose id others have too, are
+documents like any other.  Of a group of near copies the row with the smallest
+id stays; of rows that tie in it, the first of the numbered table.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, jaccard, langid, substring
-from quarry.llm._cluster import stored
+from quarry.llm._cluster import keyed, stored
 from quarry.llm.queries import byte_bpe_ranks
 
 #: SQL can't express language identification or BPE merging; the tests hold run() against a brute-force version.
@@ -33,16 +35,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("accepted").select(*names)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Documents and a column that tells them apart: their id or, where one is null or repeated, a row number in a stored table."""
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return docs, "doc_id"
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
-
-
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more between sets of five-word shingles: the one with the smallest id (null comes last)."""
-    docs, key = _keyed(docs)
+    docs, key = keyed(docs)
     groups = jaccard.Join(docs, k=5, percent=80, id_col=key).components()
     if key != "doc_id":
         named = groups.select(key, "component_id").join(docs.select(key, "doc_id"), key)
@@ -54,10 +49,8 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 35 words that also start elsewhere; documents of which nothing is left go."""
-    docs, key = _keyed(docs)
-    left = _counted(substring.remove(docs, substring.repeated(docs, id_col=key), id_col=key))
-    left = left.where(F.length("text") > 0)
-    return left if key == "doc_id" else left.drop(key)
+    left = _counted(substring.remove(docs, substring.repeated(docs)))
+    return left.where(F.length("text") > 0)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
