@@ -11,7 +11,10 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 def pack(a: np.ndarray) -> bytes:
     """Unsigned integers or doubles: as narrow as they come, bytes of equal place together, compressed."""
     if a.dtype.kind != "f":
-        a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        most = int(a.max(initial=0))
+        if not most:  # zeros take no room
+            return bytes([1]) + len(a).to_bytes(8, "little")
+        a = a.astype(np.min_scalar_type(most))
     raw = np.ascontiguousarray(a.reshape(-1, 1).view(np.uint8).T).tobytes() if len(a) else b""
     kind = {"uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "float64": 9}[a.dtype.name]
     return bytes([kind]) + len(a).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
@@ -19,8 +22,8 @@ def pack(a: np.ndarray) -> bytes:
 
 def unpack(raw: bytes) -> np.ndarray:
     kind, n = np.dtype({1: "u1", 2: "u2", 4: "u4", 8: "u8", 9: "f8"}[raw[0]]), int.from_bytes(raw[1:9], "little")
-    if not n:
-        return np.zeros(0, kind)
+    if len(raw) == 9:
+        return np.zeros(n, kind)
     planes = np.frombuffer(_ZSTD.decompress(raw[9:], n * kind.itemsize), np.uint8).reshape(kind.itemsize, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 

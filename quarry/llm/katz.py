@@ -613,8 +613,8 @@ def _score_buckets(state: DataFrame, model: Model, part: int) -> DataFrame:
         lost = np.maximum(np.rint(-np.log10(p) * UNIT), 0).astype(np.int64)
         rows, x = [], 0
         for chunk, doc in zip(table["chunk"].to_pylist(), docs, strict=True):
-            own, which = np.unique(doc, return_inverse=True)
-            rows.append((chunk, pack(own), pack(np.bincount(which, lost[x : x + len(doc)], len(own)).astype(np.int64))))
+            own = np.flatnonzero(np.bincount(doc))
+            rows.append((chunk, pack(own), pack(np.bincount(doc, lost[x : x + len(doc)])[own].astype(np.int64))))
             x += len(doc)
         del grams, weights, p, before, word, history
         tidy()
