@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,7 +188,10 @@ def _save(folder: str, shard: int, files: dict[str, np.ndarray]) -> None:
     for kind, value in files.items():
         out = io.BytesIO()
         if kind == "positions":
-            np.savez_compressed(out, positions=value)
+            raw = io.BytesIO()
+            np.save(raw, value)
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                z.writestr("positions.npy", raw.getvalue())
         else:
             np.save(out, value)
         path = f"{root}/{_name(kind, shard)}"
@@ -198,28 +202,26 @@ def _save(folder: str, shard: int, files: dict[str, np.ndarray]) -> None:
 
 
 def read(rows: DataFrame, folder: str) -> DataFrame:
-    """(shard, row, cu_seqlens, ids_sha256, positions_sha256) of the shards of ``rows`` from their files."""
+    """``rows``, as ``pack`` returns them with a folder, with cu_seqlens, ids_sha256 and positions_sha256 from the shards' files."""
+    kept = ["shard", "row", "n_tokens", "doc_ids", "parts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         fs, root = pafs.FileSystem.from_uri(folder)
+        t, shard = t.sort_by("row"), key[0].as_py()
 
-        def load(kind: str, shard: int) -> np.ndarray:
+        def load(kind: str) -> np.ndarray:
             with fs.open_input_stream(f"{root}/{_name(kind, shard)}") as f:
                 found = np.load(io.BytesIO(f.read()))
             return found["positions"] if kind == "positions" else found
 
-        for b in batches:
-            for shard in b.column(0).to_pylist():
-                ids, positions, cu, offs = (load(name, shard) for name in ("ids", "positions", "cu_seqlens", "cu_offsets"))
-                sha = lambda m: pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in m], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), shard, np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(cu)), sha(ids), sha(positions)],
-                    ["shard", "row", "cu_seqlens", "ids_sha256", "positions_sha256"],
-                )
+        sha = lambda m: pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in m], pa.string())
+        cu = pa.ListArray.from_arrays(pa.array(load("cu_offsets"), pa.int32()), pa.array(load("cu_seqlens")))
+        out = pa.table([*(t[c] for c in kept), cu, sha(load("ids")), sha(load("positions"))], [*kept, "cu_seqlens", "ids_sha256", "positions_sha256"])
+        tidy()
+        return out
 
-    shards = stored(rows.select("shard").distinct(), "shards")
-    dealt = shards.repartition(max(1, min(shards.count(), 10_000)))
-    return dealt.mapInArrow(lean(run), "shard int, row int, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept).groupBy("shard").applyInArrow(run, f"{kinds}, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string")
 
 
 def round_trip(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
@@ -227,8 +229,7 @@ def round_trip(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
     folder = fresh_dir(docs.sparkSession, "packed")
     rows = stored(pack(docs, ranks, capacity, folder=folder), "rows")
     release(docs.sparkSession)
-    found = rows.join(read(rows, folder), ["shard", "row"])
-    return found.select("shard", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", "ids_sha256", "positions_sha256")
+    return read(rows, folder)
 
 
 def write(packed: DataFrame, folder: str, ranks: str) -> DataFrame:
