@@ -221,7 +221,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + part[at] // FRAGMENTS)), pa.array((part[at] % FRAGMENTS).astype(np.int32)), pa.array(rows, pa.binary())], ["id", "f", "tokens"])
 
         small = self.texts.withColumn("at", self._place(bits)).mapInArrow(lean(shrink), f"id {self.kind}, z binary")
-        return small.join(wanted, "id").mapInArrow(lean(run), f"id {self.kind}, f int, tokens binary")
+        return small.join(wanted.hint("shuffle_merge"), "id").mapInArrow(lean(run), f"id {self.kind}, f int, tokens binary")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, nx, y, ny) whose overlaps, summed over the fragments, reach the threshold: a stored table (x, y)."""
@@ -235,8 +235,9 @@ class Join:
                 n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), True)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(n, pa.int64())], ["x", "nx", "y", "ny", "f", "both"])
 
-        left = pairs.join(sets.select(F.col("id").alias("x"), "f", F.col("tokens").alias("tx")), "x")
-        met = left.join(sets.select(F.col("id").alias("y"), "f", F.col("tokens").alias("ty")), ["y", "f"]).select("x", "nx", "y", "ny", "f", "tx", "ty")
+        # whatever the size, texts and sets are shuffled and never broadcast
+        left = pairs.join(sets.select(F.col("id").alias("x"), "f", F.col("tokens").alias("tx")).hint("shuffle_merge"), "x")
+        met = left.join(sets.select(F.col("id").alias("y"), "f", F.col("tokens").alias("ty")).hint("shuffle_merge"), ["y", "f"]).select("x", "nx", "y", "ny", "f", "tx", "ty")
         counted = met.mapInArrow(lean(overlap), f"x {kind}, nx int, y {kind}, ny int, f int, both long").distinct()
         total = counted.groupBy("x", "nx", "y", "ny").agg(F.sum("both").alias("both"))
         out = stored(total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y"), "links")
