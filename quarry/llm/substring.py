@@ -48,7 +48,7 @@ from quarry.llm._text import FIRST, U64, Words, as_array, chunks, joined, lean,
 
 WINDOW = 35
 CHUNK = 4 << 20
-BUCKET = 8 << 20
+BUCKET = 4 << 20
 MOST_BUCKETS = 1 << 20  # of more text, each holds more
 DOCUMENT, EDGES, WITHIN = range(3)  # kinds of rows
 KEY = "struct<h1:bigint,h2:bigint>"
