@@ -42,9 +42,9 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if key != "doc_id":
         named = groups.select(key, "component_id").join(docs.select(key, "doc_id"), key)
         first = named.groupBy("component_id").agg(F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias(key))
-        return docs.join(first.select(key), key, "left_semi").drop(key)
+        return docs.join(first.select(key).hint("shuffle_merge"), key, "left_semi").drop(key)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("shuffle_merge"), "doc_id", "left_semi")  # a shuffle at every size, as it must be at large ones
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
