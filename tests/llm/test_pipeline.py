@@ -3,12 +3,10 @@
 import hashlib
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm._cluster import stored
-from quarry.llm import langid
 from tests.llm.test_operators import LOW
 
 DATA = "/root/testdata/sf0.001"
@@ -82,7 +80,6 @@ def test_run_and_edges(spark, tmp_path):
         out = stage(spark, none, str(tmp_path))
         assert out.count() == 0 and out.columns == none.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "substring_dedup", "decontamination", "byte_bpe"]
-    assert pytest and langid
 
 
 def test_null_and_repeated_ids(spark):
