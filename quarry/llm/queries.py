@@ -90,6 +90,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.Join(table(spark, sf_dir, "documents"), k=3, percent=90).components()
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_packing": op1_token_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_backoff": op8_katz_backoff,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -155,4 +162,28 @@ found AS (SELECT doc_id, count(*) n, string_agg(id, ',' ORDER BY id) ids FROM (S
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(pos.n, 0)::BIGINT n_hit, coalesce(found.n, 0)::BIGINT n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op12_importance_resampling": rf"""
+WITH RECURSIVE bits AS (SELECT i v, i c, 0 k FROM range(256) r(i)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT v, c FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+df AS (SELECT doc_id, g, count(*) n FROM (SELECT doc_id, unnest(w) g FROM d
+  UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) i FROM d)) GROUP BY 1, 2),
+bf AS (SELECT g, count(*) n FROM (SELECT unnest(w) g FROM b
+  UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) i FROM b)) GROUP BY 1),
+hx AS (SELECT g, hex(encode(g)) x FROM (SELECT g FROM df UNION SELECT g FROM bf)),
+crc AS (SELECT g, x, 4294967295::BIGINT a, 1 k FROM hx
+  UNION ALL SELECT g, x, xor(a >> 8, tab.c), k + 2 FROM crc
+  JOIN tab ON tab.v = xor(a, (strpos('0123456789ABCDEF', x[k]) - 1) * 16 + strpos('0123456789ABCDEF', x[k + 1]) - 1) & 255 WHERE k < len(x)),
+h AS (SELECT g, xor(a, 4294967295) % 10000 bucket FROM crc WHERE k > len(x)),
+s AS (SELECT bucket, sum(n) n FROM df JOIN h USING (g) GROUP BY 1),
+t AS (SELECT bucket, sum(n) n FROM bf JOIN h USING (g) GROUP BY 1),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+  / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, sum(n)::BIGINT n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT weight FROM df JOIN h USING (g) JOIN gains USING (bucket) GROUP BY 1),
+v AS (SELECT doc_id, len(w) words, coalesce(m.n, 0)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) k FROM v WHERE words >= 20)
+SELECT doc_id, n_features, weight, score::BIGINT score, CASE WHEN k <= 25 * (SELECT count(*) FROM r) // 100 THEN k END "rank" FROM v LEFT JOIN r USING (doc_id)""",
 }
