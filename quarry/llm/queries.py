@@ -90,12 +90,26 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.Join(table(spark, sf_dir, "documents"), k=3, percent=90).components()
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import hardneg
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), hardneg.integers(F.col("embedding")).alias("v"))
+    return hardneg.mine(rows, F.col("id") % 50 == 0)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import resample
 
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import pii
+
+    return pii.report(pii.extract(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_packing": op1_token_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -107,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_backoff": op8_katz_backoff,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_personal_data": op13_personal_data,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -162,6 +178,14 @@ found AS (SELECT doc_id, count(*) n, string_agg(id, ',' ORDER BY id) ids FROM (S
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(pos.n, 0)::BIGINT n_hit, coalesce(found.n, 0)::BIGINT n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (SELECT a.vec_id a, b.vec_id b, a.l = b.l same, list_dot_product(a.x, b.x)::BIGINT s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.b, p.s ps, s.b nb, s.s ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) k
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a anchor_id, b positive_id, k::INTEGER "rank", nb negative_id, ps positive_score, ns negative_score FROM n WHERE k <= 3""",
     "op12_importance_resampling": rf"""
 WITH RECURSIVE bits AS (SELECT i v, i c, 0 k FROM range(256) r(i)
   UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
