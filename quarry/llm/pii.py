@@ -31,7 +31,6 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -42,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, release, small_batches, stored
-from quarry.llm._text import FIRST, SECOND, Words, chunks, lean, signed
+from quarry.llm._packed import groups
+from quarry.llm._text import SECOND, Words, chunks, lean, signed
 
 Span = tuple[int, int]
 
@@ -64,6 +64,7 @@ NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])*+")
 SPACES, OPENING, CUE = frozenset("\x20\t\n\v\f\r"), frozenset("([{<\"'"), 64
 LOWER = {c: c + 32 for c in range(65, 91)}
 BITS = 1 << 25
+HELD = 1 << 20  # counts that a task holds back
 
 
 def luhn(digits: str) -> bool:
@@ -282,16 +283,29 @@ def places(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> Data
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     shipped = spark.sparkContext.broadcast(bits)
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        line, _, which = groups(np.concatenate([h for h, _ in parts]))
+        return line, np.bincount(which, np.concatenate([n for _, n in parts]), len(line)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = shipped.value
+        """Counts of a task, added up before they leave it as far as HELD of them go."""
+        has, parts = shipped.value, []
+
+        def told(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
+
         for b in batches:
             for _, _, data, offs in chunks(b.column(0)):
                 own, pairs, _ = _cue_hashes(Words(data, offs, lower=True))
                 h = np.concatenate([own, pairs])
                 p = (h & np.uint64(BITS - 1)).astype(np.int64)
-                h = h[(has[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-                which, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(which)), pa.array(n.astype(np.int64))], ["h", "n"])
+                parts.append(summed([(h := h[(has[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1], np.ones(len(h)))]))
+                if sum(len(x) for x, _ in parts) > HELD:
+                    parts = [summed(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield told(*parts.pop())
+        if parts:
+            yield told(*summed(parts))
 
     counted = docs.select(text_col).mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("places"))
     return known.join(counted, "h").select("pattern", "places")
@@ -329,10 +343,6 @@ def bootstrap(found: DataFrame, docs: DataFrame, confidence: float = 0.5, suppor
     return reliable
 
 
-def _told(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
-
-
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(row, id, base, all): arrays of (kind, start, end) by start and kind, kind being a place in KINDS and row the document's own number."""
     small_batches(docs.sparkSession)
