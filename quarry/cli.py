@@ -75,10 +75,10 @@ def watch(path: str, interval: float, key: str | None, max_runs: int | None = No
 
 def diff(old: str, new: str, key: str) -> int:
     from quarry.operators import diff as d
-    from quarry.sources.readers import json_lines
+    from quarry.sources.readers import PLACE, json_lines
 
     spark = _session()
-    read = lambda p: json_lines(spark, p) if Path(p).exists() else spark.createDataFrame([], "line_no long, line string")
+    read = lambda p: json_lines(spark, p) if Path(p).exists() else spark.createDataFrame([], f"line_no {PLACE}, line string")
     found = d.snapshot_diff(read(old), read(new), key).cache()
     n = {r["status"]: r["n"] for r in d.counts(found).collect()}
     for status in ("added", "removed", "changed", "unchanged"):

@@ -1,8 +1,12 @@
 """A breadth-first crawl as a loop over levels; each level is one plan over tables.
 
-The state between levels (requests, frontier, pages with their items) is
-written as tables under one folder, so plans stay short, executors may be lost,
-and a stopped crawl goes on from its last finished level.
+The state between levels (requests, pages with their items and links, robots
+files, hosts) is written as tables under one folder, so plans stay short,
+executors may be lost, and a stopped crawl goes on from its last finished level.
+A level is two tables at least: its requests, which are the links of the level
+before that no level asked for, and its pages.  Where robots or a cache take part
+a third one deals the requests to what the cache answers, what robots deny and
+what is fetched.  Counts are observed while the tables are written.
 """
 
 from __future__ import annotations
@@ -13,17 +17,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.urls import visited_key
+from quarry.functions.urls import origin, visited_key
 from quarry.operators import coverage, dedup
 from quarry.operators.extract import LinkFinder, harvest, items_of
 from quarry.operators.heal import HealingCache, Provider, heal
 from quarry.operators.politeness import with_robots
 from quarry.plans.spec import Fields
-from quarry.sources.fetch import Fetcher
+from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, as_pages, hosts_after, with_hosts
 
 ORDER = ["depth", "seq", "item_seq"]
 
@@ -41,7 +46,7 @@ class Plan:
     max_depth: int = 0
     max_pages: int = 1000
     normalize_urls: bool = True
-    robots: DataFrame | Callable[[DataFrame], DataFrame] | None = None  # (origin, content), or what finds it for requests
+    robots: DataFrame | Callable[[DataFrame], DataFrame] | None = None  # (origin, content), or what finds it for origins; each origin is asked once a crawl
     deduplicate_by: str | None = None  # a field, or "*" for the whole item
     healing_cache: HealingCache | None = None
     provider: Provider | None = None
@@ -78,46 +83,51 @@ class Folder:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+    def put(self, name: str, df: DataFrame, by: str | None = None, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
+        """df as a table, in folders by a column if one is given; with metrics also these, observed as it is written."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
+        writer = (df.observe(seen, *(c.alias(k) for k, c in metrics.items())) if seen else df).write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return (out, seen.get) if seen else out
 
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def has(self, name: str) -> bool:
-        at, fs = self._fs(name)
-        return fs.exists(at)
-
     def visited(self, levels: list[int]) -> DataFrame | None:
-        """(key) of all that the levels asked for: their request tables, which are never written again."""
+        """(key, part) of all that the levels asked for: their request tables, which are never written again."""
         if not levels:
             return None
-        return self.spark.read.schema("key string").parquet(*(f"{self.path}/requests-{n}" for n in levels))
+        paths = [f"{self.path}/requests-{n}" for n in levels]
+        tables = [self.spark.read.schema("key string, part int").parquet(p) for p in paths]
+        return reduce(DataFrame.union, tables)
 
     def save(self, state: State) -> None:
-        """By a rename, so that a reader finds the old state or the new one."""
-        part, fs = self._fs(f"state.{uuid.uuid4().hex}")
+        """Under a name of its own, by a rename: readers find the states before until the new one is whole."""
+        part, fs = self._fs(f"part-{uuid.uuid4().hex}")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(state.__dict__).encode()))
         out.close()
-        at, _ = self._fs("state.json")
-        fs.delete(at, False)
+        at, _ = self._fs(f"state-{state.level:06}.json")
         fs.rename(part, at)
 
+    def _states(self) -> list:
+        at, fs = self._fs("state-*.json")
+        return sorted((f.getPath() for f in fs.globStatus(at) or []), key=lambda p: p.getName(), reverse=True)
+
     def load(self) -> State | None:
-        at, fs = self._fs("state.json")
-        if not fs.exists(at):
-            return None
-        try:
-            return State(**json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/state.json").collect())))
-        except (ValueError, TypeError):
-            return None
+        """The newest state that can be read."""
+        for at in self._states():
+            try:
+                return State(**json.loads("\n".join(r[0] for r in self.spark.read.text(at.toString()).collect())))
+            except (ValueError, TypeError):
+                continue
+        return None
 
     def finish(self) -> None:
-        """Drops the state file: the next crawl starts anew; the tables stay, as results read them."""
-        at, fs = self._fs("state.json")
-        fs.delete(at, False)
+        """Drops the states: the next crawl starts anew; the tables stay, as results read them."""
+        for at in self._states():
+            self._fs("")[1].delete(at, False)
 
     def delete(self) -> None:
         at, fs = self._fs("")
@@ -130,12 +140,22 @@ class Folder:
             pass
 
 
+PARTS = 8  # folders of a level's requests, by their keys
+
+
 def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool) -> DataFrame:
-    """The first request of each key that wasn't visited, with its key."""
+    """The first request of each key that wasn't visited, with its key and the part that the key falls in.
+
+    What was visited meets the frontier's keys in a semi join, so it is scanned
+    and not shuffled as long as they are few, and only what they have in common
+    is taken from the frontier.
+    """
     keyed = frontier.withColumn("key", visited_key(F.col("url"), normalize))
-    if visited is not None:
-        keyed = keyed.join(visited, "key", "left_anti")
-    return dedup.by_key(keyed, "key", ["seq"])
+    first = dedup.by_key(keyed, "key", ["seq"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    if visited is None:
+        return first
+    seen = visited.join(first.select("part", "key"), ["part", "key"], "left_semi")
+    return first.join(seen.select("key"), "key", "left_anti")
 
 
 def discovered(pages: DataFrame, depth: int) -> DataFrame:
@@ -158,50 +178,80 @@ class Result:
         return coverage.field_coverage(self.items, list(self.fields))
 
 
+def dealt(folder: Folder, n: int, requests: DataFrame, plan: Plan, levels: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(what is to be fetched, with crawl_delay; pages of the rest): the cache comes first, then robots, whose files are asked for once an origin."""
+    cached = isinstance(plan.fetcher, CachedFetcher)
+    work = requests.withColumn("html", F.lit(None).cast("string"))
+    if cached:
+        named = plan.fetcher.named(requests)
+        hits = plan.fetcher.cache.join(named.select("__name").distinct(), "__name").groupBy("__name").agg(F.min("__html").alias("html"))
+        work = named.join(hits, "__name", "left").drop("__name")
+    if plan.robots is None:
+        work = work.withColumn("allowed", F.lit(True)).withColumn("crawl_delay", F.lit(None).cast("double"))
+    elif callable(plan.robots):
+        known = [folder.get(f"robots-{k}") for k in levels]
+        asked = work.where("html is null").select(origin(F.col("url")).alias("origin")).where("origin <> '://'").distinct()
+        for k in known:
+            asked = asked.join(k, "origin", "left_anti")
+        asked = folder.put(f"origins-{n}", asked)
+        found = plan.robots(asked).groupBy("origin").agg(F.max("content").alias("content"))
+        new = folder.put(f"robots-{n}", asked.join(found, "origin", "left"))
+        work = with_robots(work, reduce(DataFrame.union, [*known, new]))
+    else:
+        work = with_robots(work, plan.robots)
+    fate = F.when(F.col("html").isNotNull(), "cached").when(F.col("allowed"), "fetched").otherwise("denied")
+    work = folder.put(f"dealt-{n}", work.withColumn("fate", fate).drop("allowed"), by="fate")
+    denied = as_pages(work.where("fate = 'denied'"), F.lit(0), F.lit(None), F.lit("disallowed by robots.txt"))
+    rest = as_pages(work.where("fate = 'cached'"), F.lit(200), F.col("html"), F.lit(None)).unionByName(denied) if cached else denied
+    return work.where("fate = 'fetched'").drop("fate", "html"), rest
+
+
 def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
     folder = Folder(spark, plan.checkpoint)
     state = folder.load() if plan.checkpoint else None
     if state is None:
         state = State()
-        folder.put("frontier-0", seeds)
+        folder.put("seeds", seeds)
         folder.save(state)
-    frontier = folder.get(f"frontier-{state.level}") if state.level <= plan.max_depth and folder.has(f"frontier-{state.level}") else seeds.limit(0)
+    fetcher = plan.fetcher.inner if isinstance(plan.fetcher, CachedFetcher) else plan.fetcher
+    live = isinstance(fetcher, HttpFetcher)
     while state.level <= plan.max_depth and state.fetched < plan.max_pages:
         n = state.level
-        requests = folder.put(f"requests-{n}", next_requests(frontier, folder.visited(state.levels), plan.normalize_urls))
-        found, room = requests.count(), plan.max_pages - state.fetched
-        if not found:
+        frontier = discovered(folder.get(f"pages-{n - 1}").where("success"), n) if n else folder.get("seeds")
+        requests, seen = folder.put(f"requests-{n}", next_requests(frontier, folder.visited(state.levels), plan.normalize_urls), by="part", found=F.count("*"))
+        room = plan.max_pages - state.fetched
+        if not seen["found"]:
             break
-        if found > room:  # only then are they put in order
+        if seen["found"] > room:  # only then are they put in order
             requests = folder.put(f"requests-{n}-cut", requests.orderBy("seq").limit(room))
-        ask, denied = requests, None
-        if plan.robots is not None:
-            checked = folder.put(f"checked-{n}", with_robots(requests, plan.robots(requests) if callable(plan.robots) else plan.robots))
-            ask = checked.where("allowed").drop("allowed")
-            denied = checked.where("not allowed").select("url", "depth", "seq", F.lit(0).alias("status"), F.lit(False).alias("success"), F.lit("disallowed by robots.txt").alias("error"), F.lit(0).cast("long").alias("elapsed_ms"))
-        pages = plan.fetcher.fetch(ask.drop("key"))
+        ask, rest = requests.drop("key", "part"), None
+        if plan.robots is not None or fetcher is not plan.fetcher:
+            ask, rest = dealt(folder, n, ask, plan, state.levels)
+        if live and n:
+            ask = with_hosts(ask, folder.get(f"hosts-{n - 1}"))
+        pages = fetcher.fetch(ask)
+        healing = plan.provider is not None or plan.healing_cache is not None
+        if healing or fetcher is not plan.fetcher:
+            pages = folder.put(f"fetched-{n}", pages)
+        if fetcher is not plan.fetcher:
+            plan.fetcher.remember(pages, ask)
+        if rest is not None:
+            pages = pages.unionByName(rest)
         how = {"link_selector": plan.link_selector, "auto_pagination": plan.auto_pagination, "link_finder": plan.link_finder} if n < plan.max_depth else {}
-        if plan.provider is not None or plan.healing_cache is not None:
-            got = heal(folder.put(f"fetched-{n}", pages), plan.fields, plan.item_selector, plan.healing_cache or HealingCache(), plan.provider, **how)
-        else:
-            got = harvest(pages, plan.fields, plan.item_selector, **how)
-        if denied is not None:
-            got = got.unionByName(denied, allowMissingColumns=True)
-        level = folder.put(f"pages-{n}", got)
-        if n < plan.max_depth:
-            frontier = folder.put(f"frontier-{n + 1}", discovered(level.where("success"), n + 1))
-        sums = level.agg(F.count("*"), F.count_if(~F.col("success")), F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0))).first()
-        state = State(n + 1, state.fetched + sums[0], state.failed + sums[1], state.extracted + sums[2], [*state.levels, n])
+        got = heal(pages, plan.fields, plan.item_selector, plan.healing_cache or HealingCache(), plan.provider, **how) if healing else harvest(pages, plan.fields, plan.item_selector, **how)
+        sums = {"fetched": F.count("*"), "failed": F.count_if(~F.col("success")), "items": F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0)), "last": F.max_by("url", "seq")}
+        level, seen = folder.put(f"pages-{n}", got, **sums)
+        if live:
+            folder.put(f"hosts-{n}", hosts_after(folder.get(f"hosts-{n - 1}") if n else None, level))
+        state = State(n + 1, state.fetched + seen["fetched"], state.failed + seen["failed"], state.extracted + seen["items"], [*state.levels, n])
         folder.save(state)
         if plan.progress:
-            plan.progress({"level": n, "pages_fetched": state.fetched, "pages_failed": state.failed, "items_extracted": state.extracted})
+            plan.progress({"level": n, "pages_fetched": state.fetched, "pages_failed": state.failed, "items_extracted": state.extracted, "last_url": seen["last"]})
     folder.finish()
     levels = [folder.get(f"pages-{n}") for n in state.levels]
     if not levels:
-        levels = [harvest(plan.fetcher.fetch(seeds.limit(0)), plan.fields, plan.item_selector)]
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
+        levels = [harvest(fetcher.fetch(seeds.limit(0)), plan.fields, plan.item_selector)]
+    every = reduce(DataFrame.unionByName, levels)
     meta = ["url", "depth", "seq"]
     pages = every.select(*meta, "status", "success", "error", "elapsed_ms")
     items = items_of(every.where(F.col("success") & F.col("items").isNotNull()), plan.fields, meta)

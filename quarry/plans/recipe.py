@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
+from functools import reduce
 from pathlib import Path
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.functions.transforms import parse_names
 from quarry.operators import coverage, heal
-from quarry.operators.crawl import Folder, Plan, Result, crawl
+from quarry.operators.crawl import Plan, Result, crawl
 from quarry.plans.spec import Fields, FieldSpec, Kind
 from quarry.sources import readers, sinks
-from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, HttpOptions, PageRenderer, robots_by
+from quarry.sources.fetch import CachedFetcher, Fetcher, HttpFetcher, HttpOptions, PageRenderer, TableFetcher, cache_at, plainly, robots_by
 
 Message = tuple[str, str]  # severity (error or warning), text
 
@@ -202,8 +203,6 @@ def validate(recipe: Recipe | None) -> list[Message]:
 
 def validate_table(recipes: DataFrame, name_col: str = "name", text_col: str = "recipe") -> DataFrame:
     """(name, place, severity, message) of many recipes; one that can't be read is one error."""
-    from pyspark.sql import functions as F
-
     @F.udf("array<struct<severity:string,message:string>>", useArrow=True)
     def check(text: str) -> list[tuple[str, str]]:
         try:
@@ -221,16 +220,19 @@ def sink_of(recipe: Recipe, append: bool = False) -> sinks.Sink:
     return sinks.Sqlite(recipe.output.path) if kind == "sqlite" else sinks.OneFile(recipe.output.path, "csv" if kind == "csv" else "json", append)
 
 
-def seed_frame(spark: SparkSession, recipe: Recipe, sitemaps: DataFrame | None = None) -> DataFrame:
-    """seedUrls, then the sitemap's URLs (at most maxPages), then the file's, then the request."""
-    urls = list(recipe.seedUrls)
-    if recipe.sitemapUrl and sitemaps is not None:
-        urls += [r["loc"] for r in readers.sitemap_index(sitemaps, recipe.sitemapUrl, recipe.maxPages).collect()]
-    if recipe.seedUrlsFile:
-        urls += [r["url"] for r in readers.seed_file(spark, recipe.seedUrlsFile).collect()]
+def seed_frame(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None) -> DataFrame:
+    """seedUrls, then the sitemap's URLs (at most maxPages) as the fetcher finds them, then the file's, then the request; neither passes through the driver."""
     s = recipe.seedRequest
     form = {k: heal.resolve_secret(v) or "" for k, v in (s.formData or {}).items()} if s else None
-    return readers.seeds(spark, urls, [(s.url, s.method, form)] if s else [])
+    own = readers.seeds(spark, recipe.seedUrls, [(s.url, s.method, form)] if s else [])
+    parts = [own.withColumn("seq", F.when(F.col("seq") >= len(recipe.seedUrls), F.lit(1 << 62)).otherwise(F.col("seq")))]
+    if recipe.sitemapUrl:
+        found = readers.sitemap_crawl(spark, plainly(fetcher), recipe.sitemapUrl, recipe.maxPages)
+        parts.append(readers.as_requests(found.select(F.col("loc").alias("url"), (F.col("place") + (1 << 40)).alias("seq"))))
+    if recipe.seedUrlsFile:
+        lines = readers.seed_file(spark, recipe.seedUrlsFile)
+        parts.append(readers.as_requests(lines.select("url", (F.monotonically_increasing_id() + (2 << 40)).alias("seq"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fetcher_of(spark: SparkSession, recipe: Recipe, renderer: Callable[[], PageRenderer] | None = None) -> Fetcher:
@@ -239,26 +241,24 @@ def fetcher_of(spark: SparkSession, recipe: Recipe, renderer: Callable[[], PageR
         raise RecipeError("useBrowserRendering needs a renderer")
     proxies = recipe.proxyPool
     if recipe.proxyUsername:
-        proxies = [p.replace("://", f"://{recipe.proxyUsername}:{recipe.proxyPassword or ''}@", 1) for p in proxies]
-    options = HttpOptions(delay_ms=recipe.delayMilliseconds, adaptive=recipe.adaptiveThrottling, proxies=proxies, partitions=recipe.maxConcurrency)
+        user = f"{quote(recipe.proxyUsername, safe='')}:{quote(recipe.proxyPassword or '', safe='')}"
+        proxies = [p.replace("://", f"://{user}@", 1) for p in proxies]
+    options = HttpOptions(delay_ms=recipe.delayMilliseconds, adaptive=recipe.adaptiveThrottling, proxies=proxies, concurrency=max(1, recipe.maxConcurrency), per_host=recipe.maxConcurrencyPerHost)
     if recipe.userAgentPool:
         options.user_agents = recipe.userAgentPool
     options.screenshots = recipe.screenshotDirectory
     live = HttpFetcher(options, renderer if recipe.useBrowserRendering else None)
     if recipe.cacheDirectory:
-        try:
-            return CachedFetcher(spark.read.parquet(recipe.cacheDirectory), live)
-        except Exception:  # no cache yet
-            return CachedFetcher(spark.createDataFrame([], "name string, html string"), live)
+        cache = cache_at(spark, recipe.cacheDirectory)
+        return CachedFetcher(spark.createDataFrame([], "name string, html string") if cache is None else cache, live)
     return live
 
 
 def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, name: str = "recipe", renderer: Callable[[], PageRenderer] | None = None) -> Result:
-    """Crawls by the recipe, writes its output and calls its webhook; a stopped run goes on from its checkpoint."""
+    """Crawls by the recipe, writes its output and calls its webhook; a stopped run goes on from its checkpoint.  ``sitemaps`` (url, xml) stands in for the network where sitemaps are asked for."""
     fetcher = fetcher or fetcher_of(spark, recipe, renderer)
-    if isinstance(fetcher, CachedFetcher) and recipe.cacheDirectory:
-        fetched = Folder(spark, None)
-        fetcher.keep, fetcher.path = lambda pages: fetched.put(f"fresh-{uuid.uuid4().hex}", pages), recipe.cacheDirectory
+    if isinstance(fetcher, CachedFetcher):
+        fetcher.path = recipe.cacheDirectory
     if recipe.login:
         fetcher.login(recipe.login.url, {k: heal.resolve_secret(v) or "" for k, v in recipe.login.formData.items()})
     h = recipe.healing
@@ -269,7 +269,8 @@ def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, rob
         robots=(robots if robots is not None else robots_by(fetcher)) if recipe.respectRobotsTxt else None, deduplicate_by=recipe.deduplicateBy, provider=provider,
         healing_cache=heal.HealingCache(f"{recipe.output.path}.healing.json") if provider else None, checkpoint=recipe.checkpointPath or f"{recipe.output.path}.checkpoint",
     )
-    result = crawl(spark, seed_frame(spark, recipe, sitemaps), plan)
+    maps = fetcher if sitemaps is None else TableFetcher(sitemaps.select("url", F.col("xml").alias("html")))
+    result = crawl(spark, seed_frame(spark, recipe, maps), plan)
     sinks.fan_out(result.items.select(*recipe.fields), [sink_of(recipe)])
     if recipe.webhookUrl:
         sinks.notify(recipe.webhookUrl, sinks.webhook_payload(name, result.summary().first().asDict()))
