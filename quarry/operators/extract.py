@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
@@ -19,11 +18,10 @@ from pyspark.sql import functions as F
 from quarry.functions import structured, transforms
 from quarry.functions.css import compile_selector
 from quarry.functions.dom import Element, parse
-from quarry.functions.urls import is_absolute
+from quarry.functions.urls import host, is_absolute
 from quarry.functions.xpath import first_value
 from quarry.plans.spec import Fields, FieldSpec, Kind
 
-Healed = dict[str, dict[str, str]]  # host -> field -> selector
 HEALABLE = (Kind.CSS, Kind.REGEX, Kind.XPATH)
 CONTAINER = "__container__"
 
@@ -86,11 +84,12 @@ LinkFinder = Callable[[str, str], list[str]]
 
 def harvest(
     pages: DataFrame, fields: Fields, item_selector: str | None = None, url_col: str = "url", html_col: str = "html",
-    link_selector: str | None = None, auto_pagination: bool = False, link_finder: LinkFinder | None = None, healed: Healed | None = None,
+    link_selector: str | None = None, auto_pagination: bool = False, link_finder: LinkFinder | None = None, healed: DataFrame | None = None,
 ) -> DataFrame:
     """The pages' other columns, plus ``items`` (an array of structs of the fields) and ``links`` (absolute URLs).
 
-    A page with a null html has no items and no links.
+    A page with a null html has no items and no links.  ``healed`` (host, repairs)
+    has the repairs of each host, by field.
     """
     for spec in fields.values():
         spec.check()
@@ -98,19 +97,22 @@ def harvest(
         if s:
             compile_selector(s)
     carry = [c for c in pages.columns if c != html_col]
-    specs, healed = list(fields.items()), healed or {}
+    specs = list(fields.items())
+    whole = pages if healed is None else pages.join(healed.select(F.col("host").alias("__host"), F.col("repairs").alias("__repairs")), host(F.col(url_col)) == F.col("__host"), "left").drop("__host")
+    told = [] if healed is None else ["__repairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items, links = [], []
-            for url, html in zip(b.column(carry.index(url_col)).to_pylist(), b.column(len(carry)).to_pylist(), strict=True):
+            known = b.column(len(carry) + 1).to_pylist() if told else [None] * b.num_rows
+            for url, html, repairs in zip(b.column(carry.index(url_col)).to_pylist(), b.column(len(carry)).to_pylist(), known, strict=True):
                 if html is None:
                     items.append([])
                     links.append([])
                     continue
                 url = url or ""
                 page = Page(url, html)
-                own = healed.get((urlsplit(url).hostname or "").lower(), {}) if healed else {}
+                own = dict(repairs or ())
                 scopes = page.scopes(item_selector)
                 if not scopes and item_selector and own.get(CONTAINER):
                     scopes = page.scopes(own[CONTAINER])
@@ -129,7 +131,7 @@ def harvest(
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry)
     struct = "array<struct<" + ",".join(f"f{i}:string" for i in range(len(fields))) + ">>"
-    return pages.select(*carry, html_col).mapInArrow(run, f"{kinds}, items {struct}, links array<string>")
+    return whole.select(*carry, html_col, *told).mapInArrow(run, f"{kinds}, items {struct}, links array<string>")
 
 
 def items_of(harvested: DataFrame, fields: Fields, keep: list[str] | None = None) -> DataFrame:

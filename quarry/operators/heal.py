@@ -1,16 +1,17 @@
-"""Repair of broken selectors: a small table of known repairs, asked first; providers, asked for what is missing; and a second extraction of the failing pages."""
+"""Repair of broken selectors: a table of known repairs, joined by host; providers, asked by the executors for what is missing; and a second extraction of the failing pages."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 from urllib.request import Request, urlopen
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from quarry.functions.urls import host
 from quarry.operators.extract import CONTAINER, HEALABLE, Page, harvest
 from quarry.plans.spec import Fields, FieldSpec
 
+if TYPE_CHECKING:
+    from quarry.operators.crawl import Folder
+
 SNIPPET = 6000
 
 
@@ -79,19 +83,25 @@ class HealingCache:
         rows = [(h, f, s) for h, own in self.known.items() for f, s in own.items()]
         return spark.createDataFrame(rows, "host string, field string, selector string")
 
+    def repairs(self, spark: SparkSession) -> DataFrame | None:
+        """(host, repairs): a map from fields to selectors; None if nothing is known."""
+        if not self.known:
+            return None
+        return self.table(spark).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("field", "selector"))).alias("repairs"))  # a host's fields
+
 
+# The object that is asked for and the limit of an answer's length are fixed values: parse_reply and the providers go by them.
 INSTRUCTIONS = (
-    "You repair CSS selectors for a scraper. Given a piece of HTML, a field's name, maybe its description, and the selector "
-    "that no longer finds it, answer with one JSON object {\"selector\": \"...\", \"confidence\": 0-1} and nothing else; "
-    "if no selector is plausible, the selector is null and the confidence 0."
+    'Find a CSS selector. You get a fragment of a page and the name of the value that is read from it; the old selector matches nothing there any more. '
+    'Reply with {"selector": "<css>", "confidence": <0 to 1>} as bare JSON. Say {"selector": null, "confidence": 0} rather than guess.'
 )
+ANSWER_TOKENS = 200
 
 
 def prompt(request: HealingRequest) -> str:
-    lines = [f"Page: {request.page_url}", f"Field: {request.field}"]
-    if request.description and request.description.strip():
-        lines.append(f"Description: {request.description}")
-    return "\n".join([*lines, f"Selector that no longer works: {request.old_selector}", "", "HTML:", request.html[:SNIPPET]])
+    about = (request.description or "").strip()
+    wanted = f"{request.field} ({about})" if about else request.field
+    return f"Wanted: {wanted}\nOld selector: {request.old_selector}\nFragment of {request.page_url}:\n{request.html[:SNIPPET]}"
 
 
 def parse_reply(raw: str | None) -> str | None:
@@ -130,10 +140,10 @@ class HttpProvider:
             return {
                 "systemInstruction": {"parts": [{"text": INSTRUCTIONS}]},
                 "contents": [{"parts": [{"text": prompt(request)}]}],
-                "generationConfig": {"temperature": 0, "maxOutputTokens": 200, "responseMimeType": "application/json"},
+                "generationConfig": {"temperature": 0, "maxOutputTokens": ANSWER_TOKENS, "responseMimeType": "application/json"},
             }
         out = {"model": self.model, "messages": [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": prompt(request)}]}
-        return out | ({"stream": False, "format": "json"} if self.style == "ollama" else {"temperature": 0, "max_tokens": 200})
+        return out | ({"stream": False, "format": "json"} if self.style == "ollama" else {"temperature": 0, "max_tokens": ANSWER_TOKENS})
 
     def answer(self, body: dict) -> str | None:
         try:
@@ -208,39 +218,51 @@ def _finds(page: Page, name: str, spec: FieldSpec | None, item_selector: str | N
     return any(page.field(s, spec) is None and page.value(s, spec, answer) is not None for s in _scopes(page, item_selector, known))
 
 
-def _learn(missing: DataFrame, pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider) -> bool:
-    """Asks for every (host, field) of ``missing`` (host, url, field) that isn't known, with one page after another until an answer finds something there.
+def _learn(ranked: DataFrame, html: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider, folder: Folder, name: str) -> bool:
+    """Asks for every (host, field) of ``ranked`` (host, field, nth, url), one page after another until an answer finds something there.
 
-    Round k shows the driver the next 2**k pages of each pair that is still
-    open, a partition at a time, so few rounds reach a pair's last page.
+    Round k shows the next 2**k pages of each pair that is still open, so few
+    rounds reach a pair's last page.  The executors ask: a pair's pages come to
+    one task in their order and stream through it, which passes over the rest of
+    them once an answer is good.  Only what was learnt reaches the driver.
     """
-    spark, learnt, low = pages.sparkSession, False, 1
-    html = pages.where("html is not null").select("url", "html")
-    nth = F.row_number().over(Window.partitionBy("host", "field").orderBy("url"))
-    ranked = lambda: missing.join(cache.table(spark).select("host", "field"), ["host", "field"], "left_anti").withColumn("nth", nth)
-    while True:
-        shown = ranked().where(F.col("nth") < 2 * low).where(F.col("nth") >= low)
-        rows = 0
-        for r in shown.join(html, "url").orderBy("host", "field", "nth").toLocalIterator():
-            rows += 1
-            if cache.get(r["host"], r["field"]):
-                continue
-            spec = fields.get(r["field"])
-            old = spec.selector if spec else item_selector
-            try:
-                page, known = Page(r["url"], r["html"]), cache.known.get(r["host"], {})
-                answer = provider.suggest(HealingRequest(_shown(page, r["field"], spec, item_selector, known), r["field"], old or "", r["url"], spec.description if spec else None))
-                if answer:
+    spark, learnt, low = ranked.sparkSession, False, 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled = None
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if (r["host"], r["field"]) == settled:
+                    continue
+                spec, known = fields.get(r["field"]), dict(r["repairs"] or [])
+                old = spec.selector if spec else item_selector
+                try:
+                    page = Page(r["url"], r["html"])
+                    answer = provider.suggest(HealingRequest(_shown(page, r["field"], spec, item_selector, known), r["field"], old or "", r["url"], spec.description if spec else None))
+                    if not answer:
+                        continue
                     if spec is None or spec.kind in HEALABLE[:2]:
                         compile_selector(answer)
                     if _finds(page, r["field"], spec, item_selector, known, answer):
-                        cache.set(r["host"], r["field"], answer)
-                        learnt = True
-            except (SelectorError, OSError, RuntimeError, ValueError):
-                continue
-        if not rows:
-            return learnt
+                        settled = r["host"], r["field"]
+                        found.append((*settled, answer))
+                except (SelectorError, OSError, RuntimeError, ValueError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], ["host", "field", "selector"])
+
+    while True:
+        shown = ranked.where((F.col("nth") >= low) & (F.col("nth") < 2 * low)).join(cache.table(spark).select("host", "field"), ["host", "field"], "left_anti")
+        known = cache.repairs(spark)
+        shown = shown.withColumn("repairs", F.lit(None).cast("map<string,string>")) if known is None else shown.join(known, "host", "left")
+        asked = shown.join(html, "url").repartition("host", "field").sortWithinPartitions("host", "field", "nth")
+        rows = folder.put(f"{name}-{low}", asked.select("host", "field", "url", "html", "repairs").mapInArrow(ask, "host string, field string, selector string"))
+        for r in rows.toLocalIterator():
+            cache.set(r["host"], r["field"], r["selector"])
+            learnt = True
         low *= 2
+        if ranked.where(F.col("nth") >= low).isEmpty():
+            return learnt
 
 
 def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: HealingCache, provider: Provider | None, enabled: bool = True, **how) -> DataFrame:
@@ -250,22 +272,28 @@ def heal(pages: DataFrame, fields: Fields, item_selector: str | None, cache: Hea
     then its fields that are still missing, pages that lack them are shown to
     the provider one by one until an answer finds something, and only that
     answer is remembered; the pages with something missing are extracted again
-    with it.
+    with it.  The passes are tables, as what was asked for must not be asked for
+    again when an executor is lost.
     """
-    kept = lambda: {h: dict(v) for h, v in cache.known.items()}
-    got = harvest(pages, fields, item_selector, healed=kept(), **how).cache()
+    from quarry.operators.crawl import Folder
+
+    spark = pages.sparkSession
+    run = lambda some: harvest(some, fields, item_selector, healed=cache.repairs(spark), **how)
     if provider is None or not enabled:
-        return got
+        return run(pages)
+    folder = Folder(spark, None)
+    got, html = folder.put("first", run(pages)), pages.where("html is not null").select("url", "html")
     container = [F.when(F.size("items") == 0, F.lit(CONTAINER))] if item_selector else []
     able = [F.when(_some_item(i, lambda v: v.isNull()), F.lit(n)) for i, (n, s) in enumerate(fields.items()) if s.kind in HEALABLE]
-    for lacks in (container, able):
+    nth = F.row_number().over(Window.partitionBy("host", "field").orderBy("url"))
+    for name, lacks in (("container", container), ("fields", able)):
         if not lacks:
             continue
         missing = got.withColumn("lacking", F.array_compact(F.array(*lacks))).where(F.size("lacking") > 0)
-        present = pages.where("html is not null").select("url").distinct()
-        pairs = missing.join(present, "url", "left_semi").select(host(F.col("url")).alias("host"), "url", F.explode("lacking").alias("field")).distinct()
-        if _learn(pairs, pages, fields, item_selector, cache, provider):
+        pairs = missing.join(html.select("url").distinct(), "url", "left_semi").select(host(F.col("url")).alias("host"), "url", F.explode("lacking").alias("field")).distinct()
+        ranked = folder.put(f"{name}-pairs", pairs.join(cache.table(spark).select("host", "field"), ["host", "field"], "left_anti").withColumn("nth", nth))
+        if _learn(ranked, html, fields, item_selector, cache, provider, folder, name):
             again = missing.select("url").distinct()
-            second = harvest(pages.join(again, "url", "left_semi"), fields, item_selector, healed=kept(), **how).cache()
+            second = folder.put(f"{name}-again", run(pages.join(again, "url", "left_semi")))
             got = got.join(again, "url", "left_anti").unionByName(second)
     return got

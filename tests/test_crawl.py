@@ -1,5 +1,11 @@
 import json
+import os
+import pathlib
+import pickle
 import sqlite3
+import tempfile
+import time
+import uuid
 
 import pytest
 
@@ -114,15 +120,26 @@ def test_every_fetched_get_page_reaches_the_cache(spark, site, tmp_path):
 
 
 class Answers:
+    """A provider that notes, in files of a folder, what it is asked wherever that happens."""
+
     def __init__(self, answer):
-        self.answer, self.asked = answer, []
+        self.answer, self.folder = answer, tempfile.mkdtemp()
 
     def suggest(self, request):
-        self.asked.append(request)
+        with open(f"{self.folder}/{time.time_ns()}-{uuid.uuid4().hex}", "wb") as f:
+            pickle.dump((os.getpid(), request), f)
         if isinstance(self.answer, Exception):
             raise self.answer
         return self.answer
 
+    @property
+    def calls(self):
+        return [pickle.loads((pathlib.Path(self.folder) / n).read_bytes()) for n in sorted(os.listdir(self.folder))]
+
+    @property
+    def asked(self):
+        return [r for _, r in self.calls]
+
 
 def test_repair(spark, site, tmp_path):
     path = str(tmp_path / "h.json")
@@ -145,12 +162,26 @@ def test_every_broken_pair_is_asked_for(spark):
     cache, provider = heal.HealingCache(), Answers("h1")
     got = heal.heal(spark.createDataFrame(rows, "url string, html string"), {"t": FieldSpec("h2")}, None, cache, provider).collect()
     assert len(provider.asked) == len(cache.known) == 230 and all(r["items"][0]["f0"] for r in got)
+    assert os.getpid() not in {pid for pid, _ in provider.calls}  # executors ask, and no page reaches the driver
+
+
+def test_the_pages_of_a_pair_are_shown_until_one_answer_is_good(spark):
+    rows = [(f"http://h{i % 2}.example/{i:03}", f"<i class=c{i}>{i}</i>") for i in range(100)]
+    class Last(Answers):
+        def suggest(self, request):
+            Answers.suggest(self, request)
+            return "i.c98" if "h0" in request.page_url else "["
+
+    cache, provider = heal.HealingCache(), Last(None)
+    got = heal.heal(spark.createDataFrame(rows, "url string, html string").repartition(7), {"t": FieldSpec("b")}, None, cache, provider)
+    assert cache.known == {"h0.example": {"t": "i.c98"}} and [r["url"][-3:] for r in got.where("items[0].f0 is not null").collect()] == ["098"]
+    assert sorted(r.page_url for r in provider.asked) == sorted(u for u, _ in rows)
 
 
 def test_other_pages_of_a_pair_are_asked_for(spark):
     class Last(Answers):
         def suggest(self, request):
-            super().suggest(request)
+            Answers.suggest(self, request)
             return "i.x" if request.page_url.endswith("/4") else "b.none"
 
     rows = [(f"http://h.example/{i}", None if i == 0 else f"<ul><li class=x><i class=x>{i}</i></li></ul>") for i in range(8)]

@@ -119,18 +119,19 @@ def test_an_archive_is_scanned_and_not_shuffled(spark, tmp_path):
     assert not any(re.search("Exchange", x) and not re.search("BroadcastExchange", x) for x in above[join:scan])
 
 
-def test_a_provider_sees_the_item_that_lacks_a_field(spark):
-    seen = []
+def test_a_provider_sees_the_item_that_lacks_a_field(spark, tmp_path):
+    seen = tmp_path / "seen"
 
     class Looks:
         def suggest(self, request):
-            seen.append(request.html)
+            with open(seen, "a") as f:
+                f.write(request.html)
             return "em"
 
     html = f"<p>{'x' * 9000}</p><ul><li class=r><b>1</b></li><li class=r><em id='a&quot;'>2 &lt; 3</em></li></ul>"
     pages = spark.createDataFrame([("http://a.example/", html)], "url string, html string")
     got = heal.heal(pages, {"t": FieldSpec("b")}, "li.r", heal.HealingCache(), Looks()).first()
-    assert seen == ['<li class="r"><em id="a&quot;">2 &lt; 3</em></li>'] and [i["f0"] for i in got["items"]] == ["1", "2 < 3"]
+    assert seen.read_text() == '<li class="r"><em id="a&quot;">2 &lt; 3</em></li>' and [i["f0"] for i in got["items"]] == ["1", "2 < 3"]
     assert parse("<p>a<br>b<script>1 < 2</script>").html() == "<html><head></head><body><p>a<br>b<script>1 < 2</script></p></body></html>"
 
 

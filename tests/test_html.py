@@ -7,8 +7,8 @@ from quarry.functions.css import SelectorError, compile_selector
 from quarry.functions.dom import parse
 from quarry.functions.xpath import first_value
 
-QUOTES = """<div class="quote"><span class="text">A day</span><small class="author">Ann</small><a class="tag-link" href="/tag/day">t</a></div>
-<div class="quote"><span class="text">A night</span><small class="author">Bo</small><a class="tag-link" href="/tag/night">t</a></div>"""
+SHELF = """<div class="toy"><span class="label">A kite</span><small class="maker">Ann</small><a class="more" href="/toy/kite">t</a></div>
+<div class="toy"><span class="label">A sled</span><small class="maker">Bo</small><a class="more" href="/toy/sled">t</a></div>"""
 
 
 def texts(html, selector, scope=None):
@@ -31,13 +31,13 @@ def test_tree_implies_what_html_implies():
 @pytest.mark.parametrize(
     ("selector", "expected"),
     [
-        (".quote .text", ["A day", "A night"]), ("div.quote:nth-child(2) > .author", ["Bo"]), (".text + .author", ["Ann", "Bo"]), (".text ~ a[href$='day']", ["t"]), ("a[href^='/tag'][href*=ight]", ["t"]),
-        ("small:not(.x), em", ["Ann", "Bo"]), (".quote:last-child .text", ["A night"]), ("[class~=text]:first-of-type", ["A day", "A night"]), ("div:has(> a[href='/tag/day']) .author", ["Ann"]), ("#none", []),
-        ("div:nth-of-type(2n+1) small", ["Ann"]), ("*:only-of-type.author", ["Ann", "Bo"]), ("A[HREF='/tag/day' i]", ["t"]),
+        (".toy .label", ["A kite", "A sled"]), ("div.toy:nth-child(2) > .maker", ["Bo"]), (".label + .maker", ["Ann", "Bo"]), (".label ~ a[href$='kite']", ["t"]), ("a[href^='/toy'][href*=led]", ["t"]),
+        ("small:not(.x), em", ["Ann", "Bo"]), (".toy:last-child .label", ["A sled"]), ("[class~=label]:first-of-type", ["A kite", "A sled"]), ("div:has(> a[href='/toy/kite']) .maker", ["Ann"]), ("#none", []),
+        ("div:nth-of-type(2n+1) small", ["Ann"]), ("*:only-of-type.maker", ["Ann", "Bo"]), ("A[HREF='/toy/kite' i]", ["t"]),
     ],
 )
 def test_selectors(selector, expected):
-    assert texts(QUOTES, selector) == expected
+    assert texts(SHELF, selector) == expected
 
 
 @pytest.mark.parametrize("bad", ["", "a >", "> a", "a[", ":nope", "a::before", "a,,b", "p:nth-child(x)"])
@@ -54,17 +54,17 @@ def test_ancestors_outside_the_scope_take_part():
 @pytest.mark.parametrize(
     ("path", "attribute", "expected"),
     [
-        ("//div[@class='quote'][2]/small", None, "Bo"), ("//a/@href", None, "/tag/day"), ("//a[contains(@href, 'night')]", "href", "/tag/night"), ("//small[text()='Bo']/../span", None, "A night"),
-        ("count(//div)", None, "2"), ("//div[last()]//a[starts-with(@href,'/')]", "href", "/tag/night"), ("//span[normalize-space(.)='A day']/following-sibling::a", "href", "/tag/day"),
+        ("//div[@class='toy'][2]/small", None, "Bo"), ("//a/@href", None, "/toy/kite"), ("//a[contains(@href, 'sled')]", "href", "/toy/sled"), ("//small[text()='Bo']/../span", None, "A sled"),
+        ("count(//div)", None, "2"), ("//div[last()]//a[starts-with(@href,'/')]", "href", "/toy/sled"), ("//span[normalize-space(.)='A kite']/following-sibling::a", "href", "/toy/kite"),
         ("//small[. = 'Ann'] | //none", None, "Ann"), ("//none", None, None), ("//a[", None, None), ("string-length(//small)", None, "3"), ("//div[position()=2]/a", "missing", None), ("//a/ancestor::div[1]/small", None, "Ann"),
     ],
 )
 def test_xpath(path, attribute, expected):
-    assert first_value(path, parse(QUOTES).elements()[0], attribute) == expected
+    assert first_value(path, parse(SHELF).elements()[0], attribute) == expected
 
 
 def test_xpath_from_an_item_sees_the_document():
-    item = compile_selector(".quote:last-child").first(parse(QUOTES))
+    item = compile_selector(".toy:last-child").first(parse(SHELF))
     assert first_value("//small", item) == "Ann"
     assert first_value(".//small", item) == "Bo"
 
