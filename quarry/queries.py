@@ -7,10 +7,12 @@ must come out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import transforms, urls
 from quarry.functions.transforms import Transform
@@ -19,7 +21,7 @@ from quarry.operators.crawl import Folder, Plan, crawl
 from quarry.plans import recipe as recipes
 from quarry.plans.spec import ARTICLE, PRODUCT, FieldSpec, Kind
 from quarry.sources import readers, sinks
-from quarry.sources.fetch import CachedFetcher, TableFetcher
+from quarry.sources.fetch import CachedFetcher, TableFetcher, stored_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,6 +476,30 @@ def diff_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.sample(diff.snapshot_diff(*_snapshots(spark, sf_dir), "id"), "removed")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey id, o_orderkey % 4 < 2 AND o_orderkey % 11 <> 0 a, o_orderkey % 7 <> 0 b, CASE WHEN o_orderkey % 3 = 0 THEN 'second' WHEN o_orderkey % 4 < 2 THEN 'first' ELSE 'third' END x FROM orders)
+SELECT id::VARCHAR AS key, CASE WHEN NOT a THEN 'added' WHEN NOT b THEN 'removed' WHEN x = 'first' THEN 'unchanged' ELSE 'changed' END status,
+  CASE WHEN b THEN '{"id":' || id || ',"from":"' || x || '"}' END new_line FROM o WHERE a OR b"""
+)
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as folders of files: of a key's lines the one in the file with the later name counts, though that file is the smallest and read last."""
+    folder, orders = Folder(spark, None).path, table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+
+    def write(name: str, rows: DataFrame, source: str) -> None:
+        line = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(f',"from":"{source}"}}'))
+        rows.select(line.alias("value")).write.mode("append").text(f"{folder}/{name}")
+
+    first, old = key % 4 < 2, f"{folder}/old"
+    write("old", orders.where(first & (key % 11 != 0)), "first")
+    kept = orders.where(key % 7 != 0)
+    write("new/1", kept.where(first), "first")
+    write("new/1", kept.where(~first), "third")
+    write("new/2", kept.where(key % 3 == 0), "second")
+    new = readers.json_lines(spark, f"{folder}/new/*")
+    return diff.snapshot_diff(readers.json_lines(spark, old), new, "id").select("key", "status", "new_line")
+
+
 # Sources.
 
 
@@ -525,7 +551,10 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawl_tree(spark: SparkSession, sf_dir: str, depth: int, most: int):
-    plan = Plan({"name": FieldSpec("h1")}, TableFetcher(_tree(spark, sf_dir)), link_selector="a", max_depth=depth, max_pages=most)
+    """The tree is an archive that is stored once, in buckets by URL."""
+    name = f"archive_{uuid.uuid4().hex}"
+    archive = stored_archive(_tree(spark, sf_dir), name, int(spark.conf.get("spark.sql.shuffle.partitions")), f"{Folder(spark, None).path}/{name}")
+    plan = Plan({"name": FieldSpec("h1")}, archive, link_selector="a", max_depth=depth, max_pages=most)
     return crawl(spark, readers.seeds(spark, ["http://t.example/0", "http://t.example/0#again"]), plan)
 
 
@@ -534,6 +563,7 @@ _TREE = """(WITH RECURSIVE t(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT
 
 @query(f"SELECT 'http://t.example/' || id url, depth, c_name AS name FROM {_TREE} JOIN customer ON c_custkey = id")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit of depth, which is the feature: 127 pages at every scale (``bfs_whole`` has none)."""
     return _crawl_tree(spark, sf_dir, 6, 1_000_000).items.select("url", "depth", "name")
 
 
@@ -679,11 +709,15 @@ def recipe_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams.
 
 
-def _streamed(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All of a bounded stream, in a table of the session's memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def _streamed(df: DataFrame, *key: str) -> DataFrame:
+    """All of a bounded stream: each batch is a table of its own, written again as a whole if it is repeated; with a key, each key's rows of its latest batch."""
+    spark, folder = df.sparkSession, Folder(df.sparkSession, None).path
+    writer = df.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).outputMode("update" if key else "append")
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if not key:
+        return rows.drop("batch")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "batch").alias("r")).select("r.*")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -694,7 +728,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.streaming import state
 
-    return _streamed(state.unseen_items(_stream(spark, sf_dir, "events").select("user_id", "event_type")), "stream_dedup")
+    return _streamed(state.unseen_items(_stream(spark, sf_dir, "events").select("user_id", "event_type")))
 
 
 @query("SELECT 'event_type' field, count(*) n_present FROM events")
@@ -702,7 +736,7 @@ def stream_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.streaming import state
 
     items = _stream(spark, sf_dir, "events").select("event_type", F.lit("").alias("blank"))
-    return _streamed(state.field_presence(items, ["event_type", "blank"]), "stream_coverage", "complete")
+    return _streamed(state.field_presence(items, ["event_type", "blank"]), "field")
 
 
 @query(f"{_ADAPTIVE} SELECT user_id::VARCHAR AS host, round(m, 9) multiplier FROM m")
@@ -712,7 +746,7 @@ def stream_adaptive_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     ok = F.when(kind == "error", F.lit(False)).when(kind.isin("view", "purchase"), F.lit(True))
     rows = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), ok.alias("ok"))
-    return _streamed(state.adaptive_delays(rows, 2500), "stream_adaptive_delay", "update").select("host", F.round("multiplier", 9).alias("multiplier"))
+    return _streamed(state.adaptive_delays(rows, 2500), "host").select("host", F.round("multiplier", 9).alias("multiplier"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ class TableFetcher:
         return True
 
 
-def stored_archive(pages: DataFrame, name: str, buckets: int, path: str | None = None) -> TableFetcher:
+def stored_archive(pages: DataFrame, name: str, buckets: int, path: str | None = None) -> BucketedFetcher:
     """A fetcher over ``pages`` (url, html[, status]) stored as table ``name``, one page a URL, in buckets by URL: however many requests meet it, only they are shuffled."""
     status = F.col("status") if "status" in pages.columns else F.lit(200)
     one = pages.select("url", status.cast("int").alias("status"), "html").groupBy("url").agg(F.min(F.struct("status", "html")).alias("p")).select("url", "p.*")
@@ -87,10 +87,11 @@ def stored_archive(pages: DataFrame, name: str, buckets: int, path: str | None =
 
 
 class BucketedFetcher(TableFetcher):
-    """A ``TableFetcher`` over a table that is bucketed by URL and has one page a URL: one join, with which the table keeps its place."""
+    """A ``TableFetcher`` over a table that is bucketed by URL and has one page a URL: nothing is grouped, and in a join of shuffles the table keeps its place."""
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        found = requests.join(self.pages, "url", "left")
+        hits = self.pages.join(requests.select("url").distinct(), "url")
+        found = requests.join(hits, "url", "left")
         return as_pages(found, F.coalesce("__status", F.lit(0)), F.col("__html"), F.when(F.col("__there").isNull(), F.lit("not found")))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
 import sqlite3
 from collections.abc import Iterable
+from contextlib import closing
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Protocol
@@ -55,17 +57,22 @@ class OneFile:
         return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\n') else text
 
     def write(self, items: DataFrame) -> None:
-        Path(self.path).parent.mkdir(parents=True, exist_ok=True)
-        old = self.append and Path(self.path).exists() and Path(self.path).stat().st_size > 0
-        with open(self.path, "a" if self.append else "w", encoding="utf-8", newline="") as f:
+        """Into a file beside it, which takes its place when it is whole: a job that fails leaves the old one."""
+        path, part = Path(self.path), Path(f"{self.path}.part")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        old = self.append and path.exists() and path.stat().st_size > 0
+        if old:
+            shutil.copyfile(path, part)
+        with open(part, "a" if old else "w", encoding="utf-8", newline="") as f:
             if self.kind == "csv" and not old:
                 f.write(",".join(map(self.cell, items.columns)) + "\n")
             for r in items.toLocalIterator():
                 f.write((",".join(map(self.cell, r)) if self.kind == "csv" else json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str)) + "\n")
+        part.replace(path)
 
 
 class Sqlite:
-    """A table of text columns in a SQLite file; rows are appended, null is empty; the driver streams them in."""
+    """A table of text columns in a SQLite file; rows are appended, null is empty; the driver streams them in, all of them or, where the job fails, none."""
 
     def __init__(self, path: str, table: str = "item"):
         self.path, self.table = path, table
@@ -73,11 +80,10 @@ class Sqlite:
     def write(self, items: DataFrame) -> None:
         quoted = lambda s: '"' + s.replace('"', '""') + '"'
         names = items.columns
-        with sqlite3.connect(self.path) as db:
+        rows = items.select(*(F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(n) for n in names))
+        with closing(sqlite3.connect(self.path)) as db, db:
             db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(self.table)} ({', '.join(f'{quoted(n)} TEXT' for n in names)})")
-            rows = items.select(*(F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(n) for n in names)).toLocalIterator()
-            db.executemany(f"INSERT INTO {quoted(self.table)} ({', '.join(map(quoted, names))}) VALUES ({', '.join('?' * len(names))})", rows)
-        db.close()
+            db.executemany(f"INSERT INTO {quoted(self.table)} ({', '.join(map(quoted, names))}) VALUES ({', '.join('?' * len(names))})", rows.toLocalIterator())
 
 
 def fan_out(items: DataFrame, sinks: Iterable[Sink]) -> None:

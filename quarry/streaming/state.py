@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.urls import visited_key
 from quarry.operators import diff
-from quarry.operators.politeness import GROW, LONGEST_MS, MOST, RELAX
+from quarry.operators.politeness import GROW, LONGEST_MS, MOST, RELAX, with_robots
 
 
 def unvisited(requests: DataFrame, normalize: bool = True, watermark: str | None = None) -> DataFrame:
@@ -43,6 +43,11 @@ def field_presence(items: DataFrame, fields: list[str]) -> DataFrame:
     return items.select(F.explode(present).alias("field")).groupBy("field").agg(F.count("*").alias("n_present"))
 
 
+def checked(requests: DataFrame, robots: Callable[[], DataFrame], on_batch: Callable[[DataFrame, int], None]):
+    """A writer that joins each batch of (url, ...) with the robots table (origin, content) as it stands then and hands it on with allowed and crawl_delay."""
+    return requests.writeStream.foreachBatch(lambda batch, number: on_batch(with_robots(batch, robots()), number))
+
+
 def rate_limited(requests: DataFrame, delay_ms: float) -> DataFrame:
     """(host, seq, arrival_ms, start_ms) of a stream of (host, seq, arrival_ms): a request starts a delay after its host's last one at the earliest."""
 
@@ -83,9 +88,9 @@ def watch_snapshots(lines: DataFrame, key: str, folder: str, on_diff: Callable[[
     """A writer that keeps each batch of (line_no, line) as a table in ``folder``, compares it with the one before and hands the differences on."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark, schema = batch.sparkSession, "line_no long, line string"
+        spark, schema = batch.sparkSession, f"line_no {lines.schema['line_no'].dataType.simpleString()}, line string"
         path = f"{folder.rstrip('/')}/snapshot-{number}"
-        batch.select(F.col("line_no").cast("long"), "line").write.mode("overwrite").parquet(path)
+        batch.select("line_no", "line").write.mode("overwrite").parquet(path)
         before = spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/snapshot-{number - 1}") if number else spark.createDataFrame([], schema)
         on_diff(diff.snapshot_diff(before, spark.read.schema(schema).parquet(path), key), number)
 

@@ -12,7 +12,7 @@ from quarry.functions.dom import parse
 from quarry.operators import heal
 from quarry.plans import recipe
 from quarry.plans.spec import FieldSpec
-from quarry.sources.fetch import HttpFetcher, HttpOptions, TableFetcher
+from quarry.sources.fetch import HttpFetcher, HttpOptions, TableFetcher, stored_archive
 
 REQUEST = "url string, depth int, method string, form map<string,string>, seq long, crawl_delay double"
 
@@ -145,3 +145,42 @@ def test_replies_that_are_no_selectors(spark):
 def test_none_among_providers_is_an_error():
     of = lambda p: [m for s, m in recipe.validate(recipe.parse('{"seedUrls": ["http://a.example/"], "healing": {"provider": "%s"}}' % p)) if s == "error"]
     assert of("none") == [] and of("ollama, none") == ["healing: unknown provider none"]
+
+
+def test_a_stored_archive_keeps_its_place_in_joins_of_shuffles(spark, tmp_path):
+    pages = spark.range(2000).select(F.concat(F.lit("http://a.example/"), F.col("id") % 1500).alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    archive = stored_archive(pages, "kept_archive", 4, f"file://{tmp_path}/archive")
+    spark.createDataFrame([(f"http://a.example/{i}", 0, "GET", None, i) for i in (7, 9, 5000, 7)], REQUEST.removesuffix(", crawl_delay double")).write.parquet(f"file://{tmp_path}/requests")
+    asked = spark.read.parquet(f"file://{tmp_path}/requests")
+    want = [(7, 200, "<p>1507"), (7, 200, "<p>1507"), (9, 200, "<p>1509"), (5000, 0, None)]
+    assert [(r["seq"], r["status"], r["html"]) for r in archive.fetch(asked).orderBy("seq").collect()] == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = archive.fetch(asked)
+        assert [(r["seq"], r["status"], r["html"]) for r in got.orderBy("seq").collect()] == want
+        text = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("drop table kept_archive")
+    scan = next(i for i, x in enumerate(text) if "kept_archive" in x)
+    join = next(i for i in range(scan, -1, -1) if "SortMergeJoin" in text[i])
+    assert "Bucketed: true" in text[scan] and not any("Exchange" in x for x in text[join:scan])
+
+
+def test_what_was_visited_is_scanned_and_not_shuffled(spark, tmp_path):
+    from quarry.operators import crawl
+
+    folder = crawl.Folder(spark, f"file://{tmp_path}/c")
+    ask = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("http://a.example/"), "id").alias("url"), F.col("id").alias("seq"))
+    for n in range(3):
+        folder.put(f"requests-{n}", crawl.next_requests(ask(1000 * n, 1000 * n + 1000), folder.visited(list(range(n))), True), by="part")
+    spark.createDataFrame([("http://A.example/5",  1), ("http://a.example/2500?utm_source=x", 2), ("http://a.example/7777", 3)], "url string, seq long").write.parquet(f"file://{tmp_path}/f")
+    found = crawl.next_requests(spark.read.parquet(f"file://{tmp_path}/f"), folder.visited([0, 1, 2]), True)
+    assert [r["url"] for r in found.collect()] == ["http://a.example/7777"]
+    lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    joins = [i for i, x in enumerate(lines) if "LeftSemi" in x]
+    for i in joins:  # the first child of each join is a level's table as it is scanned
+        scan = next(k for k in range(i, len(lines)) if "FileScan" in lines[k])
+        assert "BroadcastHashJoin" in lines[i] and "[key#" in lines[scan] and not any("Exchange" in x for x in lines[i:scan])
+    assert len(joins) == 3

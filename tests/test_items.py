@@ -95,3 +95,47 @@ def test_diff(spark):
 def test_json_numbers_keep_their_spelling(spark):
     got = diff.keyed_lines(lines_of(spark, json.dumps({"k": 1}), '{"k":1.0}', '{"k":1e2}'), "k")
     assert sorted(r["key"] for r in got.collect()) == ["1", "1.0", "1e2"]
+
+
+def test_lines_are_in_the_order_of_files_and_places(spark, tmp_path):
+    """The first file is the largest, so it is read last or in several splits; the last line of a key is the last file's."""
+    from quarry.sources.readers import json_lines
+
+    line = lambda k, v: json.dumps({"k": k, "v": v, "pad": "x" * 40})
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.jsonl").write_text("\n".join(line(i % 500, ["a", i]) for i in range(4000)))
+    (tmp_path / "f" / "b.jsonl").write_text("\n".join(line(i, ["b", i]) for i in range(100, 300)))
+    (tmp_path / "f" / "c.jsonl").write_text("\n".join(line(i, ["c", i]) for i in range(200, 250)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("20000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = json_lines(spark, f"file://{tmp_path}/f")
+            assert lines.rdd.getNumPartitions() > 5 or size == "128m"
+            got = {int(r["key"]): json.loads(r["line"])["v"] for r in diff.keyed_lines(lines, "k").collect()}
+            assert got == {k: ["c", k] if 200 <= k < 250 else ["b", k] if 100 <= k < 300 else ["a", 3500 + k] for k in range(500)}
+            assert [json.loads(r["line"])["v"] for r in lines.orderBy("line_no").collect()] == [["a", i] for i in range(4000)] + [["b", i] for i in range(100, 300)] + [["c", i] for i in range(200, 250)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_job_that_fails_leaves_the_old_output(spark, tmp_path):
+    import sqlite3
+
+    from quarry.sources import sinks
+
+    good = spark.createDataFrame([("a",), ("b",)], "x string")
+    bad = spark.range(0, 2000, 1, 8).select(F.when(F.col("id") == 1990, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("x"))
+    for kind, append in (("json", False), ("csv", True)):
+        sink = sinks.OneFile(str(tmp_path / kind), kind, append)
+        sink.write(good)
+        before = (tmp_path / kind).read_text()
+        with pytest.raises(Exception, match="no"):
+            sink.write(bad)
+        assert (tmp_path / kind).read_text() == before != ""
+    db = str(tmp_path / "d.sqlite")
+    sinks.Sqlite(db).write(good)
+    with pytest.raises(Exception, match="no"):
+        sinks.Sqlite(db).write(bad)
+    with sqlite3.connect(db) as found:
+        assert found.execute("select count(*) from item").fetchone() == (2,)

@@ -47,3 +47,28 @@ def test_snapshots(spark, tmp_path):
     q.trigger(availableNow=True).start().awaitTermination()
     assert seen == [{"1": "added", "2": "added"}, {"1": "removed", "2": "unchanged"}]
     assert df.isStreaming
+
+
+def test_robots_that_change_between_batches(spark, tmp_path):
+    seen, rules = [], str(tmp_path / "robots")
+    put = lambda text: spark.createDataFrame([("http://x.example", text)], "origin string, content string").write.mode("overwrite").parquet(rules)
+    put("User-agent: *\nDisallow: /a")
+    df = stream(spark, tmp_path, [("http://x.example/a",), ("http://x.example/b",), ("http://y.example/a",)], "url string")
+    keep = lambda rows, n: seen.append({r["url"][7:]: (r["allowed"], r["crawl_delay"]) for r in rows.collect()})
+    q = state.checked(df, lambda: spark.read.parquet(rules), keep).option("checkpointLocation", str(tmp_path / "cp"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    put("User-agent: *\nDisallow: /b\nCrawl-delay: 2")
+    stream(spark, tmp_path, [("http://x.example/a",), ("http://x.example/b",)], "url string")
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{"x.example/a": (False, None), "x.example/b": (True, None), "y.example/a": (True, None)}, {"x.example/a": (True, 2.0), "x.example/b": (False, 2.0)}]
+
+
+def test_a_stream_of_several_batches_gives_each_key_once(spark, tmp_path):
+    from quarry import queries
+
+    rows = [("a", 1, False), ("b", 2, True)], [("a", 3, False)], [("c", 4, False), ("a", 5, True)]
+    for own in rows:
+        df = stream(spark, tmp_path, own, "host string, seq long, ok boolean")
+    slow = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = queries._streamed(state.adaptive_delays(slow, 1000), "host").collect()
+    assert sorted((r["host"], r["multiplier"]) for r in got) == [("a", 3.4), ("b", 1.0), ("c", 2.0)]
