@@ -67,7 +67,7 @@ class Folder:
     """Tables and a state file in a folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, path: str | None):
-        self.spark, self.own = spark, path is None
+        self.spark, self.tables = spark, {}
         if path is None:
             base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
             if base is None:
@@ -88,19 +88,19 @@ class Folder:
         seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
         writer = (df.observe(seen, *(c.alias(k) for k, c in metrics.items())) if seen else df).write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
-        out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        out = self.tables[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
         return (out, seen.get) if seen else out
 
     def get(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table that was put here, now or before the crawl was stopped."""
+        return self.tables.get(name) or self.spark.read.parquet(f"{self.path}/{name}")
 
     def visited(self, levels: list[int]) -> DataFrame | None:
         """(key, part) of all that the levels asked for: their request tables, which are never written again."""
         if not levels:
             return None
-        paths = [f"{self.path}/requests-{n}" for n in levels]
-        tables = [self.spark.read.schema("key string, part int").parquet(p) for p in paths]
-        return reduce(DataFrame.union, tables)
+        paths = [f"{self.path}/{asked(n)}" for n in levels]
+        return self.spark.read.option("basePath", f"{self.path}/requests").schema("key string, level int, part int").parquet(*paths).select("key", "part")
 
     def save(self, state: State) -> None:
         """Under a name of its own, by a rename: readers find the states before until the new one is whole."""
@@ -143,26 +143,37 @@ class Folder:
 PARTS = 8  # folders of a level's requests, by their keys
 
 
-def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool) -> DataFrame:
-    """The first request of each key that wasn't visited, with its key and the part that the key falls in.
+def asked(level: int) -> str:
+    """The table of a level's requests."""
+    return f"requests/level={level}"
+
 
-    What was visited meets the frontier's keys in a semi join, so it is scanned
-    and not shuffled as long as they are few, and only what they have in common
-    is taken from the frontier.
+def _unseen(first: DataFrame, visited: DataFrame | None) -> DataFrame:
+    """What has a key that wasn't visited, with the part that the key falls in.
+
+    What was visited meets the keys in a semi join, so it is scanned and not
+    shuffled as long as they are few, in the parts that they fall in, and only
+    what they have in common is taken from them.
     """
-    keyed = frontier.withColumn("key", visited_key(F.col("url"), normalize))
-    first = dedup.by_key(keyed, "key", ["seq"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    first = first.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
     if visited is None:
         return first
     seen = visited.join(first.select("part", "key"), ["part", "key"], "left_semi")
     return first.join(seen.select("key"), "key", "left_anti")
 
 
-def discovered(pages: DataFrame, depth: int) -> DataFrame:
-    """Requests of the next level from the links of pages (seq, links), in the order of pages and links, each URL once."""
+def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool) -> DataFrame:
+    """The first request of each key that wasn't visited."""
+    keyed = frontier.withColumn("key", visited_key(F.col("url"), normalize))
+    return _unseen(dedup.by_key(keyed, "key", ["seq"]), visited)
+
+
+def discovered(pages: DataFrame, visited: DataFrame | None, normalize: bool, depth: int) -> DataFrame:
+    """The requests of the next level: of the links of pages (seq, links) the first with each key that wasn't visited, in the order of pages and links."""
     found = pages.select(F.col("seq").alias("s"), F.posexplode("links").alias("p", "url"))
-    first = found.groupBy("url").agg(F.min(F.struct("s", "p")).alias("at")).orderBy("at")
-    return first.select("url", F.lit(depth).alias("depth"), F.lit("GET").alias("method"), F.lit(None).cast("map<string,string>").alias("form"), F.monotonically_increasing_id().alias("seq"))
+    first = found.groupBy(visited_key(F.col("url"), normalize).alias("key")).agg(F.min(F.struct("s", "p", "url")).alias("at"))
+    new = _unseen(first, visited).orderBy("at.s", "at.p")
+    return new.select("at.url", F.lit(depth).alias("depth"), F.lit("GET").alias("method"), F.lit(None).cast("map<string,string>").alias("form"), F.monotonically_increasing_id().alias("seq"), "key", "part")
 
 
 @dataclass
@@ -217,13 +228,14 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
     live = isinstance(fetcher, HttpFetcher)
     while state.level <= plan.max_depth and state.fetched < plan.max_pages:
         n = state.level
-        frontier = discovered(folder.get(f"pages-{n - 1}").where("success"), n) if n else folder.get("seeds")
-        requests, seen = folder.put(f"requests-{n}", next_requests(frontier, folder.visited(state.levels), plan.normalize_urls), by="part", found=F.count("*"))
+        known = folder.visited(state.levels)
+        new = discovered(folder.get(f"pages-{n - 1}").where("success"), known, plan.normalize_urls, n) if n else next_requests(folder.get("seeds"), known, plan.normalize_urls)
+        requests, seen = folder.put(asked(n), new, by="part", found=F.count("*"))
         room = plan.max_pages - state.fetched
         if not seen["found"]:
             break
         if seen["found"] > room:  # only then are they put in order
-            requests = folder.put(f"requests-{n}-cut", requests.orderBy("seq").limit(room))
+            requests = folder.put(f"cut-{n}", requests.orderBy("seq").limit(room))
         ask, rest = requests.drop("key", "part"), None
         if plan.robots is not None or fetcher is not plan.fetcher:
             ask, rest = dealt(folder, n, ask, plan, state.levels)
