@@ -3,9 +3,9 @@
 Texts are lower-cased (A-Z) and split into runs of letters, digits and
 non-ASCII characters.  An item's windows are its runs of n words; an item with
 fewer words, but not none, is one window.  A hit by hash counts only when the
-words are the same.  The items come in blocks of a bounded number of words.  One
-block, the usual case, is broadcast; more are files in the shared folder, and
-each task takes them one after the other for every few MB of text that it has
+words are the same.  The items come in blocks of about a million words.  One
+block, the usual case, is broadcast; more are built by the executors, as files in
+the shared folder, and each task takes them one after the other for every few MB of text that it has
 read, so a benchmark of any size is one stage and one block a task in memory.
 
 Defined cases: null and empty texts and items have no words; repeated items
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -99,36 +100,44 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: s
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = items.distinct()  # an item that is repeated as it is counts once
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * block_words)))  # a word and its separator take two characters at least
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")  # items of one id, or of none, are spread
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{text_col}`").alias("text"))
-    part = lambda k: Items([(r[0], r[1]) for r in items.where(block == k).collect()], n)
     if blocks == 1:
-        own = sc.broadcast(part(0))
+        own = sc.broadcast(Items([(r[0], r[1]) for r in items.collect()], n))  # block_words words, about
         found = lambda: iter([own.value])
     else:
         folder = fresh_dir(docs.sparkSession, "benchmark")
-        for k in range(blocks):
-            _save(folder, k, part(k))
+
+        def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+            _save(folder, key[0].as_py(), Items(list(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)), n))
+            return pa.table({"rows": pa.array([rows.num_rows], pa.int64())})
+
+        items.withColumn("block", block).groupBy("block").applyInArrow(build, "rows long").count()
         found = partial(_load, folder, blocks)
     return out.mapInArrow(lean(_pass(found, len(names), blocks)), f"{kinds}, {SCHEMA}")
 
 
 def _save(folder: str, k: int, items: Items) -> None:
+    """By a rename, as another attempt may write the same block."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/{k}") as f:
+    part = f"{root}/part-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
         f.write(pickle.dumps(items))
+    fs.move(part, f"{root}/{k}")
 
 
 def _load(folder: str, blocks: int) -> Iterator[Items]:
-    """The blocks, one at a time."""
+    """The blocks that have items, one at a time."""
     fs, root = pafs.FileSystem.from_uri(folder)
     for k in range(blocks):
-        with fs.open_input_stream(f"{root}/{k}") as f:
-            yield pickle.loads(f.read())
+        if fs.get_file_info(f"{root}/{k}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{root}/{k}") as f:
+                yield pickle.loads(f.read())
 
 
 HELD = 8 << 20  # bytes of text that meet all blocks together, if there are several

@@ -16,9 +16,11 @@ The medians and the two calibrations come from at most ``sample`` vectors;
 every vector is indexed and queried.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and those of another length than the commonest (the largest on
-ties), link with nothing; equal vectors link with each other; repeated rows
-count as vectors; an empty table gives none; other columns are ignored.
+components link with nothing; others link within their length, each length with
+an index of its own; equal vectors link with each other; rows that repeat an id
+are vectors of their own, with their own links, and a component's id is the
+smallest of its vectors' ids, rows without an id aside; an empty table gives
+none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,16 +137,20 @@ def block_links(index: Index, cosine: float, table: int, ids: np.ndarray, x: np.
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every vector."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("x", lambda v: v != 0)
-    sizes = rows.where(F.coalesce(finite, F.lit(False))).groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if sizes is None:
-        return alone.select(F.col("id").alias(id_col), "n_links", "component_id", F.lit(True).alias("kept"))
-    good = F.coalesce(finite & (F.size("x") == sizes["d"]), F.lit(False))
-    keyed = rows.withColumn("good", good).withColumn("k1", F.xxhash64("x")).withColumn("k2", F.xxhash64(F.lit(11), "x"))
-    unique = stored(keyed.where("good").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("x").alias("x")), "vectors")
+    keyed = rows.withColumn("good", F.coalesce(finite, F.lit(False))).withColumn("k1", F.xxhash64("x")).withColumn("k2", F.xxhash64(F.lit(11), "x"))
+    out = keyed.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for d, in keyed.where("good").select(F.size("x").alias("d")).groupBy("d").count().orderBy("d").select("d").collect():  # a row a length
+        out = out.union(_of_length(keyed.where("good").where(F.size("x") == d), cosine, recall, sample))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _of_length(keyed: DataFrame, cosine: float, recall: float, sample: int) -> DataFrame:
+    """(id, n_links, component_id) of vectors (id, x, k1, k2) of one length; a class of equal vectors is told from others by a number."""
+    spark = keyed.sparkSession
+    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("x").alias("x"))
+    unique = stored(classes.withColumn("v", F.monotonically_increasing_id()), "vectors")
     n = unique.count()
     part = unique.where(F.pmod("k1", F.lit(1 << 32)) < min(1 << 32, sample * (1 << 32) // n)) if n > sample else unique
     some = np.stack([np.asarray(r["x"]) for r in part.select("x").orderBy("k1").limit(2 * sample).collect()])
@@ -160,33 +166,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
                 cell = ix.cells(ix.project(x / np.linalg.norm(x, axis=1, keepdims=True)))
                 every = pa.array(np.repeat(np.arange(c.num_rows), ix.tables))
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0).take(every), c.column(1).take(every), pa.array(np.tile(np.arange(ix.tables, dtype=np.int32), c.num_rows)), pa.array(cell.reshape(-1))], ["rep", "times", "t", "cell"]
+                    [c.column(0).take(every), c.column(1).take(every), pa.array(np.tile(np.arange(ix.tables, dtype=np.int32), c.num_rows)), pa.array(cell.reshape(-1))], ["v", "times", "t", "cell"]
                 )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    placed = unique.select("rep", "times", "x").mapInArrow(lean(cells), f"rep {kind}, times long, t int, cell long")
+    placed = unique.select("v", "times", "x").mapInArrow(lean(cells), "v long, times long, t int, cell long")
     filled = placed.groupBy("t", "cell").agg(F.count("*").alias("rows"))
-    blocks = placed.join(filled, ["t", "cell"]).withColumn("of", F.ceil(F.col("rows") / BLOCK)).withColumn("s", F.pmod(F.xxhash64("rep", "t"), F.col("of")))
-    pairs = blocks.select("rep", "times", "t", "cell", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("o"))
-    pairs = pairs.select("rep", "times", "t", "cell", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), (F.col("s") > F.col("o")).cast("int").alias("side"))
-    full = pairs.join(unique.select("rep", "x"), "rep")
+    blocks = placed.join(filled, ["t", "cell"]).withColumn("of", F.ceil(F.col("rows") / BLOCK)).withColumn("s", F.pmod(F.xxhash64("v", "t"), F.col("of")))
+    pairs = blocks.select("v", "times", "t", "cell", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("o"))
+    pairs = pairs.select("v", "times", "t", "cell", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), (F.col("s") > F.col("o")).cast("int").alias("side"))
+    full = pairs.join(unique.select("v", "x"), "v")
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = table["x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         t, _, i, j = (k.as_py() for k in key)
-        found = block_links(shipped.value, cosine, t, table["rep"].to_numpy(), x, table["times"].to_numpy(), table["side"].to_numpy(), i == j)
-        return pa.table(dict(zip(("rep", "links", "root"), map(pa.array, found), strict=True)))
+        found = block_links(shipped.value, cosine, t, table["v"].to_numpy(), x, table["times"].to_numpy(), table["side"].to_numpy(), i == j)
+        return pa.table(dict(zip(("v", "links", "root"), map(pa.array, found), strict=True)))
 
-    grouped = full.select("t", "cell", "i", "j", "rep", "times", "side", "x").groupBy("t", "cell", "i", "j")
-    met = stored(grouped.applyInArrow(links, f"rep {kind}, links long, root {kind}"), "met")
+    grouped = full.select("t", "cell", "i", "j", "v", "times", "side", "x").groupBy("t", "cell", "i", "j")
+    met = stored(grouped.applyInArrow(links, "v long, links long, root long"), "met")
     release(spark)
-    comp = components(met, "rep", "root")
-    total = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = unique.select("k1", "k2", "rep", "times").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("l"), F.coalesce("component", "rep").alias("c"))
+    comp = stored(components(met, "v", "root").join(unique.select(F.col("v").alias("node"), "rep"), "node"), "components")
+    first = stored(comp.groupBy("component").agg(F.min("rep").alias("first")), "first")  # the smallest id of a component
+    total = met.groupBy("v").agg(F.sum("links").alias("links"))
+    named = comp.join(first, "component").select(F.col("node").alias("v"), "first")
+    per = unique.select("k1", "k2", "v", "rep", "times").join(total, "v", "left").join(named, "v", "left")
+    per = per.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("l"), F.coalesce("first", "rep").alias("c"))
     per = stored(per, "classes")  # a table, so that the join may be split where a vector has many copies
-    out = keyed.where("good").select("id", "k1", "k2").join(per, ["k1", "k2"]).select("id", F.col("l").cast("long").alias("n_links"), F.col("c").alias("component_id"))
-    out = stored(out.union(keyed.where("not good").select("id", F.lit(0).cast("long"), "id")), "links")
-    dropped(unique, met, per)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = keyed.select("id", "k1", "k2").join(per, ["k1", "k2"]).select("id", F.col("l").cast("long").alias("n_links"), F.col("c").alias("component_id"))
+    out = stored(out, "links")
+    dropped(unique, met, comp, first, per)
+    return out

@@ -157,6 +157,22 @@ def test_decontamination(spark, docs, rows, block_words):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_items_without_an_id_are_spread_over_blocks(spark, monkeypatch):
+    """Many items of one id or of none: each is in one block, no block has all of them, and executors build the blocks."""
+    sizes, save = [], decontaminate._save
+    texts = [f"a{i} b{i % 7} c{i % 11} d{i} e{i % 3}" for i in range(10_000)]
+    items = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)] + [(5, texts[0])] * 50, "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(i, f"x {texts[i]} y" if i % 2 else f"x {texts[i][1:]} y") for i in range(400)], "doc_id long, text string")
+    got = by_id(decontaminate.report(decontaminate.scan(docs, items, block_words=5000)))
+    monkeypatch.setattr(decontaminate, "_save", lambda *a: (sizes.append(a), save(*a)))
+    assert decontaminate.scan(docs, items, block_words=5000).count() == 400 and sizes == []
+    assert all((r["contaminated"], r["n_hit"], r["n_items"]) == ((True, 5, 1) if i % 2 else (False, 0, 0)) for i, r in got.items())
+    letters = sum(map(len, texts))
+    blocks = -(-letters // 10_000)
+    spread = items.distinct().groupBy(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks))).count().agg(F.max("count"), F.count("*")).first()
+    assert spread[1] == blocks and spread[0] < 3 * 10_000 / blocks
+
+
 def test_decontamination_edges(spark, docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(decontaminate.scan(docs, none)).where("contaminated").count() == 0
@@ -259,6 +275,29 @@ def test_packing_files(docs, ranks, tmp_path):
         packing.pack(docs, ranks, 0)
 
 
+def test_embeddings_of_repeated_ids_and_several_lengths(spark):
+    e = np.eye(4)
+    rows = [(1, [*e[0]]), (1, [*e[1]]), (2, [*(e[0] + 0.1 * e[2])]), (3, [*(e[1] + 0.1 * e[2])]), (4, [*(e[1] + 0.1 * e[3])]), (None, [*(e[3] + 0.1 * e[2])]), (9, [*e[3]])]
+    rows += [(20 + i, [1.0, 0.1 * i]) for i in range(3)] + [(30, [1.0]), (31, [2.0]), (32, [-2.0]), (40, [1.0, 1.0, 1.0])]
+    rows = [(i, [float(y) for y in v]) for i, v in rows]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 0.95).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got) == sorted(
+        [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (0, 1, 9), (9, 1, 9), (20, 2, 20), (21, 2, 20), (22, 2, 20), (30, 1, 30), (31, 1, 30), (32, 0, 32), (40, 0, 40)]
+    )
+
+
+def test_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((3000, 64)))
+    r = rng.standard_normal((1000, 64))
+    r = unit(r - (r * x[:1000]).sum(1, keepdims=True) * x[:1000])
+    c = rng.uniform(0.9505, 0.96, (1000, 1))
+    rows = [(i, [float(v) for v in y]) for i, y in enumerate([*x, *(c * x[:1000] + np.sqrt(1 - c**2) * r)])]
+    got = by_id(embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95), "vec_id")
+    assert np.mean([got[3000 + i]["component_id"] == i for i in range(1000)]) >= 0.97 and all(got[i]["n_links"] == 0 for i in range(1000, 3000))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((1500, 32))
