@@ -12,8 +12,8 @@ occurrence.  Pieces of up to SHORTEST_LONG - 1 bytes are told apart by two
 numbers that hold all their bytes and their length, longer ones by their bytes.
 
 Defined cases: null text is empty; an empty text has no ids and the SHA-256 of
-no bytes; no length is special; repeated rows are encoded alike; extra columns
-are ignored by ``encode_column``'s callers, which name their columns.
+no bytes; no length is special; repeated rows are encoded alike; the functions
+name the columns that they read and ignore others.
 """
 
 from __future__ import annotations
