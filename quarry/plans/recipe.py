@@ -215,9 +215,13 @@ def validate_table(recipes: DataFrame, name_col: str = "name", text_col: str = "
 
 
 def sink_of(recipe: Recipe, append: bool = False) -> sinks.Sink:
-    """An unknown format means JSON Lines."""
-    kind = recipe.output.format.lower()
-    return sinks.Sqlite(recipe.output.path) if kind == "sqlite" else sinks.OneFile(recipe.output.path, "csv" if kind == "csv" else "json", append)
+    """An unknown format means JSON Lines.  A path that ends in a slash, or has a scheme, is a folder that the executors write to; others are files of the driver."""
+    kind, path = recipe.output.format.lower(), recipe.output.path
+    if kind == "sqlite":
+        return sinks.Sqlite(path)
+    if path.endswith("/") or "://" in path:
+        return (sinks.Csv if kind == "csv" else sinks.JsonLines)(path, append)
+    return sinks.OneFile(path, "csv" if kind == "csv" else "json", append)
 
 
 def seed_frame(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None) -> DataFrame:
@@ -261,13 +265,13 @@ def run(spark: SparkSession, recipe: Recipe, fetcher: Fetcher | None = None, rob
         fetcher.path = recipe.cacheDirectory
     if recipe.login:
         fetcher.login(recipe.login.url, {k: heal.resolve_secret(v) or "" for k, v in recipe.login.formData.items()})
-    h = recipe.healing
+    h, beside = recipe.healing, recipe.output.path.rstrip("/")
     provider = heal.build_provider(h.provider, h.apiKey, h.model, h.baseUrl)
     plan = Plan(
         fields=recipe.specs(), fetcher=fetcher, item_selector=recipe.itemSelector, link_selector=recipe.linkSelector, auto_pagination=recipe.autoPagination and not recipe.linkSelector,
         max_depth=recipe.maxDepth if recipe.linkSelector or recipe.autoPagination else 0, max_pages=recipe.maxPages, normalize_urls=recipe.normalizeUrls,
         robots=(robots if robots is not None else robots_by(fetcher)) if recipe.respectRobotsTxt else None, deduplicate_by=recipe.deduplicateBy, provider=provider,
-        healing_cache=heal.HealingCache(f"{recipe.output.path}.healing.json") if provider else None, checkpoint=recipe.checkpointPath or f"{recipe.output.path}.checkpoint",
+        healing_cache=heal.HealingCache(f"{beside}.healing.json") if provider else None, checkpoint=recipe.checkpointPath or f"{beside}.checkpoint",
     )
     maps = fetcher if sitemaps is None else TableFetcher(sitemaps.select("url", F.col("xml").alias("html")))
     result = crawl(spark, seed_frame(spark, recipe, maps), plan)

@@ -157,6 +157,12 @@ def test_repair(spark, site, tmp_path):
     assert box.where("size(items) = 1").count() == 6
 
 
+def test_healing_can_be_switched_off(spark, site):
+    provider = Answers("h1")
+    got = heal.heal(site, {"t": FieldSpec("h2")}, None, heal.HealingCache(), provider, enabled=False)
+    assert got.where("items[0].f0 is null").count() == 6 and provider.asked == []
+
+
 def test_every_broken_pair_is_asked_for(spark):
     rows = [(f"http://h{i:03}.example/a", f"<h1>{i}</h1>") for i in range(230)]
     cache, provider = heal.HealingCache(), Answers("h1")

@@ -71,6 +71,20 @@ def test_coverage(spark):
     assert "text: 50%" in coverage.print_summary({"pages_fetched": 1, "pages_failed": 0, "items_extracted": 4}, [("text", 0.5)])
 
 
+def test_reports_are_in_the_order_of_names(spark):
+    rows = spark.createDataFrame([("1", "2", "3", "4")], "d string, b string, c string, a string")
+    assert [r["field"] for r in coverage.field_coverage(rows, rows.columns).collect()] == ["a", "b", "c", "d"]
+    lines = spark.createDataFrame([('{"d":1,"b":1,"c":1,"a":1}',), ("{",)], "value string")
+    assert [(r["metric"], r["name"]) for r in coverage.jsonl_stats(lines).collect()] == [*(("field", x) for x in "abcd"), ("items", None), ("malformed", None)]
+    assert coverage.print_summary({"pages_fetched": 1, "pages_failed": 0, "items_extracted": 1}, [("b", 1.0), ("a", 0.5)]).splitlines()[-2:] == ["  a: 50%", "  b: 100%"]
+
+
+def test_an_item_without_any_value_goes(spark):
+    rows = pages(spark, (1, "u", "<b>a</b>"), (2, "u", "<p>"), (3, "u", "<i>x</i>"))
+    fields = {"name": FieldSpec("b"), "more": FieldSpec("i")}
+    assert sorted(r["id"] for r in extract.bind(extract.extract(rows, fields), fields).collect()) == [1, 3]
+
+
 def test_stats(spark):
     lines = ['{"a":1,"b":"","c":null,"d":[]}', "", "[1]", "{", '{"a":false}', None]
     got = {(r["metric"], r["name"]): r["n"] for r in coverage.jsonl_stats(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}

@@ -202,3 +202,12 @@ def test_a_broken_cache_is_no_empty_cache(spark, tmp_path):
     (tmp_path / "c" / "part-0.parquet").write_text("no table")
     with pytest.raises(Exception, match="(?i)parquet"):
         recipes.fetcher_of(spark, recipe(tmp_path, seedUrls=["http://a.example/"], cacheDirectory=f"{tmp_path}/c"))
+
+
+def test_a_folder_as_output_is_written_by_the_executors(spark, site, tmp_path):
+    site.pages |= {"/1": (200, "<h1>one</h1>"), "/2": (200, "<h1>two, 2</h1>")}
+    for kind in ("json", "csv"):
+        out = f"file://{tmp_path}/{kind}/"
+        recipes.run(spark, recipe(tmp_path, seedUrls=[f"{site.base}/1", f"{site.base}/2"], respectRobotsTxt=False, output={"path": out, "format": kind}))
+        got = spark.read.json(out) if kind == "json" else spark.read.csv(out, header=True)
+        assert sorted(r["title"] for r in got.collect()) == ["one", "two, 2"]
