@@ -141,9 +141,21 @@ def items_of(harvested: DataFrame, fields: Fields, keep: list[str] | None = None
     return rows.select(*keep, "item_seq", *(transforms.apply(F.col(f"item.f{i}"), spec.transforms).alias(name) for i, (name, spec) in enumerate(fields.items())))
 
 
+SPLIT = 128 << 20  # bytes of a file that a task reads
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages of less than a split a core, in fewer files than cores, dealt to all cores: a page takes much longer to parse than to move.  Others stay where they are read."""
+    spark = pages.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(pages.inputFiles())
+    if not 0 < files < cores or int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SPLIT:
+        return pages
+    return pages.repartition(cores)
+
+
 def extract(pages: DataFrame, fields: Fields, item_selector: str | None = None, **how) -> DataFrame:
     """Items of the pages; every value is a nullable string."""
-    return items_of(harvest(pages, fields, item_selector, **how), fields)
+    return items_of(harvest(spread(pages), fields, item_selector, **how), fields)
 
 
 def typed(value: Column, kind: str) -> Column:

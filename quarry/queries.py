@@ -119,7 +119,7 @@ def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, (i - 1)::INT pos, regexp_extract(url, '^[a-z]+://[^/]+') || {_decoded("h")} link FROM l"""
 )
 def links_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", extract.links("nav a")("url", "html").alias("links"))
+    found = extract.spread(table(spark, sf_dir, "pages")).select("page_id", extract.links("nav a")("url", "html").alias("links"))
     return found.select("page_id", F.posexplode("links").alias("pos", "link"))
 
 
@@ -181,7 +181,7 @@ def og_meta_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"><meta property="fb:x" content="1"><meta name="description" content="first"><meta name="description" content="second ', F.col("c_custkey").cast("string"), '"></head><body>',
     )
     pages = table(spark, sf_dir, "customer").select("c_custkey", F.lit("").alias("url"), html.alias("html"))
-    found = pages.select("c_custkey", extract.open_graph()("url", "html").alias("og"), extract.meta_tags()("url", "html").alias("meta"))
+    found = extract.spread(pages).select("c_custkey", extract.open_graph()("url", "html").alias("og"), extract.meta_tags()("url", "html").alias("meta"))
     return found.select(
         "c_custkey", F.col("og")["og:title"].alias("og_title"), F.col("og")["OG:type"].alias("og_type"), F.size("og").alias("n_og"), F.col("meta")["description"].alias("description"), F.size("meta").alias("n_meta")
     )
@@ -593,7 +593,7 @@ def pagination_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = tag.when(key % 4 == 1, F.concat(F.lit('<ul class="pagination"><li class="next"><a href="../p/'), to, F.lit('">n</a></li></ul>')))
     tag = tag.when(key % 4 == 2, F.concat(F.lit('<a class="b next" href="http://x.example/p/'), to, F.lit('">n</a>'))).otherwise(F.concat(F.lit('<li class="next"><a href="'), to, F.lit('">n</a></li>')))
     pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("http://x.example/p/"), key.cast("string")).alias("url"), _page("</head><body>", tag).alias("html"))
-    return pages.select("p_partkey", extract.next_page()("url", "html").alias("next_url"))
+    return extract.spread(pages).select("p_partkey", extract.next_page()("url", "html").alias("next_url"))
 
 
 # Repair.

@@ -40,3 +40,15 @@ def test_scans_are_pruned(spark):
 @pytest.mark.parametrize("name", ["dedup_key", "dedup_content", "visited_dedup", "diff_counts", "field_coverage"])
 def test_aggregates_combine_before_the_shuffle(spark, name):
     assert "partial_" in plan(spark, name)
+
+
+def test_few_small_files_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    from quarry.operators import extract
+
+    pages = spark.range(100).selectExpr("'http://x.example/' AS url", "concat('<b>', id) AS html")
+    pages.coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    pages.repartition(9).write.parquet(f"file://{tmp_path}/nine")
+    dealt = lambda name: "RoundRobinPartitioning" in extract.spread(spark.read.parquet(f"file://{tmp_path}/{name}"))._jdf.queryExecution().executedPlan().toString()
+    assert dealt("one") and not dealt("nine") and extract.spread(pages) is pages
+    monkeypatch.setattr(extract, "SPLIT", 10)
+    assert not dealt("one")
