@@ -3,17 +3,18 @@
 The writer gives every row a response record, or a revisit record where an
 equal payload is kept elsewhere; archives are cut at ``archive_bytes``.  A task
 that is run again writes other files, and only the files that its successful
-attempt lists in the manifest are ever read.  The reader inflates blocks of a
-member as they come, frames the record by its Content-Length and checks its
-block and payload digests.
+attempt lists in the manifest are ever read.  The reader inflates a member block
+by block and frames and digests the record, by its Content-Length, as the blocks
+come, so a record of any length is read in little memory.
 
 The folder is reached through pyarrow's file systems (file, hdfs, s3, gs).
 
 Defined cases: null html is an empty payload; a null or empty url becomes the
 record's own id; line breaks in a url are percent-encoded; equal payloads of
 fewer than ``least`` bytes are all responses; rows that repeat a page_id and its
-html are all responses or all revisits; a payload of any length is one record; an empty table writes no archive; other
-columns are ignored.
+html are all responses or all revisits; rows that repeat a page_id with other
+html are records of one record id, each read back; a payload of any length is
+one record; an empty table writes no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,37 +67,99 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
-def members(source) -> Iterator[bytes]:
-    """The inflated gzip members of a binary stream, one after the other."""
+def inflated(source) -> Iterator[tuple[bytes, bool]]:
+    """(bytes, whether a member ends with them) of the gzip members of a binary stream; no more than BLOCK bytes are inflated at a time."""
     rest = b""
     while rest or (rest := source.read(BLOCK)):
-        inflate, parts = zlib.decompressobj(31), []
-        while True:
-            parts.append(inflate.decompress(rest))
-            rest = inflate.unused_data
-            if inflate.eof:
-                break
-            if not (rest := source.read(BLOCK)):
+        inflate = zlib.decompressobj(31)
+        while not inflate.eof:
+            if not rest and not (rest := source.read(BLOCK)):
                 raise ValueError("the archive ends within a member")
-        yield b"".join(parts)
+            data = inflate.decompress(rest, BLOCK)
+            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            yield data, inflate.eof
+
+
+def members(source) -> Iterator[bytes]:
+    """The inflated gzip members of a binary stream, one after the other."""
+    parts = []
+    for data, last in inflated(source):
+        parts.append(data)
+        if last:
+            yield b"".join(parts)
+            parts = []
+
+
+def _named(head: bytes) -> tuple[str, dict[str, str]]:
+    """The first line and the fields of a header; names are in lower case."""
+    first, *lines = head.decode().split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+class Framed:
+    """A record that is framed by its Content-Length and digested as its bytes come; its payload is kept if asked for."""
+
+    def __init__(self, keep: bool = True):
+        self.head, self.fields, self.left, self.tail = b"", None, 0, b""
+        self.http_head, self.http, self.size = b"", None, 0
+        self.block, self.payload, self.parts = hashlib.sha1(), hashlib.sha1(), [] if keep else None
+
+    def feed(self, data: bytes) -> None:
+        if self.fields is None:
+            self.head += data
+            if (cut := self.head.find(b"\r\n\r\n")) < 0:
+                return
+            version, self.fields = _named(self.head[:cut])
+            if not version.startswith("WARC/1."):
+                raise ValueError(f"not a record: {version[:40]!r}")
+            self.left, data, self.head = int(self.fields["content-length"]), self.head[cut + 4 :], b""
+        own, after = data[: self.left], data[self.left :]
+        self.left -= len(own)
+        self.block.update(own)
+        if own:
+            self._http(own)
+        self.tail += after
+        if len(self.tail) > 4:
+            raise self._broken()
+
+    def _http(self, own: bytes) -> None:
+        if self.http is None:
+            self.http_head += own
+            if (cut := self.http_head.find(b"\r\n\r\n")) < 0:
+                return
+            self.http, own, self.http_head = _named(self.http_head[:cut])[1], self.http_head[cut + 4 :], b""
+        self.payload.update(own)
+        self.size += len(own)
+        if self.parts is not None:
+            self.parts.append(own)
+
+    def _broken(self) -> ValueError:
+        return ValueError(f"{(self.fields or {}).get('warc-record-id')}: the block doesn't have its Content-Length")
+
+    def end(self) -> bool:
+        """Whether the digests hold, once all of the record has come."""
+        if self.fields is None or self.left or self.tail != b"\r\n\r\n" or self.http is None:
+            raise self._broken()
+        named = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
+        return named(self.block) == self.fields["warc-block-digest"] and (self.fields["warc-type"] == "revisit" or named(self.payload) == self.fields["warc-payload-digest"])
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes, bool]:
     """(WARC fields, HTTP fields, payload, whether the digests hold) of one record; names are in lower case."""
-    cut = raw.index(b"\r\n\r\n")
-    version, *lines = raw[:cut].decode().split("\r\n")
-    if not version.startswith("WARC/1."):
-        raise ValueError(f"not a record: {version[:40]!r}")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = int(fields["content-length"])
-    block = raw[cut + 4 : cut + 4 + size]
-    if len(block) != size or raw[cut + 4 + size :] != b"\r\n\r\n":
-        raise ValueError(f"{fields.get('warc-record-id')}: the block doesn't have its Content-Length")
-    end = block.index(b"\r\n\r\n") + 4
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block[:end].decode().split("\r\n")[1:])}
-    payload = block[end:]
-    ok = digest(block) == fields["warc-block-digest"] and (fields["warc-type"] == "revisit" or digest(payload) == fields["warc-payload-digest"])
-    return fields, http, payload, ok
+    record = Framed()
+    record.feed(raw)
+    ok = record.end()
+    return record.fields, record.http, b"".join(record.parts), ok
+
+
+def framed(source, keep: bool = False) -> Iterator[tuple[Framed, bool]]:
+    """The records of an archive and whether their digests hold, one at a time; but for payloads that are asked for, a block at a time is in memory."""
+    record = Framed(keep)
+    for data, last in inflated(source):
+        record.feed(data)
+        if last:
+            yield record, record.end()
+            record = Framed(keep)
 
 
 def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -148,14 +211,12 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
             for path in b.column(0).to_pylist():
                 rows: list[tuple] = []
                 with fs.open_input_stream(path, compression=None) as source:
-                    for raw in members(source):
-                        fields, http, payload, ok = parse(raw)
-                        kind = fields["warc-type"]
-                        size = int(http["content-length"])
-                        ok = ok and (kind == "revisit" or size == len(payload))
+                    for record, ok in framed(source, payloads):
+                        fields, kind, size = record.fields, record.fields["warc-type"], int(record.http["content-length"])
+                        ok = ok and (kind == "revisit" or size == record.size)
                         hexed = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                         refers = fields.get("warc-refers-to")
-                        rows.append((number(fields["warc-record-id"]), fields["warc-target-uri"], size, hexed, kind, number(refers) if refers else None, ok, payload if payloads and kind == "response" else None))
+                        rows.append((number(fields["warc-record-id"]), fields["warc-target-uri"], size, hexed, kind, number(refers) if refers else None, ok, b"".join(record.parts) if payloads and kind == "response" else None))
                         if len(rows) >= 500:
                             yield _batch(rows, payloads)
                             rows = []

@@ -412,6 +412,31 @@ def test_warc_records_are_checked():
         list(warc.members(io.BytesIO(gzip.compress(raw)[:-12])))
 
 
+def test_a_large_record_is_read_in_little_memory():
+    import io
+    import tracemalloc
+
+    payload = b"0123456789abcdef" * (4 << 20)
+    stream = gzip.compress(warc.record(7, "u", payload, None, "2000-01-01T00:00:00Z"), 1) + gzip.compress(warc.record(8, "u", b"small", 7, "2000-01-01T00:00:00Z"))
+    want, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    del payload
+    tracemalloc.start()
+    got = [(warc.number(r.fields["warc-record-id"]), r.size, r.payload.hexdigest(), ok) for r, ok in warc.framed(io.BytesIO(stream))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(7, size, want, True), (8, 0, hashlib.sha1(b"").hexdigest(), True)] and peak < 4 << 20
+    broken = gzip.compress(warc.record(7, "u", b"x" * 200_000, None, "2000-01-01T00:00:00Z")[:-4])
+    with pytest.raises(ValueError):
+        list(warc.framed(io.BytesIO(broken)))
+
+
+def test_a_page_id_twice_with_other_html(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 1200), (1, "u", "b" * 1200), (2, "u", "a" * 1200), (None, None, None)], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(0, 0, "response", None), (1, 1200, "response", None), (1, 1200, "revisit", 2), (2, 1200, "response", None)]
+
+
+
 @pytest.mark.parametrize(("bucket", "chunk", "hot"), [(1 << 24, 1 << 22, 1024), (2000, 3000, 8)])
 def test_katz(docs, rows, monkeypatch, bucket, chunk, hot):
     for name, v in (("BUCKET", bucket), ("CHUNK", chunk), ("HOT", hot)):
