@@ -10,6 +10,9 @@ TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
+# What ``normalize`` leaves as it is: most URLs, and one look tells.
+_NORMAL = r"^[a-z][a-z0-9+.\-]*://[a-z0-9.\-]+/[!\x22$->@-~]*[!\x22$-.0->@-~]\z"
+
 
 def is_absolute(url: Column) -> Column:
     return F.coalesce(F.rlike(url, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/?#\s]+)?[^\s]+$")), F.lit(False))
@@ -60,7 +63,7 @@ def normalize(url: Column) -> Column:
     kept = F.filter(F.split(raw, "&"), lambda p: (p != "") & ~key(p).isin(TRACKING))
     query = F.array_join(kept, "&")
     clean = F.concat(origin(url), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(F.rlike(url, F.lit(_PARTS)), clean).otherwise(url)
+    return F.when(F.rlike(url, F.lit(_NORMAL)), url).when(F.rlike(url, F.lit(_PARTS)), clean).otherwise(url)
 
 
 def visited_key(url: Column, normalized: bool = True) -> Column:

@@ -61,6 +61,7 @@ class State:
     failed: int = 0
     extracted: int = 0
     levels: list[int] = field(default_factory=list)
+    links: int = 0  # of the last level's pages
 
 
 class Folder:
@@ -148,31 +149,35 @@ def asked(level: int) -> str:
     return f"requests/level={level}"
 
 
-def _unseen(first: DataFrame, visited: DataFrame | None) -> DataFrame:
+def _unseen(first: DataFrame, visited: DataFrame | None, few: bool) -> DataFrame:
     """What has a key that wasn't visited, with the part that the key falls in.
 
-    What was visited meets the keys in a semi join, so it is scanned and not
-    shuffled as long as they are few, in the parts that they fall in, and only
-    what they have in common is taken from them.
+    Keys that are few beside what was visited meet it in a semi join, so it is
+    scanned and not shuffled, in the parts that they fall in, and only what they
+    have in common is taken from them.  That computes them twice; keys that are
+    many are computed once and meet it in one join by key, in which it moves as
+    they do: over all levels no more of it than there are links.
     """
     first = first.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
     if visited is None:
         return first
+    if not few:
+        return first.join(visited.select("key"), "key", "left_anti")
     seen = visited.join(first.select("part", "key"), ["part", "key"], "left_semi")
     return first.join(seen.select("key"), "key", "left_anti")
 
 
-def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool) -> DataFrame:
+def next_requests(frontier: DataFrame, visited: DataFrame | None, normalize: bool, few: bool = True) -> DataFrame:
     """The first request of each key that wasn't visited."""
     keyed = frontier.withColumn("key", visited_key(F.col("url"), normalize))
-    return _unseen(dedup.by_key(keyed, "key", ["seq"]), visited)
+    return _unseen(dedup.by_key(keyed, "key", ["seq"]), visited, few)
 
 
-def discovered(pages: DataFrame, visited: DataFrame | None, normalize: bool, depth: int) -> DataFrame:
+def discovered(pages: DataFrame, visited: DataFrame | None, normalize: bool, depth: int, few: bool = True) -> DataFrame:
     """The requests of the next level: of the links of pages (seq, links) the first with each key that wasn't visited, in the order of pages and links."""
     found = pages.select(F.col("seq").alias("s"), F.posexplode("links").alias("p", "url"))
     first = found.groupBy(visited_key(F.col("url"), normalize).alias("key")).agg(F.min(F.struct("s", "p", "url")).alias("at"))
-    new = _unseen(first, visited).orderBy("at.s", "at.p")
+    new = _unseen(first, visited, few).orderBy("at.s", "at.p")
     return new.select("at.url", F.lit(depth).alias("depth"), F.lit("GET").alias("method"), F.lit(None).cast("map<string,string>").alias("form"), F.monotonically_increasing_id().alias("seq"), "key", "part")
 
 
@@ -229,7 +234,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
     while state.level <= plan.max_depth and state.fetched < plan.max_pages:
         n = state.level
         known = folder.visited(state.levels)
-        new = discovered(folder.get(f"pages-{n - 1}").where("success"), known, plan.normalize_urls, n) if n else next_requests(folder.get("seeds"), known, plan.normalize_urls)
+        new = discovered(folder.get(f"pages-{n - 1}").where("success"), known, plan.normalize_urls, n, state.links < state.fetched) if n else next_requests(folder.get("seeds"), known, plan.normalize_urls)
         requests, seen = folder.put(asked(n), new, by="part", found=F.count("*"))
         room = plan.max_pages - state.fetched
         if not seen["found"]:
@@ -251,11 +256,11 @@ def crawl(spark: SparkSession, seeds: DataFrame, plan: Plan) -> Result:
             pages = pages.unionByName(rest)
         how = {"link_selector": plan.link_selector, "auto_pagination": plan.auto_pagination, "link_finder": plan.link_finder} if n < plan.max_depth else {}
         got = heal(pages, plan.fields, plan.item_selector, plan.healing_cache or HealingCache(), plan.provider, **how) if healing else harvest(pages, plan.fields, plan.item_selector, **how)
-        sums = {"fetched": F.count("*"), "failed": F.count_if(~F.col("success")), "items": F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0)), "last": F.max_by("url", "seq")}
+        sums = {"fetched": F.count("*"), "failed": F.count_if(~F.col("success")), "items": F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0)), "links": F.coalesce(F.sum(F.size(F.coalesce("links", F.array()))), F.lit(0)), "last": F.max_by("url", "seq")}
         level, seen = folder.put(f"pages-{n}", got, **sums)
         if live:
             folder.put(f"hosts-{n}", hosts_after(folder.get(f"hosts-{n - 1}") if n else None, level))
-        state = State(n + 1, state.fetched + seen["fetched"], state.failed + seen["failed"], state.extracted + seen["items"], [*state.levels, n])
+        state = State(n + 1, state.fetched + seen["fetched"], state.failed + seen["failed"], state.extracted + seen["items"], [*state.levels, n], seen["links"])
         folder.save(state)
         if plan.progress:
             plan.progress({"level": n, "pages_fetched": state.fetched, "pages_failed": state.failed, "items_extracted": state.extracted, "last_url": seen["last"]})

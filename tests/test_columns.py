@@ -101,3 +101,11 @@ def test_rotation_and_retries(spark):
     from quarry.sources.fetch import retry_wait_s
 
     assert [retry_wait_s(1, x, 1000, 0) for x in (None, "3", "0", "Thu, 01 Jan 1970 00:00:09 GMT", "junk")] == [2, 3, 2, 9, 2]
+
+
+def test_plain_urls_normalize_like_all_others(spark, monkeypatch):
+    rows = [(f"{s}{h}{p}",) for s in ("http://", "HTTPS://", "s3+x://") for h in ("a.example", "A.b", "a:80", "u@a", "é") for p in ("", "/", "//", "/a", "/A/b;c=1", "/a/", "/a?b=1&ref=2", "/a#t", "/a\n", "/a/\u2028", "/é", "/a b")]
+    df = spark.createDataFrame(rows, "u string")
+    fast = df.select(urls.normalize(F.col("u"))).collect()
+    monkeypatch.setattr(urls, "_NORMAL", "(?!)")
+    assert fast == df.select(urls.normalize(F.col("u"))).collect()

@@ -281,3 +281,18 @@ def test_recipe_rules(monkeypatch):
         recipes.parse('{"fields":{"a":{}}}')
     monkeypatch.setenv("SECRET_X", "s")
     assert [heal.resolve_secret(x) for x in ("env:SECRET_X", "env:NONE_X", "k", None)] == ["s", None, "k", None]
+
+
+def test_links_that_are_many_are_read_once(spark, site, monkeypatch):
+    rows = [(s, [f"http://s.example/{(s * k) % 97}" for k in range(1, 6)] + ["http://s.example/A?ref=x#t"]) for s in range(40)]
+    pages = spark.createDataFrame(rows, "seq long, links array<string>")
+    visited = spark.createDataFrame([(f"http://s.example/{k}", k % crawl.PARTS) for k in range(0, 97, 2)], "key string, part int")
+    visited = visited.selectExpr("key", f"cast(pmod(xxhash64(key), {crawl.PARTS}) as int) part")
+    few, many = (crawl.discovered(pages, visited, True, 1, few) for few in (True, False))
+    assert [(r["url"], r["key"], r["part"]) for r in many.orderBy("seq").collect()] == [(r["url"], r["key"], r["part"]) for r in few.orderBy("seq").collect()]
+    assert str(many._jdf.queryExecution().optimizedPlan()).count("Generate ") == 1
+    asked, own = [], crawl.discovered
+    monkeypatch.setattr(crawl, "discovered", lambda *a: asked.append(a[-1]) or own(*a))
+    r = spider(spark, site).follow("a", 5).run()
+    assert sorted(x["url"][-1] for x in r.pages.selectExpr("split(url, '[?]')[0] url").collect()) == list("012345")
+    assert asked == [False, False, True, True]  # 2 links beside 1 visited page, 4 beside 3, 1 beside 5, 1 beside 6

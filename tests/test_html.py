@@ -109,3 +109,24 @@ def test_any_text_parses(html):
     assert d.elements()[0].tag == "html"
     structured.main_content(d.elements()[0])
     list(compile_selector("p a, b > *").iter(d))
+
+
+_URL_PARTS = st.lists(st.sampled_from(["/", "a", "B", ".", "..", "?", "#", "=", "&", ":", "http://", "https://", "h.example", "//", " ", "é", ";", "8", "@", "[", "%20"]), max_size=7).map("".join)
+
+
+@given(st.sampled_from(["http://t.example/1", "https://T.x:80", "http://a.b?q", "HTTP://x/y", "", "/x", "http://h/a/../c;p?q#f", "http://u@h/", "http://h[/", "mailto:x"]) | _URL_PARTS, _URL_PARTS)
+def test_plain_links_are_what_resolving_gives(base, href):
+    from urllib.parse import urljoin, urlsplit
+
+    try:
+        out = urljoin(base, href.strip())
+        parts = urlsplit(out)
+        expected = out if href.strip() and parts.scheme and (parts.netloc or parts.path) else None
+    except ValueError:
+        expected = None
+    assert structured.absolute(base, href) == expected
+
+
+def test_plain_links_are_not_resolved(monkeypatch):
+    monkeypatch.setattr(structured, "urljoin", None)
+    assert [structured.absolute("http://t.example/1", x) for x in ("/2", " /a/b.html?c=d#e ", "https://x.example/y")] == ["http://t.example/2", "http://t.example/a/b.html?c=d#e", "https://x.example/y"]
