@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._cluster import dropped, fresh_dir, release, remove, small_batches, stored
-from quarry.llm._packed import find, groups, pack, unpack
+from quarry.llm._packed import find, groups, pack, sorting, unpack
 from quarry.llm._text import U64, Words, as_array, chunks, lean, mix, tidy
 
 TOP = 5  # counts above it are not discounted
@@ -178,7 +178,7 @@ def _chunk_table(rows: DataFrame, buckets: int) -> DataFrame:
             w = Words(data, offs, lower=True)
             size = np.diff(w.first) + 1
             tokens = np.insert(w.hashes(), w.first[1:], END)
-            vocab, local = np.unique(tokens, return_inverse=True)
+            vocab, _, local = groups(tokens)
             own = train.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(local[np.repeat(own, size)], minlength=len(vocab))
             out = [(0, chunk, ids.slice(lo, hi - lo).to_pylist(), pack(size), pack(own.astype(np.uint8)), pack(local), None, None, None, None)]
@@ -415,10 +415,10 @@ def _dealt(t: Tokens, model: Model, at: np.ndarray, mine=lambda b: b >= 0) -> tu
     b = (key % U64(model.buckets)).astype(np.int64)
     some = mine(b)
     at, b = at[some], b[some]
-    line = b.astype(U64) << U64(22)
+    line, room = b.astype(U64), min(22, int(t.local.max(initial=0) + 1).bit_length())
     for j in (1, 2):
-        line = (line | (t.before(j, at, t.local + 1).astype(U64) & U64((1 << 22) - 1) if j <= last else U64(0))) << U64(22 * (j == 1))
-    order = np.argsort(line)
+        line = line << U64(room) | (t.before(j, at, t.local + 1).astype(U64) & U64((1 << room) - 1) if j <= last else U64(0))
+    order = sorting(line)
     return at[order], b[order]
 
 
@@ -447,7 +447,8 @@ def _fit_buckets(state: DataFrame, model: Model) -> DataFrame:
         every = Grams(order, columns[: order - 1], columns[order - 1], columns[order], np.ones(len(columns[0]), np.int64), histories=False)
         first, n = every.first[order], every.n[order]
         stats = [x for level in range(2, order + 1) for x in _stats(every.n[level])]
-        like = np.argsort(columns[0][first].astype(U64) << U64(32) ^ columns[min(1, order - 2)][first].astype(U64))  # like histories together take less room
+        second = columns[min(1, order - 2)][first].astype(U64)
+        like = sorting(columns[0][first].astype(U64) << U64(min(32, int(second.max(initial=0)).bit_length())) ^ second)  # like histories together take less room
         first, n = first[like], n[like]
         packed = [pack(c[first]) for c in columns]
         out = _batch([(key[0].as_py(), *packed, pack(n), stats)], [names[0], *names[2:], "n", "stats"], [pa.int32(), *[pa.binary()] * (2 * order + 1), pa.list_(pa.int64())])
@@ -474,7 +475,8 @@ class Grams:
             if places:
                 self.first[level], self.which[level] = first.astype(np.int32), which.astype(np.int32)
             if histories:
-                self.histories[level], _, own = groups(key[at][first])
+                self.histories[level], _, own = groups(key[at])  # rows with one history lie together, so few are sorted
+                own = own[first]
                 self.of[level], self.tokens[level] = own.astype(np.int32), np.bincount(own, count, len(self.histories[level]))
 
     def some(self, level: int) -> np.ndarray:

@@ -69,3 +69,21 @@ def test_regular_words_do_not_collide():
     assert len(np.unique(one)) == len(np.unique(two)) == len(texts) and not (one == two).any()
     alone = [Words(*x[2:]).hashes()[0] for t in texts for x in chunks(pa.array([t]))]
     assert (one == np.array(alone)).all()
+
+
+def test_keys_are_sorted_grouped_and_found_without_sorting_places(monkeypatch):
+    import numpy as np
+
+    from quarry.llm import _packed
+
+    r = np.random.default_rng(0)
+    close = r.integers(0, 5, 5000).astype(np.uint64) << np.uint64(60) | r.integers(0, 9, 5000).astype(np.uint64)  # the high bits don't tell them apart
+    for keys in (close, close[:1], close[:0]):
+        assert (keys[_packed.sorting(keys)] == np.sort(keys)).all()
+    monkeypatch.setattr(np, "argsort", None)
+    for most in (2, 1 << 40, (1 << 64) - 1):
+        keys = np.repeat(r.integers(0, most, 1000, dtype=np.uint64, endpoint=True), 3)
+        distinct, at, which = _packed.groups(keys)
+        assert (distinct == sorted(set(keys.tolist()))).all() and (keys[at] == distinct).all() and (distinct[which] == keys).all()
+        place, there = _packed.find(distinct[::2], keys)
+        assert (there == np.isin(keys, distinct[::2])).all() and (distinct[::2][place[there]] == keys[there]).all()
