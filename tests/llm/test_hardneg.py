@@ -79,3 +79,40 @@ def test_the_tree_gives_rows_nearest_first(spread):
     want = sorted((-int(s[i]), int(ids[i])) for i in range(500) if lo <= s[i] <= hi and i % 2)[:40]
     found = tree.nearest(q, lo, hi, lambda r: r % 2 == 1, 40, ids)
     assert [(-s, int(ids[i])) for s, i in list(found)[:40]] == want
+
+
+def test_queries_share_the_leaves_that_they_visit():
+    rng = np.random.default_rng(2)
+    v = np.floor(256 * rng.standard_normal((1000, 16))).astype(np.int64)
+    ids, m2, calls = rng.permutation(1000), int((v * v).sum(1).max()), []
+    q = v[:300]
+    s = q @ v.T
+    lo, hi = np.sort(rng.integers(-(10**6), 10**6, (2, 300, 3)), 0)  # three windows a query
+
+    def keep(i, r):
+        calls.append(len(r))
+        return (r + i) % 3 > 0
+
+    tree = hardneg.VPTree(v, m2, 50)
+    got = {}
+    for i, w, r, score in zip(*(c.tolist() for c in tree.search(q, lo, hi, keep, 4, ids)), strict=True):
+        got.setdefault((i, w), []).append((-score, int(ids[r])))
+    want = {(i, w): sorted((-int(s[i, r]), int(ids[r])) for r in np.flatnonzero((s[i] >= lo[i, w]) & (s[i] <= hi[i, w]) & ((np.arange(1000) + i) % 3 > 0)))[:4] for i in range(300) for w in range(3)}
+    assert got == {k: x for k, x in want.items() if x}
+    assert len(calls) <= sum(r is not None for r in tree.rows)  # and not once a query and leaf
+
+
+@pytest.mark.parametrize(("size", "kind"), [(1 << 9, np.float32), (1 << 20, np.float64), (1 << 26, np.int64)])
+def test_scores_are_exact_in_the_type_of_their_size(size, kind):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-size, size, (60, 8))
+    m2 = int((v * v).sum(1).max())
+    assert hardneg.exact(m2) is kind
+    _, _, rows, scores = hardneg.VPTree(v, m2, 7).search(v[:1], np.array([[-hardneg.NEVER]]), np.array([[hardneg.NEVER]]), lambda _, r: r >= 0, 60, np.arange(60))
+    assert sorted(rows.tolist()) == list(range(60)) and (scores == v[rows] @ v[0]).all()
+
+
+def test_copies_that_no_query_can_meet_are_left_out():
+    v, labels, ids = np.array([[1, 2]] * 7 + [[1, 3]], np.int32), np.array([0, 0, 0, 0, 0, 0, 1, 0]), np.array([9, 5, 5, 5, 7, 8, 6, 5])
+    assert sorted(ids[hardneg.firsts(v, labels, ids, 2)[:-2]].tolist()) == [5, 5, 7, 8]  # two of each id, the own id and two more
+    assert hardneg.firsts(v, labels, ids, 2)[-2:].tolist() == [6, 7]
